@@ -21,3 +21,29 @@ with recursive words as (
 select doc_id, n as n_shingles, c as component_id, doc_id = c as kept
 from sizes join (select a, min(b) as c from reach group by a) on a = doc_id
 """
+
+LEAK_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LEAKS = f"""
+with items as (
+  select item_id, {LEAK_WORDS} as w from benchmark
+), windows as (
+  select distinct item_id, least(len(w), 10) as k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as g
+  from items, unnest(generate_series(1, greatest(len(w) - 9, 1))) as t(i) where len(w) > 0
+), docs as (
+  select doc_id, {LEAK_WORDS} as w from documents
+), grams as (
+  select doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') as g
+  from docs, (select distinct k from windows) as s, unnest(generate_series(1, len(w) - k + 1)) as t(i) where len(w) >= k
+), found as (
+  select doc_id, i, grams.k, item_id from grams join windows using (g)
+), hit as (
+  select doc_id, count(distinct i + j) as n from found, unnest(generate_series(0, k - 1)) as t(j) group by doc_id
+), named as (
+  select doc_id, count(*) as n, string_agg(item, ',' order by item) as s
+  from (select distinct doc_id, cast(item_id as varchar) as item from found) x group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items,
+  sha256(coalesce(s, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from docs left join hit using (doc_id) left join named using (doc_id)
+"""
