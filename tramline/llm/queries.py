@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramline.llm import decontaminate, near_dup, oracles, quality_rules
+from tramline.llm import decontaminate, mixing, near_dup, oracles, quality_rules, shards
 from tramline.llm.common import table
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.training_order(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.probabilities(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
