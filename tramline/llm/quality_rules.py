@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.common import stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -120,11 +122,10 @@ def posterior(pattern: str, prior: float, tables: list[dict[str, tuple[float, fl
 def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """``keep`` columns, the measures, the votes, ``p_good``, ``base_failed`` and ``kept``.
 
-    Two scans of the text: one reduces it to vote-pattern counts, one scores.  Nothing else crosses the network.
+    One scan of the text, whose measures are stored; vote-pattern counts and scores both read that table.
     """
-    seen = measure(docs, text, ()).select(votes().alias("v")).groupBy("v").count()
-    patterns = {r["v"]: r["count"] for r in seen.collect()}  # at most 3 ** len(RULES) rows
-    scored = measure(docs, text, keep).withColumn("votes", votes())
+    scored = stored(measure(docs, text, keep).withColumn("votes", votes()), "measures")
+    patterns = {r["votes"]: r["count"] for r in scored.groupBy("votes").count().collect()}  # at most 3 ** len(RULES) rows
     if not patterns:
         return scored.select("*", F.lit(None).cast("double").alias("p_good"), base_failed().alias("base_failed"), F.lit(False).alias("kept"))
     prior, tables = fit(patterns)
