@@ -237,7 +237,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span
     n_hit = F.aggregate("_hits.spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     h = h.filter(n_hit <= max_coverage * F.col("_hits.n_words"))
     at = docs.columns.index("text")
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
+    chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +249,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span
             if chars is not None:
                 sizes = [len(t) if x and t is not None else n.as_py() for t, x, n in zip(texts, spans, columns[chars], strict=True)]
                 columns[chars] = pa.array(sizes, columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return h.mapInArrow(run, docs.schema)
 
