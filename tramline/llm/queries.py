@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tramline.llm import decontaminate, mixing, near_dup, oracles, quality_rules, shards
-from tramline.llm.common import table
+from tramline.llm import decontaminate, language_id, mixing, near_dup, oracles, quality_rules, shards
+from tramline.llm.common import remainder_is, table
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.training_order(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder_is("doc_id", 3, 1)
+    return language_id.identify(docs, language_id.train(docs.filter(~held_out & F.col("doc_id").isNotNull())), held_out)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
