@@ -47,3 +47,10 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, seed: int) -> DataFra
     if n <= bound:
         return df
     return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int) -> DataFrame:
+    """``text, y`` of about ``bound`` labelled documents.  The sample is taken from the labels, so that only it is broadcast."""
+    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    few = bounded_sample(rows, F.col("doc_id").cast("string"), bound, seed)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import decontaminate, language_id, mixing, near_dup, oracles, quality_rules, shards
+from tramline.llm import decontaminate, language_id, mixing, near_dup, oracles, quality_gam, quality_rules, shards, toxicity
 from tramline.llm.common import remainder_is, table
 
 
@@ -29,10 +29,22 @@ def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.probabilities(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder_is("doc_id", 4, 2)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model, held_out)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder_is("doc_id", 3, 1)
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return quality_gam.score(docs, model, held_out)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
