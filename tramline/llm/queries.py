@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import decontaminate, language_id, mixing, near_dup, oracles, quality_gam, quality_rules, shards, toxicity
+from tramline.llm import chat, decontaminate, language_id, mixing, near_dup, oracles, quality_gam, quality_rules, secrets, shards, toxicity
 from tramline.llm.common import remainder_is, table
 
 
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs.filter(~held_out & F.col("doc_id").isNotNull())), held_out)
 
 
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -50,9 +54,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": oracles.NEAR_DUP, "op7_benchmark_decontamination": oracles.LEAKS}
+    return {"op3_chat_rotation": oracles.CHAT, "op4_minhash_near_dedup": oracles.NEAR_DUP, "op7_benchmark_decontamination": oracles.LEAKS}
