@@ -1,15 +1,591 @@
-"""Queries over the driver's tables, by operator name."""
+"""Every operator as a query over the driver's tables, beside DuckDB SQL that means the same.
+
+Results are cast by one specification on both sides: timestamps as epoch seconds, dates as text, doubles to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tramline.config import DEFAULT
+from tramline.functions import exprs as X
+from tramline.operators import features, matching, ml, planner, rollups, telemetry, views
+from tramline.plans import fixtures, oracle
+from tramline.plans.oracle import AS_OF, NOW, PLACE, RISK, ROUTE_LABEL, WARM, bucket, label_join, meters, recent, rnd
+from tramline.sources import gtfs, sinks
+from tramline.sources import telemetry as feeds
+
+CFG = replace(DEFAULT, timezone="UTC", service_gap_s=60)
+RD = "route_id:s direction_id:l"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The fixture tables and everything derived from them, made when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.t = fixtures.load(spark, sf_dir)
+        self.as_of = F.timestamp_seconds(F.lit(AS_OF))
+
+    @property
+    def timetable(self) -> dict[str, DataFrame]:
+        return {k: self.t[k] for k in ("trips", "calendar", "stop_times", "stops", "routes")}
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return matching.match_candidates(self.t["telemetry"], self.t["trips"], self.t["calendar"], self.t["stop_times"], self.t["stops"], CFG)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return matching.match_stop_delay(self.t["telemetry"], self.t["trips"], self.t["calendar"], self.t["stop_times"], self.t["stops"], CFG)
+
+    @cached_property
+    def delay(self) -> DataFrame:
+        return matching.route_delay(self.events)
+
+    @cached_property
+    def dwell(self) -> DataFrame:
+        return matching.stop_dwell_windows(self.events, 3600)
+
+    @cached_property
+    def hot(self) -> DataFrame:
+        return matching.geo_hotspots(self.events, self.t["stops"])
+
+    @cached_property
+    def fresh(self) -> DataFrame:
+        return telemetry.telemetry_freshness(self.t["telemetry"], F.lit(AS_OF))
+
+    @cached_property
+    def bunch(self) -> DataFrame:
+        return telemetry.bunching_events(self.t["telemetry"], CFG)
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return telemetry.service_gap_between_events(self.t["telemetry"], CFG)
+
+    @cached_property
+    def speed(self) -> DataFrame:
+        return telemetry.segment_speed(self.t["telemetry"])
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return features.feature_windows(self.delay, self.speed, self.bunch, self.gaps, self.dwell, self.fresh, self.hot, self.t["routes"], CFG)
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return ml.score_latest_features(self.features, self.as_of, None, CFG)
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        return self.t["od_requests"].select("request_id", F.col("origin_stop_id").alias("origin_id"), F.col("destination_stop_id").alias("destination_id"), "service_date", "departure_s")
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return planner.stop_places(self.t["stops"])
+
+    @cached_property
+    def ends(self) -> DataFrame:
+        return planner.resolve_endpoints(self.requests, self.places, CFG)
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        return planner.service_windows(self.requests, self.t["calendar"])
+
+    @cached_property
+    def reports(self) -> dict[str, DataFrame]:
+        r = self.t["routes"]
+        return {
+            "hourly_bunching": rollups.hourly_bunching(self.bunch), "hourly_reliability": rollups.hourly_reliability(self.gaps), "hourly_delay": rollups.hourly_delay(self.delay),
+            "daily_delay": rollups.daily_delay(self.delay), "hourly_speed": rollups.hourly_speed(self.speed), "route_delay": self.delay, "predictions": self.predictions,
+            "stop_delay_events": self.events, "features": self.features, "hotspots": self.hot, "daily_fleet": telemetry.daily_fleet(self.t["telemetry"]), "routes": r,
+            "active_bunching": views.active_bunching(self.bunch, r, self.as_of), "active_gaps": views.active_service_gaps(self.gaps, r, self.as_of),
+        }
+
+
+def _cast(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
+    kinds = {
+        "s": lambda c: c.cast("string"), "l": lambda c: c.cast("long"), "d": lambda c: F.round(c.cast("double"), 6), "b": lambda c: c.cast("boolean"),
+        "t": lambda c: F.unix_timestamp(c), "D": lambda c: c.cast("date").cast("string"),
+    }
+    return df.select([kinds[k](F.col(c)).alias(c) for c, k in spec])
+
+
+def q(name: str, spec: str, run: Callable[[Tables], DataFrame], sql: str | None) -> None:
+    """Register a query; ``spec`` lists its columns as ``name:kind``."""
+    cols = [tuple(x.split(":")) for x in spec.split()]
+    QUERIES[name] = lambda spark, sf_dir: _cast(run(Tables(spark, sf_dir)), cols)
+    if sql:
+        ORACLES[name] = oracle.statement(cols, sql)
+
+
+def scalar(name: str, source: str, keys: str, expr, kind: str, sql: str, where: str | None = None) -> None:
+    """Register one column expression over the rows of a fixture table."""
+    names = [k.split(":")[0] for k in keys.split()]
+    run = lambda x: (x.t[source].filter(where) if where else x.t[source]).select(*names, expr().alias("value"))
+    q(name, f"{keys} value:{kind}", run, f"select {', '.join(names)}, {sql} as value from {source}" + (f" where {where}" if where else ""))
+
+
+# --- telemetry -----------------------------------------------------------------------------------------------------------
+WIN = f"window_start:t {RD}"
+q("segment_speed_15m", f"{WIN} vehicle_count:l avg_speed_kmh:d min_speed_kmh:d max_speed_kmh:d", lambda x: x.speed, "select * from speed")
+q("telemetry_freshness_1m", f"{WIN} vehicle_count:l avg_freshness_sec:d max_freshness_sec:d min_freshness_sec:d p95_freshness_sec:d", lambda x: x.fresh, "select * from fresh")
+q("bunching_events", f"event_time:t {RD} vehicle_a_id:s vehicle_b_id:s gap_seconds:d lat_a:d lon_a:d lat_b:d lon_b:d", lambda x: x.bunch, "select * from bunch")
+q(
+    "service_gap_window", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", lambda x: telemetry.service_gap_window(x.t["telemetry_sparse"], 300),
+    f"select min(event_time) as gap_start, max(event_time) as gap_end, route_id, direction_id, max(epoch_s) - min(epoch_s) as gap_duration_sec from telemetry_sparse group by {bucket('event_time', 600)}, route_id, direction_id having count(distinct vehicle_id) <= 1 and max(epoch_s) - min(epoch_s) > 300",
+)
+q("service_gap_between_events", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", lambda x: x.gaps, "select * from gaps")
+q("consecutive_fix_lag", f"event_id:l vehicle_id:s {RD} dt:l speed_kmh:d", lambda x: telemetry.consecutive_fix_lag(x.t["telemetry"]), "select * from segments")
+q(
+    "live_fleet", f"vehicle_id:s event_time:t {RD} latitude:d longitude:d license_plate:s", lambda x: telemetry.live_fleet(x.t["telemetry"], x.as_of),
+    f"select * from (select *, row_number() over (partition by vehicle_id order by event_time desc, event_id desc) as n from telemetry where {recent('event_time', 300)}) where n = 1",
+)
+q("daily_fleet", "bucket:t unique_vehicles:l unique_routes:l total_position_reports:l", lambda x: telemetry.daily_fleet(x.t["telemetry"]), "select * from d_fleet")
+q(
+    "session_presence", f"session_start:t session_end:t {RD} reports:l", lambda x: telemetry.session_presence(x.t["telemetry_sparse"], 300),
+    "select min(event_time) as session_start, max(event_time) + interval 300 second as session_end, route_id, direction_id, count(*) as reports from (select *, sum(n) over (partition by route_id order by epoch_s, event_id) as s from (select *, case when epoch_s - lag(epoch_s) over (partition by route_id order by epoch_s, event_id) < 300 then 0 else 1 end as n from telemetry_sparse)) group by route_id, direction_id, s",
+)
+
+
+def _messages(x: Tables, broken: bool = True) -> DataFrame:
+    m = F.to_json(F.struct("vehicle_id", F.lit("").alias("label"), "license_plate", "route_id", "direction_id", "agency_id", "trip_start_time", "latitude", "longitude", F.col("epoch_s").alias("timestamp")))
+    return x.t["telemetry"].select(F.when(F.col("event_id") % 29 == 0, F.lit("{broken")).otherwise(m).alias("value"))
+
+
+q("telemetry_source", f"vehicle_id:s {RD} latitude:d longitude:d event_time:t", lambda x: feeds.parse_messages(_messages(x)), "select * from telemetry where event_id % 29 <> 0")
+
+
+def _payloads(x: Tables) -> DataFrame:
+    c = F.col
+    trip = F.struct(F.when(c("event_id") % 19 == 0, "").otherwise(c("route_id")).alias("routeId"), c("direction_id").cast("string").alias("directionId"), c("agency_id").alias("agencyId"), c("trip_start_time").alias("startTime"))
+    car = F.struct(c("vehicle_id").alias("id"), c("license_plate").alias("licensePlate"))
+    at = F.struct(F.when(c("event_id") % 23 == 0, "north").otherwise(c("latitude").cast("string")).alias("latitude"), c("longitude").cast("string").alias("longitude"))
+    return x.t["telemetry"].select(F.to_json(F.struct(c("event_id").cast("string").alias("id"), F.struct(trip.alias("trip"), car.alias("vehicle"), at.alias("position"), c("epoch_s").alias("timestamp")).alias("vehicle"))).alias("value"))
+
+
+q(
+    "sanitize_vehicle_payload", f"vehicle_id:s license_plate:s {RD} agency_id:s trip_start_time:s latitude:d longitude:d timestamp:l", lambda x: feeds.sanitize_vehicle_payload(_payloads(x), x.as_of),
+    "select *, coalesce(trip_start_time, '') as trip_start_time, epoch_s as timestamp from telemetry where event_id % 19 <> 0 and event_id % 23 <> 0".replace("select *", "select * exclude (trip_start_time)"),
+)
+q("positions_passthrough", f"event_time:t vehicle_id:s {RD} agency_id:s latitude:d longitude:d license_plate:s trip_start_time:s ingested_at:t", lambda x: feeds.positions_passthrough(x.t["telemetry"], x.as_of), f"select *, {NOW} as ingested_at from telemetry")
+
+# --- timetable -----------------------------------------------------------------------------------------------------------
+
+
+def _raw_stops(x: Tables) -> DataFrame:
+    return x.t["stops"].select("stop_id", "stop_name", F.col("stop_lat").cast("string"), F.col("stop_lon").cast("string"), F.col("location_type").cast("string"), "parent_station", F.lit("x").alias("unknown"))
+
+
+q("gtfs_load", "stop_id:s stop_name:s stop_desc:s stop_lat:d stop_lon:d location_type:l parent_station:s level_id:s", lambda x: gtfs.gtfs_columns(_raw_stops(x), "stops"), "select stop_id, stop_name, null as stop_desc, stop_lat, stop_lon, location_type, nullif(parent_station, '') as parent_station, null as level_id from stops")
+q(
+    "gtfs_insert_idempotent", "trip_id:s stop_sequence:l stop_id:s", lambda x: gtfs.gtfs_insert_idempotent(x.t["stop_times"].filter("stop_sequence <= 2"), x.t["stop_times"].union(x.t["stop_times"]), ["trip_id", "stop_sequence"]),
+    "select * from stop_times where stop_sequence > 2",
+)
+q(
+    "gtfs_integrity_report", "table_name:s rule:s violations:l",
+    lambda x: gtfs.gtfs_integrity_report({**{k: x.t[k] for k in ("agency", "routes", "calendar", "trips", "stops")}, "stop_times": x.t["stop_times"].withColumn("stop_id", F.expr("cast(stop_id + 7 as int)").cast("string")), "shapes": x.t["shapes"].union(x.t["shapes"].limit(0)).withColumn("shape_id", F.lit("0"))}),
+    "select 'shapes' as table_name, 'primary_key' as rule, count(*) as violations from (select shape_pt_sequence from shapes group by 1 having count(*) > 1) having count(*) > 0 union all select 'stop_times', 'stop_id->stops', count(distinct s) from (select cast(cast(stop_id as int) + 7 as varchar) as s from stop_times) where s not in (select stop_id from stops) having count(distinct s) > 0",
+)
+q("first_stop_per_trip", "trip_id:s first_s:l", lambda x: matching.first_stop_per_trip(x.t["stop_times"]), "select * from first_stop")
+CAND = f"event_id:l {RD} trip_id:s stop_id:s stop_sequence:l scheduled_time:t delay_sec:d distance_to_stop_m:d"
+q("match_candidates", CAND, lambda x: x.candidates, "select * from candidates")
+q("best_match_per_position", CAND, lambda x: matching.best_match_per_position(x.candidates), "select * from (select *, row_number() over (partition by event_id order by distance_to_stop_m, abs(delay_sec), trip_id, stop_sequence) as n from candidates) where n = 1")
+EVENT = f"observed_time:t scheduled_time:t service_date:D vehicle_id:s {RD} trip_id:s stop_id:s stop_sequence:l delay_sec:d distance_to_stop_m:d match_confidence:d match_method:s"
+q("match_stop_delay", EVENT, lambda x: x.events, "select * from events_matched")
+UNMATCHED = f"select * from telemetry t where trip_start_time is not null and {recent('event_time', 7200)} and not exists (select 1 from events_matched e where e.observed_time = t.event_time and e.vehicle_id = t.vehicle_id and e.route_id = t.route_id)"
+q("unmatched_positions", f"event_id:l event_time:t vehicle_id:s {RD}", lambda x: matching.unmatched_positions(x.t["telemetry"], x.events, x.as_of, CFG), UNMATCHED)
+q("newest_unmatched_limit", f"event_id:l event_time:t vehicle_id:s {RD}", lambda x: matching.unmatched_positions(x.t["telemetry"], x.events, x.as_of, CFG, CFG.match_batch), UNMATCHED + " order by event_time desc, event_id desc limit 20")
+q(
+    "stop_delay_insert_unique", EVENT, lambda x: sinks.insert_unique(x.events.filter("stop_sequence <= 3"), x.events.union(x.events)),
+    "select * from events_matched e where not exists (select 1 from events_matched o where o.stop_sequence <= 3 and o.observed_time = e.observed_time and o.vehicle_id = e.vehicle_id and o.route_id = e.route_id and o.direction_id is not distinct from e.direction_id and o.trip_id = e.trip_id and o.stop_id = e.stop_id)",
+)
+q(
+    "dedupe_stop_delay", f"vehicle_id:s {RD} created:l", lambda x: matching.dedupe_stop_delay(x.t["telemetry"].select("vehicle_id", "route_id", "direction_id", F.col("event_id").alias("created")), ("vehicle_id", "route_id", "direction_id"), "created"),
+    "select vehicle_id, route_id, direction_id, max(event_id) as created from telemetry group by all",
+)
+q(
+    "stratified_stop_sample", f"{RD} hour:l trip_id:s stop_id:s stop_sequence:l", lambda x: matching.stratified_stop_sample(matching.stop_visits(x.t["trips"], x.t["calendar"], x.t["stop_times"], x.t["stops"])),
+    "select trip_route as route_id, trip_direction as direction_id, scheduled_s // 3600 as hour, trip_id, stop_id, stop_sequence from (select *, row_number() over (partition by trip_route, trip_direction, scheduled_s // 3600 order by md5(trip_id || ':' || stop_id || ':' || stop_sequence)) as n from visits) where n = 1",
+)
+q("route_delay_1m", f"{WIN} vehicle_count:l avg_delay_sec:d max_delay_sec:d min_delay_sec:d p95_delay_sec:d", lambda x: x.delay, "select * from delay")
+q("stop_dwell_windows", f"{WIN} stop_id:s vehicle_id:s observation_count:l avg_dwell_sec:d", lambda x: x.dwell, "select * from dwell")
+q("geo_hotspots", f"{WIN} zone_id:s centroid_lat:d centroid_lon:d observation_count:l active_vehicle_count:l avg_delay_sec:d p95_delay_sec:d hotspot_score:d", lambda x: x.hot, "select * from hot")
+
+# --- features ------------------------------------------------------------------------------------------------------------
+FT = f"feature_time:t {RD}"
+q("feature_delay_rollup", f"{FT} vehicle_count:l observation_count:l avg_delay_sec:d p95_delay_sec:d max_delay_sec:d", lambda x: features.delay_rollup(x.delay), "select * from f_delay")
+q("feature_speed_rollup", f"{FT} avg_speed_kmh:d min_speed_kmh:d", lambda x: features.speed_rollup(x.speed), "select * from f_speed")
+q("feature_bunching_rollup", f"{FT} bunching_count:l", lambda x: features.bunching_rollup(x.bunch), "select * from f_bunch")
+q("feature_gap_rollup", f"{FT} service_gap_count:l total_gap_sec:d", lambda x: features.gap_rollup(x.gaps), "select * from f_gap")
+q("feature_dwell_rollup", f"{FT} avg_dwell_sec:d", lambda x: features.dwell_rollup(x.dwell), "select * from f_dwell")
+q("feature_freshness_rollup", f"{FT} avg_freshness_sec:d", lambda x: features.freshness_rollup(x.fresh), "select * from f_fresh")
+q("feature_hotspot_rollup", f"{FT} hotspot_score:d", lambda x: features.hotspot_rollup(x.hot), "select * from f_hot")
+FEATURES = f"{FT} zone_id:s route_type:l hour_of_day:l day_of_week:l is_weekend:b is_am_peak:b is_pm_peak:b vehicle_count:l observation_count:l avg_delay_sec:d p95_delay_sec:d max_delay_sec:d avg_speed_kmh:d min_speed_kmh:d speed_drop_kmh:d bunching_count:l service_gap_count:l total_gap_sec:d avg_dwell_sec:d hotspot_score:d avg_freshness_sec:d"
+q("feature_windows", FEATURES, lambda x: x.features, "select * from features")
+q(
+    "join_features_null_safe", f"{FT} avg_delay_sec:d avg_freshness_sec:d", lambda x: features.join_null_safe(features.delay_rollup(x.delay), features.freshness_rollup(x.fresh)).select("feature_time", "route_id", "direction_id", "avg_delay_sec", "avg_freshness_sec"),
+    "select a.*, f.avg_freshness_sec from f_delay a left join f_fresh f on f.feature_time = a.feature_time and f.route_id = a.route_id and f.direction_id is not distinct from a.direction_id",
+)
+q("latest_features", f"{FT} avg_delay_sec:d hotspot_score:d", lambda x: views.latest_features(x.features, x.as_of), "select * from latest_feature")
+q("matching_cycle", f"{FT} vehicle_count:l avg_delay_sec:d", lambda x: matching.matching_cycle(x.t["telemetry"], x.events.limit(0), x.timetable, {"speed": x.speed, "bunching": x.bunch, "gaps": x.gaps, "freshness": x.fresh}, x.as_of, CFG)["realtime_feature_windows"],
+  f"select {bucket('window_start', 900)} as feature_time, route_id, direction_id, sum(vehicle_count) as vehicle_count, avg(avg_delay_sec) as avg_delay_sec from (select {bucket('observed_time', 60)} as window_start, route_id, direction_id, count(distinct vehicle_id) as vehicle_count, avg(delay_sec) as avg_delay_sec from events_matched where match_method = 'trip_start_geofence' and {recent('observed_time', 7200)} group by all) group by all")
+
+# --- rollups and views ---------------------------------------------------------------------------------------------------
+B = f"bucket:t {RD}"
+HD = f"{B} total_observations:l avg_delay_sec:d max_delay_sec:d min_delay_sec:d"
+q("hourly_delay", HD, lambda x: x.reports["hourly_delay"], "select * from h_delay")
+q("daily_delay", HD.replace("max_delay", "peak_delay"), lambda x: x.reports["daily_delay"], "select * from d_delay")
+q("hourly_bunching", f"{B} bunching_count:l avg_gap_seconds:d min_gap_seconds:d", lambda x: x.reports["hourly_bunching"], "select * from h_bunch")
+q("hourly_speed", f"{B} total_observations:l avg_speed_kmh:d min_speed_kmh:d max_speed_kmh:d", lambda x: x.reports["hourly_speed"], "select * from h_speed")
+q("hourly_reliability", f"{B} gap_count:l total_gap_sec:d avg_gap_sec:d max_gap_sec:d", lambda x: x.reports["hourly_reliability"], "select * from h_gap")
+q("delay_by_hour_of_day", f"hour_of_day:l {RD} avg_delay_sec:d max_delay_sec:d total_observations:l", lambda x: rollups.delay_by_hour_of_day(x.reports["hourly_delay"]), "select hour(bucket) as hour_of_day, route_id, direction_id, avg(avg_delay_sec) as avg_delay_sec, max(max_delay_sec) as max_delay_sec, sum(total_observations) as total_observations from h_delay group by all")
+q("delay_by_route_type", "route_type:l route_type_label:s avg_delay_sec:d max_delay_sec:d total_observations:l", lambda x: rollups.delay_by_route_type(x.reports["hourly_delay"], x.t["routes"]), f"select route_type, {ROUTE_LABEL} as route_type_label, avg(avg_delay_sec) as avg_delay_sec, max(max_delay_sec) as max_delay_sec, sum(total_observations) as total_observations from h_delay join routes using (route_id) group by all")
+q("rollup_refresh_window", f"{B} total_observations:l", lambda x: rollups.hourly_delay(sinks.rollup_refresh_window(x.delay, "window_start", x.as_of, 7200, 600, 3600)), f"select * from h_delay where bucket >= {NOW} - interval 7200 second and bucket < {NOW} - interval 3600 second")
+q(
+    "refresh_window_range", f"{WIN} avg_delay_sec:d", lambda x: sinks.refresh_window_range(x.delay.withColumn("avg_delay_sec", F.lit(0.0)), x.delay, "window_start", x.as_of, 5400, 900),
+    f"select window_start, route_id, direction_id, case when window_start >= {NOW} - interval 5400 second then avg_delay_sec else 0 end as avg_delay_sec from delay",
+)
+q("apply_retention", f"event_time:t vehicle_id:s {RD}", lambda x: sinks.apply_retention(x.t["telemetry"], "vehicle_positions", "event_time", F.timestamp_seconds(F.lit(AS_OF + 7 * 86400 - 3600))), f"select * from telemetry where event_time >= {NOW} - interval 3600 second")
+q("time_partitioning", f"event_hour:s {RD} n:l", lambda x: sinks.time_partitioned(x.t["telemetry"], "event_time", "hour").groupBy("event_hour", "route_id", "direction_id").agg(F.count(F.lit(1)).alias("n")), "select strftime(event_time, '%Y-%m-%d-%H') as event_hour, route_id, direction_id, count(*) as n from telemetry group by all")
+KPI = "active_vehicles:l active_routes:l avg_network_delay_sec:d avg_network_speed_kmh:d bunching_events_30m:l service_gaps_60m:l"
+q(
+    "fleet_kpis", KPI, lambda x: rollups.fleet_kpis(x.t["telemetry"], x.delay, x.speed, x.bunch, x.gaps, x.as_of),
+    f"select (select count(distinct vehicle_id) from telemetry where {recent('event_time', 300)}) as active_vehicles, (select count(distinct route_id) from telemetry where {recent('event_time', 300)}) as active_routes, (select {rnd('avg(avg_delay_sec)', 1)} from delay where {recent('window_start', 900)}) as avg_network_delay_sec, (select {rnd('avg(avg_speed_kmh)', 1)} from speed where {recent('window_start', 1800)}) as avg_network_speed_kmh, (select count(*) from bunch where {recent('event_time', 1800)}) as bunching_events_30m, (select count(*) from gaps where {recent('gap_start', 3600)}) as service_gaps_60m",
+)
+q("distinct_route_types", "route_type:l route_type_label:s route_id:s route_short_name:s", lambda x: rollups.distinct_route_types(x.t["routes"]), f"select distinct route_type, {ROUTE_LABEL} as route_type_label, route_id, route_short_name from routes")
+TABLES = ("trips", "stop_times", "stops", "routes", "telemetry")
+q("table_row_counts", "table_name:s row_count:l", lambda x: sinks.table_row_counts({k: x.t[k] for k in TABLES}), " union all ".join(f"select '{k}' as table_name, count(*) as row_count from {k}" for k in TABLES))
+q("join_route_dim", f"{WIN} route_short_name:s route_type:l avg_speed_kmh:d", lambda x: views.join_route_dim(x.speed, x.t["routes"]), label_join("select * from speed"))
+q("join_stop_dim", "observed_time:t vehicle_id:s stop_id:s stop_name:s stop_lat:d", lambda x: views.join_stop_dim(x.events, x.t["stops"]), "select e.*, s.stop_name, s.stop_lat from events_matched e left join stops s using (stop_id)")
+q("scalar_subquery_latest", f"{WIN} avg_speed_kmh:d", lambda x: views.latest_rows(x.speed), "select * from speed where window_start = (select max(window_start) from speed)")
+q("correlated_label_lookup", f"{B} metric:s avg_delay_sec:d", lambda x: views.correlated_label(x.reports["hourly_delay"], x.t["routes"]), label_join("select * from h_delay", "x.*, x.route_id || coalesce(' — ' || r.route_short_name, '') as metric"))
+BAND = "case when avg_delay_sec > 300 then 'critical' when avg_delay_sec > 120 then 'warning' else 'normal' end"
+ROOT = "d.bucket, d.route_id, d.direction_id, r.route_short_name, r.route_type, d.avg_delay_sec, d.max_delay_sec, s.avg_speed_kmh, b.bunching_count, g.gap_count, g.total_gap_sec from h_delay d left join routes r on r.route_id = d.route_id " + " ".join(f"left join {t} {a} on {a}.bucket = d.bucket and {a}.route_id = d.route_id and {a}.direction_id = d.direction_id" for t, a in (("h_speed", "s"), ("h_bunch", "b"), ("h_gap", "g")))
+
+
+def _hourly(x: Tables) -> tuple[DataFrame, ...]:
+    r = x.reports
+    return r["hourly_delay"], r["hourly_speed"], r["hourly_bunching"], r["hourly_reliability"], x.t["routes"]
+
+
+q("root_cause_join", f"{B} route_short_name:s route_type:l avg_delay_sec:d avg_speed_kmh:d bunching_count:l gap_count:l total_gap_sec:d", lambda x: rollups.root_cause_join(*_hourly(x)), f"select {ROOT}")
+FACTOR = "case when avg_delay_sec > 300 and avg_speed_kmh < 8 then 'low_speed_associated' when avg_delay_sec > 300 and coalesce(bunching_count, 0) > 0 then 'bunching_associated' when avg_delay_sec > 300 and coalesce(gap_count, 0) > 0 then 'service_gap_associated' when avg_delay_sec > 300 then 'unexplained_high_delay' else 'normal' end"
+q(
+    "root_cause_hourly", f"{B} avg_delay_sec:d max_delay_sec:d avg_speed_kmh:d bunching_count:l service_gap_count:l total_gap_sec:d associated_factor:s", lambda x: rollups.root_cause_hourly(*_hourly(x), x.as_of),
+    f"select bucket, route_id, direction_id, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('max_delay_sec', 1)} as max_delay_sec, {rnd('avg_speed_kmh', 1)} as avg_speed_kmh, coalesce(bunching_count, 0) as bunching_count, coalesce(gap_count, 0) as service_gap_count, {rnd('total_gap_sec', 1)} as total_gap_sec, {FACTOR} as associated_factor from (select {ROOT}) where {recent('bucket', 30 * 86400)}",
+)
+q("recent_stop_delay", f"observed_time:t vehicle_id:s {RD} route_short_name:s stop_name:s delay_sec:d distance_to_stop_m:d match_confidence:d", lambda x: views.recent_stop_delay(x.events, x.t["routes"], x.t["stops"], x.as_of), f"select e.observed_time, e.vehicle_id, e.route_id, e.direction_id, r.route_short_name, s.stop_name, {rnd('delay_sec', 1)} as delay_sec, {rnd('distance_to_stop_m', 1)} as distance_to_stop_m, {rnd('match_confidence', 2)} as match_confidence from events_matched e left join routes r using (route_id) left join stops s using (stop_id) where {recent('observed_time', 7200)}")
+q("route_status", f"{WIN} route_short_name:s vehicle_count:l avg_delay_sec:d max_delay_sec:d status:s", lambda x: views.route_status(x.delay, x.t["routes"]), f"select window_start, x.route_id, direction_id, route_short_name, vehicle_count, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('max_delay_sec', 1)} as max_delay_sec, status from (select *, {BAND} as status from delay where window_start = (select max(window_start) from delay)) x left join routes r using (route_id)")
+q("freshness_status", f"{WIN} route_short_name:s avg_freshness_sec:d p95_freshness_sec:d status:s", lambda x: views.freshness_status(x.fresh, x.t["routes"]), f"select window_start, x.route_id, direction_id, route_short_name, {rnd('avg_freshness_sec', 1)} as avg_freshness_sec, {rnd('p95_freshness_sec', 1)} as p95_freshness_sec, case when p95_freshness_sec > 120 then 'stale' when p95_freshness_sec > 45 then 'degraded' else 'healthy' end as status from (select * from fresh where window_start = (select max(window_start) from fresh)) x left join routes r using (route_id)")
+q("route_speed_summary", f"{WIN} route_short_name:s avg_speed_kmh:d min_speed_kmh:d max_speed_kmh:d traffic_status:s", lambda x: views.route_speed_summary(x.speed, x.t["routes"]), f"select window_start, x.route_id, direction_id, route_short_name, {rnd('avg_speed_kmh', 1)} as avg_speed_kmh, {rnd('min_speed_kmh', 1)} as min_speed_kmh, {rnd('max_speed_kmh', 1)} as max_speed_kmh, case when avg_speed_kmh < 8 then 'congested' when avg_speed_kmh < 15 then 'slow' else 'normal' end as traffic_status from (select * from speed where window_start = (select max(window_start) from speed)) x left join routes r using (route_id)")
+AB = label_join(f"select * from bunch where {recent('event_time', 1800)}")
+AG = label_join(f"select *, {rnd('gap_duration_sec / 60.0', 1)} as gap_duration_min from gaps where {recent('gap_start', 3600)}")
+q("active_bunching", f"event_time:t {RD} route_short_name:s vehicle_a_id:s vehicle_b_id:s gap_seconds:d", lambda x: x.reports["active_bunching"], AB)
+q("active_service_gaps", f"gap_start:t {RD} route_short_name:s gap_duration_sec:d gap_duration_min:d", lambda x: x.reports["active_gaps"], AG)
+q("hotspots_recent", f"{WIN} zone_id:s route_short_name:s hotspot_score:d", lambda x: views.hotspots_recent(x.hot, x.t["routes"], x.as_of), label_join(f"select * from hot where {recent('window_start', 7200)}"))
+PRED = f"prediction_time:t target_time:t horizon_minutes:l {RD} predicted_delay_sec:d risk_level:s confidence:d model_version:s feature_time:t"
+q("score_latest_features", PRED, lambda x: x.predictions, "select * from predictions")
+q("latest_route_predictions", f"{RD} target_time:t predicted_delay_sec:d route_short_name:s is_stale:b", lambda x: views.latest_route_predictions(x.predictions.unionByName(x.predictions.withColumn("prediction_time", F.col("prediction_time") - F.expr("interval 1 hour"))), x.t["routes"], x.as_of), label_join("select *, false as is_stale from predictions"))
+
+
+def _old_and_new(x: Tables) -> DataFrame:
+    old = x.t["telemetry"].select("route_id", "direction_id", (F.col("event_time") - F.expr("interval 1 hour")).alias("prediction_time"), F.col("event_time").alias("target_time"), "latitude", "event_id")
+    return old
+
+
+q(
+    "latest_bunching_predictions", f"{RD} target_time:t prediction_time:t route_short_name:s", lambda x: views.latest_bunching_predictions(_old_and_new(x), x.t["routes"], x.as_of),
+    f"select x.*, r.route_short_name from (select distinct route_id, direction_id, event_time as target_time, event_time - interval 1 hour as prediction_time from telemetry where event_time >= {NOW} - interval 15 minute) x left join routes r using (route_id)",
+)
+q(
+    "attribution_top5", f"attribution_time:t {RD} feature_rank:l", lambda x: views.attribution_top5(x.t["telemetry"].select(F.col("event_time").alias("attribution_time"), "route_id", "direction_id", (F.col("event_id") % 10).alias("feature_rank")), x.as_of),
+    f"select event_time as attribution_time, route_id, direction_id, event_id % 10 as feature_rank from telemetry where event_id % 10 <= 5 and {recent('event_time', 86400)}",
+)
+
+# --- reports -------------------------------------------------------------------------------------------------------------
+SOURCE = {"hourly_bunching": "h_bunch", "hourly_reliability": "h_gap", "hourly_delay": "h_delay", "daily_delay": "d_delay", "hourly_speed": "h_speed", "route_delay": "delay", "predictions": "predictions", "stop_delay_events": "events_matched", "features": "features", "hotspots": "hot"}
+NAMED = "coalesce(r.route_short_name, x.route_id)"
+
+
+def _report(name: str, spec: str, sql: str, routes: str = "__all") -> None:
+    q(f"report_{name}", spec, lambda x: views.report(name, x.reports, routes_csv=routes), sql)
+
+
+for _name, (_table, _ts, _value) in views.SERIES.items():
+    _v = rnd("total_gap_sec / 60.0", 1) if _name == "gap_duration" else _value
+    _report(_name, "time:t metric:s direction_id:l value:d", f"select {_ts} as time, {NAMED} as metric, direction_id, {_v} as value from (select * from {SOURCE[_table]}) x left join routes r using (route_id)")
+for _name, (_table, _ts) in views.COUNTS.items():
+    _report(_name, "value:l", f"select count(*) as value from {SOURCE[_table]}")
+for _name, (_table, _ts, _value, _how, _digits, _down, _limit) in views.TOPS.items():
+    _peak = f", {rnd('max(peak_delay_sec)', 1)} as peak" if _name == "worst_delay_routes" else ""
+    _report(_name, "route:s value:d" + (" peak:d" if _peak else ""), f"select {NAMED} as route, {rnd(f'{_how}({_value})', _digits)} as value{_peak} from (select * from {SOURCE[_table]}) x left join routes r using (route_id) group by 1 order by value {'desc' if _down else 'asc'}, route limit {_limit}")
+_report("average_true_delay", "value:d", f"select {rnd('avg(delay_sec)', 1)} as value from events_matched")
+_report("average_predicted_delay", "value:d", f"select {rnd('avg(predicted_delay_sec)', 1)} as value from predictions")
+_report("critical_routes", "value:l", "select count(distinct route_id) as value from predictions where risk_level = 'critical'")
+_report("latest_features", "feature_time:t route:s direction_id:l avg_delay_sec:d hotspot_score:d", f"select * from (select feature_time, {NAMED} as route, direction_id, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('hotspot_score', 2)} as hotspot_score from (select * from features) x left join routes r using (route_id)) order by feature_time desc, avg_delay_sec desc nulls last, route, direction_id nulls first limit 75")
+_report("latest_predictions", "prediction_time:t route:s direction_id:l predicted_delay_sec:d risk_level:s", f"select * from (select prediction_time, {NAMED} as route, direction_id, {rnd('predicted_delay_sec', 1)} as predicted_delay_sec, risk_level from (select * from predictions) x left join routes r using (route_id)) order by predicted_delay_sec desc, route, direction_id nulls first limit 75")
+for _name, _d, _k in (("hotspot_map", 8, 300), ("top_hotspots", 5, 75)):
+    _report(_name, "window_start:t zone_id:s route:s direction_id:l centroid_lat:d hotspot_score:d", f"select window_start, zone_id, {NAMED} as route, direction_id, {rnd('centroid_lat', _d)} as centroid_lat, {rnd('x.hotspot_score', 2)} as hotspot_score from (select * from hot) x left join routes r using (route_id) order by x.hotspot_score desc, window_start, zone_id, {NAMED}, direction_id nulls first limit {_k}")
+_report("fleet_activity", "bucket:t unique_vehicles:l unique_routes:l total_position_reports:l", "select * from d_fleet")
+_report("bunching_table", "event_time:t route_short_name:s vehicle_a_id:s vehicle_b_id:s gap_seconds:d location_a:s", f"select *, printf('%.5f', {rnd('lat_a', 5)}) || ', ' || printf('%.5f', {rnd('lon_a', 5)}) as location_a, printf('%.5f', {rnd('lat_b', 5)}) || ', ' || printf('%.5f', {rnd('lon_b', 5)}) as location_b from ({AB}) order by event_time desc, vehicle_a_id, vehicle_b_id, gap_seconds, location_a, location_b limit 100")
+_report("bunching_map", "latitude:d longitude:d route_short_name:s gap_seconds:d vehicles:s", f"select lat_a as latitude, lon_a as longitude, route_short_name, gap_seconds, vehicle_a_id || ' ↔ ' || vehicle_b_id as vehicles from ({AB}) order by vehicles, gap_seconds, latitude, longitude limit 200")
+_report("gap_table", f"gap_start:t {RD} gap_duration_sec:d", f"select * from ({AG}) order by gap_duration_sec desc, gap_start, route_id, direction_id nulls first limit 50")
+q("route_list_filter", HD, lambda x: x.reports["hourly_delay"].filter(X.route_list_filter("1,3,11")), "select * from h_delay where route_id in ('1', '3', '11')")
+
+# --- learning ------------------------------------------------------------------------------------------------------------
+LAB = f"{FT} avg_delay_sec:d target_delay_sec:d"
+q("label_future_window", LAB, lambda x: ml.label_future_window(x.features, CFG), "select * from labelled")
+q("training_rows", LAB, lambda x: ml.training_rows(x.features, F.timestamp_seconds(F.lit(AS_OF - 7200)), x.as_of, CFG), f"select * from labelled where feature_time >= {NOW} - interval 2 hour and feature_time < {NOW} and target_delay_sec is not null")
+q("build_training_dataset", f"{FT} target:d vehicle_count:d avg_speed_kmh:d is_am_peak:d hour_of_day:d", lambda x: ml.build_training_dataset(ml.label_future_window(x.features, CFG)), "select feature_time, route_id, direction_id, target_delay_sec as target, vehicle_count, coalesce(avg_speed_kmh, 0) as avg_speed_kmh, cast(is_am_peak as int) as is_am_peak, hour_of_day from labelled where target_delay_sec is not null")
+q("normalize_features", f"{FT} " + " ".join(f"{c}:d" for c in X.FEATURE_COLUMNS), lambda x: X.normalize_features(x.features, ("feature_time", "route_id", "direction_id")), "select feature_time, route_id, direction_id, " + ", ".join(f"coalesce(cast({'cast(' + c + ' as int)' if c.startswith('is_') else c} as double), 0) as {c}" for c in X.FEATURE_COLUMNS) + " from features")
+q("temporal_split", f"{FT} part:s", lambda x: (lambda s: s[0].withColumn("part", F.lit("train")).union(s[1].withColumn("part", F.lit("test"))))(ml.temporal_split(x.features.select("feature_time", "route_id", "direction_id", "zone_id"))), "select *, case when row_number() over (order by feature_time, route_id, direction_id nulls first) <= greatest(1, floor((select count(*) from features) * 0.8)) then 'train' else 'test' end as part from features")
+q("warm_start_score", f"{FT} value:d", lambda x: X.normalize_features(x.features, ("feature_time", "route_id", "direction_id")).withColumn("value", X.warm_start_score()), f"select feature_time, route_id, direction_id, {WARM} as value from (select feature_time, route_id, direction_id, coalesce(avg_delay_sec, 0) as a, coalesce(p95_delay_sec, 0) as p, coalesce(max_delay_sec, 0) as m, speed_drop_kmh as d, bunching_count as b, service_gap_count as g, hotspot_score as h, coalesce(avg_freshness_sec, 0) as f from features)")
+q(
+    "prediction_targets", f"{FT} target_delay_sec:d high_delay:l bunching_ahead:l", lambda x: ml.prediction_targets(x.features, x.bunch, CFG),
+    "select l.feature_time, l.route_id, l.direction_id, target_delay_sec, cast(target_delay_sec >= 300 as int) as high_delay, case when exists (select 1 from bunch b where b.route_id = l.route_id and b.direction_id = l.direction_id and b.event_time > l.feature_time and b.event_time <= l.feature_time + interval 1800 second) then 1 else 0 end as bunching_ahead from labelled l",
+)
+q("baseline_predictions", f"{FT} target_delay_sec:d persistence_delay:d hour_of_day_delay:d", lambda x: ml.baseline_predictions(x.features, CFG), "select *, avg_delay_sec as persistence_delay, avg(target_delay_sec) over (partition by route_id, direction_id, hour_of_day) as hour_of_day_delay from labelled where target_delay_sec is not null")
+q("feature_attribution", f"{FT} feature_name:s feature_value:d contribution_score:d feature_rank:l", lambda x: ml.feature_attribution(x.features, {"avg_delay_sec": 0.5, "avg_speed_kmh": 0.3, "hotspot_score": 0.2}, x.as_of, CFG), None)
+q("bunching_prediction", f"{FT} bunching_probability:d", lambda x: ml.bunching_prediction(x.features, x.bunch, x.as_of, CFG), None)
+
+
+def _trained(x: Tables) -> DataFrame:
+    """The model's predictions of all labelled windows; fewer trees than by default, as the fixture has few windows."""
+    data = ml.build_training_dataset(ml.label_future_window(x.features, replace(CFG, horizon_minutes=15))).cache()
+    model, _ = ml.train_delay_model(data, max_iter=10)
+    return model.transform(data)
+
+
+q("train_delay_model", f"{FT} target:d prediction:d", _trained, None)
+q("predictions_append", PRED, lambda x: _appended(x), "select * from predictions")
+
+
+def _appended(x: Tables) -> DataFrame:
+    path = _scratch(x.spark)
+    sinks.predictions_append(x.predictions, path)
+    return x.spark.read.parquet(path)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder on the storage that driver and executors share; a temporary one only where the session names none."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tramline-")
+    return f"{root.rstrip('/')}/transit-{uuid.uuid4().hex}"
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------------------
+SECONDS = "cast(substr(trip_start_time, 1, 2) as int) * 3600 + cast(substr(trip_start_time, 4, 2) as int) * 60 + cast(substr(trip_start_time, 7, 2) as int)"
+scalar("gtfs_time_to_seconds", "telemetry", "event_id:l", lambda: X.gtfs_time_to_seconds("trip_start_time"), "l", SECONDS)
+scalar("gtfs_date_parse", "orders", "o_orderkey:l", lambda: X.gtfs_date_parse(F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.date_format("o_orderdate", "yyyyMMdd"))), "D", "case when o_orderkey % 7 = 0 then null else o_orderdate end")
+scalar("equirect_distance_m", "telemetry", "event_id:l", lambda: X.equirect_distance_m("latitude", "longitude", F.lit(44.43), F.lit(26.1)), "d", meters("latitude", "44.43e0", "longitude", "26.1e0"))
+scalar("segment_speed_kmh", "telemetry", "event_id:l", lambda: X.segment_speed_kmh("latitude", "longitude", F.lit(44.43), F.lit(26.1), F.col("event_id") % 50), "d", f"case when event_id % 50 > 0 then {meters('latitude', '44.43e0', 'longitude', '26.1e0')} / 1000 / ((event_id % 50) / 3600e0) end")
+scalar("telemetry_age", "telemetry", "event_id:l", lambda: X.telemetry_age(AS_OF, "epoch_s"), "d", f"{AS_OF} - epoch_s")
+scalar("service_local_date", "telemetry", "event_id:l", lambda: X.service_local_date(F.timestamp_seconds(F.col("epoch_s") + 50000), "Europe/Bucharest"), "D", "cast(make_timestamp((epoch_s + 57200) * 1000000) as date)")
+scalar("scheduled_instant", "stop_times", "trip_id:s stop_sequence:l", lambda: X.scheduled_instant(F.lit("2024-01-01").cast("date"), F.coalesce("arrival_s", F.lit(0)), "Europe/Bucharest"), "t", "make_timestamp((1704067200 - 7200 + coalesce(arrival_s, 0)) * 1000000)")
+q("service_active_on", "service_id:s day:D active:b", lambda x: x.t["orders"].select(F.expr("date_add(date '2023-11-25', cast(o_orderkey % 120 as int))").alias("day")).distinct().join(x.t["calendar"]).withColumn("active", X.service_active_on("day")), f"select service_id, d as day, {oracle.ACTIVE} as active from (select distinct cast(date '2023-11-25' + cast(o_orderkey % 120 as int) as date) as d from orders) x, calendar")
+scalar("match_confidence", "telemetry", "event_id:l", lambda: X.match_confidence(F.col("event_id") % 90), "d", "greatest(0.05e0, least(1e0, 1 - (event_id % 90) / 75e0))")
+scalar("match_method", "telemetry", "event_id:l", lambda: X.match_method("trip_start_time"), "s", "case when trip_start_time is null then 'route_direction_geofence' else 'trip_start_geofence' end")
+q("calendar_features", "event_id:l hour_of_day:l day_of_week:l is_weekend:b is_am_peak:b is_pm_peak:b", lambda x: x.t["telemetry"].select("event_id", *[v.alias(k) for k, v in X.calendar_features(F.timestamp_seconds(F.col("epoch_s") + (F.col("event_id") % 9) * 86400), "Europe/Bucharest").items()]), "select event_id, hour(t) as hour_of_day, isodow(t) as day_of_week, isodow(t) >= 6 as is_weekend, hour(t) between 7 and 9 as is_am_peak, hour(t) between 16 and 19 as is_pm_peak from (select event_id, make_timestamp((epoch_s + 7200 + (event_id % 9) * 86400) * 1000000) as t from telemetry) x")
+scalar("speed_drop", "telemetry", "event_id:l", lambda: X.speed_drop(F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 40)), "d", "greatest(0e0, 15 - coalesce(case when event_id % 5 > 0 then event_id % 40 end, 15))")
+scalar("hotspot_score", "telemetry", "event_id:l", lambda: X.hotspot_score(F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 2000 - 500), F.col("event_id") % 3000 - 700), "d", "greatest(0e0, coalesce(case when event_id % 5 > 0 then event_id % 2000 - 500 end, 0) / 600e0) + greatest(0e0, (event_id % 3000 - 700) / 900e0)")
+scalar("zone_id_3dp", "stops", "stop_id:s", lambda: X.zone_id_3dp("stop_lat", "stop_lon"), "s", f"printf('%.3f', {rnd('stop_lat', 3)}) || ':' || printf('%.3f', {rnd('stop_lon', 3)})")
+scalar("risk_level", "telemetry", "event_id:l", lambda: X.risk_level(F.col("event_id") % 700), "s", RISK.format("event_id % 700"))
+scalar("high_delay_label", "telemetry", "event_id:l", lambda: X.high_delay_label(F.col("event_id") % 700), "l", "cast(event_id % 700 >= 300 as int)")
+scalar("route_type_label", "telemetry", "event_id:l", lambda: X.route_type_label(F.col("event_id") % 14), "s", ROUTE_LABEL.replace("route_type", "(event_id % 14)"))
+scalar("route_status_band", "telemetry", "event_id:l", lambda: X.route_status_band(F.col("event_id") % 400), "s", BAND.replace("avg_delay_sec", "event_id % 400"))
+scalar("traffic_status_band", "telemetry", "event_id:l", lambda: X.traffic_status_band(F.col("event_id") % 20), "s", "case when event_id % 20 < 8 then 'congested' when event_id % 20 < 15 then 'slow' else 'normal' end")
+scalar("freshness_status_band", "telemetry", "event_id:l", lambda: X.freshness_status_band(F.col("event_id") % 150), "s", "case when event_id % 150 > 120 then 'stale' when event_id % 150 > 45 then 'degraded' else 'healthy' end")
+scalar("associated_factor", "telemetry", "event_id:l", lambda: X.associated_factor(F.col("event_id") % 600, F.col("event_id") % 20, F.col("event_id") % 3, F.when(F.col("event_id") % 2 == 0, 1)), "s", "case when event_id % 600 > 300 and event_id % 20 < 8 then 'low_speed_associated' when event_id % 600 > 300 and event_id % 3 > 0 then 'bunching_associated' when event_id % 600 > 300 and event_id % 2 = 0 then 'service_gap_associated' when event_id % 600 > 300 then 'unexplained_high_delay' else 'normal' end")
+scalar("is_stale_flag", "telemetry", "event_id:l", lambda: X.is_stale_flag("event_time", F.timestamp_seconds(F.lit(AS_OF))), "b", f"event_time < {NOW} - interval 2 hour")
+scalar("stop_place_id", "stops", "stop_id:s", lambda: X.stop_place_id("parent_station", "stop_name", "stop_lat", "stop_lon"), "s", PLACE)
+scalar("clamp_delay", "telemetry", "event_id:l", lambda: X.clamp_delay(F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 2500 - 200)), "l", "case when event_id % 7 > 0 then greatest(-120, least(1800, event_id % 2500 - 200)) else 0 end")
+scalar("walk_seconds", "telemetry", "event_id:l", lambda: X.walk_seconds(F.col("event_id") % 1000), "l", "ceil((event_id % 1000) / 1.25e0)")
+scalar("minutes_between", "telemetry", "event_id:l", lambda: X.minutes_between(F.lit(1704092400), "epoch_s"), "l", "greatest(0, ceil((epoch_s - 1704092400) / 60e0))")
+q("web_mercator_xy", "stop_id:s x:d y:d", lambda x: x.t["stops"].select("stop_id", X.web_mercator_xy("stop_lat", "stop_lon", F.lit(14)).alias("p")).select("stop_id", "p.*"), "select stop_id, (stop_lon + 180) / 360 * 256 * pow(2, 14) as x, (0.5e0 - ln((1 + sin(radians(stop_lat))) / (1 - sin(radians(stop_lat)))) / (4 * pi())) * 256 * pow(2, 14) as y from stops")
+q("bbox_filter", "stop_id:s", lambda x: X.bbox_filter(x.t["stops"], 44.43, 26.06, 44.41, 26.08, "stop_lat", "stop_lon"), "select stop_id from stops where stop_lat between 44.41e0 and 44.43e0 and stop_lon between 26.06e0 and 26.08e0")
+q("stop_search", "place_id:s name:s", lambda x: X.stop_search(x.places, "E1", 20), "select place_id, name from places where contains(lower(name), 'e1') or len(list_filter(stop_ids, lambda s: contains(lower(s), 'e1'))) > 0 or len(list_filter(names, lambda s: contains(lower(s), 'e1'))) > 0 order by name, place_id limit 20")
+q("parse_location_id", "event_id:l lat:d lon:d", lambda x: x.t["telemetry"].select("event_id", X.parse_location_id(F.concat(F.when(F.col("event_id") % 11 == 0, "at:").otherwise("loc:"), (F.col("latitude") + F.col("event_id") % 2).cast("string"), F.lit(","), F.col("longitude").cast("string"))).alias("p")).select("event_id", "p.*"), "select event_id, case when ok then latitude end as lat, case when ok then longitude end as lon from (select *, event_id % 11 <> 0 and event_id % 2 = 0 as ok from telemetry)")
+q("recent_filter", f"event_id:l event_time:t {RD}", lambda x: X.recent_filter(x.t["telemetry"], "event_time", x.as_of, 1800), f"select * from telemetry where {recent('event_time', 1800)}")
+scalar("display_round", "telemetry", "event_id:l", lambda: X.display_round(F.col("latitude") * 10, 1), "d", rnd("latitude * 10", 1))
+
+# --- planner -------------------------------------------------------------------------------------------------------------
+q("stop_places", "place_id:s name:s lat:d lon:d stop_count:l ids:s", lambda x: x.places.withColumn("ids", F.array_join("stop_ids", ",")), "select *, array_to_string(stop_ids, ',') as ids from places")
+q("transfer_stop_pairs", "from_stop_id:s to_stop_id:s meters:d", lambda x: planner.transfer_stop_pairs(x.t["stops"], 500.0), oracle.CTES["pairs"].replace("<= 180", "<= 500"))
+LOCS = "select cast(c_custkey as varchar) as location_id, 44.40e0 + (c_custkey % 17) * 0.002e0 as loc_lat, 26.05e0 + (c_custkey % 13) * 0.003e0 as loc_lon from customer"
+q(
+    "access_stop_join", "location_id:s place_id:s meters:d rank:l", lambda x: planner.access_stop_join(x.spark.sql(LOCS.replace("varchar", "string")), x.places, CFG),
+    f"select * from (select *, row_number() over (partition by location_id order by meters, place_id) as rank from (select location_id, place_id, {meters('loc_lat', 'lat', 'loc_lon', 'lon')} as meters from ({LOCS}) l, places p) where meters <= 900) where rank <= 10",
+)
+q("resolve_endpoints", "request_id:l side:s stop_id:s walk_m:d", lambda x: x.ends, "select * from ends")
+q("service_windows", "request_id:l service_date:D earliest_s:l service_id:s", lambda x: x.windows, "select * from windows")
+LEG1 = "request_id:l service_date:D leg1_trip_id:s leg1_from_stop:s leg1_to_stop:s leg1_dep_s:l leg1_arr_s:l"
+LEG2 = f"{LEG1} leg2_trip_id:s leg2_from_stop:s leg2_to_stop:s leg2_dep_s:l leg2_arr_s:l transfer_m:d"
+q("direct_trip_join", LEG1, lambda x: planner.direct_trip_join(x.ends, x.windows, x.t["trips"], x.t["stop_times"], CFG), "select * from direct")
+DIRECT = "select * from (select *, row_number() over (partition by request_id, service_date order by leg1_arr_s, leg1_dep_s, leg1_from_stop, leg1_to_stop, leg1_trip_id) as n from direct) where n <= 30"
+TRANSFER = "select * from (select *, row_number() over (partition by request_id, service_date order by leg2_arr_s, leg1_dep_s, leg1_from_stop, leg1_to_stop, leg1_trip_id, leg2_from_stop, leg2_to_stop, leg2_trip_id) as n from transfer) where n <= 30"
+q("direct_itineraries", LEG1, lambda x: planner.direct_itineraries(x.ends, x.windows, x.t["trips"], x.t["stop_times"], CFG), DIRECT)
+q("one_transfer_join", LEG2, lambda x: planner.one_transfer_join(x.ends, x.windows, x.t["trips"], x.t["stop_times"], x.t["stops"], CFG), "select * from transfer")
+q("one_transfer_itineraries", LEG2, lambda x: planner.one_transfer_itineraries(x.ends, x.windows, x.t["trips"], x.t["stop_times"], x.t["stops"], CFG), TRANSFER)
+q("planner_candidate_topk", LEG1, lambda x: planner.top_per_request(planner._ride(planner.boardings(x.ends, x.windows, x.t["trips"], x.t["stop_times"], CFG), x.t["stop_times"], "leg1"), CFG.first_legs, "leg1_arr_s"), "select * from first_legs")
+
+
+def _found(x: Tables) -> DataFrame:
+    t = x.t
+    return planner.union_service_windows(planner.direct_itineraries(x.ends, x.windows, t["trips"], t["stop_times"], CFG), planner.one_transfer_itineraries(x.ends, x.windows, t["trips"], t["stop_times"], t["stops"], CFG))
+
+
+q("union_service_windows", f"kind:s {LEG1}", _found, f"select 'direct' as kind, request_id, service_date, leg1_trip_id, leg1_from_stop, leg1_to_stop, leg1_dep_s, leg1_arr_s from ({DIRECT}) union all select 'one_transfer', request_id, service_date, leg1_trip_id, leg1_from_stop, leg1_to_stop, leg1_dep_s, leg1_arr_s from ({TRANSFER})")
+ASSEMBLED = f"""
+select request_id, kind, epoch(service_date) + leg1_dep_s as dep, epoch(service_date) + arr_s as arr, greatest(0, ceil((epoch(service_date) + arr_s - requested) / 60)) as total_minutes,
+  greatest(0, ceil((epoch(service_date) + leg1_dep_s - requested) / 60)) as waiting_minutes, transfers, legs, sig
+from (
+  select request_id, service_date, 'direct' as kind, leg1_dep_s, leg1_arr_s as arr_s, 0 as transfers, 1 as legs, leg1_trip_id || '/' || leg1_from_stop || '/' || leg1_to_stop as sig from ({DIRECT})
+  union all select request_id, service_date, 'one_transfer', leg1_dep_s, leg2_arr_s, 1, 3, leg1_trip_id || '/' || leg1_from_stop || '/' || leg1_to_stop || '/' || leg2_trip_id || '/' || leg2_from_stop || '/' || leg2_to_stop from ({TRANSFER})
+) join (select request_id, epoch(service_date) + departure_s as requested from od_requests) using (request_id)
+where epoch(service_date) + leg1_dep_s >= requested"""
+ITIN = "request_id:l kind:s dep:l arr:l total_minutes:l waiting_minutes:l transfers:l legs:l"
+
+
+def _rides(x: Tables) -> DataFrame:
+    return planner.assemble_itineraries(_found(x), x.requests, x.t["routes"], CFG)
+
+
+def _delayed(x: Tables) -> DataFrame:
+    return planner.apply_expected_delays(_rides(x), lambda legs: planner.leg_delay_estimate(legs, x.predictions, x.features, x.events, x.as_of, "UTC"))
+
+
+def _legs(x: Tables) -> DataFrame:
+    """Rides as legs to estimate: the first legs of all candidates."""
+    return _found(x).select(F.concat_ws("/", "leg1_trip_id", "leg1_from_stop", "leg1_to_stop", "service_date").alias("leg_id"), F.col("leg1_route_id").alias("route_id"), F.col("leg1_direction_id").alias("direction_id"), (X.epoch(F.col("service_date").cast("timestamp")) + F.col("leg1_dep_s")).alias("dep")).distinct()
+
+
+LEGS = f"(select distinct f.leg1_trip_id || '/' || leg1_from_stop || '/' || leg1_to_stop || '/' || cast(service_date as varchar) as leg_id, t.route_id, t.direction_id, epoch(service_date) + leg1_dep_s as dep from (select leg1_trip_id, leg1_from_stop, leg1_to_stop, service_date, leg1_dep_s from ({DIRECT}) union all select leg1_trip_id, leg1_from_stop, leg1_to_stop, service_date, leg1_dep_s from ({TRANSFER})) f join trips t on t.trip_id = f.leg1_trip_id)"
+CLAMP = "cast(round_even(greatest(-120e0, least(1800e0, {0})), 0) as bigint)"
+ASOF = f"select leg_id, {CLAMP.format('predicted_delay_sec')} as seconds, confidence from (select *, row_number() over (partition by leg_id order by abs(epoch(target_time) - dep), prediction_time desc, target_time desc, coalesce(p.direction_id, -1)) as n from {LEGS} l join predictions p on p.route_id = l.route_id and (l.direction_id is null or p.direction_id is null or p.direction_id = l.direction_id) and abs(epoch(target_time) - dep) <= 5400) where n = 1"
+HOUR = "hour(make_timestamp(cast(dep as bigint) * 1000000))"
+DOW = "isodow(make_timestamp(cast(dep as bigint) * 1000000))"
+FPROF = f"select route_id, direction_id, hour_of_day, day_of_week, avg(avg_delay_sec) as delay_sec, sum(observation_count) as observations, least(0.85e0, 0.35e0 + sum(observation_count) / 200e0) as confidence from features where avg_delay_sec is not null and {recent('feature_time', 60 * 86400)} group by all"
+EPROF = f"select route_id, direction_id, hour(scheduled_time) as hour_of_day, isodow(scheduled_time) as day_of_week, avg(delay_sec) as delay_sec, count(*) as observations, least(0.7e0, 0.25e0 + count(*) / 300e0) as confidence from events_matched where {recent('observed_time', 60 * 86400)} group by all"
+
+
+def _hist(profile: str, base: str, top: str, per: str) -> str:
+    return f"select leg_id, {CLAMP.format('sum(delay_sec * observations) / sum(observations)')} as seconds, least({top}, {base} + sum(observations) / {per}) as confidence from {LEGS} l join ({profile}) p on p.route_id = l.route_id and p.hour_of_day = {HOUR} and p.day_of_week = {DOW} and (l.direction_id is null or p.direction_id is null or p.direction_id = l.direction_id) group by leg_id"
+
+
+HIST_F, HIST_E = _hist(FPROF, "0.35e0", "0.85e0", "200e0"), _hist(EPROF, "0.25e0", "0.7e0", "300e0")
+PROFILE = f"{RD} hour_of_day:l day_of_week:l delay_sec:d observations:l confidence:d"
+q("history_feature_profile", PROFILE, lambda x: planner.history_feature_profile(x.features, x.as_of), FPROF)
+q("history_event_profile", PROFILE, lambda x: planner.history_event_profile(x.events, x.as_of, "UTC"), EPROF)
+q("prediction_asof_join", "leg_id:s seconds:l confidence:d", lambda x: planner.prediction_asof_join(_legs(x), x.predictions), ASOF)
+q("history_profile_join", "leg_id:s seconds:l confidence:d", lambda x: planner.history_profile_join(_legs(x), planner.history_feature_profile(x.features, x.as_of), "UTC", 0.35, 0.85, 200.0), HIST_F)
+q(
+    "leg_delay_estimate", "leg_id:s seconds:l source:s confidence:d", lambda x: planner.leg_delay_estimate(_legs(x), x.predictions, x.features, x.events, x.as_of, "UTC"),
+    f"select l.leg_id, coalesce(a.seconds, f.seconds, e.seconds, 0) as seconds, case when a.leg_id is not null then 'model_prediction' when f.leg_id is not null then 'historical_feature_windows' when e.leg_id is not null then 'historical_stop_events' else 'static_schedule' end as source, coalesce(a.confidence, f.confidence, e.confidence) as confidence from {LEGS} l left join ({ASOF}) a using (leg_id) left join ({HIST_F}) f using (leg_id) left join ({HIST_E}) e using (leg_id)",
+)
+q("assemble_itineraries", ITIN, lambda x: _rides(x).withColumn("legs", F.size("legs")), ASSEMBLED)
+q("apply_expected_delays", f"{ITIN} expected_arr:l expected_minutes:l expected_delay_minutes:l", lambda x: _delayed(x).withColumn("legs", F.size("legs")), None)
+q("soft_filter_itineraries", f"{ITIN} expected_arr:l", lambda x: planner.soft_filter_itineraries(_delayed(x), CFG).withColumn("legs", F.size("legs")), None)
+q("walking_itineraries", "request_id:l arr:l total_minutes:l", lambda x: planner.walking_itineraries(x.requests, x.ends, _rides(x).limit(0).withColumn("expected_minutes", F.col("total_minutes")), CFG),
+  f"select request_id, requested + s as arr, ceil(s / 60) as total_minutes from (select request_id, epoch(service_date) + departure_s as requested, ceil({meters('a.lat', 'b.lat', 'a.lon', 'b.lon')} / 1.25e0) as s from od_requests join (select distinct request_id, lat, lon from ends where side = 'origin') a using (request_id) join (select distinct request_id, lat, lon from ends where side = 'destination') b using (request_id)) where ceil(s / 60) <= 45")
+q("itinerary_dedupe_topk", f"{ITIN} rank:l", lambda x: planner.itinerary_dedupe_topk(_rides(x).withColumn("expected_arr", F.col("arr"))).withColumn("legs", F.size("legs")), None)
+q("plan_trips", f"{ITIN} expected_arr:l expected_minutes:l rank:l", lambda x: planner.plan_trips(x.requests, x.timetable, x.predictions, x.features, x.events, x.as_of, CFG).withColumn("legs", F.size("legs")), None)
+
+
+def _points(x: Tables) -> DataFrame:
+    return x.t["stops"].select(F.col("stop_id").alias("point_id"), (F.col("stop_id").cast("int") % 12).cast("string").alias("shape_id"), F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+
+
+q("nearest_shape_index", "point_id:s shape_id:s shape_pt_sequence:l", lambda x: planner.nearest_shape_index(_points(x), x.t["shapes"]), f"select point_id, shape_id, shape_pt_sequence from (select *, row_number() over (partition by point_id order by {meters('lat', 'shape_pt_lat', 'lon', 'shape_pt_lon')}, shape_pt_sequence) as n from (select stop_id as point_id, cast(cast(stop_id as int) % 12 as varchar) as shape_id, stop_lat as lat, stop_lon as lon from stops) join shapes using (shape_id)) where n = 1")
+
+
+def _geometry(x: Tables) -> DataFrame:
+    s = x.t["stops"]
+    legs = s.alias("a").join(s.alias("b"), F.expr("cast(a.stop_id as int) = 99 - cast(b.stop_id as int)")).select(F.col("a.stop_id").alias("leg_id"), F.expr("cast(cast(a.stop_id as int) % 12 as string)").alias("shape_id"), F.col("a.stop_lat").alias("from_lat"), F.col("a.stop_lon").alias("from_lon"), F.col("b.stop_lat").alias("to_lat"), F.col("b.stop_lon").alias("to_lon"))
+    g = planner.leg_geometry(legs, x.t["shapes"])
+    return g.select("leg_id", F.size("geometry").alias("points"), F.posexplode("geometry").alias("pos", "p")).select("leg_id", "points", "pos", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon"))
+
+
+q("leg_geometry", "leg_id:s points:l pos:l lat:d lon:d", _geometry, None)
+q("map_stop_clusters", "type:s id:s lat:d lon:d count:l place_count:l", lambda x: planner.map_stop_clusters(x.places, 12, 20), "select case when place_count = 1 then 'stop' else 'cluster' end as type, case when place_count = 1 then p else 'cluster:12:' || gx || ':' || gy end as id, lat, lon, count, place_count from (select gx, gy, avg(lat) as lat, avg(lon) as lon, sum(stop_count) as count, count(*) as place_count, min(place_id) as p from (select *, cast(floor((lon + 180) / 360 * 256 * pow(2, 12) / 78) as bigint) as gx, cast(floor((0.5e0 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * pow(2, 12) / 78) as bigint) as gy from places) group by gx, gy)")
+
+# --- streaming -----------------------------------------------------------------------------------------------------------
+CLOSED = "(select max(epoch_s) - 15 from telemetry)"
+
+
+def _stream(x: Tables, name: str = "telemetry") -> tuple[DataFrame, str]:
+    """A fixture table as a stream of files, and a scratch folder for its query."""
+    root = _scratch(x.spark)
+    cols = [c for c in x.t[name].columns if c not in ("trip_start_time", "license_plate", "agency_id")]
+    x.t[name].select(cols).repartition(4).write.parquet(f"{root}/in")
+    return x.spark.readStream.schema(x.t[name].select(cols).schema).parquet(f"{root}/in"), root
+
+
+def _streamed(make: Callable[[DataFrame], DataFrame], name: str = "telemetry") -> Callable[[Tables], DataFrame]:
+    from tramline.streaming import stream
+
+    def run(x: Tables) -> DataFrame:
+        source, root = _stream(x, name)
+        return stream.run_to_table(make(source), root, x.spark)
+
+    return run
+
+
+def _streams() -> None:
+    from tramline.streaming import stream as S
+
+    q("stream_freshness_1m", f"{WIN} vehicle_count:l avg_freshness_sec:d p95_freshness_sec:d", _streamed(lambda s: S.freshness(s, F.lit(AS_OF), CFG)), f"select * from fresh where epoch(window_start) + 60 <= {CLOSED}")
+    q("stream_bunching", f"event_time:t {RD} vehicle_a_id:s vehicle_b_id:s gap_seconds:d", _streamed(lambda s: S.bunching(s, CFG)), "select * from bunch")
+    q(
+        "stream_service_gap", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", _streamed(lambda s: S.service_gap(s, 300, CFG), "telemetry_sparse"),
+        f"select min(event_time) as gap_start, max(event_time) as gap_end, route_id, direction_id, max(epoch_s) - min(epoch_s) as gap_duration_sec from telemetry_sparse group by {bucket('event_time', 600)}, route_id, direction_id having count(distinct vehicle_id) <= 1 and max(epoch_s) - min(epoch_s) > 300 and floor(max(epoch_s) / 600) * 600 + 600 <= {CLOSED}",
+    )
+    q("stream_segment_speed", f"vehicle_id:s {RD} event_time:t speed_kmh:d", _streamed(lambda s: S.segments(s, CFG)), "select * from segments")
+    q("stream_dedup", "vehicle_id:s epoch_s:l", _streamed(lambda s: S.dedup(s, CFG)), "select distinct vehicle_id, epoch_s from telemetry")
+    q("stream_watermark", f"event_id:l event_time:t {RD}", _streamed(lambda s: S.watermarked(s, CFG)), "select * from telemetry")
+    q("stream_session_presence", f"session_start:t session_end:t {RD} reports:l", _streamed(lambda s: S.session_presence(s, 300, CFG), "telemetry_sparse"),
+      f"select * from (select min(event_time) as session_start, max(event_time) + interval 300 second as session_end, route_id, direction_id, count(*) as reports from (select *, sum(n) over (partition by route_id order by epoch_s, event_id) as s from (select *, case when epoch_s - lag(epoch_s) over (partition by route_id order by epoch_s, event_id) < 300 then 0 else 1 end as n from telemetry_sparse)) group by route_id, direction_id, s) where epoch(session_end) <= {CLOSED}")
+
+    def multi(x: Tables) -> DataFrame:
+        source, root = _stream(x)
+        runs = S.multi_sink({"fresh": S.freshness(source, F.lit(AS_OF), CFG), "raw": S.watermarked(source, CFG)}, root)
+        for r in runs.values():
+            r.awaitTermination()
+        return sinks.table_row_counts({k: x.spark.read.parquet(f"{root}/{k}") for k in runs})
+
+    q("stream_multi_sink", "table_name:s row_count:l", multi, f"select 'fresh' as table_name, count(*) as row_count from fresh where epoch(window_start) + 60 <= {CLOSED} union all select 'raw', count(*) from telemetry")
+
+    def batches(x: Tables) -> DataFrame:
+        source, root = _stream(x)
+        S.foreach_batch(source, sinks.parquet_sink(f"{root}/out", "event_time"), f"{root}/checkpoint").awaitTermination()
+        return x.spark.read.parquet(f"{root}/out")
+
+    q("sink_foreach_batch", f"event_id:l event_time:t event_date:D {RD}", batches, "select *, cast(event_time as date) as event_date from telemetry")
+
+    def matched(x: Tables) -> DataFrame:
+        root = _scratch(x.spark)
+        x.t["telemetry"].write.parquet(f"{root}/in")
+        source = x.spark.readStream.schema(x.t["telemetry"].schema).parquet(f"{root}/in")
+        S.match_stops(source, x.timetable, f"{root}/out", f"{root}/checkpoint", CFG).awaitTermination()
+        return x.spark.read.parquet(f"{root}/out")
+
+    q("stream_match_stops", EVENT, matched, "select * from events_matched")
+
+
+_streams()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
