@@ -64,7 +64,7 @@ def access_stop_join(locations: DataFrame, places: DataFrame, cfg: TransitConfig
 
 def resolve_endpoints(requests: DataFrame, places: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
     """``request_id, side, endpoint_id, lat, lon, stop_id, walk_m``: the stops at which each end of a request may start or end."""
-    both = F.explode(F.array(F.struct(F.lit("origin").alias("side"), F.col("origin_id").alias("endpoint_id")), F.struct(F.lit("destination"), F.col("destination_id"))))
+    both = F.explode(F.array(F.struct(F.lit("origin").alias("side"), F.col("origin_id").alias("endpoint_id")), F.struct(F.lit("destination").alias("side"), F.col("destination_id").alias("endpoint_id"))))
     ends = requests.select("request_id", both.alias("e")).select("request_id", "e.*").withColumn("at", X.parse_location_id("endpoint_id"))
     by_id = places.select(F.explode(F.concat(F.array("place_id"), "stop_ids")).alias("endpoint_id"), "lat", "lon", "stop_ids").distinct()
     named = ends.filter("at is null").drop("at").join(by_id, "endpoint_id").select("request_id", "side", "endpoint_id", "lat", "lon", F.explode("stop_ids").alias("stop_id"), F.lit(0.0).alias("walk_m"))
@@ -339,7 +339,7 @@ def leg_geometry(legs: DataFrame, shapes: DataFrame) -> DataFrame:
 
     ``legs``: ``leg_id, shape_id, from_lat, from_lon, to_lat, to_lon``.  A shape of fewer than two points gives a straight line.
     """
-    ends = legs.select("leg_id", "shape_id", F.explode(F.array(F.struct(F.lit("a").alias("e"), F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon")), F.struct(F.lit("b"), F.col("to_lat"), F.col("to_lon")))).alias("p"))
+    ends = legs.select("leg_id", "shape_id", F.explode(F.array(F.struct(F.lit("a").alias("e"), F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon")), F.struct(F.lit("b").alias("e"), F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")))).alias("p"))
     at = nearest_shape_index(ends.select(F.concat_ws("|", "p.e", "leg_id").alias("point_id"), "shape_id", "p.lat", "p.lon"), shapes)
     side = lambda e: at.filter(F.col("point_id").startswith(f"{e}|")).select(F.substring("point_id", 3, 1000).alias("leg_id"), F.col("shape_pt_sequence").alias(e))
     path = shapes.groupBy("shape_id").agg(F.sort_array(F.collect_list(F.struct(F.col("shape_pt_sequence").alias("s"), F.col("shape_pt_lat").alias("y"), F.col("shape_pt_lon").alias("x")))).alias("pts"))

@@ -148,7 +148,7 @@ def statement(spec: list[tuple[str, str]], sql: str) -> str:
     while todo:
         text = todo.pop()
         for name in CTES:
-            if name not in need and re.search(rf"\b(from|join)\s+\(?{name}\b|,\s*{name}\s+[a-z]\b", text):
+            if name not in need and re.search(rf"\b(from|join)\s+\(?{name}\b|,\s*{name}\b", text):
                 need.add(name)
                 todo.append(CTES[name])
     ctes = ", ".join(f"{n} as ({s})" for n, s in CTES.items() if n in need)

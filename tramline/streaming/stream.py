@@ -54,7 +54,7 @@ def bunching(df: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
     """Stream-stream interval join; the range condition lets both sides' state expire."""
     span = cfg.bunching_join_s
     cols = ["vehicle_id", *RD, "latitude", "longitude", "epoch_s", "event_time"]
-    a, z = watermarked(df.select(*[F.col(c).alias(f"a_{c}") if c != "event_time" else F.col(c) for c in cols]), cfg).withColumnRenamed("event_time", "a_event_time"), None
+    a = watermarked(df.select(*[F.col(c).alias(f"a_{c}") if c != "event_time" else F.col(c) for c in cols]), cfg).withColumnRenamed("event_time", "a_event_time")
     z = watermarked(df.select(*[F.col(c).alias(f"z_{c}") if c != "event_time" else F.col(c) for c in cols]), cfg).withColumnRenamed("event_time", "z_event_time")
     gap = F.abs(F.col("a_epoch_s") - F.col("z_epoch_s"))
     near = F.expr(f"z_event_time between a_event_time - interval {span} seconds and a_event_time + interval {span} seconds")
