@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import shared_folder, stored
+from tramline.llm.common import shared_folder, stored, swept
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of that vocabulary
-LENGTH, SHARD_RECORDS, ROUNDS = 512, 4096, 6
+LENGTH, SHARD_RECORDS, ROUNDS, WAVES = 512, 4096, 6, 3
 ROWS_OUT = 512  # sequences in one Arrow batch
 _ENCODERS: dict[str, object] = {}  # one per Python worker
 
@@ -109,10 +109,12 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     return stored(docs.select("doc_id", "text").mapInArrow(run, schema), "sequences"), pad, kind
 
 
-def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_records: int = SHARD_RECORDS, path: str | None = None) -> tuple[str, DataFrame]:
+def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_records: int = SHARD_RECORDS, path: str | None = None, waves: int = WAVES) -> tuple[str, DataFrame]:
     """Write the shards of ``docs``; returns their folder and the index: which sequence has which slot, shard and offset.
 
     The sequence numbers follow the tasks of the one tokenising pass, in order; per task only a count reaches the driver.
+    The shuffle to the ranges runs in ``waves`` of consecutive shards, each of which frees its shuffle files before the next
+    begins, so that scratch space holds a part of the ids at a time beside the stored sequences and the shards.
     """
     spark = docs.sparkSession
     path = path or shared_folder(spark, "shards")
@@ -134,9 +136,15 @@ def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, len
     placed = seqs.withColumn("slot", slot("task", "at")).withColumn("shard", F.expr(f"slot div {shard_records}"))
     filler = np.full(length, pad, kind).tobytes()
     record = F.concat("ids", F.substring(F.lit(filler), 1, F.lit(length * kind.itemsize) - F.length("ids")))
-    parts = max(1, min(-(-n // shard_records), int(spark.conf.get("spark.sql.shuffle.partitions")) * 8))
-    ranged = placed.select("shard", "slot", record.alias("r")).repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-    ranged.select(F.col("r").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
+    shards = -(-n // shard_records)
+    waves = max(1, min(waves, shards))
+    for w in range(waves):
+        low, high = shards * w // waves, shards * (w + 1) // waves
+        parts = max(1, min(high - low, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8))
+        own = placed.filter((F.col("shard") >= low) & (F.col("shard") < high)).select("shard", "slot", record.alias("r"))
+        ranged = own.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
+        with swept(spark):
+            ranged.select(F.col("r").cast("string").alias("value"), "shard").write.mode("append").partitionBy("shard").option("lineSep", "\n").text(path)
     index = placed.select("doc_id", "seq_no", "n_ids", "slot", "shard", (F.pmod("slot", F.lit(shard_records)) * stride).alias("byte_offset"))
     return path, index
 
