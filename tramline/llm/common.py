@@ -5,10 +5,13 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +71,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
     few = bounded_sample(rows, F.col("doc_id").cast("string"), bound, seed)
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y")
+
+
+def in_batches(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of ``BATCH_ROWS`` rows.
+
+    Spark's default of 10,000 rows can be hundreds of MB of long texts on either side.  A session that sets its own number
+    keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)

@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import stored
+from tramline.llm.common import in_batches, stored
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BLOCK_WORDS = 1_000_000
@@ -151,7 +151,8 @@ class Automaton:
 
 def _cover(spans: list[list[int]], start: int, end: int) -> None:
     while spans and spans[-1][1] >= start:
-        start = min(start, spans.pop()[0])
+        a, b = spans.pop()
+        start, end = min(start, a), max(end, b)
     spans.append([start, end])
 
 
@@ -176,19 +177,22 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
         yield [(r[0], ws) for r in sorted(rows) if (ws := words(r[1]))]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, change: Callable | None = None) -> DataFrame:
     """``docs`` with ``_hits`` added: ``n_words``, merged word ``spans`` [start, end) that are hit, and sorted ``items``.
 
-    One narrow pass over the texts for each block of items, and no shuffle.
+    One narrow pass over the texts for each block of items, and no shuffle.  ``change`` may turn the last pass's batches,
+    which end with the hits, into others of the same columns, without a second hand-over of the texts.
     """
     hits = T.StructType.fromDDL("n_words long, spans array<array<int>>, items array<string>")
     schema = T.StructType([*docs.schema.fields, T.StructField("_hits", hits)])
     at = docs.columns.index("text")
     out, first = docs, True
-    for items in blocks(benchmark, block_words):
+    many = [*blocks(benchmark, block_words)]
+    for k, items in enumerate(many):
+        after = change if k == len(many) - 1 else None
         held = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, first=first) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, first=first, after=after) -> Iterator[pa.RecordBatch]:
             machine = _automaton(held.value, window)
             for batch in batches:
                 got = []
@@ -205,9 +209,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                     got.append({"n_words": len(ws), "spans": spans, "items": sorted(names)})
                 kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
                 columns = batch.columns if first else batch.columns[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(got, kind)], names=schema.names)
+                out = pa.RecordBatch.from_arrays([*columns, pa.array(got, kind)], names=schema.names)
+                yield after(out) if after else out
 
-        out = (out if first else stored(out, "scan")).mapInArrow(run, schema)
+        out = in_batches(out if first else stored(out, "scan"), run, schema)
         first = False
     return out
 
@@ -233,25 +238,23 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span
     least ``min_span`` words, or that is a whole shorter item, is cut with the separators inside it; ``n_chars`` follows
     where there is such a column.  All other documents stay as they are.
     """
-    h = scan(docs, benchmark, window)
-    n_hit = F.aggregate("_hits.spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    h = h.filter(n_hit <= max_coverage * F.col("_hits.n_words"))
-    at = docs.columns.index("text")
-    names = docs.columns
+    at, names = docs.columns.index("text"), docs.columns
     chars = names.index("n_chars") if "n_chars" in names else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns[:-1]
-            spans = [hit["spans"].as_py() for hit in batch.column(batch.num_columns - 1)]
-            texts = [cut(text.as_py(), x, min_span, window) for text, x in zip(columns[at], spans, strict=True)]
-            columns[at] = pa.array(texts, columns[at].type)
-            if chars is not None:
-                sizes = [len(t) if x and t is not None else n.as_py() for t, x, n in zip(texts, spans, columns[chars], strict=True)]
-                columns[chars] = pa.array(sizes, columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return h.mapInArrow(run, docs.schema)
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hits = batch.column(batch.num_columns - 1).to_pylist()
+        keep = [sum(b - a for a, b in h["spans"]) <= max_coverage * h["n_words"] for h in hits]
+        batch = batch.filter(pa.array(keep, pa.bool_()))
+        spans = [h["spans"] for h, k in zip(hits, keep, strict=True) if k]
+        columns = batch.columns
+        texts = [cut(text.as_py(), x, min_span, window) for text, x in zip(columns[at], spans, strict=True)]
+        columns[at] = pa.array(texts, columns[at].type)
+        if chars is not None:
+            sizes = [len(t) if x and t is not None else n.as_py() for t, x, n in zip(texts, spans, columns[chars], strict=True)]
+            columns[chars] = pa.array(sizes, columns[chars].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return scan(docs, benchmark, window, change=change).select(names)
 
 
 def cut(text: str | None, spans: list[list[int]], min_span: int, window: int) -> str | None:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.common import in_batches
+
 ORDER, DISCOUNT = 4, 0.75
 MAX_DOCS = 1500
 WORDS_CACHED = 300_000
@@ -228,7 +230,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 11) -> Identifi
             got = [(lang, row.tolist()) for lang, row in zip(b.column(1).to_pylist(), scorer(b.column(0).to_pylist()), strict=True) if row is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.float64()))], ["lang", "row"])
 
-    back = parts.filter("not _fit").select("text", "lang").mapInArrow(ask, "lang string, row array<double>").collect()
+    back = in_batches(parts.filter("not _fit").select("text", "lang"), ask, "lang string, row array<double>").collect()
     return calibrate(model, [(r["lang"], np.array(r["row"])) for r in back])
 
 
@@ -264,7 +266,7 @@ def identify(docs: DataFrame, identifier: Identifier | None, held_out: Column) -
                 kinds = [pa.string(), pa.float64(), pa.bool_(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(g, k) for g, k in zip(got, kinds, strict=True)]], names=OUT)
 
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, rejected boolean, cross_entropy double")
+    return in_batches(rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, rejected boolean, cross_entropy double")
 
 
 OUT = ["doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy"]

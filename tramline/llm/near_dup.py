@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import stored
+from tramline.llm.common import in_batches, stored
 
 BANDS, MISS = 32, 1e-5
 BLOCK, CHUNK = 1024, 4096
@@ -203,7 +203,7 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = band_rows(percent)
     pairs = docs.select("doc_id", "text")
     signed = stored(
-        pairs.mapInArrow(lambda b: _signed(b, words, rows), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary, keys array<long>"), "minhash"
+        in_batches(pairs, lambda b: _signed(b, words, rows), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary, keys array<long>"), "minhash"
     )
     lone = signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
     reps = signed.filter("class is not null").select("class", "doc_id", "keys").join(lone, "class").filter("doc_id <=> first_id").dropDuplicates(["class"])
@@ -217,7 +217,7 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     wanted = stars.select("class").union(stars.select("hub")).distinct()
     ids = reps.select("class", "doc_id").join(wanted, "class").select(F.col("class").alias("c"), F.col("doc_id").alias("d"))
     texts = pairs.join(ids, F.col("doc_id").eqNullSafe(F.col("d"))).select("c", "text")
-    sets = stored(texts.mapInArrow(lambda b: _sets(b, words), "class binary, set array<long>"), "sets")
+    sets = stored(in_batches(texts, lambda b: _sets(b, words), "class binary, set array<long>"), "sets")
     hubset = sets.select(F.col("class").alias("hub"), F.col("set").alias("hubset"))
     shared_n = F.size(F.array_intersect("set", "hubset"))
     met = stars.join(sets, "class").join(hubset, "hub").select("hub", "class", (100 * shared_n >= percent * (F.size("set") + F.size("hubset") - shared_n)).alias("linked"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import labelled_sample
+from tramline.llm.common import in_batches, labelled_sample
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "digits", "symbols", "pipes", "stops", "commas", "bangs", "line_words",
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             x = [features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    got = rows.mapInArrow(measure, "x array<double>, y double").toArrow()
+    got = in_batches(rows, measure, "x array<double>, y double").toArrow()
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = got["y"].to_numpy()
     order = np.lexsort((*x.T, y))  # the order of rows from the cluster doesn't matter
@@ -183,4 +183,4 @@ def score(docs: DataFrame, model: Gam, held_out: Column, cut: float = 0.5) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return in_batches(rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")

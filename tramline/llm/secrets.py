@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tramline.llm.common import in_batches
+
 KINDS = ("assign", "access", "hex", "key", "signed")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -161,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -184,4 +186,4 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array([clean(t.as_py()) for t in columns[at]], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

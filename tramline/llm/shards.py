@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import shared_folder, stored, swept
+from tramline.llm.common import in_batches, shared_folder, stored, swept
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of that vocabulary
@@ -106,7 +106,7 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
                 kinds = [pa.int32(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=schema.names)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, schema), "sequences"), pad, kind
+    return stored(in_batches(docs.select("doc_id", "text"), run, schema), "sequences"), pad, kind
 
 
 def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_records: int = SHARD_RECORDS, path: str | None = None, waves: int = WAVES) -> tuple[str, DataFrame]:
@@ -164,7 +164,7 @@ def read(spark: SparkSession, path: str, length: int = LENGTH, shard_records: in
                     ids = [data.slice((s - first) * stride, stride - 1).to_pybytes() for s in slots]
                     yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(ids, pa.binary())], ["slot", "ids"])
 
-    return files.mapInArrow(run, "slot long, ids binary")
+    return in_batches(files, run, "slot long, ids binary")
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:

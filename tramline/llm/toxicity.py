@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import labelled_sample
+from tramline.llm.common import in_batches, labelled_sample
 
 SPAN, STEP = 32, 16
 EMBED, HIDDEN = 8, 8
@@ -318,4 +318,4 @@ def score(docs: DataFrame, net: Network, held_out: Column, cut: float = 0.3) ->
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return in_batches(rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
