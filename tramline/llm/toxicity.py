@@ -33,7 +33,11 @@ SPAN, STEP = 32, 16
 EMBED, HIDDEN = 8, 8
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 15
 MAX_ROWS, EPOCHS, BATCH, RATE = 3000, 6, 64, 0.01
-LEAST_STEPS = 400  # small samples are gone through more often
+LEAST_DOCS = 3
+DROP, EMBED_RATE = 0.4, 4  # share of words hidden from a training window; embeddings learn this much faster
+ODDS = 0.5  # share of the n-gram log-odds that starts the first embedding dimension
+CALIBRATE = 5  # every fifth training document
+LEAST_STEPS = 200  # small samples are gone through more often
 WORDS_CACHED = 200_000
 GROUP = 4096  # windows at a time
 WORD = re.compile(r"\w+")
@@ -215,29 +219,48 @@ def _calibrated(c: tuple[float, float, float], top: np.ndarray, n: np.ndarray) -
 
 def learn(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Network:
     """Train on whole documents with labels ``y``."""
-    net = Network(seed)
     if not len(y) or len(set(y.tolist())) < 2:
+        net = Network(seed)
         net.constant = float((y.sum() + 1) / (len(y) + 2))
         return net
+    back = np.arange(len(y)) % CALIBRATE == CALIBRATE - 1  # kept back from the network, to calibrate its scores
+    if min(y[back].sum(), (1 - y[back]).sum()) < 5:
+        back = np.zeros(len(y), bool)
+    net = _fit([t for t, b in zip(texts, back, strict=True) if not b], y[~back], epochs, seed)
+    held = [words(t) for t, b in zip(texts, back, strict=True) if b or not back.any()]
+    scorer = Scorer(net)
+    got = [scorer.tops(held[k : k + 200]) for k in range(0, len(held), 200)]
+    top, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    net.calibration = _platt(np.where(n > 0, top, -20.0), np.log1p(n), y[back] if back.any() else y)
+    return net
+
+
+def _fit(texts: list[str], y: np.ndarray, epochs: int, seed: int) -> Network:
+    net = Network(seed)
     r = np.random.default_rng(seed)
     each = [words(t) for t in texts]
     vocabulary = {w: k for k, w in enumerate(sorted({w for ws in each for w in ws}))}
     tokens = list(vocabulary)
     ids = [np.array([vocabulary[w] for w in ws], np.int64) for ws in each]
     flat, gram_at = grams(tokens)
-    # Log-odds of an n-gram by documents that have it; a document counts once.
-    hits = np.full((2, GRAM_BUCKETS), 0.5)
+    # Log-odds of an n-gram by documents that have it, shrunk where those are few; a document counts once.
+    hits, seen = np.full((2, GRAM_BUCKETS), 0.5), np.zeros(WORD_BUCKETS, np.int64)
     for doc, label in zip(ids, y.astype(int), strict=True):
         if len(doc):
             hits[label, np.unique(np.concatenate([flat[gram_at[k] : gram_at[k + 1]] for k in np.unique(doc)]))] += 1
     share = hits / np.array([[(y == 0).sum() + 1.0], [(y > 0).sum() + 1.0]])
-    odds = np.clip(np.log(share[1] / share[0]), -4, 4)
-    net.p["gram"][:, 0] = odds / 2
+    odds = np.clip(np.log(share[1] / share[0]), -4, 4) * (hits.sum(axis=0) - 1) / (hits.sum(axis=0) + 3)
+    net.p["gram"][:, 0] = odds * ODDS
     word_at = buckets(tokens)
+    for doc in ids:
+        seen[np.unique(word_at[doc])] += 1
+    # What occurs in hardly any training document only fits noise: it stays without weight.
+    word_on, gram_on = seen >= LEAST_DOCS, hits.sum(axis=0) - 1 >= LEAST_DOCS
+    net.p["gram"] *= gram_on[:, None]
     worth = np.add.reduceat(odds[flat], gram_at[:-1]) / np.diff(gram_at)
     pos, neg = np.nonzero(y > 0)[0], np.nonzero(y == 0)[0]
     scorer, moment, second, step = None, {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
-    epochs = min(40, max(epochs, -(-LEAST_STEPS * BATCH // max(1, 3 * len(neg)))))
+    epochs = min(80, max(epochs, -(-LEAST_STEPS * BATCH // max(1, 3 * len(neg)))))
     for epoch in range(epochs):
         if epoch < epochs // 2:
             chosen = []
@@ -263,39 +286,44 @@ def learn(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3)
             span = np.concatenate([np.arange(gram_at[w], gram_at[w + 1]) for w in used])
             sizes = np.diff(gram_at)[used]
             e = net.p["word"][word_at[used]] + np.add.reduceat(net.p["gram"][flat[span]], np.cumsum([0, *sizes])[:-1]) / sizes[:, None]
-            x = net.project(e)[back].astype(np.float32)
+            kept = (r.random(rows.shape) >= DROP)[:, :, None]
+            x = np.where(kept, net.project(e)[back], np.hstack([net.p["cf"], net.p["cb"]])).astype(np.float32)
             grad, dx, _ = net.gradients(x, ok, y[[k for k, _ in some]].astype(np.float32))
-            dp = np.zeros((len(used), 6 * HIDDEN), np.float32)
-            np.add.at(dp, back[ok], dx[ok])
+            dp, use = np.zeros((len(used), 6 * HIDDEN), np.float32), ok & kept[:, :, 0]
+            np.add.at(dp, back[use], dx[use])
             de = np.zeros_like(e)
             for k, d in enumerate("fb"):
                 own = dp[:, 3 * HIDDEN * k : 3 * HIDDEN * (k + 1)]
-                grad[f"W{d}"], grad[f"c{d}"] = e.T @ own, own.sum(axis=0)
+                grad[f"W{d}"], grad[f"c{d}"] = e.T @ own, dx[ok][:, 3 * HIDDEN * k : 3 * HIDDEN * (k + 1)].sum(axis=0)
                 de += own @ net.p[f"W{d}"].T
             step += 1
             for name, g in grad.items():
                 moment[name] = 0.9 * moment[name] + 0.1 * g
                 second[name] = 0.999 * second[name] + 0.001 * g * g
                 net.p[name] -= (RATE * (moment[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            np.add.at(net.p["word"], word_at[used], (-RATE * 20 * de).astype(np.float32))
-            np.add.at(net.p["gram"], flat[span], (-RATE * 20 * np.repeat(de / sizes[:, None], sizes, axis=0)).astype(np.float32))
-    scorer = Scorer(net)
-    got = [scorer.tops(each[k : k + 200]) for k in range(0, len(each), 200)]
-    top, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-    net.calibration = _platt(np.where(n > 0, top, -20.0), np.log1p(n), y)
+            np.add.at(net.p["word"], word_at[used], (-RATE * EMBED_RATE * de * word_on[word_at[used], None]).astype(np.float32))
+            np.add.at(net.p["gram"], flat[span], (-RATE * EMBED_RATE * np.repeat(de / sizes[:, None], sizes, axis=0) * gram_on[flat[span], None]).astype(np.float32))
     return net
 
 
 def _platt(top: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression of the label on the top logit and the log number of windows, by Newton steps with a ridge."""
-    x = np.stack([np.ones_like(top), top, size], axis=1)
-    w = np.array([0.0, 1.0, 0.0])
-    pull = np.diag([0.01, 1.0, 1.0])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + pull @ (w - [0, 1, 0])
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, g)
-    return tuple(float(v) for v in w)
+    """Logistic regression of the label on the top logit and the log number of windows, by damped Newton steps with a ridge."""
+    mid, spread = top.mean(), top.std() + 1e-6
+    x = np.stack([np.ones_like(top), (top - mid) / spread, size - size.mean()], axis=1)
+    pull = np.diag([0.01, 0.1, 1.0])
+    w = np.array([np.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        f = x @ w
+        return float((np.logaddexp(0, f) - y * f).sum() + 0.5 * w @ pull @ w)
+
+    for _ in range(50):
+        p = _sigmoid(np.clip(x @ w, -30, 30))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (p - y) + pull @ w)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+    return float(w[0] - w[1] * mid / spread - w[2] * size.mean()), float(max(w[1], 1e-3) / spread), float(w[2])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, seed: int = 13) -> Network:
