@@ -1,7 +1,8 @@
 """Matching fixes to scheduled stops, and what derives from the matches.
 
-The timetable is joined once into stop visits.  A fix meets the visits of its route in its own grid cell or a neighbouring
-one, so the geofence is an equality join with a residual; no cartesian product appears.
+The timetable is joined once into stop visits.  A fix meets the stops of its grid cell (stops are repeated for the cells around
+them), the geofence thins these pairs out, and only what is left meets the visits of its route and stop.  All joins are
+equality joins with residuals; no cartesian product appears.
 """
 
 from __future__ import annotations
@@ -37,30 +38,34 @@ def newest(positions: DataFrame, limit: int) -> DataFrame:
 
 
 def stop_visits(trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame) -> DataFrame:
-    """Every timed stop of every trip with its calendar, first time, place and grid cell."""
+    """Every timed stop of every trip with its route, calendar and first time."""
     t = F.coalesce("arrival_s", "departure_s")
     v = stop_times.filter(t.isNotNull()).select("trip_id", "stop_id", "stop_sequence", t.alias("scheduled_s"))
     v = v.join(trips.select("trip_id", F.col("route_id").alias("trip_route"), F.col("direction_id").alias("trip_direction"), "service_id"), "trip_id")
     v = v.join(first_stop_per_trip(stop_times), "trip_id", "left").join(calendar, "service_id")
-    s = stops.select("stop_id", "stop_lat", "stop_lon", F.floor(F.col("stop_lat") / CELL).alias("cy"), F.floor(F.col("stop_lon") / CELL).alias("cx"))
-    return v.join(s, "stop_id")
+    return v.join(stops.select("stop_id"), "stop_id", "left_semi")
 
 
 def match_candidates(positions: DataFrame, trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
     """All stops a fix may belong to, with distance and delay."""
     visits = stop_visits(trips, calendar, stop_times, stops)
     day = F.explode(F.transform(F.sequence(F.lit(0), F.lit(cfg.service_day_lookback)), lambda k: F.date_sub(X.service_local_date("event_time", cfg.timezone), k)))
-    cell = F.explode(F.expr(f"flatten(transform(array(-1,0,1), y -> transform(array(-1,0,1), x -> struct(floor(latitude/{CELL})+y as cy, floor(longitude/{CELL})+x as cx))))"))
-    p = positions.withColumn("service_date", day).withColumn("start_s", X.gtfs_time_to_seconds("trip_start_time")).withColumn("cell", cell)
-    p = p.select("*", "cell.*").drop("cell")
-    near = p.join(visits, (p["route_id"] == visits["trip_route"]) & (p["cy"] == visits["cy"]) & (p["cx"] == visits["cx"])).drop("cy", "cx")
+    around = F.explode(F.expr("flatten(transform(array(-1,0,1), y -> transform(array(-1,0,1), x -> struct(y, x))))"))
+    grid = lambda lat, lon: (F.floor(F.col(lat) / CELL), F.floor(F.col(lon) / CELL))
+    sy, sx = grid("stop_lat", "stop_lon")
+    s = stops.select("stop_id", "stop_lat", "stop_lon", around.alias("o")).select("stop_id", "stop_lat", "stop_lon", (sy + F.col("o.y")).alias("cy"), (sx + F.col("o.x")).alias("cx"))
+    py, px = grid("latitude", "longitude")
+    p = positions.withColumn("cy", py).withColumn("cx", px)
     box = (F.abs(F.col("stop_lat") - F.col("latitude")) <= cfg.geofence_m / 111320.0) & (F.abs(F.col("stop_lon") - F.col("longitude")) <= cfg.geofence_m / 75000.0)
     start = F.col("start_s").isNull() | (F.abs(F.col("first_s") - F.col("start_s")) <= cfg.trip_start_tolerance_s)
-    near = near.filter(box & start & (F.col("direction_id").isNull() | (F.col("direction_id") == F.col("trip_direction"))) & X.service_active_on("service_date"))
-    near = near.withColumn("distance_to_stop_m", X.equirect_distance_m("latitude", "longitude", "stop_lat", "stop_lon"))
+    distance = X.equirect_distance_m("latitude", "longitude", "stop_lat", "stop_lon")
+    at = p.join(s, ["cy", "cx"]).drop("cy", "cx").filter(box & (distance <= cfg.geofence_m)).withColumn("distance_to_stop_m", distance)
+    at = at.withColumn("service_date", day).withColumn("start_s", X.gtfs_time_to_seconds("trip_start_time"))
+    near = at.join(visits.withColumn("route_id", F.col("trip_route")), ["route_id", "stop_id"])
+    near = near.filter(start & (F.col("direction_id").isNull() | (F.col("direction_id") == F.col("trip_direction"))) & X.service_active_on("service_date"))
     near = near.withColumn("scheduled_time", X.scheduled_instant("service_date", "scheduled_s", cfg.timezone))
     near = near.withColumn("delay_sec", (X.epoch("event_time") - X.epoch("scheduled_time")).cast("double"))
-    near = near.filter((F.col("distance_to_stop_m") <= cfg.geofence_m) & (F.abs("delay_sec") <= cfg.schedule_tolerance_s))
+    near = near.filter(F.abs("delay_sec") <= cfg.schedule_tolerance_s)
     return near.select(
         *positions.columns, "service_date", "start_s", "trip_id", "trip_direction", "stop_id", "stop_sequence", "scheduled_time", "delay_sec", "distance_to_stop_m",
         X.match_confidence("distance_to_stop_m", cfg.geofence_m).alias("match_confidence"), X.match_method("start_s").alias("match_method"),
