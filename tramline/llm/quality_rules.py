@@ -23,12 +23,15 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-#: name -> (vote for bad if, vote for good if); neither: the rule abstains.  Over the measures made by ``measure``.
+#: name -> (vote for bad if, vote for good if); neither: the rule abstains.  Over the measures made by ``measure``.  The first
+#: three see one property from different sides (per word, per character, and what is left), so that they can bear each other out.
 RULES: dict[str, tuple[str, str]] = {
     "symbols": ("n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
-    "repeats": ("n_repeat_words * 10 > n_words", "n_repeat_words * 50 <= n_words"),
+    "symbol_share": ("n_symbols * 20 > word_chars", "n_symbols * 100 <= word_chars"),
+    "plain_share": ("(word_chars - n_symbols) * 20 < word_chars * 17", "(word_chars - n_symbols) * 100 >= word_chars * 98"),
+    "repeats": ("n_repeat_words * 20 > 3 * n_words", "n_repeat_words * 50 <= n_words"),
     "dup_lines": ("n_dup_lines * 4 > n_lines", "n_dup_lines = 0 and n_lines > 1"),
-    "word_length": ("word_chars > 12 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
+    "word_length": ("word_chars > 12 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 7 * n_words"),
     "capitals": ("n_upper * 3 > word_chars", "n_upper * 10 <= word_chars and n_upper > 0"),
     "stops": ("n_stops * 100 < n_words and n_words >= 50", "n_stops * 40 >= n_words"),
     "distinct": ("n_distinct * 5 < n_words", "n_distinct * 10 >= 4 * n_words"),
@@ -125,7 +128,8 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     One scan of the text, whose measures are stored; vote-pattern counts and scores both read that table.
     """
     scored = stored(measure(docs, text, keep).withColumn("votes", votes()), "measures")
-    patterns = {r["votes"]: r["count"] for r in scored.groupBy("votes").count().collect()}  # at most 3 ** len(RULES) rows
+    # EM sees what the base rule leaves: the plain failures would otherwise be the only "bad" class that it finds.
+    patterns = {r["votes"]: r["count"] for r in scored.filter(~base_failed()).groupBy("votes").count().collect()}  # at most 3 ** len(RULES) rows
     if not patterns:
         return scored.select("*", F.lit(None).cast("double").alias("p_good"), base_failed().alias("base_failed"), F.lit(False).alias("kept"))
     prior, tables = fit(patterns)
