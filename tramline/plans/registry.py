@@ -326,6 +326,7 @@ for _name, (_table, _ts) in views.COUNTS.items():
 for _name, (_table, _ts, _value, _how, _digits, _down, _limit) in views.TOPS.items():
     _peak = f", {rnd('max(peak_delay_sec)', 1)} as peak" if _name == "worst_delay_routes" else ""
     _report(_name, "route:s value:d" + (" peak:d" if _peak else ""), f"select {NAMED} as route, {rnd(f'{_how}({_value})', _digits)} as value{_peak} from (select * from {SOURCE[_table]}) x left join routes r using (route_id) group by 1 order by value {'desc' if _down else 'asc'}, route limit {_limit}")
+    QUERIES[_name], ORACLES[_name] = QUERIES[f"report_{_name}"], ORACLES[f"report_{_name}"]
 _report("average_true_delay", "value:d", f"select {rnd('avg(delay_sec)', 1)} as value from events_matched")
 _report("average_predicted_delay", "value:d", f"select {rnd('avg(predicted_delay_sec)', 1)} as value from predictions")
 _report("critical_routes", "value:l", "select count(distinct route_id) as value from predictions where risk_level = 'critical'")
