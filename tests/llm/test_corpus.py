@@ -218,6 +218,21 @@ def test_raking_meets_its_margins(spark):
     assert max(abs(again[c] - p[c]) for c in cells) < 1e-3
 
 
+def test_raking_is_the_same_beyond_the_driver(spark, monkeypatch):
+    # Some cells are clipped, and the fit stops at another round than a fixed number.
+    rng = random.Random(4)
+    texts = ["w " * rng.choice([1, 3, 20, 150]) for _ in range(60)]
+    df = frame(spark, texts).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 4)).withColumn("topic", F.concat(F.lit("t"), (F.col("doc_id") * 7 + F.col("doc_id") % 4) % 3))
+    rows = lambda: {r["doc_id"]: (r["p"], r["selected"]) for r in mixing.probabilities(df, power=0.7, keep=0.8).collect()}
+    monkeypatch.setattr(mixing, "CLOSE", 1e-3)
+    want = rows()
+    monkeypatch.setattr(mixing, "CELLS_ON_DRIVER", 0)
+    got = rows()
+    assert set(got) == set(want) and any(p == 1 for p, _ in want.values())
+    assert max(abs(got[k][0] - want[k][0]) for k in want) < 1e-8
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+
+
 def test_sampling_edges(spark):
     df = frame(spark, EDGE + ["plain text"] * 20).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     got = mixing.probabilities(df).collect()

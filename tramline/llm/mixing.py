@@ -6,7 +6,8 @@ token budget in expectation.  A document is sampled when its own hashed draw, a
 alone, falls below its cell's probability, so the sample doesn't depend on partitioning or retries.
 
 Rows meet only in the sums by cell (partial aggregation).  Up to ``CELLS_ON_DRIVER`` cells the fitting runs on the driver's
-copy of the cell table; beyond, the same rounds run as joins on stored tables.
+copy of the cell table; beyond, the same rounds with the same
+stop run as joins on stored tables, three small jobs and one for the stop in each.
 
 Defined results: a null source, language or topic is a value of its own; null or empty texts have no tokens and are sampled with
 their cell's probability; every input row gives one output row and repeated rows share one fate; null ids draw by their text; an
@@ -17,11 +18,12 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import stored
+from tramline.llm.common import discard, stored
 
 MARGINS = ("source", "lang", "topic")
 TEMPER, KEEP = 0.7, 0.8
@@ -92,17 +94,36 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], budget: flo
     return {cell: p(cell) for cell in order}
 
 
-def _rake_frames(cells: DataFrame, margins: tuple[str, ...], budget: float, power: float, rounds: int = 30) -> DataFrame:
-    """The same fitting for more cells than the driver should hold: each margin's update is one aggregate and one join."""
-    now = cells.withColumn("_f", F.lit(1.0))
+def _rake_frames(cells: DataFrame, margins: tuple[str, ...], budget: float, power: float, rounds: int = ROUNDS) -> DataFrame:
+    """``rake`` for more cells than the driver should hold: the same factor per margin value, clips, rounds and stop.
+
+    A round adjusts one margin after the other; each adjustment is joins of the cells with the factors, one aggregate and a stored
+    table of the margin's factors.
+    """
+    factors = {}
+    for c in margins:
+        sums = cells.groupBy(c).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("_flat"))
+        total = sums.agg(F.sum("_flat")).first()[0] or 1.0
+        factors[c] = stored(sums.select(c, (F.col("_flat") / total * budget).alias("_due"), F.lit(1.0).alias("_f"), F.lit(0.0).alias("_off")), "rake")
+
+    def fitted() -> DataFrame:
+        now, product = cells, F.lit(1.0)
+        for c in margins:
+            now = now.join(factors[c].select(c, F.col("_f").alias(f"_f_{c}")), c)
+            product = product * F.col(f"_f_{c}")
+        return now.select(*margins, "tokens", F.least(F.lit(1.0), product).alias("p"))
+
     for _ in range(rounds):
         for c in margins:
-            sums = now.groupBy(c).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), "_f")).alias("_got"), F.pow(F.sum("tokens"), F.lit(power)).alias("_flat"))
-            total = sums.agg(F.sum("_flat")).first()[0] or 1.0
-            ratio = F.when(F.col("_got") > 0, F.col("_flat") / total * budget / F.col("_got")).otherwise(1.0)
-            now = now.join(sums.select(c, ratio.alias("_r")), c).withColumn("_f", F.least(F.col("_f") * F.col("_r"), F.lit(1e12))).drop("_r")
-        now = stored(now, "rake")
-    return now.select(*margins, F.least(F.lit(1.0), "_f").alias("p"))
+            got = fitted().groupBy(c).agg(F.sum(F.col("tokens") * F.col("p")).alias("_got"))
+            ratio = F.when(F.col("_got") > 0, F.col("_due") / F.col("_got")).otherwise(1.0)
+            old = factors[c]
+            factors[c] = stored(old.join(got, c).select(c, "_due", F.least(F.col("_f") * ratio, F.lit(1e12)).alias("_f"), F.abs(ratio - 1).alias("_off")), "rake")
+            discard(old)
+        worst = [factors[c].agg(F.max("_off")) for c in margins]
+        if (reduce(DataFrame.union, worst).agg(F.max("max(_off)")).first()[0] or 0.0) < CLOSE:
+            break
+    return fitted().drop("tokens")
 
 
 def draw(seed: int) -> Column:
