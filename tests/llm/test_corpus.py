@@ -96,6 +96,29 @@ def test_repeated_and_null_ids(spark):
     assert near_dup.near_duplicates(df.limit(0), 3, 85).count() == 0
 
 
+def test_texts_are_fetched_by_row(spark, monkeypatch):
+    # All rows without an id, each text three times: one set for each class that has a candidate, from its own texts only.
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base[:39] + [f"x{k}"]) for k in range(12)] * 3
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(8)
+    seen, asked = {}, []
+    real_stored, real_batches = near_dup.stored, near_dup.in_batches
+
+    def batches(d, run, schema):
+        asked.append(d)
+        return real_batches(d, run, schema)
+
+    def keep(d, label):
+        seen[label] = real_stored(d, label)
+        return seen[label]
+
+    monkeypatch.setattr(near_dup, "in_batches", batches)
+    monkeypatch.setattr(near_dup, "stored", keep)
+    got = near_dup.near_duplicates(df, 3, 85).collect()
+    assert len(got) == 36 and all(r["component_id"] is None for r in got)
+    assert asked[1].count() == 36 and seen["sets"].count() == 12
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 63, 400).astype(np.uint64)

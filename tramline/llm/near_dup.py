@@ -9,7 +9,7 @@ Scale.  Equal sets collapse into one class first, so groups of exact copies cost
 with the most bucket mates is the hub, and members are compared with their hub (one row per hub and member, never
 all pairs).  Members that this leaves in another component than their hub are the open cases: they are compared, as a
 query set in blocks of ``BLOCK``, with all of the hub's bucket mates, and each block pair reports only a spanning forest of
-its links.  Every candidate pair is therefore either confirmed, refuted, or already in one component.  Components come from
+its links.  Texts are fetched again by id and text hash, so rows that share an id, or have none, do not meet.  Every candidate pair is therefore either confirmed, refuted, or already in one component.  Components come from
 alternating star contraction over stored tables.  No links, components or fingerprints reach the driver.
 
 Defined results: null or wordless texts have no shingles and are linked with nothing; with fewer words than a shingle
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.common import in_batches, stored
@@ -107,20 +107,22 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, rows: int) -> Iterato
                 cls.append(None)
                 keys.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "class", "keys"],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "n_shingles", "class", "keys"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(class asked for, text) to (class, set), without texts of another class that carry the same id."""
-    shingler = Shingler(words)
+    """(class asked for, text) to (class, set), without texts of another class whose key collides and repeats of the class before."""
+    shingler, last = Shingler(words), None
     for batch in batches:
         cls, sets = [], []
         for c, text in zip(batch.column(0), batch.column(1), strict=True):
+            if c.as_py() == last:
+                continue
             s = shingler(text.as_py())
             if xxhash.xxh3_128_digest(s.tobytes()) == c.as_py():
-                cls.append(c.as_py())
+                cls.append(last := c.as_py())
                 sets.append(s.view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["class", "set"])
 
@@ -198,15 +200,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())
 
 
+def text_key() -> Column:
+    """With the id, what tells rows apart other than exact repeats."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, class`` and ``component_id``."""
+    """One row per input row: ``doc_id, text_key, n_shingles, class``, ``component_id`` and ``root``, the component's smallest class."""
     rows = band_rows(percent)
-    pairs = docs.select("doc_id", "text")
+    pairs = docs.select("doc_id", "text", text_key())
     signed = stored(
-        in_batches(pairs, lambda b: _signed(b, words, rows), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary, keys array<long>"), "minhash"
+        in_batches(pairs, lambda b: _signed(b, words, rows), f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, n_shingles long, class binary, keys array<long>"), "minhash"
     )
     lone = signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
-    reps = signed.filter("class is not null").select("class", "doc_id", "keys").join(lone, "class").filter("doc_id <=> first_id").dropDuplicates(["class"])
+    reps = signed.filter("class is not null").select("class", "doc_id", "text_key", "keys").join(lone, "class").filter("doc_id <=> first_id").dropDuplicates(["class"])
     banded = reps.select("class", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").count().filter("count > 1")
     banded = stored(banded.join(shared, "key"), "buckets")
@@ -215,9 +222,11 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     stars = stored(banded.join(hubs, "key").filter("class <> hub").select("hub", "class").distinct(), "stars")
     # The full sets, again from the texts, of those documents only that have a candidate.
     wanted = stars.select("class").union(stars.select("hub")).distinct()
-    ids = reps.select("class", "doc_id").join(wanted, "class").select(F.col("class").alias("c"), F.col("doc_id").alias("d"))
-    texts = pairs.join(ids, F.col("doc_id").eqNullSafe(F.col("d"))).select("c", "text")
+    ids = reps.select("class", "doc_id", "text_key").join(wanted, "class").select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    texts = pairs.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).select("c", "text")
     sets = stored(in_batches(texts, lambda b: _sets(b, words), "class binary, set array<long>"), "sets")
+    if not sets.groupBy("class").count().filter("count > 1").isEmpty():
+        sets = stored(sets.dropDuplicates(["class"]), "sets")  # rows of the same id and text, in more than one task
     hubset = sets.select(F.col("class").alias("hub"), F.col("set").alias("hubset"))
     shared_n = F.size(F.array_intersect("set", "hubset"))
     met = stars.join(sets, "class").join(hubset, "hub").select("hub", "class", (100 * shared_n >= percent * (F.size("set") + F.size("hubset") - shared_n)).alias("linked"))
@@ -249,10 +258,11 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
     named = lone.join(comp.withColumnRenamed("node", "class"), "class").select("class", "root", "first_id")
     least = named.groupBy("root").agg(F.min("first_id").alias("component"))
-    named = named.join(least, "root").select("class", "component")
-    out = signed.join(named, "class", "left").join(lone, "class", "left")
+    named = named.join(least, "root").select("class", "root", "component")
+    out = signed.join(named, "class", "left").join(lone.select("class", "first_id"), "class", "left")
     own = F.coalesce(F.col("component"), F.col("first_id"))
-    return out.select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(own).alias("component_id"))
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(own).alias("component_id")
+    return out.select("doc_id", "text_key", "n_shingles", "class", component, F.coalesce("root", "class").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
