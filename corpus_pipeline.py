@@ -19,16 +19,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id.  Rows that repeat an id count as one document."""
-    found = near_dup.near_duplicates(docs, words=5, percent=80)
-    ids = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.dropDuplicates(["doc_id"]) if not _unique(docs) else docs
-    alone = docs.filter("doc_id is null").dropDuplicates(["text"])
-    return rows.join(ids, "doc_id", "left_semi").select(docs.columns).union(alone)
-
-
-def _unique(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+    """One row of each group, rows without an id included: the one with the smallest id, then the smallest text hash.
+
+    Rows that repeat an id are one document.  Wordless rows are alike only if they repeat an id or, without one, the text.
+    """
+    kept = stored(near_dup.survivors(docs, words=5, percent=80), "kept")
+    own, key = F.col("doc_id").eqNullSafe(F.col("_id")), near_dup.text_key()
+    rows = docs.withColumn("_key", key).join(kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_k")), own & (F.col("_key") == F.col("_k")), "left_semi")
+    if not kept.filter("copies > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_key"])
+    return rows.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -338,6 +338,16 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in final.collect()} == {k for k, t in source.items() if t}
 
 
+def test_one_row_of_each_group_without_ids(spark):
+    near = lambda start, k: " ".join([f"{start}{i}" for i in range(60)] + [f"x{k}"])
+    rows = [(None, near("a", 0)), (None, near("a", 1)), (None, near("a", 1)), (None, near("b", 0)), (None, near("b", 1)), (3, near("b", 2)), (3, near("c", 0))]
+    rows += [(None, near("c", 1)), (9, near("d", 0)), (9, near("d", 0)), (None, None), (None, None), (None, " "), (4, ""), (4, None), (3, ""), (9, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int").repartition(5)
+    got = [(r["doc_id"], (r["text"] or "").strip()[:1], r["n"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert Counter((i, t if i != 3 else "bc") for i, t, _ in got) == Counter({(None, "a"): 1, (3, "bc"): 1, (9, "d"): 1, (4, ""): 1, (None, ""): 2})
+    assert 3 in [i for i, t, _ in got if t in ("b", "c")]
+
+
 def test_pipeline_on_edges(spark):
     docs = frame(spark, EDGE).union(frame(spark, EDGE))
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -269,3 +269,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """``doc_id, n_shingles, component_id, kept`` for every row; ``kept`` marks the smallest id of each component."""
     out = classes(docs, words, percent)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def survivors(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, text_key, copies``: one row of each component, by smallest id (none last), and how often that row occurs.
+
+    Rows without words are components by id, or by text where they have none; those whose id also has a text with words go.
+    """
+    out = classes(docs, words, percent)
+    rows = out.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "copies")
+    worded = rows.filter("root is not null").groupBy("root").agg(F.min(first).alias("r")).select("r.doc_id", "r.text_key", "r.copies")
+    blank = rows.filter("root is null")
+    named = blank.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text_key", "copies")).alias("r")).select("doc_id", "r.text_key", "r.copies")
+    taken = out.filter("root is not null and doc_id is not null").select("doc_id").join(named.select("doc_id"), "doc_id", "left_semi").distinct()
+    named = named.join(taken, "doc_id", "left_anti")
+    return worded.union(named).union(blank.filter("doc_id is null").select("doc_id", "text_key", "copies"))
