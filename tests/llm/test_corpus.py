@@ -165,6 +165,20 @@ def test_decontamination_against_windows(spark, block_words):
         assert (r["n_words"], sum(b - a for a, b in r["spans"]), r["items"]) == (n, hit, named)
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    # One id holds all the text: its rows still go to several blocks, and none is collected before the last one's pass is stored.
+    items = [(1, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(12)]
+    texts = [f"{t} tail" for _, t in items] + ["clean words only"]
+    steps, real_words, real_stored = [], decontaminate.words, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "words", lambda t: (steps.append("item"), real_words(t))[1])
+    monkeypatch.setattr(decontaminate, "stored", lambda d, label: (steps.append("stored"), real_stored(d, label))[1])
+    out = decontaminate.scan(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), 10, 60)
+    runs = "".join(s[0] for s in steps).split("s")
+    assert len(runs) > 4 and sum(map(len, runs)) == 12 and max(map(len, runs)) < 8
+    got = {r["doc_id"]: r["_hits"] for r in out.collect()}
+    assert all(sum(b - a for a, b in got[k]["spans"]) == 12 and got[k]["items"] == ["1"] for k in range(12)) and not got[12]["items"]
+
+
 def test_removal(spark):
     item = "the quick brown fox jumps over the lazy dog today"
     filler = " ".join(f"clean{k}" for k in range(40))

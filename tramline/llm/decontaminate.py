@@ -5,8 +5,8 @@ after each word the state is the longest suffix of the text that occurs in some
 (``window`` words, or the whole of a shorter item), the words of the match are hit and the state names its items.
 
 Items are held in blocks whose total words are bounded by ``BLOCK_WORDS``: one block is one automaton in each task's
-memory, and a larger benchmark means further passes whose results are merged per document, so nothing of unproven size is
-ever broadcast.
+and in the driver's memory, and a larger benchmark means further passes whose results are merged per document, so nothing
+of unproven size is ever collected or broadcast.
 
 Defined results: null or empty texts have no words and no hits; items that are null, empty or have a null id are ignored
 (a null id is no item that could be named); repeated items count once per id; ties need no rule as every occurring item is
@@ -167,14 +167,22 @@ def _automaton(items: list[tuple[str, list[bytes]]], window: int) -> Automaton:
     return _BUILT[key]
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items, by blocks of at most about ``block_words`` words each (an item is never split)."""
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
+    """How many blocks there are, and the items by blocks of about ``block_words`` words each, one collected at a time.
+
+    An item row is never split; the rows of one id are spread over the blocks by their texts.
+    """
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // (block_words * 2)))  # a word and its separator have two characters at least
-    for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
-        yield [(r[0], ws) for r in sorted(rows) if (ws := words(r[1]))]
+    items = stored(items, "benchmark") if parts > 1 else items
+
+    def each() -> Iterator[list[tuple[str, list[bytes]]]]:
+        for k in range(parts):
+            rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+            yield [(r[0], ws) for r in sorted(rows) if (ws := words(r[1]))]
+
+    return parts, each()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, change: Callable | None = None) -> DataFrame:
@@ -187,10 +195,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     schema = T.StructType([*docs.schema.fields, T.StructField("_hits", hits)])
     at = docs.columns.index("text")
     out, first = docs, True
-    many = [*blocks(benchmark, block_words)]
-    for k, items in enumerate(many):
-        after = change if k == len(many) - 1 else None
+    many, each = blocks(benchmark, block_words)
+    for k, items in enumerate(each):
+        after = change if k == many - 1 else None
         held = docs.sparkSession.sparkContext.broadcast(items)
+        del items
 
         def run(batches: Iterator[pa.RecordBatch], held=held, first=first, after=after) -> Iterator[pa.RecordBatch]:
             machine = _automaton(held.value, window)
@@ -212,8 +221,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                 out = pa.RecordBatch.from_arrays([*columns, pa.array(got, kind)], names=schema.names)
                 yield after(out) if after else out
 
-        out = in_batches(out if first else stored(out, "scan"), run, schema)
+        out = in_batches(out, run, schema)
         first = False
+        if k < many - 1:
+            out = stored(out, "scan")
+            held.destroy()
     return out
 
 
