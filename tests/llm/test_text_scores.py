@@ -274,3 +274,15 @@ def test_long_conversations_come_in_parts(spark):
     assert [r["part"] for r in got] == [0, 1, 2, 3, 4] and max(r["n_turns"] for r in got) == 64
     whole = "".join(r["text"] for r in got)
     assert [x for x in whole.split("\n") if x.startswith("line")] == [f"line {k}<|end|>" for k in range(300)]
+
+
+def test_repeated_turn_numbers_come_in_sub_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RANGE_ROWS", 40)
+    rows = [(None, None, "ab"[k % 2], f"line {k:03}", "?") for k in range(300)] + [(1, 5, "a", f"line {k:03}", "?") for k in range(150)] + [(1, 70, "b", "end", "?")] * 99 + [(2, 0, "a", "x", "?")]
+    got = chat.rotate(spark.createDataFrame(rows, TALK)).collect()
+    assert max(r["n_turns"] for r in got) == 64
+    for conv, part, speaker, want in [(None, -1, "b", sorted((r[2], r[3]) for r in rows[:300])), (1, 0, "a", [(r[2], r[3]) for r in rows[300:450]])]:
+        subs = sorted((r["sub"], r["text"]) for r in got if (r["conv_id"], r["part"], r["speaker"]) == (conv, part, speaker))
+        assert [k for k, _ in subs] == list(range(-(-len(want) // 64)))
+        assert [x for x in "".join(t for _, t in subs).split("\n") if x.startswith("line")] == [f"{t}<|end|>" for _, t in want]
+    assert [(r["sub"], r["n_turns"]) for r in got if (r["conv_id"], r["part"], r["speaker"]) == (1, 1, "b")] == [(0, 1)]

@@ -4,8 +4,9 @@ Every participant of a conversation in turn becomes the assistant: the dialogue
 speaker's turns as the assistant's, the others as named users, and character masks over what the assistant says.  System
 turns are context in every rendering and no participant.
 
-A rendering comes in parts of ``PART_TURNS`` consecutive turn numbers, so that no group holds more than a bounded stretch of
-a conversation, however long; parts in order make up the whole.  Participants are found by a partially aggregated
+A rendering comes in parts of ``PART_TURNS`` consecutive turn numbers; a part with more rows than that (repeated or null turn
+numbers) comes in ``sub`` parts of as many rows, so that no group holds more than a bounded stretch of a conversation, however
+long; parts and their sub-parts in order make up the whole.  Participants are found by a partially aggregated
 distinct, and the turns meet them in a join that AQE can split where one conversation is hot.
 
 Defined results: exact repeats of a row are rendered once; turns that tie are ordered by role, then text; a null role is the
@@ -15,10 +16,13 @@ a conversation with system turns only has no rendering; an empty table gives an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.llm.common import stored
+
 PART_TURNS = 64
+RANGE_ROWS = 16_384
 SYSTEM, ASSISTANT, END = "<|system|>\n", "<|assistant|>\n", "<|end|>\n"
 
 
@@ -27,22 +31,40 @@ def _header(role: Column, speaker: Column) -> Column:
     return F.when(role == "system", SYSTEM).when(role == speaker, ASSISTANT).otherwise(named)
 
 
+def _numbered(turns: DataFrame, crowded: DataFrame, bound: int) -> DataFrame:
+    """``turns`` with ``sub``: 0, but in ``crowded`` parts the row's number div ``bound``, by counts of ranges and their offsets."""
+    same = turns["conv_id"].eqNullSafe(crowded["c"]) & (turns["part"] == crowded["p"])
+    few = turns.join(crowded, same, "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    many = turns.join(crowded, same, "left_semi")
+    order = ("turn", "role", "said")
+    ranges = max(1, -(-(crowded.agg(F.sum("count")).first()[0] or 0) // RANGE_ROWS))
+    many = stored(many.repartitionByRange(ranges, "conv_id", "part", *order).withColumn("r", F.spark_partition_id()), "crowded")
+    sizes = many.groupBy("conv_id", "part", "r").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("conv_id", "part").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("r").alias("q"), before.alias("before"))
+    many = many.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "part", "r").orderBy(*order)))
+    many = many.join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("r") == F.col("q")))
+    return few.union(many.select(*turns.columns, F.floor((F.col("before") + F.col("n") - 1) / bound).cast("long").alias("sub")))
+
+
 def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """``conv_id, speaker, part, n_turns, text, mask``; ``mask`` holds [start, end) of what is trained on, per part."""
+    """``conv_id, speaker, part, sub, n_turns, text, mask``; ``mask`` holds [start, end) of what is trained on, per part."""
     role = F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role")
     said = F.coalesce(F.col("text"), F.lit("")).alias("said")
     part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long").alias("part")
     turns = conversations.select("conv_id", "turn", role, said, part).distinct()
+    crowded = conversations.select(F.col("conv_id").alias("c"), part.alias("p")).groupBy("c", "p").count().filter(F.col("count") > part_turns)
+    turns = turns.withColumn("sub", F.lit(0).cast("long")) if crowded.isEmpty() else _numbered(turns, stored(crowded, "parts"), part_turns)
     people = conversations.select(F.col("conv_id").alias("c"), role.alias("speaker")).filter("speaker <> 'system'").distinct()
     seen = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c")))
-    parts = seen.groupBy("conv_id", "speaker", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "said"))).alias("t"))
+    parts = seen.groupBy("conv_id", "speaker", "part", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "said"))).alias("t"))
     head = lambda x: _header(x["role"], F.col("speaker"))
     parts = parts.withColumn("b", F.transform("t", lambda x: F.concat(head(x), x["said"], F.lit(END))))
     zero = F.array(F.lit(0))
     parts = parts.withColumn("at", F.aggregate("b", zero, lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s)))))
     span = F.transform("t", lambda x, i: F.struct((F.get("at", i) + F.length(head(x))).alias("start"), F.get("at", i + 1).alias("end"), (x["role"] == F.col("speaker")).alias("own")))
     mask = F.transform(F.filter(span, lambda s: s["own"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return parts.select("conv_id", "speaker", "part", F.size("t").alias("n_turns"), F.array_join("b", "").alias("text"), mask.alias("mask"))
+    return parts.select("conv_id", "speaker", "part", "sub", F.size("t").alias("n_turns"), F.array_join("b", "").alias("text"), mask.alias("mask"))
 
 
 def digest(rendered: DataFrame) -> DataFrame:
