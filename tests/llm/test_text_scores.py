@@ -225,6 +225,29 @@ def test_confirmed_structures():
     assert kinds("A" * 200) == [] and kinds("0" * 200) == []
 
 
+def test_keys_in_lines_and_escapes():
+    b64 = base64.b64encode(KEY).decode()
+    lines = [b64[k : k + 64] for k in range(0, len(b64), 64)]
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.confirmed_spans(t)]
+    for glue in ("\n", "\r\n", "\\n", "\n    "):
+        wrapped = glue.join(lines)
+        assert found(f"see\n{wrapped}\nthere it was") == [("key", wrapped)], glue
+        armour = f"-----BEGIN RSA PRIVATE KEY-----{glue}{wrapped}{glue}-----END RSA PRIVATE KEY-----"
+        assert found(f'{{"private_key": "{armour}"}}') == [("key", armour)], glue
+    assert found(f"at /{b64} x") == [("key", b64)] and found(f"x{b64}") == [] and found(f"{b64}A") == []
+    assert found(base64.b64encode(KEY + b"\0").decode()) == [] and found("\n".join(lines[:-1])) == []
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    sealed = base64.b64encode(bytes(range(160))).decode()
+    whole = lambda h, body: f"-----BEGIN RSA PRIVATE KEY-----\n{h}{body}\n-----END RSA PRIVATE KEY-----"
+    assert found(whole(headers, sealed)) == [("key", whole(headers, sealed))]
+    assert found(whole(headers, base64.b64encode(bytes(161)).decode())) == []  # no whole blocks
+    assert found(whole(headers.replace("00112233", ""), sealed)) == [] and found(whole("", sealed)) == []
+    text = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = base64.b64encode(secrets.SSH_MAGIC + text(b"none") * 2 + text(b"") + (1).to_bytes(4, "big") + text(b"p" * 51) + text(b"s" * 150)).decode()
+    cut = "\n".join(ssh[k : k + 70] for k in range(0, len(ssh), 70))
+    assert found(f"x {ssh} y") == [("key", ssh)] and found(f"x\n{cut}\ny") == [("key", cut)] and found(ssh[:-8]) == []
+
+
 def plain_base(text):
     out = []
     pattern = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -238,7 +261,7 @@ def plain_base(text):
 def test_secrets_against_plain_version(spark):
     rng = random.Random(5)
     bits = ["password", "PassWd", " token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "ABCDEF0123456789", "AKIAAKIA", "abcdef0123456789", "deadbeefdeadbeef", "é", "\n", "x.y-z", "ſecret", "secret", "12345"]
-    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60))), "en", "s", 0.0) for k in range(400)] + EDGE
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60))), "en", "s", 0.0) for k in range(1000, 1400)] + EDGE
     got = secrets.scan(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     by_id = {r["doc_id"]: r for r in got}

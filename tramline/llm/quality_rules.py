@@ -23,18 +23,17 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-#: name -> (vote for bad if, vote for good if); neither: the rule abstains.  Over the measures made by ``measure``.  The first
-#: three see one property from different sides (per word, per character, and what is left), so that they can bear each other out.
+#: name -> (vote for bad if, vote for good if); neither: the rule abstains.  Over the measures made by ``measure``.  EM takes the
+#: votes as independent within a class, so each rule reads a property of its own: no count enters two rules.
 RULES: dict[str, tuple[str, str]] = {
     "symbols": ("n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
-    "symbol_share": ("n_symbols * 20 > word_chars", "n_symbols * 100 <= word_chars"),
-    "plain_share": ("(word_chars - n_symbols) * 20 < word_chars * 17", "(word_chars - n_symbols) * 100 >= word_chars * 98"),
     "repeats": ("n_repeat_words * 20 > 3 * n_words", "n_repeat_words * 50 <= n_words"),
     "dup_lines": ("n_dup_lines * 4 > n_lines", "n_dup_lines = 0 and n_lines > 1"),
     "word_length": ("word_chars > 12 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 7 * n_words"),
     "capitals": ("n_upper * 3 > word_chars", "n_upper * 10 <= word_chars and n_upper > 0"),
     "stops": ("n_stops * 100 < n_words and n_words >= 50", "n_stops * 40 >= n_words"),
     "distinct": ("n_distinct * 5 < n_words", "n_distinct * 10 >= 4 * n_words"),
+    "short_words": ("n_short * 20 < n_words", "n_short * 10 >= n_words"),
 }
 EM_ROUNDS, PRIOR_GOOD, PSEUDO = 40, 0.8, 5.0
 
@@ -79,6 +78,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         (F.length("_t") - F.length(F.regexp_replace("_t", "[A-Z]", ""))).cast("long").alias("n_upper"),
         (F.length("_t") - F.length(_without(F.col("_t"), ".!?;,"))).cast("long").alias("n_stops"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        F.size(F.filter("_w", lambda w: F.length(w).between(2, 3))).cast("long").alias("n_short"),
     )
 
 

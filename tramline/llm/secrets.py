@@ -3,6 +3,9 @@
 Three base patterns (assignments, access ids, long hex) report what they match.  Beyond them, candidates in base64 or hex are
 decoded and reported only if their structure holds: private keys must parse as DER with every nested length exact, or as the
 OpenSSH container; signed tokens must have a JSON header that names an algorithm, a JSON payload and a decodable signature.
+Base64 may be broken into lines, by line ends or by their escapes as in JSON, with or without armour: a key states its own length,
+so exactly that many characters are taken.  An armoured key encrypted under ``DEK-Info`` has no readable structure inside;
+its cipher must be known, its vector and its length must fit that cipher's block.
 
 One narrow pass over whole texts.  Positions are code points, ends exclusive.
 
@@ -28,8 +31,15 @@ KINDS = ("assign", "access", "hex", "key", "signed")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+BEGIN = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+BREAKS = re.compile(r"\\r\\n|\\n|\\r|\r\n|\n|\r")  # line ends and their escapes
+KEY_START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{6}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LINE_BREAK = re.compile(r"(?:\\r\\n|\\n|\r?\n)[ \t]*(?=[A-Za-z0-9+/_-])")
+PAD = re.compile(r"(?:(?:\\r\\n|\\n|\r?\n)[ \t]*)?={1,2}")
+SSH_MAGIC = b"openssh-key-v1\0"
+#: Block sizes of the ciphers that armoured keys name.
+CIPHER_BLOCKS = {"AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16, "DES-EDE3-CBC": 8, "DES-CBC": 8}
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 DEPTH = 8
@@ -84,7 +94,7 @@ def parse_der(data: bytes, depth: int = 0) -> list[tuple[int, bytes, list | None
 
 def private_key(data: bytes) -> bool:
     """PKCS#1, SEC1, DSA or PKCS#8 private keys, encrypted PKCS#8, or the OpenSSH container."""
-    if data.startswith(b"openssh-key-v1\0"):
+    if data.startswith(SSH_MAGIC):
         at = 15
         for _ in range(3):  # cipher, key derivation and its options
             if at + 4 > len(data):
@@ -119,19 +129,98 @@ def signed_token(header: str, payload: str, signature: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def armoured_key(body: str) -> bool:
+    """Whether what stands between the armour lines is a private key: base64 of one, or one encrypted under named headers."""
+    lines = [x.strip() for x in BREAKS.split(body)]
+    named = dict(x.split(": ", 1) for x in lines if ": " in x)
+    raw = decode("".join("".join(x.split()) for x in lines if ": " not in x))
+    if raw is None or not raw:
+        return False
+    if "DEK-Info" not in named:
+        return private_key(raw)
+    cipher, _, vector = named["DEK-Info"].partition(",")
+    block = CIPHER_BLOCKS.get(cipher)
+    whole = block and len(vector) == 2 * block and not set(vector.upper()) - set("0123456789ABCDEF")
+    return bool(whole) and named.get("Proc-Type", "").endswith("ENCRYPTED") and len(raw) % block == 0
+
+
+def _take(text: str, at: int, n: int) -> tuple[str, int] | None:
+    """``n`` base64 characters from ``at`` on, over line breaks, and where they end; None if there are fewer."""
+    got, size = [], 0
+    while m := LINE.match(text, at, at + n - size):
+        got.append(m[0])
+        size, at = size + len(m[0]), m.end()
+        if size == n:
+            return "".join(got), at
+        gap = LINE_BREAK.match(text, at)
+        if gap is None:
+            return None
+        at = gap.end()
+    return None
+
+
+def _bytes(text: str, at: int, n: int) -> tuple[bytes, int] | None:
+    """The first ``n`` bytes of the base64 at ``at``, and where its characters end."""
+    got = _take(text, at, -(-n * 8 // 6))
+    raw = decode(got[0]) if got else None
+    return None if raw is None else (raw[:n], got[1])
+
+
+def _key_size(text: str, at: int) -> int | None:
+    """The length in bytes that a key states at its start, if its first fields are those of a private key."""
+    if text.startswith("b3", at):
+        size = len(SSH_MAGIC)
+        for k in range(6):  # cipher, key derivation, its options, the number of keys, public and private part
+            head = _bytes(text, at, size + 4)
+            if head is None or not head[0].startswith(SSH_MAGIC):
+                return None
+            n = int.from_bytes(head[0][size:], "big")
+            if k == 3 and n != 1:
+                return None
+            size += 4 if k == 3 else 4 + n
+        return size
+    head = _bytes(text, at, 6)
+    if head is None or head[0][0] != 0x30:
+        return None
+    raw = head[0]
+    more = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    if more > 3:
+        return None
+    size = int.from_bytes(raw[2 : 2 + more], "big") if more else raw[1]
+    return 2 + more + size if raw[2 + more] in (0x02, 0x30) else None
+
+
+def bare_key(text: str, at: int) -> int | None:
+    """Where the key that starts at ``at`` ends, padding included, if one does."""
+    size = _key_size(text, at)
+    got = _bytes(text, at, size) if size else None
+    if got is None or not private_key(got[0]):
+        return None
+    pad = PAD.match(text, got[1]) if size % 3 else None
+    end = pad.end() if pad else got[1]
+    return None if LINE.match(text, end) else end
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "PRIVATE KEY-----" in text:
-        for m in ARMOUR.finditer(text):
-            raw = decode("".join(m[2].split()))
-            if raw is not None and private_key(raw):
-                out.append(("key", m.start(), m.end()))
+        for m in BEGIN.finditer(text):
+            end = text.find("-----", m.end())
+            tail = f"-----END {m[1]}-----"
+            if end > 0 and text.startswith(tail, end) and armoured_key(text[m.end() : end]):
+                out.append(("key", m.start(), end + len(tail)))
     if "eyJ" in text:
         out += [("signed", m.start(), m.end()) for m in SIGNED.finditer(text) if signed_token(m[1], m[2], m[3])]
-    inside = [(a, b) for _, a, b in out]
-    for m in BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside) and (raw := decode(m[0])) is not None and private_key(raw):
-            out.append(("key", m.start(), m.end()))
+    # Starts come in order, so one pass over the spans found so far tells which of them lie inside one.
+    known = sorted((a, b) for _, a, b in out)
+    k = last = 0
+    for m in KEY_START.finditer(text):
+        while k < len(known) and known[k][0] <= m.start():
+            last = max(last, known[k][1])
+            k += 1
+        if m.start() >= last and (end := bare_key(text, m.start())) is not None:
+            out.append(("key", m.start(), end))
+            last = end
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and private_key(bytes.fromhex(m[0])):
             out.append(("key", m.start(), m.end()))
