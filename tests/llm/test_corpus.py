@@ -191,6 +191,43 @@ def test_removal(spark):
     assert decontaminate.remove(frame(spark, []), bench).count() == 0
 
 
+def test_runs_below_the_length_limit_stay(spark):
+    item = [f"i{k}" for k in range(40)]
+    filler = [f"clean{k}" for k in range(90)]
+    docs = frame(spark, [" ".join(filler[:45] + item[3 : 3 + n] + filler[45:]) for n in (9, 10, 11, 12, 30)] + [" ".join([*filler, "i1", "i2"])])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "i1 i2")], "item_id long, text string")
+    cut = lambda m: {r["doc_id"]: 92 - (r["doc_id"] < 5) * 2 - len(r["text"].split()) for r in decontaminate.remove(docs, bench, min_span=m).collect()}
+    assert cut(10) == {0: -9, 1: 0, 2: 0, 3: 0, 4: 0, 5: 2}
+    assert cut(12) == {0: -9, 1: -10, 2: -11, 3: 0, 4: 0, 5: 2}  # the short item goes, whatever the limit
+
+
+def test_hits_beside_a_clashing_column(spark):
+    docs = frame(spark, ["a b c d e f g h i j k"]).withColumn("_hits", F.lit("mine")).withColumn("_Kept", F.lit(1))
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    got = decontaminate.scan(docs, bench).first()
+    assert got["_hits"] == "mine" and got["__hits"]["items"] == ["1"]
+    assert decontaminate.remove(docs, bench, max_coverage=1.0).select("_hits", "text").collect() == [("mine", " k")]
+
+
+def test_scan_does_not_depend_on_the_item_length():
+    steps = []
+    for n in (200, 3200):
+        m = decontaminate.Automaton([("1", [b"w"] * n)], 10)
+
+        class Counted:
+            def __init__(self, of):
+                self.of, self.n = of, 0
+
+            def __getitem__(self, k):
+                self.n += 1
+                return self.of[k]
+
+        m.link, m.end_up, m.window_of = Counted(m.link), Counted(m.end_up), Counted(m.window_of)
+        m.scan([b"w"] * 5000)
+        steps.append(m.link.n + m.end_up.n + m.window_of.n)
+    assert steps[0] <= 3 * 5000 and steps[1] <= 3 * 5000
+
+
 # --- quality rules -------------------------------------------------------------------------------------------------------
 
 
@@ -227,6 +264,50 @@ def test_votes_find_the_trustworthy_rules():
     assert right / len(truth) > 0.95 and abs(prior - 0.85) < 0.05
 
 
+def plain_kept(texts):
+    """The verdicts by another way: rules on plain counts, EM over documents one by one in numpy."""
+    rows = []
+    for text in map(lambda t: t or "", texts):
+        n, chars, symbols, dups, repeats = plain_measures(text)
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+        upper, stops, short = len(re.findall("[A-Z]", text)), sum(text.count(c) for c in ".!?;,"), sum(2 <= len(x) <= 3 for x in w)
+        bad = [symbols / max(n, 1) > 0.1, repeats * 20 > 3 * n, dups * 4 > lines, chars > 12 * n or chars < 2 * n, upper * 3 > chars, stops * 100 < n and n >= 50, len(set(w)) * 5 < n, short * 20 < n]
+        good = [symbols * 50 <= n, repeats * 50 <= n, dups == 0 and lines > 1, 3 * n <= chars <= 7 * n, 0 < upper * 10 <= chars, stops * 40 >= n, len(set(w)) * 10 >= 4 * n, short * 10 >= n]
+        rows.append(([0 if b else 1 if g else 2 for b, g in zip(bad, good, strict=True)], n < 10 or 100 * repeats > 20 * n))
+    votes, failed = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    fit, k = votes[~failed], votes.shape[1]
+    start = np.array([[0.5, 0.2, 0.3], [0.05, 0.7, 0.25]])  # junk, fine: P(bad, good, abstain)
+    tables, prior = np.tile(start, (k, 1, 1)), 0.8
+
+    def posterior(v):
+        log = [np.log(tables[np.arange(k), c, v]).sum(axis=1) for c in (0, 1)]
+        return 1 / (1 + np.exp(log[0] - log[1]) * (1 - prior) / prior)
+
+    for _ in range(40):
+        p = posterior(fit)
+        prior = (p.sum() + 4) / (len(p) + 5)
+        counts = np.array([[[(weight * (fit[:, j] == v)).sum() for v in range(3)] for weight in (1 - p, p)] for j in range(k)]) + 5 * start
+        tables = counts / counts.sum(axis=2, keepdims=True)
+    return [bool(~f & (p >= 0.5)) for f, p in zip(failed, posterior(votes), strict=True)]
+
+
+def test_verdict_against_a_plain_fit(spark):
+    rng = random.Random(12)
+    word = lambda a, b: "".join(rng.choice("aeiounrstl") for _ in range(rng.randint(a, b)))
+    texts = list(EDGE)
+    for k in range(260):
+        ws = [word(2, 3) if rng.random() < 0.3 else word(4, 8) for _ in range(rng.randint(5, 90))]
+        if k % 9 == 0:
+            ws = [word(5, 9) + rng.choice(["%%%", "&&&", " |"]) for _ in ws]
+        if k % 13 == 0:
+            ws = ws[:8] * 6
+        texts.append(". ".join(" ".join(ws[i : i + 12]).capitalize() for i in range(0, len(ws), 12)).replace(". ", rng.choice([". ", ".\n"])) + ".")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(frame(spark, texts)).collect()}
+    want = dict(enumerate(plain_kept(texts)))
+    assert got == want and 150 < sum(want.values()) < 260
+
+
 def test_judge_edges(spark):
     good = " ".join(f"word{k % 37} and, then." for k in range(60))
     got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, [*EDGE, *[good + f" tail{k}" for k in range(30)]])).collect()}

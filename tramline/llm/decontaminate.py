@@ -2,7 +2,7 @@
 
 The normalised words of all test items form one automaton over word ids.  Training texts stream through it word by word;
 after each word the state is the longest suffix of the text that occurs in some item.  When that length reaches a window
-(``window`` words, or the whole of a shorter item), the words of the match are hit and the state names its items.
+(``window`` words, or the whole of a shorter item), the words of the window are hit and its state names the items.
 
 Items are held in blocks whose total words are bounded by ``BLOCK_WORDS``: one block is one automaton in each task's
 and in the driver's memory, and a larger benchmark means further passes whose results are merged per document, so nothing
@@ -10,14 +10,15 @@ of unproven size is ever collected or broadcast.
 
 Defined results: null or empty texts have no words and no hits; items that are null, empty or have a null id are ignored
 (a null id is no item that could be named); repeated items count once per id; ties need no rule as every occurring item is
-listed; an empty table gives an empty result, an empty benchmark marks nothing.  Extra columns are ignored by
-``scan`` and carried along by ``remove``.
+listed; an empty table gives an empty result, an empty benchmark marks nothing.  Extra columns are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from tramline.llm.common import in_batches, stored
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000  # measured: some 0.4 kB a word in each worker, words that occur once included
 WINDOW = 10
 #: ``remove``: hits of at least this many words in a row are cut; beyond this share of hit words the document goes.
 MIN_SPAN, MAX_COVERAGE = 10, 0.5
@@ -39,15 +40,19 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton of the items' words, with the items that each state occurs in."""
+    """Generalised suffix automaton of the items' words, in flat arrays, with the items of each window.
+
+    Most states have one way on, kept in two arrays; only the others own a dictionary.  A state whose strings are longer than a
+    window leads, by ``window_of``, to the state of its last ``window`` words; only those states name items, by the number
+    of an interned set.  So an item adds one entry for each of its windows, and a scan does constant work for each word.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.items: list[set[str]] = [set()]
-        self.short: list[int] = [0]  # length of the short item that is exactly this state's suffix, if one ends here
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         whole: list[tuple[str, list[int]]] = []
         for name, ws in items:
             seq = [self.ids.setdefault(w, len(self.ids)) for w in ws]
@@ -55,98 +60,112 @@ class Automaton:
             last = 0
             for w in seq:
                 last = self._extend(last, w)
-        # Item names: walk each item; every suffix-link ancestor of a visited state occurs in that item as well.
+        order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        self.window_of = array("i", [-1]) * len(self.link)
+        for p in order:
+            if self.length[p] >= window:
+                up = self.link[p]
+                self.window_of[p] = p if self.length[up] < window else self.window_of[up]
+        names: dict[int, list[str]] = {}
+        self.short: dict[int, list[tuple[int, set[str]]]] = {}  # state -> lengths and names of short items that end there
         for name, seq in whole:
             at = 0
-            for w in seq:
-                at = self.next[at][w]
-                p = at
-                while p > 0 and name not in self.items[p]:
-                    self.items[p].add(name)
-                    p = self.link[p]
-        self.exact: dict[tuple[int, int], set[str]] = {}
-        for name, seq in whole:
+            for k, w in enumerate(seq, 1):
+                at = self._next(at, w)
+                if k >= window:
+                    names.setdefault(self.window_of[at], []).append(name)
             if 0 < len(seq) < window:
-                at = 0
-                for w in seq:
-                    at = self.next[at][w]
-                self.exact.setdefault((at, len(seq)), set()).add(name)
-        self.ends: dict[int, list[int]] = {}
-        for at, n in self.exact:
-            self.ends.setdefault(at, []).append(n)
-        # Whether a state, or any state above it, can be a hit: lets the scan skip the rest.
-        order = sorted(range(len(self.link)), key=self.length.__getitem__)
-        self.hot = [False] * len(order)
-        for p in order[1:]:
-            self.hot[p] = p in self.ends or self.hot[self.link[p]]
+                ends = self.short.setdefault(at, [])
+                same = [found for n, found in ends if n == len(seq)]
+                same[0].add(name) if same else ends.append((len(seq), {name}))
+        self.sets: list[tuple[str, ...]] = []
+        self.named = array("i", [-1]) * len(self.link)
+        known: dict[tuple[str, ...], int] = {}
+        for p, some in names.items():
+            self.named[p] = known.setdefault(tuple(sorted(set(some))), len(known))
+        self.sets = list(known)
+        # The nearest state on the way up, itself included, where a short item ends: at most ``window`` of them in a row.
+        self.end_up = array("i", [-1]) * len(self.link)
+        for p in order:
+            self.end_up[p] = p if p in self.short else self.end_up[self.link[p]]
+
+    def _next(self, p: int, w: int) -> int:
+        if self.word[p] == w:
+            return self.to[p]
+        return self.more[p].get(w, -1) if p in self.more else -1
+
+    def _set(self, p: int, w: int, q: int) -> None:
+        if self.word[p] == w or self.word[p] < 0:
+            self.word[p], self.to[p] = w, q
+        else:
+            self.more.setdefault(p, {})[w] = q
 
     def _new(self, length: int) -> int:
-        self.next.append({})
-        self.link.append(-1)
-        self.length.append(length)
-        self.items.append(set())
+        for column, value in ((self.word, -1), (self.to, -1), (self.link, -1), (self.length, length)):
+            column.append(value)
         return len(self.link) - 1
 
     def _clone(self, p: int, w: int, q: int) -> int:
         c = self._new(self.length[p] + 1)
-        self.next[c] = dict(self.next[q])
+        self.word[c], self.to[c] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[c] = dict(self.more[q])
         self.link[c] = self.link[q]
         self.link[q] = c
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = c
+        while p >= 0 and self._next(p, w) == q:
+            self._set(p, w, c)
             p = self.link[p]
         return c
 
     def _extend(self, last: int, w: int) -> int:
-        q = self.next[last].get(w)
-        if q is not None:
+        q = self._next(last, w)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
         cur, p = self._new(self.length[last] + 1), last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = cur
+        while p >= 0 and self._next(p, w) < 0:
+            self._set(p, w, cur)
             p = self.link[p]
         if p < 0:
             self.link[cur] = 0
         else:
-            q = self.next[p][w]
+            q = self._next(p, w)
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
         return cur
 
     def scan(self, tokens: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Merged spans [start, end) of hit words, and the items that have an occurring window."""
-        nxt, link, length, hot, window = self.next, self.link, self.length, self.hot, self.window
+        word, to, more, link, length = self.word, self.to, self.more, self.link, self.length
+        window_of, named, end_up, short, window = self.window_of, self.named, self.end_up, self.short, self.window
         spans: list[list[int]] = []
+        sets: set[int] = set()
         found: set[str] = set()
-        get = self.ids.get
+        get, none = self.ids.get, {}
         at = size = 0
         for j, token in enumerate(tokens):
             w = get(token)
             if w is None:
                 at = size = 0
                 continue
-            to = nxt[at].get(w)
-            while to is None and at:
+            while True:
+                q = to[at] if word[at] == w else more.get(at, none).get(w, -1)
+                if q >= 0 or not at:
+                    break
                 at = link[at]
                 size = length[at]
-                to = nxt[at].get(w)
-            if to is None:
+            if q < 0:
                 continue
-            at, size = to, size + 1
+            at, size = q, size + 1
             if size >= window:
-                p = at  # the state that holds the last ``window`` words occurs in the most items
-                while length[link[p]] >= window:
-                    p = link[p]
-                found |= self.items[p]
+                sets.add(named[window_of[at]])
                 _cover(spans, j + 1 - window, j + 1)
-            if hot[at]:
-                p = at
-                while p > 0 and hot[p]:
-                    for n in self.ends.get(p, ()):
-                        if n <= size:
-                            found |= self.exact[p, n]
-                            _cover(spans, j + 1 - n, j + 1)
-                    p = link[p]
-        return spans, found
+            p = end_up[at]
+            while p >= 0:
+                for n, names in short[p]:
+                    if n <= size:
+                        found |= names
+                        _cover(spans, j + 1 - n, j + 1)
+                p = end_up[link[p]]
+        return spans, found.union(*[self.sets[k] for k in sets])
 
 
 def _cover(spans: list[list[int]], start: int, end: int) -> None:
@@ -185,14 +204,22 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[int, I
     return parts, each()
 
 
+def hits_column(docs: DataFrame) -> str:
+    """The column that ``scan`` adds: ``_hits``, with more underscores where the input has that name already."""
+    name = "_hits"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, change: Callable | None = None) -> DataFrame:
-    """``docs`` with ``_hits`` added: ``n_words``, merged word ``spans`` [start, end) that are hit, and sorted ``items``.
+    """``docs`` with ``hits_column`` added: ``n_words``, merged word ``spans`` [start, end) that are hit, and sorted ``items``.
 
     One narrow pass over the texts for each block of items, and no shuffle.  ``change`` may turn the last pass's batches,
     which end with the hits, into others of the same columns, without a second hand-over of the texts.
     """
     hits = T.StructType.fromDDL("n_words long, spans array<array<int>>, items array<string>")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_hits", hits)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(hits_column(docs), hits)])
     at = docs.columns.index("text")
     out, first = docs, True
     many, each = blocks(benchmark, block_words)
@@ -247,8 +274,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span
     """``docs`` without what the benchmark covers.
 
     Documents of whose words more than ``max_coverage`` are hit go.  From the others, every run of hit words that has at
-    least ``min_span`` words, or that is a whole shorter item, is cut with the separators inside it; ``n_chars`` follows
-    where there is such a column.  All other documents stay as they are.
+    least ``min_span`` words is cut with the separators inside it, and so is a run shorter than a window, which only whole
+    short items can make up; runs in between stay.  ``n_chars`` follows where there is such a column.  All other
+    documents stay as they are.
     """
     at, names = docs.columns.index("text"), docs.columns
     chars = names.index("n_chars") if "n_chars" in names else None
@@ -270,14 +298,14 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span
 
 
 def cut(text: str | None, spans: list[list[int]], min_span: int, window: int) -> str | None:
-    """``text`` without the word spans; shorter spans than ``min_span`` go too if a whole item made them."""
+    """``text`` without the word spans of ``min_span`` words or more, and without those that whole short items made."""
     if text is None or not spans:
         return text
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in WORD.finditer(raw.lower())]
     keep, last = [], 0
     for start, end in spans:
-        if end - start >= min(min_span, window) or end - start < window:
+        if end - start >= min_span or end - start < window:
             keep.append(raw[last : at[start][0]])
             last = at[end - 1][1]
     return b"".join([*keep, raw[last:]]).decode("utf-8", "surrogatepass")
