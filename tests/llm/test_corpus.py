@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import random
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -351,6 +353,83 @@ def test_raking_is_the_same_beyond_the_driver(spark, monkeypatch):
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
 
 
+def plain_topic(text):
+    t = text or ""
+    for name, yes in (("table", t.count("|") * 50 > len(t)), ("marked", sum(t.count(c) for c in "#*$%&!") * 20 > len(t)), ("legal", re.search("(?i)licen[cs]ed? ", t)), ("short", len(t) < 400), ("long", len(t) > 4000)):
+        if yes:
+            return name
+    return "plain"
+
+
+def plain_mix(rows, keep, power, seed, targets=None):
+    """doc_id -> (tokens, p, selected) by raking and drawing document by document."""
+    docs = [(k, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), (s, lang, plain_topic(t))) for k, t, lang, s in rows]
+    total, due, factor = sum(n for _, n, _ in docs), [], []
+    for d, margin in enumerate(("source", "lang", "topic")):
+        given = (targets or {}).get(margin, {})
+        have = defaultdict(int)
+        for _, n, cell in docs:
+            have[cell[d]] += n
+        rest = sum(n**power for v, n in have.items() if v not in given)
+        due.append({v: keep * total * (given[v] if v in given else (1 - sum(given.values())) * n**power / rest) for v, n in have.items()})
+        factor.append(dict.fromkeys(have, 1.0))
+    p = lambda cell: min(1.0, factor[0][cell[0]] * factor[1][cell[1]] * factor[2][cell[2]])
+    for _ in range(500):
+        off = 0.0
+        for d in range(3):
+            got = defaultdict(float)
+            for _, n, cell in docs:
+                got[cell[d]] += n * p(cell)
+            for v in got:
+                if got[v]:
+                    off = max(off, abs(due[d][v] / got[v] - 1))
+                    factor[d][v] = min(1e12, factor[d][v] * due[d][v] / got[v])
+        if off < 1e-9:
+            break
+    u = lambda k: (xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), xxhash.xxh64_intdigest(str(k).encode(), 42)) % (1 << 53)) / (1 << 53)
+    return {k: (n, p(cell), u(k) < p(cell)) for k, n, cell in docs}
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"s0": 0.5}, "lang": {None: 0.2, "de": 0.3}}])
+def test_mixing_against_a_plain_fit(spark, targets):
+    rng = random.Random(21)
+    texts = ["plain " * rng.randint(1, 300) + rng.choice(["", "| a | b " * 20, "licensed under ", "#$% " * 30]) for _ in range(150)] + ["", None]
+    rows = [(k, t, rng.choice(["en", "en", "en", "de", "fr", None]), rng.choice(["s0", "s1", "s1", "s2"])) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = mixing.probabilities(df, keep=0.5, targets=targets)
+    want = plain_mix(rows, 0.5, 0.7, 7, targets)
+    got = {r["doc_id"]: (r["n_tokens"], r["p"], r["selected"]) for r in found.collect()}
+    assert set(got) == set(want)
+    for k, (n, p, picked) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - p) < 1e-6 and got[k][2] == picked
+    assert {r["doc_id"] for r in mixing.sample(df, keep=0.5, targets=targets).collect()} == {k for k, v in want.items() if v[2]}
+    report = {(r["margin"], r["value"]): r for r in mixing.margin_report(found, targets=targets).collect()}
+    total = sum(n * p for n, p, _ in want.values())
+    for (margin, value), r in report.items():
+        at = {"source": 3, "lang": 2}.get(margin)
+        own = sum(want[row[0]][0] * want[row[0]][1] for row in rows if (plain_topic(row[1]) if at is None else row[at]) == value)
+        assert abs(r["share"] - own / total) < 1e-6 and r["met"] == (abs(r["share"] - r["target"]) <= 1e-3)
+    assert ("lang", None) in report
+    if targets:
+        assert abs(report["source", "s0"]["target"] - 0.5) < 1e-9 and abs(report["lang", "de"]["target"] - 0.3) < 1e-9
+
+
+def test_targets_that_cannot_be_met(spark, monkeypatch):
+    df = frame(spark, ["a b c"] * 9 + ["d " * 30] * 3).withColumn("lang", F.when(F.col("doc_id") < 9, "xx").otherwise("yy"))
+    wish = {"lang": {"xx": 0.9}}
+    for limit in (200_000, 0):
+        monkeypatch.setattr(mixing, "CELLS_ON_DRIVER", limit)
+        monkeypatch.setattr(mixing, "ROUNDS", 6)
+        found = mixing.probabilities(df, ("lang",), keep=0.8, targets=wish)
+        assert {round(r["p"], 3) for r in found.filter("lang = 'xx'").collect()} == {1.0}  # all there is
+        report = {r["value"]: r["met"] for r in mixing.margin_report(found, ("lang",), targets=wish).collect()}
+        assert report == {"xx": False, "yy": False}
+        none = mixing.probabilities(df, ("lang",), targets={"lang": {"xx": 1.0}}).filter("lang = 'yy'").collect()
+        assert all(r["p"] == 0 and r["weight"] is None and not r["selected"] for r in none) and len(none) == 3
+    with pytest.raises(ValueError):
+        mixing.probabilities(df, ("lang",), targets={"lang": {"xx": 1.2}})
+
+
 def test_sampling_edges(spark):
     df = frame(spark, EDGE + ["plain text"] * 20).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     got = mixing.probabilities(df).collect()
@@ -380,7 +459,7 @@ def test_shards_round_trip(spark, tmp_path, waves):
     texts = EDGE + ["é😀 " + " ".join(rng.choice(["alpha", "beta\n", "gamma"]) for _ in range(rng.randint(0, 200))) for _ in range(60)]
     path, index = shards.materialise(frame(spark, texts), length=16, shard_records=32, path=str(tmp_path / f"s{waves}"), waves=waves)
     rows = {r["slot"]: r for r in index.collect()}
-    back = {r["slot"]: np.frombuffer(r["ids"], "<u2") for r in shards.read(spark, path, 16, 32).collect()}
+    back = {r["slot"]: np.frombuffer(r["ids"], "<u2") for r in shards.read(spark, path).collect()}
     assert sorted(rows) == sorted(back) == list(range(len(rows)))
     pieces = defaultdict(list)
     for slot, r in rows.items():
@@ -397,10 +476,37 @@ def test_shards_round_trip(spark, tmp_path, waves):
             assert ids[-1] == 50256 and encode.decode(ids[:-1].tolist()) == text
         else:
             assert k not in pieces
-    later = shards.read(spark, path, 16, 32, start=40)
+    later = shards.read(spark, path, start=40)
     assert sorted(r["slot"] for r in later.collect()) == list(range(40, len(rows)))
 
 
+def test_wide_ids_are_read_at_their_own_stride(spark, tmp_path):
+    # Ids of 65,536 and more take 4 bytes: bytes as they are, and pairs of them from 70,000 on.
+    words = [bytes([k]) for k in range(256)] + [b"aa", b"ab", b"ba"]
+    ranks = [*range(256), 70_000, 70_001, 70_002]
+    file = tmp_path / "wide.tiktoken"
+    file.write_text("".join(f"{base64.b64encode(w).decode()} {r}\n" for w, r in zip(words, ranks, strict=True)))
+    texts = ["ab" * 50 + f" x{k}" for k in range(40)]
+    path, index = shards.materialise(frame(spark, texts), vocabulary=str(file), length=16, shard_records=32, path=str(tmp_path / "s"))
+    back = {r["slot"]: np.frombuffer(r["ids"], "<u4") for r in shards.read(spark, path).collect()}
+    assert shards.layout(spark, path) == {"length": 16, "width": 4, "shard_records": 32, "pad": 70_003, "sequences": len(back)}
+    pieces = defaultdict(list)
+    for r in index.collect():
+        pieces[r["doc_id"]].append((r["seq_no"], back[r["slot"]][: r["n_ids"]]))
+    encode = shards.encoder(file.read_bytes())
+    for k, text in enumerate(texts):
+        ids = np.concatenate([x for _, x in sorted(pieces[k], key=lambda p: p[0])])
+        assert ids.max() == 70_003 and encode.decode(ids[:-1].tolist()) == text
+    got = shards.training_order(frame(spark, texts), vocabulary=str(file), length=16, shard_records=32).collect()
+    assert len(got) == len(back) and {r["sha256"] for r in got} == {hashlib.sha256(x.tobytes()).hexdigest() for x in back.values()}
+
+
+def test_rows_without_or_with_repeated_ids_keep_their_sequences(spark):
+    df = spark.createDataFrame([(None, "alpha beta"), (None, "gamma"), (4, "delta"), (4, "delta"), (4, None)], "doc_id long, text string").withColumn("slot", F.lit("mine"))
+    got = shards.training_order(df, length=4, shard_records=2).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({None: 2, 4: 2}) and sorted(r["slot"] for r in got) == [0, 1, 2, 3]
+
+
 def test_no_sequences(spark):
     assert shards.training_order(frame(spark, [None, ""])).count() == 0
     assert shards.training_order(frame(spark, [])).count() == 0

@@ -7,7 +7,7 @@ partitions of the slots write the shards: files of fixed-stride records, so that
 ``i * stride`` and a reader can resume at any slot by arithmetic.
 
 A record is ``length`` little-endian ids (2 bytes where the vocabulary fits, else 4), padded with ``pad``, and one newline
-byte.  The ids are tokenised once, into a stored table; the only shuffle moves each sequence to its range.
+byte; the folder ``_layout`` beside the shards says which numbers these are.  The ids are tokenised once, into a stored table; the only shuffle moves each sequence to its range.
 
 Defined results: null and empty texts have no ids and no sequence; repeated rows are separate sequences; a null id is carried as null;
 very long texts become many sequences; an empty table gives no shards.  Columns beyond ``doc_id`` and ``text`` are ignored.
@@ -33,6 +33,7 @@ from tramline.llm.common import in_batches, shared_folder, stored, swept
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of that vocabulary
 LENGTH, SHARD_RECORDS, ROUNDS, WAVES = 512, 4096, 6, 3
+LAYOUT = "length int, width int, shard_records int, pad int, sequences long"
 ROWS_OUT = 512  # sequences in one Arrow batch
 _ENCODERS: dict[str, object] = {}  # one per Python worker
 
@@ -123,6 +124,8 @@ def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, len
     offsets = dict(zip([t for t, _ in counts], itertools.accumulate([0, *[n for _, n in counts]]), strict=False))
     n = sum(c for _, c in counts)
     stride = length * kind.itemsize + 1
+    own = spark.range(1).select(*[F.lit(v).alias(k) for k, v in (("length", length), ("width", kind.itemsize), ("shard_records", shard_records), ("pad", pad), ("sequences", n))])
+    own.coalesce(1).write.json(f"{path}/_layout")
     if not n:
         empty = seqs.select("doc_id", "seq_no", "n_ids", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("byte_offset"))
         return path, empty
@@ -150,9 +153,15 @@ def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, len
     return path, index
 
 
-def read(spark: SparkSession, path: str, length: int = LENGTH, shard_records: int = SHARD_RECORDS, width: int = 2, start: int = 0) -> DataFrame:
+def layout(spark: SparkSession, path: str) -> dict[str, int]:
+    """What a reader of the shards in ``path`` must know: ``length``, ``width`` (bytes of an id), ``shard_records``, ``pad``, ``sequences``."""
+    return spark.read.schema(LAYOUT).json(f"{path}/_layout").first().asDict()
+
+
+def read(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     """``slot, ids`` from the shards, from slot ``start`` on; earlier shards are not opened."""
-    stride = length * width + 1
+    own = layout(spark, path)
+    shard_records, stride = own["shard_records"], own["length"] * own["width"] + 1
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path)
     files = files.filter(F.col("shard") >= start // shard_records).select("shard", "content")
 
@@ -173,7 +182,5 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     path, index = materialise(docs, **options)
     if index.isEmpty():
         return index.withColumn("sha256", F.lit(""))
-    length = options.get("length", LENGTH)
-    records = options.get("shard_records", SHARD_RECORDS)
-    back = read(docs.sparkSession, path, length, records)
+    back = read(docs.sparkSession, path)
     return index.join(back.select("slot", F.sha2("ids", 256).alias("sha256")), "slot")
