@@ -48,22 +48,24 @@ select doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n,
 from docs left join hit using (doc_id) left join named using (doc_id)
 """
 
-CHAT = """
+SAFE = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
+SAFE_NAME = rf"regexp_replace({SAFE.format('role')}, '\|(\\*)>', '|\\\1>', 'g')"
+CHAT = f"""
 with turns as (
-  select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as said, cast(coalesce(floor(turn / 64), -1) as bigint) as part
+  select distinct conv_id, turn, coalesce(role, 'unknown') as role, {SAFE.format("coalesce(text, '')")} as said, cast(coalesce(floor(turn / 64), -1) as bigint) as part
   from conversations
 ), people as (
   select distinct conv_id, role as speaker from turns where role <> 'system'
 ), lines as (
   select conv_id, speaker, part, turn, role, said, role = speaker as own,
-    case when role = 'system' then '<|system|>' when role = speaker then '<|assistant|>' else '<|user name=' || role || '|>' end || chr(10) as head
+    case when role = 'system' then '<|system|>' when role = speaker then '<|assistant|>' else '<|user name=' || {SAFE_NAME} || '|>' end || chr(10) as head
   from turns join people using (conv_id)
 ), placed as (
   select *, head || said || '<|end|>' || chr(10) as body,
-    sum(length(head) + length(said) + 8) over (partition by conv_id, speaker, part order by turn, role, said) as stop
+    sum(length(head) + length(said) + 8) over (partition by conv_id, speaker order by part, turn, role, said) as stop
   from lines
 )
-select conv_id, speaker, part, count(*) as n_turns, cast(max(stop) as bigint) as n_chars,
+select conv_id, speaker, part, 0 as sub, cast(min(stop - length(body)) as bigint) as start, count(*) as n_turns, cast(max(stop) - min(stop - length(body)) as bigint) as n_chars,
   sha256(string_agg(body, '' order by turn, role, said)) as text_sha256,
   coalesce(string_agg(cast(stop - length(said) - 8 as varchar) || '-' || cast(stop as varchar), ',' order by turn, role, said) filter (own), '') as masks,
   cast(coalesce(sum(length(said) + 8) filter (own), 0) as bigint) as n_masked
