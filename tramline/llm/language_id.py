@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import in_batches
+from tramline.llm.common import in_batches, stored
 
 ORDER, DISCOUNT = 4, 0.75
 MAX_DOCS = 1500
@@ -205,14 +205,12 @@ class Identifier:
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 11) -> Identifier | None:
     """Learn from ``text`` and non-null ``lang`` of ``docs``; a tenth of the sample is kept back for calibration."""
     rows = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    share = F.least(F.lit(1.0), F.lit(max_docs) / F.col("count")).alias("share")
+    sizes = stored(rows.groupBy("lang").count().select("lang", share), "languages")
+    if sizes.isEmpty():
         return None
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, max_docs / n)).otherwise(share)
-    rows = rows.withColumn("_part", u / share).filter("_part < 1")
+    rows = rows.join(sizes, "lang").withColumn("_part", u / F.col("share")).filter("_part < 1")
     letters = F.lower("text")
     parts = rows.withColumn("_fit", F.col("_part") < 0.9)
     split = parts.filter("_fit").select("lang", F.explode(F.split(letters, r"[^\p{L}]+")).alias("w")).filter("w <> ''")
