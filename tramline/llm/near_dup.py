@@ -8,8 +8,9 @@ exact Jaccard similarity of the full sets.
 Scale.  Equal sets collapse into one class first, so groups of exact copies cost one row.  In each band bucket the member
 with the most bucket mates is the hub, and members are compared with their hub (one row per hub and member, never
 all pairs).  Members that this leaves in another component than their hub are the open cases: they are compared, as a
-query set in blocks of ``BLOCK``, with all of the hub's bucket mates, and each block pair reports only a spanning forest of
-its links.  Texts are fetched again by id and text hash, so rows that share an id, or have none, do not meet.  Every candidate pair is therefore either confirmed, refuted, or already in one component.  Components come from
+query set in blocks, with all of the hub's bucket mates, and each block pair reports only a spanning forest of
+its links.  A block holds about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles, whichever are fewer, so that books come in small blocks.
+Texts are fetched again by id and text hash, so rows that share an id, or have none, do not meet.  Every candidate pair is therefore either confirmed, refuted, or already in one component.  Components come from
 alternating star contraction over stored tables.  No links, components or fingerprints reach the driver.
 
 Defined results: null or wordless texts have no shingles and are linked with nothing; with fewer words than a shingle
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tramline.llm.common import in_batches, stored
 
 BANDS, MISS = 32, 1e-5
-BLOCK, CHUNK = 1024, 4096
+BLOCK, BLOCK_SHINGLES, CHUNK = 512, 1 << 18, 4096
 WORDS_CACHED = 200_000
 SIGMA_KEY, PI_KEY = 0x9E3779B9, 0x7F4A7C15
 
@@ -124,7 +125,8 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             if xxhash.xxh3_128_digest(s.tobytes()) == c.as_py():
                 cls.append(last := c.as_py())
                 sets.append(s.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["class", "set"])
+        sizes = pa.array([len(s) for s in sets], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), sizes, pa.array(sets, pa.list_(pa.int64()))], ["class", "n", "set"])
 
 
 def _block_links(percent: int):
@@ -212,8 +214,10 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     signed = stored(
         in_batches(pairs, lambda b: _signed(b, words, rows), f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, n_shingles long, class binary, keys array<long>"), "minhash"
     )
-    lone = signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
-    reps = signed.filter("class is not null").select("class", "doc_id", "text_key", "keys").join(lone, "class").filter("doc_id <=> first_id").dropDuplicates(["class"])
+    # One row per class, by a partially aggregated minimum: equal sets have equal keys, so any row's will do.
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "keys")
+    reps = signed.filter("class is not null").groupBy("class").agg(F.min(first).alias("r")).select("class", "r.doc_id", "r.text_key", "r.keys")
+    reps = stored(reps, "classes")
     banded = reps.select("class", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").count().filter("count > 1")
     banded = stored(banded.join(shared, "key"), "buckets")
@@ -224,12 +228,13 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     wanted = stars.select("class").union(stars.select("hub")).distinct()
     ids = reps.select("class", "doc_id", "text_key").join(wanted, "class").select(F.col("class").alias("c"), F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
     texts = pairs.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).select("c", "text")
-    sets = stored(in_batches(texts, lambda b: _sets(b, words), "class binary, set array<long>"), "sets")
+    sets = stored(in_batches(texts, lambda b: _sets(b, words), "class binary, n int, set array<long>"), "sets")
     if not sets.groupBy("class").count().filter("count > 1").isEmpty():
         sets = stored(sets.dropDuplicates(["class"]), "sets")  # rows of the same id and text, in more than one task
+    full = sets.select("class", "set")
     hubset = sets.select(F.col("class").alias("hub"), F.col("set").alias("hubset"))
     shared_n = F.size(F.array_intersect("set", "hubset"))
-    met = stars.join(sets, "class").join(hubset, "hub").select("hub", "class", (100 * shared_n >= percent * (F.size("set") + F.size("hubset") - shared_n)).alias("linked"))
+    met = stars.join(full, "class").join(hubset, "hub").select("hub", "class", (100 * shared_n >= percent * (F.size("set") + F.size("hubset") - shared_n)).alias("linked"))
     links = stored(met.filter("linked").select(F.col("class").alias("a"), F.col("hub").alias("b")), "links")
     # Repeated ids: classes that hold a row of the same id belong together.
     by_id = signed.filter("class is not null and doc_id is not null").select("doc_id", "class").distinct()
@@ -241,12 +246,15 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     named = stars.join(comp.select(F.col("node").alias("class"), F.col("root").alias("croot")), "class", "left")
     named = named.join(comp.select(F.col("node").alias("hub"), F.col("root").alias("hroot")), "hub", "left")
     named = named.withColumn("apart", ~F.coalesce(F.col("croot"), F.col("class")).eqNullSafe(F.coalesce(F.col("hroot"), F.col("hub"))))
-    sizes = named.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("apart").cast("long")).alias("open")).filter("open > 0 and members > 1")
-    cases = stored(named.join(sizes, "hub").select("hub", "class", "apart", "members", "open"), "open")
-    block = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.ceil(F.col(n) / BLOCK))
-    spread = lambda n: F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / BLOCK) - 1).cast("long"))
-    asked = cases.filter("apart").withColumn("i", block("open", 1)).withColumn("j", F.explode(spread("members"))).join(sets, "class")
-    given = cases.withColumn("j", block("members", 2)).withColumn("i", F.explode(spread("open"))).join(sets, "class")
+    named = named.join(sets.select("class", "n"), "class")
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
+    own = F.col("apart").cast("long")
+    sizes = named.groupBy("hub").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("parts"), blocks(F.sum(own), F.sum(own * F.col("n"))).alias("open"), F.count(F.lit(1)).alias("members"))
+    cases = stored(named.join(sizes.filter("open > 0 and members > 1"), "hub").select("hub", "class", "apart", "parts", "open"), "open")
+    block = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = cases.filter("apart").withColumn("i", block("open", 1)).withColumn("j", spread("parts")).join(full, "class")
+    given = cases.withColumn("j", block("parts", 2)).withColumn("i", spread("open")).join(full, "class")
     found = (
         asked.select("hub", "i", "j", "class", "set")
         .groupBy("hub", "i", "j")
@@ -256,13 +264,15 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     late = stored(found.distinct(), "late")
     if not late.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
-    named = lone.join(comp.withColumnRenamed("node", "class"), "class").select("class", "root", "first_id")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component"))
-    named = named.join(least, "root").select("class", "root", "component")
-    out = signed.join(named, "class", "left").join(lone.select("class", "first_id"), "class", "left")
-    own = F.coalesce(F.col("component"), F.col("first_id"))
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(own).alias("component_id")
-    return out.select("doc_id", "text_key", "n_shingles", "class", component, F.coalesce("root", "class").alias("root"))
+    named = reps.select("class", "doc_id").join(comp.withColumnRenamed("node", "class"), "class")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
+    linked = named.join(least, "root").select("class", "root", "component")
+    # One verdict per class, stored, so that the rows meet it in one plain join that adaptive execution may split at a hot class.
+    verdict = reps.select("class", F.col("doc_id").alias("first_id")).join(linked, "class", "left")
+    verdict = stored(verdict.select("class", F.coalesce("root", "class").alias("root"), F.coalesce("component", "first_id").alias("component")), "verdicts")
+    out = signed.select("doc_id", "text_key", "n_shingles", "class").join(verdict, "class", "left")
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+    return out.select("doc_id", "text_key", "n_shingles", "class", component, "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
