@@ -250,7 +250,8 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     blocks = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
     own = F.col("apart").cast("long")
     sizes = named.groupBy("hub").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("parts"), blocks(F.sum(own), F.sum(own * F.col("n"))).alias("open"), F.count(F.lit(1)).alias("members"))
-    cases = stored(named.join(sizes.filter("open > 0 and members > 1"), "hub").select("hub", "class", "apart", "parts", "open"), "open")
+    sizes = stored(sizes.filter("open > 0 and members > 1"), "hubs")
+    cases = stored(named.join(sizes, "hub").select("hub", "class", "apart", "parts", "open"), "open")
     block = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = cases.filter("apart").withColumn("i", block("open", 1)).withColumn("j", spread("parts")).join(full, "class")
