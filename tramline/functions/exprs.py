@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METERS_PER_DEGREE = 111320.0
+CELL_SLACK = 1 + 1e-6  # cells a little wider than the reach, so that rounding never puts two points in reach two cells apart
 C = Column
 
 
@@ -29,11 +30,16 @@ def gtfs_date_parse(c) -> Column:
     return F.when(F.length(t) == 8, F.to_date(F.try_to_timestamp(t, F.lit("yyyyMMdd")))).otherwise(t.try_cast("date"))
 
 
+# The box that locations must lie in (south, north, west, east).
+CITY_BOX = (44.0, 45.0, 25.5, 26.8)
+
+
 def parse_location_id(c) -> Column:
     """``loc:lat,lon`` inside the city box as struct(lat, lon), else null."""
+    south, north, west, east = CITY_BOX
     parts = F.split(F.regexp_extract(_col(c), r"^loc:([^,]*,[^,]*)$", 1), ",")
     lat, lon = F.get(parts, 0).try_cast("double"), F.get(parts, 1).try_cast("double")
-    return F.when(lat.between(44.0, 45.0) & lon.between(25.5, 26.8), F.struct(lat.alias("lat"), lon.alias("lon")))
+    return F.when(lat.between(south, north) & lon.between(west, east), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
 # --- geometry and motion -----------------------------------------------------------------------------------------------
@@ -141,6 +147,7 @@ def speed_drop(avg_speed) -> Column:
 
 
 def hotspot_score(avg_delay, p95_delay) -> Column:
+    # 600 and 900 seconds.
     part = lambda c, d: F.greatest(F.lit(0.0), F.coalesce(_col(c), F.lit(0.0)) / d)
     return part(avg_delay, 600.0) + part(p95_delay, 900.0)
 
@@ -170,6 +177,7 @@ def normalize_features(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def warm_start_score(prefix: str = "") -> Column:
     """The closed-form baseline over normalised features."""
+    # All weights, caps and the floor.
     v = lambda c: F.col(prefix + c)
     cap = lambda c, top, weight: F.least(v(c), F.lit(float(top))) * float(weight)
     tail = F.greatest(F.lit(0.0), v("p95_delay_sec") - v("avg_delay_sec")) * 0.25
@@ -203,6 +211,7 @@ def _band(c, high: float, mid: float, names: tuple[str, str, str]) -> Column:
     return F.when(_col(c) > high, names[0]).when(_col(c) > mid, names[1]).otherwise(names[2])
 
 
+# The limits of the three bands below.
 def route_status_band(c) -> Column:
     return _band(c, 300, 120, ("critical", "warning", "normal"))
 

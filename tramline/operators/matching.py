@@ -1,8 +1,9 @@
 """Matching fixes to scheduled stops, and what derives from the matches.
 
 The timetable is joined once into stop visits.  A fix meets the stops of its grid cell (stops are repeated for the cells around
-them), the geofence thins these pairs out, and only what is left meets the visits of its route and stop.  All joins are
-equality joins with residuals; no cartesian product appears.
+them, which are as wide as the geofence), the geofence thins these pairs out, and only what is left meets the visits of its route and
+stop, on its weekday, within its stretch of the day.  So a busy terminus is many join keys, and no timetable's whole day meets one fix.
+All joins are equality joins with residuals; no cartesian product appears.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from tramline.config import DEFAULT, TransitConfig
 from tramline.functions import exprs as X
 
 RD = ("route_id", "direction_id")
-CELL = 0.004  # degrees; wider than the geofence's box at any latitude served
+LON_METERS = 75_000.0  # a degree of longitude in the geofence's box: never more than it has at the latitudes served
 FIX_KEY = ("event_time", "vehicle_id", "route_id", "direction_id", "latitude", "longitude", "trip_start_time")
 
 
@@ -46,23 +47,34 @@ def stop_visits(trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, st
     return v.join(stops.select("stop_id"), "stop_id", "left_semi")
 
 
+def visits_by_weekday(visits: DataFrame) -> DataFrame:
+    """``stop_visits`` once for each weekday of its calendar, ``weekday`` counting from Monday = 0."""
+    days = F.array(*[F.when(F.col(d).cast("int") == 1, F.lit(k)) for k, d in enumerate(X.DAYS)])
+    return visits.withColumn("weekday", F.explode(F.array_compact(days))).drop(*X.DAYS)
+
+
 def match_candidates(positions: DataFrame, trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
     """All stops a fix may belong to, with distance and delay."""
-    visits = stop_visits(trips, calendar, stop_times, stops)
+    # One hour more than the tolerance: on days on which clocks change, wall-clock seconds and elapsed ones differ by that much.
+    span = cfg.schedule_tolerance_s + 3600
+    visits = visits_by_weekday(stop_visits(trips, calendar, stop_times, stops))
+    visits = visits.withColumn("route_id", F.col("trip_route")).withColumn("stretch", F.floor(F.col("scheduled_s") / span))
     day = F.explode(F.transform(F.sequence(F.lit(0), F.lit(cfg.service_day_lookback)), lambda k: F.date_sub(X.service_local_date("event_time", cfg.timezone), k)))
     around = F.explode(F.expr("flatten(transform(array(-1,0,1), y -> transform(array(-1,0,1), x -> struct(y, x))))"))
-    grid = lambda lat, lon: (F.floor(F.col(lat) / CELL), F.floor(F.col(lon) / CELL))
-    sy, sx = grid("stop_lat", "stop_lon")
-    s = stops.select("stop_id", "stop_lat", "stop_lon", around.alias("o")).select("stop_id", "stop_lat", "stop_lon", (sy + F.col("o.y")).alias("cy"), (sx + F.col("o.x")).alias("cx"))
-    py, px = grid("latitude", "longitude")
-    p = positions.withColumn("cy", py).withColumn("cx", px)
-    box = (F.abs(F.col("stop_lat") - F.col("latitude")) <= cfg.geofence_m / 111320.0) & (F.abs(F.col("stop_lon") - F.col("longitude")) <= cfg.geofence_m / 75000.0)
+    high, wide = cfg.geofence_m / X.METERS_PER_DEGREE, cfg.geofence_m / LON_METERS
+    cell = lambda c, step: F.floor(F.col(c) / (step * X.CELL_SLACK))
+    s = stops.select("stop_id", "stop_lat", "stop_lon", around.alias("o"))
+    s = s.select("stop_id", "stop_lat", "stop_lon", (cell("stop_lat", high) + F.col("o.y")).alias("cy"), (cell("stop_lon", wide) + F.col("o.x")).alias("cx"))
+    p = positions.withColumn("cy", cell("latitude", high)).withColumn("cx", cell("longitude", wide))
+    box = (F.abs(F.col("stop_lat") - F.col("latitude")) <= high) & (F.abs(F.col("stop_lon") - F.col("longitude")) <= wide)
     start = F.col("start_s").isNull() | (F.abs(F.col("first_s") - F.col("start_s")) <= cfg.trip_start_tolerance_s)
     distance = X.equirect_distance_m("latitude", "longitude", "stop_lat", "stop_lon")
     at = p.join(s, ["cy", "cx"]).drop("cy", "cx").filter(box & (distance <= cfg.geofence_m)).withColumn("distance_to_stop_m", distance)
-    at = at.withColumn("service_date", day).withColumn("start_s", X.gtfs_time_to_seconds("trip_start_time"))
-    near = at.join(visits.withColumn("route_id", F.col("trip_route")), ["route_id", "stop_id"])
-    near = near.filter(start & (F.col("direction_id").isNull() | (F.col("direction_id") == F.col("trip_direction"))) & X.service_active_on("service_date"))
+    at = at.withColumn("service_date", day).withColumn("start_s", X.gtfs_time_to_seconds("trip_start_time")).withColumn("weekday", F.weekday("service_date"))
+    wall = X.epoch(F.from_utc_timestamp("event_time", cfg.timezone)) - X.epoch(F.col("service_date").cast("timestamp"))
+    at = at.withColumn("stretch", F.explode(F.array(*[F.floor(wall / span) + k for k in (-1, 0, 1)])))
+    near = at.join(visits, ["route_id", "stop_id", "weekday", "stretch"])
+    near = near.filter(start & (F.col("direction_id").isNull() | (F.col("direction_id") == F.col("trip_direction"))) & F.col("service_date").between(F.col("start_date"), F.col("end_date")))
     near = near.withColumn("scheduled_time", X.scheduled_instant("service_date", "scheduled_s", cfg.timezone))
     near = near.withColumn("delay_sec", (X.epoch("event_time") - X.epoch("scheduled_time")).cast("double"))
     near = near.filter(F.abs("delay_sec") <= cfg.schedule_tolerance_s)
@@ -151,14 +163,29 @@ def geo_hotspots(events: DataFrame, stops: DataFrame, window_s: int = 900, speed
     return out
 
 
-def matching_cycle(positions: DataFrame, matched: DataFrame, timetable: dict[str, DataFrame], metrics: dict[str, DataFrame], as_of: Column, cfg: TransitConfig = DEFAULT) -> dict[str, DataFrame]:
-    """Match what is new and derive the tables that depend on it, in order; nothing runs until a result is used."""
-    from tramline.operators import features
-    from tramline.sources.sinks import insert_unique
+def matching_cycle(
+    positions: DataFrame, matched: DataFrame, timetable: dict[str, DataFrame], metrics: dict[str, DataFrame], as_of: Column, cfg: TransitConfig = DEFAULT, tables: dict[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """Match what is new within the look-back and derive the tables that depend on it for that range, in order.
 
-    todo = unmatched_positions(positions, matched, as_of, cfg)
-    new = match_stop_delay(todo, timetable["trips"], timetable["calendar"], timetable["stop_times"], timetable["stops"], cfg)
-    events = matched.unionByName(insert_unique(matched, new))
+    ``stop_delay_events`` holds the new events, to be appended.  Of ``matched`` only what lies in the refreshed range is read: a
+    partitioned table (column ``event_date``) is read from its last folders only.  The other results are the refreshed range, or, with
+    the earlier ``tables`` of the same names, those with that range replaced.
+    """
+    from tramline.operators import features
+    from tramline.sources.scratch import stored
+    from tramline.sources.sinks import insert_unique, read_since, refresh_from, since
+
+    edge = since(as_of, cfg.match_lookback_s, cfg.feature_window_s)
+    known = read_since(matched, "observed_time", edge)
+    todo = unmatched_positions(read_since(positions, "event_time", edge), known, as_of, cfg)
+    fresh = match_stop_delay(todo, timetable["trips"], timetable["calendar"], timetable["stop_times"], timetable["stops"], cfg)
+    fresh = stored(insert_unique(known, fresh), "events")
+    events = stored(known.select(fresh.columns).unionByName(fresh), "range")
     delay, dwell, hot = route_delay(events), stop_dwell_windows(events), geo_hotspots(events, timetable["stops"])
-    rows = features.feature_windows(delay, metrics["speed"], metrics["bunching"], metrics["gaps"], dwell, metrics["freshness"], hot, timetable["routes"], cfg)
-    return {"stop_delay_events": events, "stop_dwell_times": dwell, "route_delay_metrics": delay, "geo_delay_hotspots": hot, "realtime_feature_windows": rows}
+    when = {"speed": "window_start", "bunching": "event_time", "gaps": "gap_start", "freshness": "window_start"}
+    m = {k: read_since(metrics[k], ts, edge) for k, ts in when.items()}
+    rows = features.feature_windows(delay, m["speed"], m["bunching"], m["gaps"], dwell, m["freshness"], hot, timetable["routes"], cfg)
+    out = {"stop_dwell_times": (dwell, "window_start"), "route_delay_metrics": (delay, "window_start"), "geo_delay_hotspots": (hot, "window_start"), "realtime_feature_windows": (rows, "feature_time")}
+    old = tables or {}
+    return {"stop_delay_events": fresh} | {k: refresh_from(old[k], df, ts, edge) if k in old else df for k, (df, ts) in out.items()}

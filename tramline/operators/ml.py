@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.config import DEFAULT, TransitConfig
@@ -74,6 +74,34 @@ def train_delay_model(dataset: DataFrame, test_fraction: float = 0.2, max_iter:
     return model, {"mae": metric("mae"), "rmse": metric("rmse"), "train_rows": train.count(), "test_rows": test.count()}
 
 
+def save_model(model: PipelineModel, report: dict[str, float], path: str) -> None:
+    """The model and, beside it, the report of its training; each replaces what is there."""
+    model.write().overwrite().save(f"{path}/model")
+    rows = SparkSession.active().createDataFrame([(k, float(v)) for k, v in sorted(report.items())], "metric string, value double")
+    rows.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("metric string, value double").json(f"{path}/report")
+
+
+def load_model(path: str) -> PipelineModel | None:
+    """The saved model, or None if there is none."""
+    spark = SparkSession.active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/model/metadata")
+    return PipelineModel.load(f"{path}/model") if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
+
+
+def importances(model: PipelineModel) -> dict[str, float]:
+    """The feature importances of the model's trees, by feature."""
+    return dict(zip(X.FEATURE_COLUMNS, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+
+
+def score_saved(features: DataFrame, as_of: Column, path: str, cfg: TransitConfig = DEFAULT) -> DataFrame:
+    """``score_latest_features`` by the model saved in ``path``, or by the closed-form baseline as long as there is none."""
+    return score_latest_features(features, as_of, load_model(path), cfg)
+
+
 def score_latest_features(features: DataFrame, as_of: Column, model: PipelineModel | None = None, cfg: TransitConfig = DEFAULT, version: str | None = None) -> DataFrame:
     """Prediction rows for the latest windows, by the model or by the closed-form baseline."""
     latest = newest_per(X.recent_filter(features, "feature_time", as_of, 7200), [*RD, "zone_id"], [F.col("feature_time").desc()])

@@ -2,6 +2,10 @@
 
 A request has ``request_id, origin_id, destination_id, service_date, departure_s``; an endpoint is a stop, a stop place or
 ``loc:lat,lon``.  Every per-request limit is a ranked window keyed by the request, so a batch of requests is one job.
+
+Searches meet the timetable by service date, stop and stretch of the day: departures are joined with the services that run on the
+dates asked for, and their time falls into buckets as wide as the window searched, so that a stop's other hours and services never
+meet a request.  What several steps read is written once to shared storage (``stored``).
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tramline.config import DEFAULT, TransitConfig
 from tramline.functions import exprs as X
+from tramline.sources.scratch import stored
 
 KEY = ("request_id", "service_date")
 
@@ -38,7 +43,7 @@ def _cells(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:
 
 def near_join(left: DataFrame, right: DataFrame, lat_a: str, lon_a: str, lat_b: str, lon_b: str, meters: float) -> DataFrame:
     """Pairs within ``meters``: the right side is repeated for the nine cells around it, then an equality join and the distance."""
-    step = meters / X.METERS_PER_DEGREE
+    step = meters / X.METERS_PER_DEGREE * X.CELL_SLACK
     y, x = _cells(F.col(lat_a), F.col(lon_a), step)
     l = left.withColumn("cy", y).withColumn("cx", x)  # noqa: E741
     around = F.expr("flatten(transform(array(-1,0,1), dy -> transform(array(-1,0,1), dx -> struct(dy, dx))))")
@@ -79,7 +84,10 @@ def service_windows(requests: DataFrame, calendar: DataFrame) -> DataFrame:
     back = F.explode(F.array(F.lit(0), F.lit(1))).alias("back")
     r = requests.select("request_id", F.col("service_date").alias("day"), "departure_s", back)
     r = r.select("request_id", F.date_sub("day", F.col("back")).alias("service_date"), (F.col("departure_s") + F.col("back") * 86400).alias("earliest_s"))
-    per_day = r.select("service_date").distinct().join(calendar, X.service_active_on("service_date")).select("service_date", "service_id")
+    days = F.explode(F.array_compact(F.array(*[F.when(F.col(d).cast("int") == 1, F.lit(k)) for k, d in enumerate(X.DAYS)]))).alias("weekday")
+    runs = calendar.select("service_id", "start_date", "end_date", days)
+    dates = r.select("service_date").distinct().withColumn("weekday", F.weekday("service_date"))
+    per_day = dates.join(runs, "weekday").filter(F.col("service_date").between(F.col("start_date"), F.col("end_date"))).select("service_date", "service_id")
     return r.join(per_day, "service_date")
 
 
@@ -91,56 +99,74 @@ def _timed(stop_times: DataFrame, departing: bool) -> DataFrame:
     return stop_times.filter(t.isNotNull()).select("trip_id", "stop_id", "stop_sequence", t.alias("t"))
 
 
+def departures_on(windows: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """Timed departures by ``service_date``, on the dates of the windows and their services only."""
+    days = windows.select("service_date", "service_id").distinct()
+    runs = trips.select("trip_id", "route_id", "direction_id", "service_id", "shape_id").join(days, "service_id").drop("service_id")
+    return _timed(stop_times, True).join(runs, "trip_id")
+
+
+def _within(asked: DataFrame, visits: DataFrame, lo: Column, span: int) -> DataFrame:
+    """``asked`` (with ``service_date, stop_id``) beside the departures there between ``lo`` and ``lo + span``, as an equality join."""
+    a = asked.withColumn("_lo", lo).withColumn("_b", F.explode(F.array(F.floor(F.col("_lo") / span), F.floor(F.col("_lo") / span) + 1)))
+    j = a.join(visits.withColumn("_b", F.floor(F.col("t") / span)), ["service_date", "stop_id", "_b"])
+    return j.filter((F.col("t") >= F.col("_lo")) & (F.col("t") <= F.col("_lo") + span)).drop("_lo", "_b")
+
+
 def boardings(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
     """Departures that a request can catch: its origin stops' timed visits on active services within the search window."""
     o = ends.filter("side = 'origin'").select("request_id", "stop_id", "walk_m")
-    visits = _timed(stop_times, True).join(trips.select("trip_id", "route_id", "direction_id", "service_id", "shape_id"), "trip_id")
-    b = o.join(visits, "stop_id").join(windows, ["request_id", "service_id"])
-    return b.filter((F.col("t") >= F.col("earliest_s")) & (F.col("t") <= F.col("earliest_s") + cfg.search_window_s))
+    o = o.join(windows.select(*KEY, "earliest_s").distinct(), "request_id")
+    return _within(o, departures_on(windows, trips, stop_times), F.col("earliest_s"), cfg.search_window_s).drop("earliest_s")
 
 
 def _ride(b: DataFrame, stop_times: DataFrame, leg: str) -> DataFrame:
     """Boardings with every later stop of the same trip."""
     later = _timed(stop_times, False).select("trip_id", F.col("stop_id").alias("to_stop"), F.col("stop_sequence").alias("to_seq"), F.col("t").alias("to_t"))
     r = b.join(later, "trip_id").filter("to_seq > stop_sequence")
-    names = {"trip_id": "trip_id", "route_id": "route_id", "direction_id": "direction_id", "shape_id": "shape_id", "stop_id": "from_stop", "to_stop": "to_stop", "t": "dep_s", "to_t": "arr_s"}
-    return r.select(*[c for c in r.columns if c not in (*names, "stop_sequence", "to_seq", "service_id")], *[F.col(k).alias(f"{leg}_{v}") for k, v in names.items()])
+    names = {
+        "trip_id": "trip_id", "route_id": "route_id", "direction_id": "direction_id", "shape_id": "shape_id", "stop_id": "from_stop", "to_stop": "to_stop",
+        "stop_sequence": "from_seq", "to_seq": "to_seq", "t": "dep_s", "to_t": "arr_s",
+    }
+    return r.select(*[c for c in r.columns if c not in names], *[F.col(k).alias(f"{leg}_{v}") for k, v in names.items()])
+
 
+def first_rides(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
+    """Every ride that starts at the origin of a request."""
+    return _ride(boardings(ends, windows, trips, stop_times, cfg), stop_times, "leg1").withColumnRenamed("walk_m", "access_m")
 
-def direct_trip_join(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
-    """Every direct ride of every request."""
+
+def direct_trip_join(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
+    """Every direct ride of every request; ``rides`` are those of ``first_rides`` if there already."""
     d = ends.filter("side = 'destination'").select("request_id", F.col("stop_id").alias("leg1_to_stop"), F.col("walk_m").alias("egress_m"))
-    rides = _ride(boardings(ends, windows, trips, stop_times, cfg), stop_times, "leg1").withColumnRenamed("walk_m", "access_m")
+    rides = first_rides(ends, windows, trips, stop_times, cfg) if rides is None else rides
     return rides.join(d, ["request_id", "leg1_to_stop"])
 
 
 def top_per_request(df: DataFrame, k: int, *order: str) -> DataFrame:
-    """The first ``k`` rows of each request and service day; ties are broken by everything else that names a row."""
-    rest = [c for c in sorted(df.columns) if c not in order and ("trip_id" in c or "stop" in c)]
+    """The first ``k`` rows of each request and service day.  Ties are broken by all trips, stops, places in a trip and times, which name a row."""
+    rest = [c for c in sorted(df.columns) if c not in order and c.endswith(("_trip_id", "_stop", "_seq", "_s"))]
     w = Window.partitionBy(*KEY).orderBy(*order, *rest)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
 
 
-def direct_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
-    return top_per_request(direct_trip_join(ends, windows, trips, stop_times, cfg), cfg.candidates, "leg1_arr_s", "leg1_dep_s")
+def direct_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
+    return top_per_request(direct_trip_join(ends, windows, trips, stop_times, cfg, rides), cfg.candidates, "leg1_arr_s", "leg1_dep_s")
 
 
-def one_transfer_join(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
+def one_transfer_join(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
     """First legs (the earliest arrivals of each request), a walk between stops, and a second ride to the destination."""
-    first = top_per_request(_ride(boardings(ends, windows, trips, stop_times, cfg), stop_times, "leg1"), cfg.first_legs, "leg1_arr_s").withColumnRenamed("walk_m", "access_m")
+    rides = first_rides(ends, windows, trips, stop_times, cfg) if rides is None else rides
+    first = top_per_request(rides, cfg.first_legs, "leg1_arr_s")
     pairs = transfer_stop_pairs(stops, cfg.transfer_walk_m).select(F.col("from_stop_id").alias("leg1_to_stop"), F.col("to_stop_id").alias("stop_id"), F.col("meters").alias("transfer_m"))
-    active = windows.select(*KEY, "service_id").distinct()
-    second = _timed(stop_times, True).join(trips.select("trip_id", "route_id", "direction_id", "service_id", "shape_id"), "trip_id")
-    onward = first.join(pairs, "leg1_to_stop").join(second, "stop_id").filter(
-        (F.col("trip_id") != F.col("leg1_trip_id")) & (F.col("t") >= F.col("leg1_arr_s") + cfg.min_transfer_s) & (F.col("t") <= F.col("leg1_arr_s") + cfg.min_transfer_s + cfg.transfer_wait_s)
-    )
-    onward = onward.join(active, [*KEY, "service_id"])
+    onward = _within(first.join(pairs, "leg1_to_stop"), departures_on(windows, trips, stop_times), F.col("leg1_arr_s") + cfg.min_transfer_s, cfg.transfer_wait_s)
+    onward = onward.filter(F.col("trip_id") != F.col("leg1_trip_id"))
     d = ends.filter("side = 'destination'").select("request_id", F.col("stop_id").alias("leg2_to_stop"), F.col("walk_m").alias("egress_m"))
     return _ride(onward, stop_times, "leg2").join(d, ["request_id", "leg2_to_stop"])
 
 
-def one_transfer_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
-    return top_per_request(one_transfer_join(ends, windows, trips, stop_times, stops, cfg), cfg.candidates, "leg2_arr_s", "leg1_dep_s")
+def one_transfer_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
+    return top_per_request(one_transfer_join(ends, windows, trips, stop_times, stops, cfg, rides), cfg.candidates, "leg2_arr_s", "leg1_dep_s")
 
 
 def union_service_windows(direct: DataFrame, transfer: DataFrame) -> DataFrame:
@@ -190,10 +216,16 @@ def assemble_itineraries(candidates: DataFrame, requests: DataFrame, routes: Dat
     out = out.withColumn("dep", F.col("legs")[0]["dep"]).withColumn("arr", F.element_at("legs", -1)["arr"])
     return out.select(
         "request_id", "requested", "kind", "legs", "dep", "arr", X.minutes_between("requested", "arr").alias("total_minutes"), X.minutes_between("requested", "dep").alias("waiting_minutes"),
-        F.when(F.col("kind") == "direct", 0).otherwise(1).alias("transfers"), F.xxhash64(F.to_json("legs")).alias("itinerary_id"),
+        F.when(F.col("kind") == "direct", 0).otherwise(1).alias("transfers"), _itinerary_id().alias("itinerary_id"),
     )
 
 
+def _itinerary_id() -> Column:
+    """A name made of all legs with their times: a trip may serve the same two stops twice."""
+    times = F.transform("legs", lambda x: F.concat_ws("-", x["dep"].cast("string"), x["arr"].cast("string")))
+    return F.md5(F.concat_ws("@", _signature(False), F.array_join(times, " ")))
+
+
 def _requested(cfg: TransitConfig) -> Column:
     return X.epoch(F.to_utc_timestamp(F.col("service_date").cast("timestamp"), cfg.timezone)) + F.col("departure_s")
 
@@ -251,27 +283,33 @@ def leg_delay_estimate(legs: DataFrame, predictions: DataFrame, features: DataFr
 
 
 def apply_expected_delays(itineraries: DataFrame, estimate) -> DataFrame:
-    """Shift legs by the running sum of the estimated delays.  ``estimate`` maps a frame of legs to ``leg_id, seconds, source``."""
-    legs = itineraries.select("request_id", "itinerary_id", "requested", "arr", F.posexplode("legs").alias("pos", "leg"))
-    legs = legs.withColumn("leg_id", F.concat_ws("|", "request_id", "itinerary_id", "pos"))
-    rides = legs.filter("leg.mode <> 'walk'").select("leg_id", "leg.route_id", "leg.direction_id", "leg.dep")
+    """Shift legs by the running sum of the estimated delays.  ``estimate`` maps a frame of legs to ``leg_id, seconds, source``.
+
+    Rides of one route and direction that leave together are one leg to estimate, however many itineraries use them.
+    """
+    one = ["request_id", "itinerary_id"]
+    leg_id = F.when(F.col("leg.mode") != "walk", F.concat_ws("|", "leg.route_id", F.coalesce(F.col("leg.direction_id").cast("string"), F.lit("-")), "leg.dep"))
+    legs = itineraries.select(*one, F.posexplode("legs").alias("pos", "leg")).withColumn("leg_id", leg_id)
+    rides = stored(legs.filter("leg_id is not null").select("leg_id", "leg.route_id", "leg.direction_id", "leg.dep").distinct(), "legs")
     j = legs.join(estimate(rides), "leg_id", "left").withColumn("seconds", F.coalesce("seconds", F.lit(0)))
-    upto = Window.partitionBy("request_id", "itinerary_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*one).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("run", F.sum("seconds").over(upto))
-    total = j.groupBy("request_id", "itinerary_id").agg(
+    total = j.groupBy(*one).agg(
         F.max_by(F.col("leg.arr") + F.col("run"), "pos").alias("expected_arr"),
         F.sort_array(F.collect_list(F.struct("pos", (F.col("leg.dep") + F.col("run") - F.col("seconds")).alias("expected_dep"), (F.col("leg.arr") + F.col("run")).alias("expected_arr")))).alias("expected_legs"),
         F.sort_array(F.collect_set("source")).alias("sources"),
     )
-    out = itineraries.join(total, ["request_id", "itinerary_id"])
+    out = itineraries.join(total, one)
     out = out.withColumn("expected_minutes", X.minutes_between("requested", "expected_arr"))
     return out.withColumn("expected_delay_minutes", F.bround((F.col("expected_arr") - F.col("arr")) / 60.0).cast("long"))
 
 
 def _signature(transit_only: bool) -> Column:
+    """What makes two itineraries alike, as text: routes and directions of the rides, or modes, trips and ends of all legs."""
+    text = lambda x, *names: F.concat_ws("/", *[F.coalesce(x[n].cast("string"), F.lit("")) for n in names])
     if transit_only:
-        return F.to_json(F.transform(F.filter("legs", lambda x: x["mode"] != "walk"), lambda x: F.struct(x["route_id"], x["direction_id"], x["route_short_name"])))
-    return F.to_json(F.transform("legs", lambda x: F.struct(x["mode"], x["trip_id"], x["from_id"], x["to_id"])))
+        return F.array_join(F.transform(F.filter("legs", lambda x: x["mode"] != "walk"), lambda x: text(x, "route_id", "direction_id", "route_short_name")), " ")
+    return F.array_join(F.transform("legs", lambda x: text(x, "mode", "trip_id", "from_id", "to_id")), " ")
 
 
 def soft_filter_itineraries(itineraries: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
@@ -297,7 +335,7 @@ def walking_itineraries(requests: DataFrame, ends: DataFrame, transit: DataFrame
     m = F.col("expected_minutes")
     ok = F.when(F.col("best").isNull(), m <= cfg.max_walk_only_min).when(m <= cfg.walk_first_max_min, m <= F.col("best")).otherwise(F.col("best") - m >= cfg.walk_gain_min)
     return r.filter(ok).select(
-        "request_id", F.xxhash64(F.to_json("legs")).alias("itinerary_id"), "requested", F.lit("walk").alias("kind"), "legs", F.col("requested").alias("dep"), "arr",
+        "request_id", _itinerary_id().alias("itinerary_id"), "requested", F.lit("walk").alias("kind"), "legs", F.col("requested").alias("dep"), "arr",
         F.col("expected_minutes").alias("total_minutes"), F.lit(0).cast("long").alias("waiting_minutes"), F.lit(0).alias("transfers"), F.col("arr").alias("expected_arr"),
         F.array(F.struct(F.lit(0).alias("pos"), F.col("requested").alias("expected_dep"), F.col("arr").alias("expected_arr"))).alias("expected_legs"),
         F.array(F.lit("walking")).alias("sources"), "expected_minutes", F.lit(0).cast("long").alias("expected_delay_minutes"),
@@ -312,16 +350,43 @@ def itinerary_dedupe_topk(itineraries: DataFrame, k: int = DEFAULT.itineraries)
     return i.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order))).filter(F.col("rank") <= k).drop("_sig", "_n")
 
 
+def with_geometry(itineraries: DataFrame, ends: DataFrame, trips: DataFrame, stops: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``geometries``: the path of each leg, one array of [lat, lon] for each of ``legs``; a walk is a straight line.
+
+    A path is made once for each shape and pair of points, and only for the itineraries at hand.
+    """
+    one = ["request_id", "itinerary_id"]
+    legs = itineraries.select(*one, F.posexplode("legs").alias("pos", "leg")).select(*one, "pos", "leg.mode", "leg.trip_id", "leg.from_id", "leg.to_id")
+    legs = legs.join(trips.select("trip_id", "shape_id"), "trip_id", "left")
+    spots = stops.select(F.col("stop_id").alias("id"), F.struct(F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon")).alias("at"))
+    asked = ends.select("request_id", F.col("endpoint_id").alias("id"), F.struct("lat", "lon").alias("own")).distinct()
+    for side in ("from", "to"):
+        legs = legs.withColumnRenamed(f"{side}_id", "id").join(asked, ["request_id", "id"], "left").join(spots, "id", "left")
+        # A walk from or to an endpoint meets the endpoint itself, a ride its stop.
+        point = F.when(F.col("mode") == "walk", F.coalesce("own", "at")).otherwise(F.col("at"))
+        legs = legs.withColumn(f"{side}_lat", point["lat"]).withColumn(f"{side}_lon", point["lon"]).drop("id", "own", "at")
+    corners = ["from_lat", "from_lon", "to_lat", "to_lon"]
+    legs = legs.withColumn("path_id", F.concat_ws("|", F.coalesce("shape_id", F.lit("")), *corners))
+    paths = leg_geometry(legs.select(F.col("path_id").alias("leg_id"), "shape_id", *corners).distinct(), shapes)
+    drawn = legs.join(paths.withColumnRenamed("leg_id", "path_id"), "path_id", "left")
+    drawn = drawn.groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("pos", "geometry"))).alias("g"))
+    return itineraries.join(drawn.select(*one, F.col("g.geometry").alias("geometries")), one)
+
+
 def plan_trips(requests: DataFrame, timetable: dict[str, DataFrame], predictions: DataFrame, features: DataFrame, events: DataFrame, as_of: Column, cfg: TransitConfig = DEFAULT) -> DataFrame:
-    """At most ``itineraries`` per request, best first, with expected times."""
+    """At most ``itineraries`` per request, best first, with expected times; with ``shapes`` in the timetable, also with ``geometries``."""
     t = timetable
-    ends = resolve_endpoints(requests, stop_places(t["stops"]), cfg)
+    ends = stored(resolve_endpoints(requests, stop_places(t["stops"]), cfg), "ends")
     windows = service_windows(requests, t["calendar"])
-    found = union_service_windows(direct_itineraries(ends, windows, t["trips"], t["stop_times"], cfg), one_transfer_itineraries(ends, windows, t["trips"], t["stop_times"], t["stops"], cfg))
-    rides = assemble_itineraries(found, requests, t["routes"], cfg)
-    rides = apply_expected_delays(rides, lambda legs: leg_delay_estimate(legs, predictions, features, events, as_of, cfg.timezone))
-    rides = soft_filter_itineraries(rides, cfg)
-    return itinerary_dedupe_topk(rides.unionByName(walking_itineraries(requests, ends, rides, cfg)), cfg.itineraries)
+    rides = stored(first_rides(ends, windows, t["trips"], t["stop_times"], cfg), "rides")
+    direct = direct_itineraries(ends, windows, t["trips"], t["stop_times"], cfg, rides)
+    transfer = one_transfer_itineraries(ends, windows, t["trips"], t["stop_times"], t["stops"], cfg, rides)
+    found = stored(union_service_windows(direct, transfer), "found")
+    found = assemble_itineraries(found, requests, t["routes"], cfg)
+    found = apply_expected_delays(found, lambda legs: leg_delay_estimate(legs, predictions, features, events, as_of, cfg.timezone))
+    found = stored(soft_filter_itineraries(found, cfg), "itineraries")
+    best = itinerary_dedupe_topk(found.unionByName(walking_itineraries(requests, ends, found, cfg)), cfg.itineraries)
+    return with_geometry(stored(best, "best"), ends, t["trips"], t["stops"], t["shapes"]) if "shapes" in t else best
 
 
 # --- shapes and map ------------------------------------------------------------------------------------------------------
@@ -354,14 +419,15 @@ def leg_geometry(legs: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def map_stop_clusters(places: DataFrame, zoom: int, keep_below: int = 120) -> DataFrame:
     """Stop places as map features: clustered by screen cell unless the zoom is high or there are few."""
-    single = places.select(F.lit("stop").alias("type"), F.col("place_id").alias("id"), "lat", "lon", F.col("stop_count").alias("count"), F.lit(1).cast("long").alias("place_count"))
+    own = ["name", "stop_ids", "names"]  # of single places; a cluster has none of its own
+    single = places.select(F.lit("stop").alias("type"), F.col("place_id").alias("id"), "lat", "lon", F.col("stop_count").alias("count"), F.lit(1).cast("long").alias("place_count"), *own)
     few = places.limit(keep_below + 1).count() <= keep_below
     if zoom >= 17 or few:
         return single
     radius = 96 if zoom <= 11 else 78 if zoom <= 13 else 58 if zoom <= 15 else 40
     xy = X.web_mercator_xy("lat", "lon", F.lit(zoom))
     p = places.withColumn("gx", F.floor(xy["x"] / radius)).withColumn("gy", F.floor(xy["y"] / radius))
-    g = p.groupBy("gx", "gy").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.sum("stop_count").alias("count"), F.count(F.lit(1)).alias("place_count"), F.min("place_id").alias("only"))
+    g = p.groupBy("gx", "gy").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.sum("stop_count").alias("count"), F.count(F.lit(1)).alias("place_count"), F.min(F.struct("place_id", *own)).alias("only"))
     lone = F.col("place_count") == 1
     cell = F.concat_ws(":", F.lit("cluster"), F.lit(str(zoom)), F.col("gx").cast("string"), F.col("gy").cast("string"))
-    return g.select(F.when(lone, "stop").otherwise("cluster").alias("type"), F.when(lone, F.col("only")).otherwise(cell).alias("id"), "lat", "lon", "count", "place_count")
+    return g.select(F.when(lone, "stop").otherwise("cluster").alias("type"), F.when(lone, F.col("only.place_id")).otherwise(cell).alias("id"), "lat", "lon", "count", "place_count", *[F.when(lone, F.col(f"only.{c}")).alias(c) for c in own])

@@ -1,7 +1,11 @@
 """Transit tables derived from the driver's star schema by SQL that means the same in Spark and DuckDB.
 
+They stand for ``n`` towns, one for each hundred parts, so that every table grows with the driver's and no town does: its hundred
+stops are the parts (a grid of 10 by 10), its five routes are suppliers, its trips are orders, its vehicles are users of ``events``, and
+every customer asks for one journey in a town, a third of them between coordinates.  Towns stand side by side, 24 to a column.
+
 Two spots differ and are filled in per engine: ``{us}`` (microseconds of ``ts``) and ``{div}`` (integer division); ``{ts}``
-turns epoch seconds into a timestamp.
+turns epoch seconds into a timestamp.  ``{n}``, ``{south}`` and ``{west}`` are the number of towns and a town's corner.
 """
 
 from __future__ import annotations
@@ -10,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 VIEWS = {
-    "telemetry_base": "select event_id, user_id, 1704088800 + ({us} - 1704067200000000) {div} 240000000 as epoch_s from events",
+    "towns": "select greatest(1, count(*) {div} 100) as n from part",
+    "telemetry_base": """
+        select event_id, user_id, user_id % {n} as town, user_id {div} {n} as car, 1704088800 + ({us} - 1704067200000000) {div} 240000000 as epoch_s
+        from events""",
     "telemetry": """
-        select event_id, epoch_s, cast(user_id as string) as vehicle_id, cast(user_id % 12 as string) as route_id,
-          case when event_id % 17 = 0 then null else cast((user_id {div} 12) % 2 as int) end as direction_id,
-          cast(user_id % 5 as string) as agency_id, 44.40e0 + (event_id % 100) * 0.0005e0 as latitude, 26.05e0 + (event_id % 70) * 0.0005e0 as longitude,
+        select event_id, epoch_s, cast(user_id as string) as vehicle_id, cast(town + {n} * ((car % 10) {div} 4) as string) as route_id,
+          case when event_id % 17 = 0 then null else cast((event_id {div} 5) % 2 as int) end as direction_id, cast(user_id % 5 as string) as agency_id,
+          {south} + (event_id % 10) * 0.004e0 + (event_id % 7) * 0.0002e0 as latitude, {west} + ((event_id {div} 10) % 10) * 0.004e0 + (event_id % 5) * 0.0001e0 as longitude,
           'B' || lpad(cast(user_id as string), 5, '0') as license_plate,
           case when event_id % 13 = 0 then null else '0' || cast(6 + ((event_id % 8) * 20) {div} 60 as string) || ':'
             || lpad(cast(((event_id % 8) * 20) % 60 as string), 2, '0') || ':00' end as trip_start_time,
@@ -23,49 +30,62 @@ VIEWS = {
     "telemetry_sparse": "select event_id, epoch_s, vehicle_id, vehicle_id as route_id, 0 as direction_id, latitude, longitude, event_time from telemetry",
     "agency": "select cast(r_regionkey as string) as agency_id, r_name as agency_name, 'Europe/Bucharest' as agency_timezone from region",
     "routes": """
-        select cast(n_nationkey as string) as route_id, cast(n_regionkey as string) as agency_id, n_name as route_short_name,
-          case n_nationkey % 4 when 0 then 0 when 1 then 1 when 2 then 3 else 11 end as route_type
-        from nation where n_nationkey < 12""",
+        select cast(s_suppkey as string) as route_id, cast(s_nationkey % 5 as string) as agency_id, s_name as route_short_name,
+          case s_suppkey % 4 when 0 then 0 when 1 then 1 when 2 then 3 else 11 end as route_type
+        from supplier""",
     "calendar": """
         select * from (values ('0',1,1,1,1,1,0,0, date '2023-12-01', date '2024-03-01'), ('1',0,0,0,0,0,1,1, date '2023-12-01', date '2024-03-01'),
           ('2',1,1,1,1,1,1,1, date '2023-12-01', date '2024-03-01'))
           as t(service_id, monday, tuesday, wednesday, thursday, friday, saturday, sunday, start_date, end_date)""",
     "stops": """
-        select cast(p_partkey as string) as stop_id, p_name as stop_name, 44.40e0 + (p_partkey % 10) * 0.004e0 as stop_lat,
-          26.05e0 + (p_partkey {div} 10) * 0.004e0 as stop_lon, case when p_partkey % 25 = 24 then 1 else 0 end as location_type,
+        select cast(p_partkey as string) as stop_id, p_name as stop_name, {south} + (p_partkey % 10) * 0.004e0 as stop_lat,
+          {west} + ((p_partkey % 100) {div} 10) * 0.004e0 as stop_lon, case when p_partkey % 25 = 24 then 1 else 0 end as location_type,
           case when p_partkey % 9 = 0 then 'P' || cast(p_partkey {div} 18 as string) else '' end as parent_station
-        from part where p_partkey < 100""",
+        from (select *, p_partkey {div} 100 as town from part) x""",
     "shapes": """
-        select cast(p_partkey % 12 as string) as shape_id, cast(p_partkey {div} 12 as int) as shape_pt_sequence,
-          44.40e0 + (p_partkey {div} 12) * 0.0025e0 as shape_pt_lat, 26.05e0 + (p_partkey % 12) * 0.003e0 as shape_pt_lon
-        from part where p_partkey < 192""",
+        select cast(town * 4 + p_partkey % 4 as string) as shape_id, cast((p_partkey % 100) {div} 4 as int) as shape_pt_sequence,
+          {south} + ((p_partkey % 100) {div} 4) * 0.0016e0 as shape_pt_lat, {west} + (p_partkey % 4) * 0.01e0 as shape_pt_lon
+        from (select *, p_partkey {div} 100 as town from part) x""",
     "trips": """
-        select cast(k as string) as trip_id, cast(k % 12 as string) as route_id, cast((k {div} 24) % 3 as string) as service_id,
-          cast((k {div} 12) % 2 as int) as direction_id, cast(k % 12 as string) as shape_id
-        from (select distinct l_orderkey as k from lineitem) x""",
+        select cast(k as string) as trip_id, cast(town + {n} * ((turn % 10) {div} 4) as string) as route_id, cast((turn {div} 3) % 3 as string) as service_id,
+          cast(turn % 2 as int) as direction_id, cast(town * 4 + turn % 4 as string) as shape_id
+        from (select distinct l_orderkey as k, l_orderkey % {n} as town, l_orderkey {div} {n} as turn from lineitem) x""",
     "stop_times": """
-        select cast(k as string) as trip_id, n as stop_sequence, cast(p % 100 as string) as stop_id,
+        select cast(k as string) as trip_id, n as stop_sequence, cast((k % {n}) * 100 + p % 100 as string) as stop_id,
           case when (k + n) % 11 = 0 or (k + n) % 37 = 0 then null else t end as arrival_s, case when (k + n) % 37 = 0 then null else t + 20 end as departure_s
         from (select l_orderkey as k, l_linenumber as n, min(l_partkey) as p,
             21600 + (l_orderkey % 8) * 1200 + l_linenumber * 180 + case when l_orderkey % 40 = 39 then 64800 else 0 end as t
           from lineitem group by l_orderkey, l_linenumber) x""",
     "od_requests": """
-        select c_custkey as request_id, cast(c_custkey % 50 as string) as origin_stop_id, cast(50 + c_custkey % 50 as string) as destination_stop_id,
+        select c_custkey as request_id, case when c_custkey % 3 = 0 then {from_at} else cast(town * 100 + turn % 50 as string) end as origin_id,
+          case when c_custkey % 3 = 0 then {to_at} else cast(town * 100 + 50 + (turn * 7) % 50 as string) end as destination_id,
           date '2024-01-01' as service_date, 21600 + (c_custkey % 6) * 600 as departure_s
-        from customer where c_custkey between 1 and 20""",
+        from (select c_custkey, c_custkey % {n} as town, c_custkey {div} {n} as turn from customer) x""",
 }
+N = "(select n from towns)"
+TOWN = {"{south}": "44.02e0 + (town % 24) * 0.04e0", "{west}": "25.52e0 + (town {div} 24) * 0.04e0"}
+
+
+def _at(y: str, x: str) -> str:
+    """``loc:lat,lon`` of a point of a town's grid, from whole thousandths, so that both engines write the same text."""
+    north, east = f"(20 + (town % 24) * 40 + {y} * 4 + 1)", f"(25520 + (town {{div}} 24) * 40 + {x} * 4 + 1)"
+    return f"'loc:44.' || lpad(cast({north} as string), 3, '0') || ',' || cast({east} {{div}} 1000 as string) || '.' || lpad(cast({east} % 1000 as string), 3, '0')"
+
+
+SHARED = TOWN | {"{from_at}": _at("(turn % 10)", "((turn {div} 10) % 3)"), "{to_at}": _at("((turn * 3) % 10)", "(6 + (turn {div} 7) % 3)"), "{n}": N}
 SPARK = {"{us}": "unix_micros(cast(ts as timestamp))", "{div}": "div", "{ts}": "timestamp_seconds(epoch_s)"}
 DUCK = {"{us}": "epoch_us(ts)", "{div}": "//", "{ts}": "make_timestamp(epoch_s * 1000000)"}
 
 
 def _filled(sql: str, parts: dict[str, str]) -> str:
-    for k, v in parts.items():
+    for k, v in (SHARED | parts).items():
         sql = sql.replace(k, v)
     return sql
 
 
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The base tables and the derived ones, by name."""
+    """The base tables and the derived ones, by name.  Their SQL refers to them as temporary views and reads times in UTC, so
+    the session's zone is set to that, as DuckDB has it."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     out = {}
     for name in BASE:

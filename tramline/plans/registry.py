@@ -1,6 +1,7 @@
 """Every operator as a query over the driver's tables, beside DuckDB SQL that means the same.
 
-Results are cast by one specification on both sides: timestamps as epoch seconds, dates as text, doubles to six places.
+Results are cast by one specification on both sides: timestamps as epoch seconds, dates as text, doubles to six places
+(``c``: coordinates that are means, to eight).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tramline.plans import fixtures, oracle
 from tramline.plans.oracle import AS_OF, NOW, PLACE, RISK, ROUTE_LABEL, WARM, bucket, label_join, meters, recent, rnd
 from tramline.sources import gtfs, sinks
 from tramline.sources import telemetry as feeds
+from tramline.sources.scratch import shared_folder, stored
 
 CFG = replace(DEFAULT, timezone="UTC", service_gap_s=60)
 RD = "route_id:s direction_id:l"
@@ -36,7 +38,7 @@ class Tables:
 
     @property
     def timetable(self) -> dict[str, DataFrame]:
-        return {k: self.t[k] for k in ("trips", "calendar", "stop_times", "stops", "routes")}
+        return {k: self.t[k] for k in ("trips", "calendar", "stop_times", "stops", "routes", "shapes")}
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -46,6 +48,19 @@ class Tables:
     def events(self) -> DataFrame:
         return matching.match_stop_delay(self.t["telemetry"], self.t["trips"], self.t["calendar"], self.t["stop_times"], self.t["stops"], CFG)
 
+    @cached_property
+    def events_once(self) -> DataFrame:
+        """The events stored, for queries that read them several times."""
+        return stored(self.events, "events")
+
+    @cached_property
+    def features_once(self) -> DataFrame:
+        return stored(self.features, "features")
+
+    @cached_property
+    def predictions_once(self) -> DataFrame:
+        return stored(ml.score_latest_features(self.features_once, self.as_of, None, CFG), "predictions")
+
     @cached_property
     def delay(self) -> DataFrame:
         return matching.route_delay(self.events)
@@ -76,7 +91,9 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.feature_windows(self.delay, self.speed, self.bunch, self.gaps, self.dwell, self.fresh, self.hot, self.t["routes"], CFG)
+        e = self.events_once
+        delay, dwell, hot = matching.route_delay(e), matching.stop_dwell_windows(e, 3600), matching.geo_hotspots(e, self.t["stops"])
+        return features.feature_windows(delay, self.speed, self.bunch, self.gaps, dwell, self.fresh, hot, self.t["routes"], CFG)
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -84,7 +101,7 @@ class Tables:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return self.t["od_requests"].select("request_id", F.col("origin_stop_id").alias("origin_id"), F.col("destination_stop_id").alias("destination_id"), "service_date", "departure_s")
+        return self.t["od_requests"].select("request_id", "origin_id", "destination_id", "service_date", "departure_s")
 
     @cached_property
     def places(self) -> DataFrame:
@@ -111,7 +128,7 @@ class Tables:
 
 def _cast(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
     kinds = {
-        "s": lambda c: c.cast("string"), "l": lambda c: c.cast("long"), "d": lambda c: F.round(c.cast("double"), 6), "b": lambda c: c.cast("boolean"),
+        "s": lambda c: c.cast("string"), "l": lambda c: c.cast("long"), "d": lambda c: F.round(c.cast("double"), 6), "c": lambda c: F.round(c.cast("double"), 8), "b": lambda c: c.cast("boolean"),
         "t": lambda c: F.unix_timestamp(c), "D": lambda c: c.cast("date").cast("string"),
     }
     return df.select([kinds[k](F.col(c)).alias(c) for c, k in spec])
@@ -148,9 +165,14 @@ q(
     f"select * from (select *, row_number() over (partition by vehicle_id order by event_time desc, event_id desc) as n from telemetry where {recent('event_time', 300)}) where n = 1",
 )
 q("daily_fleet", "bucket:t unique_vehicles:l unique_routes:l total_position_reports:l", lambda x: telemetry.daily_fleet(x.t["telemetry"]), "select * from d_fleet")
+SESSIONS = """
+select min(event_time) as session_start, max(event_time) + interval 300 second as session_end, route_id, direction_id, count(*) as reports
+from (select *, sum(n) over (partition by route_id, direction_id order by epoch_s, event_id) as s
+      from (select *, case when epoch_s - lag(epoch_s) over (partition by route_id, direction_id order by epoch_s, event_id) <= 300 then 0 else 1 end as n from telemetry_sparse) x) y
+group by route_id, direction_id, s"""
 q(
     "session_presence", f"session_start:t session_end:t {RD} reports:l", lambda x: telemetry.session_presence(x.t["telemetry_sparse"], 300),
-    "select min(event_time) as session_start, max(event_time) + interval 300 second as session_end, route_id, direction_id, count(*) as reports from (select *, sum(n) over (partition by route_id order by epoch_s, event_id) as s from (select *, case when epoch_s - lag(epoch_s) over (partition by route_id order by epoch_s, event_id) < 300 then 0 else 1 end as n from telemetry_sparse)) group by route_id, direction_id, s",
+    SESSIONS,
 )
 
 
@@ -204,7 +226,7 @@ q("unmatched_positions", f"event_id:l event_time:t vehicle_id:s {RD}", lambda x:
 q("newest_unmatched_limit", f"event_id:l event_time:t vehicle_id:s {RD}", lambda x: matching.unmatched_positions(x.t["telemetry"], x.events, x.as_of, CFG, CFG.match_batch), UNMATCHED + " order by event_time desc, event_id desc limit 20")
 q(
     "stop_delay_insert_unique", EVENT, lambda x: sinks.insert_unique(x.events.filter("stop_sequence <= 3"), x.events.union(x.events)),
-    "select * from events_matched e where not exists (select 1 from events_matched o where o.stop_sequence <= 3 and o.observed_time = e.observed_time and o.vehicle_id = e.vehicle_id and o.route_id = e.route_id and o.direction_id is not distinct from e.direction_id and o.trip_id = e.trip_id and o.stop_id = e.stop_id)",
+    "select * from (select *, row_number() over (partition by observed_time, vehicle_id, route_id, direction_id, trip_id, stop_id order by scheduled_time, service_date, stop_sequence, delay_sec, distance_to_stop_m) as n from events_matched) e where n = 1 and not exists (select 1 from events_matched o where o.stop_sequence <= 3 and o.observed_time = e.observed_time and o.vehicle_id = e.vehicle_id and o.route_id = e.route_id and o.direction_id is not distinct from e.direction_id and o.trip_id = e.trip_id and o.stop_id = e.stop_id)",
 )
 q(
     "dedupe_stop_delay", f"vehicle_id:s {RD} created:l", lambda x: matching.dedupe_stop_delay(x.t["telemetry"].select("vehicle_id", "route_id", "direction_id", F.col("event_id").alias("created")), ("vehicle_id", "route_id", "direction_id"), "created"),
@@ -234,8 +256,35 @@ q(
     "select a.*, f.avg_freshness_sec from f_delay a left join f_fresh f on f.feature_time = a.feature_time and f.route_id = a.route_id and f.direction_id is not distinct from a.direction_id",
 )
 q("latest_features", f"{FT} avg_delay_sec:d hotspot_score:d", lambda x: views.latest_features(x.features, x.as_of), "select * from latest_feature")
-q("matching_cycle", f"{FT} vehicle_count:l avg_delay_sec:d", lambda x: matching.matching_cycle(x.t["telemetry"], x.events.limit(0), x.timetable, {"speed": x.speed, "bunching": x.bunch, "gaps": x.gaps, "freshness": x.fresh}, x.as_of, CFG)["realtime_feature_windows"],
-  f"select {bucket('window_start', 900)} as feature_time, route_id, direction_id, sum(vehicle_count) as vehicle_count, avg(avg_delay_sec) as avg_delay_sec from (select {bucket('observed_time', 60)} as window_start, route_id, direction_id, count(distinct vehicle_id) as vehicle_count, avg(delay_sec) as avg_delay_sec from events_matched where match_method = 'trip_start_geofence' and {recent('observed_time', 7200)} group by all) group by all")
+
+
+def _cycle(x: Tables) -> DataFrame:
+    """A cycle at the end of the day after one that ended an hour earlier: its events are there, its tables are refreshed."""
+    metrics = {"speed": x.speed, "bunching": x.bunch, "gaps": x.gaps, "freshness": x.fresh}
+    hour = F.expr("interval 1 hour")
+    known = x.events_once.filter(F.col("observed_time") < x.as_of - hour)
+    path = shared_folder(x.spark, "matched")
+    sinks.write_partitioned(known, path, "observed_time")
+    stale = x.features_once.withColumn("avg_delay_sec", F.lit(0.0))
+    out = matching.matching_cycle(x.t["telemetry"], x.spark.read.parquet(path), x.timetable, metrics, x.as_of, CFG, {"realtime_feature_windows": stale})
+    return out["realtime_feature_windows"]
+
+
+CYCLE_FROM = AS_OF - 7200
+q(
+    "matching_cycle", f"{FT} vehicle_count:l avg_delay_sec:d", _cycle,
+    f"""
+    with known as (select * from events_matched where epoch(observed_time) < {AS_OF - 3600} and epoch(observed_time) >= {CYCLE_FROM}),
+    newly as (
+      select * exclude (n) from (
+        select *, row_number() over (partition by observed_time, vehicle_id, route_id, direction_id, trip_id, stop_id order by scheduled_time, service_date, stop_sequence, delay_sec, distance_to_stop_m) as n
+        from events_matched e where match_method = 'trip_start_geofence' and {recent('observed_time', 7200)} and epoch(observed_time) >= {AS_OF - 3600}) x where n = 1),
+    minutes as (
+      select {bucket('observed_time', 60)} as window_start, route_id, direction_id, count(distinct vehicle_id) as vehicle_count, avg(delay_sec) as avg_delay_sec
+      from (select * from known union all select * from newly) y group by all)
+    select {bucket('window_start', 900)} as feature_time, route_id, direction_id, sum(vehicle_count) as vehicle_count, avg(avg_delay_sec) as avg_delay_sec from minutes group by all
+    union all select feature_time, route_id, direction_id, vehicle_count, 0 from features where epoch(feature_time) < {CYCLE_FROM}""",
+)
 
 # --- rollups and views ---------------------------------------------------------------------------------------------------
 B = f"bucket:t {RD}"
@@ -295,18 +344,20 @@ q("score_latest_features", PRED, lambda x: x.predictions, "select * from predict
 q("latest_route_predictions", f"{RD} target_time:t predicted_delay_sec:d route_short_name:s is_stale:b", lambda x: views.latest_route_predictions(x.predictions.unionByName(x.predictions.withColumn("prediction_time", F.col("prediction_time") - F.expr("interval 1 hour"))), x.t["routes"], x.as_of), label_join("select *, false as is_stale from predictions"))
 
 
-def _old_and_new(x: Tables) -> DataFrame:
-    old = x.t["telemetry"].select("route_id", "direction_id", (F.col("event_time") - F.expr("interval 1 hour")).alias("prediction_time"), F.col("event_time").alias("target_time"), "latitude", "event_id")
-    return old
+def _bunching(x: Tables) -> DataFrame:
+    """Predictions of two rounds, an hour apart; the view has to take the newer ones."""
+    now = stored(ml.bunching_prediction(x.features_once, x.bunch, x.as_of, CFG), "bunching")
+    return now.unionByName(now.withColumn("prediction_time", F.col("prediction_time") - F.expr("interval 1 hour")))
 
 
+LATEST_RD = "select distinct route_id, direction_id from features"
 q(
-    "latest_bunching_predictions", f"{RD} target_time:t prediction_time:t route_short_name:s", lambda x: views.latest_bunching_predictions(_old_and_new(x), x.t["routes"], x.as_of),
-    f"select x.*, r.route_short_name from (select distinct route_id, direction_id, event_time as target_time, event_time - interval 1 hour as prediction_time from telemetry where event_time >= {NOW} - interval 15 minute) x left join routes r using (route_id)",
+    "latest_bunching_predictions", f"{RD} target_time:t prediction_time:t route_short_name:s", lambda x: views.latest_bunching_predictions(_bunching(x), x.t["routes"], x.as_of),
+    f"select x.*, r.route_short_name from (select *, {NOW} + interval 30 minute as target_time, {NOW} as prediction_time from ({LATEST_RD}) y) x left join routes r using (route_id)",
 )
 q(
-    "attribution_top5", f"attribution_time:t {RD} feature_rank:l", lambda x: views.attribution_top5(x.t["telemetry"].select(F.col("event_time").alias("attribution_time"), "route_id", "direction_id", (F.col("event_id") % 10).alias("feature_rank")), x.as_of),
-    f"select event_time as attribution_time, route_id, direction_id, event_id % 10 as feature_rank from telemetry where event_id % 10 <= 5 and {recent('event_time', 86400)}",
+    "attribution_top5", f"attribution_time:t {RD} feature_rank:l", lambda x: views.attribution_top5(_attributed(x), x.as_of),
+    f"select {NOW} as attribution_time, route_id, direction_id, unnest(generate_series(1, 5)) as feature_rank from ({LATEST_RD}) x",
 )
 
 # --- reports -------------------------------------------------------------------------------------------------------------
@@ -353,36 +404,46 @@ q(
     "select l.feature_time, l.route_id, l.direction_id, target_delay_sec, cast(target_delay_sec >= 300 as int) as high_delay, case when exists (select 1 from bunch b where b.route_id = l.route_id and b.direction_id = l.direction_id and b.event_time > l.feature_time and b.event_time <= l.feature_time + interval 1800 second) then 1 else 0 end as bunching_ahead from labelled l",
 )
 q("baseline_predictions", f"{FT} target_delay_sec:d persistence_delay:d hour_of_day_delay:d", lambda x: ml.baseline_predictions(x.features, CFG), "select *, avg_delay_sec as persistence_delay, avg(target_delay_sec) over (partition by route_id, direction_id, hour_of_day) as hour_of_day_delay from labelled where target_delay_sec is not null")
-q("feature_attribution", f"{FT} feature_name:s feature_value:d contribution_score:d feature_rank:l", lambda x: ml.feature_attribution(x.features, {"avg_delay_sec": 0.5, "avg_speed_kmh": 0.3, "hotspot_score": 0.2}, x.as_of, CFG), None)
-q("bunching_prediction", f"{FT} bunching_probability:d", lambda x: ml.bunching_prediction(x.features, x.bunch, x.as_of, CFG), None)
+q("bunching_prediction", f"{FT} bunching_probability:d", lambda x: ml.bunching_prediction(x.features_once, x.bunch, x.as_of, CFG), None)
+MODELS: dict[tuple[str, str], str] = {}  # by application and tables: the folder of the model trained on them
+
+
+def _model(x: Tables) -> str:
+    """Where the delay model of these tables is saved; it is trained once in a session, as a scheduled job would."""
+    key = (x.spark.sparkContext.applicationId, x.sf_dir)
+    if key not in MODELS:
+        rows = stored(ml.build_training_dataset(ml.label_future_window(x.features_once, CFG)), "training")
+        path = shared_folder(x.spark, "model")
+        ml.save_model(*ml.train_delay_model(rows), path)
+        MODELS[key] = path
+    return MODELS[key]
 
 
 def _trained(x: Tables) -> DataFrame:
-    """The model's predictions of all labelled windows; fewer trees than by default, as the fixture has few windows."""
-    data = ml.build_training_dataset(ml.label_future_window(x.features, replace(CFG, horizon_minutes=15))).cache()
-    model, _ = ml.train_delay_model(data, max_iter=10)
-    return model.transform(data)
+    """The saved model's predictions of all labelled windows."""
+    return ml.load_model(_model(x)).transform(ml.build_training_dataset(ml.label_future_window(x.features_once, CFG)))
+
+
+def _attributed(x: Tables) -> DataFrame:
+    return ml.feature_attribution(x.features_once, ml.importances(ml.load_model(_model(x))), x.as_of, CFG)
 
 
 q("train_delay_model", f"{FT} target:d prediction:d", _trained, None)
+q("model_report", "metric:s value:d", lambda x: ml.read_report(x.spark, _model(x)).filter("metric in ('train_rows', 'test_rows')"),
+  """select 'train_rows' as metric, greatest(1, floor(count(*) * 0.8)) as value from labelled where target_delay_sec is not null
+     union all select 'test_rows', count(*) - greatest(1, floor(count(*) * 0.8)) from labelled where target_delay_sec is not null""")
+q("score_with_saved_model", f"{FT} target_time:t horizon_minutes:l model_version:s", lambda x: ml.score_saved(x.features_once, x.as_of, _model(x), CFG), f"select feature_time, route_id, direction_id, {NOW} + interval 1800 second as target_time, 30 as horizon_minutes, 'delay-gbt-v1' as model_version from latest_feature")
+q("score_without_saved_model", PRED, lambda x: ml.score_saved(x.features_once, x.as_of, shared_folder(x.spark, "nothing"), CFG), "select * from predictions")
+q("feature_attribution", f"{FT} feature_name:s feature_value:d contribution_score:d feature_rank:l", _attributed, None)
 q("predictions_append", PRED, lambda x: _appended(x), "select * from predictions")
 
 
 def _appended(x: Tables) -> DataFrame:
-    path = _scratch(x.spark)
+    path = shared_folder(x.spark, "predictions")
     sinks.predictions_append(x.predictions, path)
     return x.spark.read.parquet(path)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder on the storage that driver and executors share; a temporary one only where the session names none."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tramline-")
-    return f"{root.rstrip('/')}/transit-{uuid.uuid4().hex}"
-
-
 # --- scalar functions ----------------------------------------------------------------------------------------------------
 SECONDS = "cast(substr(trip_start_time, 1, 2) as int) * 3600 + cast(substr(trip_start_time, 4, 2) as int) * 60 + cast(substr(trip_start_time, 7, 2) as int)"
 scalar("gtfs_time_to_seconds", "telemetry", "event_id:l", lambda: X.gtfs_time_to_seconds("trip_start_time"), "l", SECONDS)
@@ -402,6 +463,8 @@ scalar("zone_id_3dp", "stops", "stop_id:s", lambda: X.zone_id_3dp("stop_lat", "s
 scalar("risk_level", "telemetry", "event_id:l", lambda: X.risk_level(F.col("event_id") % 700), "s", RISK.format("event_id % 700"))
 scalar("high_delay_label", "telemetry", "event_id:l", lambda: X.high_delay_label(F.col("event_id") % 700), "l", "cast(event_id % 700 >= 300 as int)")
 scalar("route_type_label", "telemetry", "event_id:l", lambda: X.route_type_label(F.col("event_id") % 14), "s", ROUTE_LABEL.replace("route_type", "(event_id % 14)"))
+scalar("planner_route_type_label", "telemetry", "event_id:l", lambda: X.planner_route_type_label(F.when(F.col("event_id") % 16 < 15, F.col("event_id") % 16)), "s", "case event_id % 16 "
+  + " ".join(f"when {k} then '{v}'" for k, v in X.PLANNER_ROUTE_TYPES.items()) + " when 15 then 'unknown' else 'type ' || (event_id % 16) end")
 scalar("route_status_band", "telemetry", "event_id:l", lambda: X.route_status_band(F.col("event_id") % 400), "s", BAND.replace("avg_delay_sec", "event_id % 400"))
 scalar("traffic_status_band", "telemetry", "event_id:l", lambda: X.traffic_status_band(F.col("event_id") % 20), "s", "case when event_id % 20 < 8 then 'congested' when event_id % 20 < 15 then 'slow' else 'normal' end")
 scalar("freshness_status_band", "telemetry", "event_id:l", lambda: X.freshness_status_band(F.col("event_id") % 150), "s", "case when event_id % 150 > 120 then 'stale' when event_id % 150 > 45 then 'degraded' else 'healthy' end")
@@ -412,8 +475,8 @@ scalar("clamp_delay", "telemetry", "event_id:l", lambda: X.clamp_delay(F.when(F.
 scalar("walk_seconds", "telemetry", "event_id:l", lambda: X.walk_seconds(F.col("event_id") % 1000), "l", "ceil((event_id % 1000) / 1.25e0)")
 scalar("minutes_between", "telemetry", "event_id:l", lambda: X.minutes_between(F.lit(1704092400), "epoch_s"), "l", "greatest(0, ceil((epoch_s - 1704092400) / 60e0))")
 q("web_mercator_xy", "stop_id:s x:d y:d", lambda x: x.t["stops"].select("stop_id", X.web_mercator_xy("stop_lat", "stop_lon", F.lit(14)).alias("p")).select("stop_id", "p.*"), "select stop_id, (stop_lon + 180) / 360 * 256 * pow(2, 14) as x, (0.5e0 - ln((1 + sin(radians(stop_lat))) / (1 - sin(radians(stop_lat)))) / (4 * pi())) * 256 * pow(2, 14) as y from stops")
-q("bbox_filter", "stop_id:s", lambda x: X.bbox_filter(x.t["stops"], 44.43, 26.06, 44.41, 26.08, "stop_lat", "stop_lon"), "select stop_id from stops where stop_lat between 44.41e0 and 44.43e0 and stop_lon between 26.06e0 and 26.08e0")
-q("stop_search", "place_id:s name:s", lambda x: X.stop_search(x.places, "E1", 20), "select place_id, name from places where contains(lower(name), 'e1') or len(list_filter(stop_ids, lambda s: contains(lower(s), 'e1'))) > 0 or len(list_filter(names, lambda s: contains(lower(s), 'e1'))) > 0 order by name, place_id limit 20")
+q("bbox_filter", "stop_id:s", lambda x: X.bbox_filter(x.t["stops"], 44.05, 25.53, 44.03, 25.55, "stop_lat", "stop_lon"), "select stop_id from stops where stop_lat between 44.03e0 and 44.05e0 and stop_lon between 25.53e0 and 25.55e0")
+q("stop_search", "place_id:s name:s", lambda x: X.stop_search(x.places, "Anvil", 20), "select place_id, name from places where contains(lower(name), 'anvil') or len(list_filter(stop_ids, lambda s: contains(lower(s), 'anvil'))) > 0 or len(list_filter(names, lambda s: contains(lower(s), 'anvil'))) > 0 order by name, place_id limit 20")
 q("parse_location_id", "event_id:l lat:d lon:d", lambda x: x.t["telemetry"].select("event_id", X.parse_location_id(F.concat(F.when(F.col("event_id") % 11 == 0, "at:").otherwise("loc:"), (F.col("latitude") + F.col("event_id") % 2).cast("string"), F.lit(","), F.col("longitude").cast("string"))).alias("p")).select("event_id", "p.*"), "select event_id, case when ok then latitude end as lat, case when ok then longitude end as lon from (select *, event_id % 11 <> 0 and event_id % 2 = 0 as ok from telemetry)")
 q("recent_filter", f"event_id:l event_time:t {RD}", lambda x: X.recent_filter(x.t["telemetry"], "event_time", x.as_of, 1800), f"select * from telemetry where {recent('event_time', 1800)}")
 scalar("display_round", "telemetry", "event_id:l", lambda: X.display_round(F.col("latitude") * 10, 1), "d", rnd("latitude * 10", 1))
@@ -421,39 +484,36 @@ scalar("display_round", "telemetry", "event_id:l", lambda: X.display_round(F.col
 # --- planner -------------------------------------------------------------------------------------------------------------
 q("stop_places", "place_id:s name:s lat:d lon:d stop_count:l ids:s", lambda x: x.places.withColumn("ids", F.array_join("stop_ids", ",")), "select *, array_to_string(stop_ids, ',') as ids from places")
 q("transfer_stop_pairs", "from_stop_id:s to_stop_id:s meters:d", lambda x: planner.transfer_stop_pairs(x.t["stops"], 500.0), oracle.CTES["pairs"].replace("<= 180", "<= 500"))
-LOCS = "select cast(c_custkey as varchar) as location_id, 44.40e0 + (c_custkey % 17) * 0.002e0 as loc_lat, 26.05e0 + (c_custkey % 13) * 0.003e0 as loc_lon from customer"
+LOCS = "select cast(c_custkey as varchar) as location_id, 44.02e0 + (c_custkey % 97) * 0.009e0 as loc_lat, 25.52e0 + (c_custkey % 31) * 0.003e0 as loc_lon from customer"
 q(
     "access_stop_join", "location_id:s place_id:s meters:d rank:l", lambda x: planner.access_stop_join(x.spark.sql(LOCS.replace("varchar", "string")), x.places, CFG),
     f"select * from (select *, row_number() over (partition by location_id order by meters, place_id) as rank from (select location_id, place_id, {meters('loc_lat', 'lat', 'loc_lon', 'lon')} as meters from ({LOCS}) l, places p) where meters <= 900) where rank <= 10",
 )
 q("resolve_endpoints", "request_id:l side:s stop_id:s walk_m:d", lambda x: x.ends, "select * from ends")
 q("service_windows", "request_id:l service_date:D earliest_s:l service_id:s", lambda x: x.windows, "select * from windows")
-LEG1 = "request_id:l service_date:D leg1_trip_id:s leg1_from_stop:s leg1_to_stop:s leg1_dep_s:l leg1_arr_s:l"
-LEG2 = f"{LEG1} leg2_trip_id:s leg2_from_stop:s leg2_to_stop:s leg2_dep_s:l leg2_arr_s:l transfer_m:d"
-q("direct_trip_join", LEG1, lambda x: planner.direct_trip_join(x.ends, x.windows, x.t["trips"], x.t["stop_times"], CFG), "select * from direct")
-DIRECT = "select * from (select *, row_number() over (partition by request_id, service_date order by leg1_arr_s, leg1_dep_s, leg1_from_stop, leg1_to_stop, leg1_trip_id) as n from direct) where n <= 30"
-TRANSFER = "select * from (select *, row_number() over (partition by request_id, service_date order by leg2_arr_s, leg1_dep_s, leg1_from_stop, leg1_to_stop, leg1_trip_id, leg2_from_stop, leg2_to_stop, leg2_trip_id) as n from transfer) where n <= 30"
-q("direct_itineraries", LEG1, lambda x: planner.direct_itineraries(x.ends, x.windows, x.t["trips"], x.t["stop_times"], CFG), DIRECT)
-q("one_transfer_join", LEG2, lambda x: planner.one_transfer_join(x.ends, x.windows, x.t["trips"], x.t["stop_times"], x.t["stops"], CFG), "select * from transfer")
-q("one_transfer_itineraries", LEG2, lambda x: planner.one_transfer_itineraries(x.ends, x.windows, x.t["trips"], x.t["stop_times"], x.t["stops"], CFG), TRANSFER)
-q("planner_candidate_topk", LEG1, lambda x: planner.top_per_request(planner._ride(planner.boardings(x.ends, x.windows, x.t["trips"], x.t["stop_times"], CFG), x.t["stop_times"], "leg1"), CFG.first_legs, "leg1_arr_s"), "select * from first_legs")
+LEG1 = "request_id:l service_date:D leg1_trip_id:s leg1_from_stop:s leg1_to_stop:s leg1_from_seq:l leg1_to_seq:l leg1_dep_s:l leg1_arr_s:l access_m:d"
+LEG2 = f"{LEG1} leg2_trip_id:s leg2_from_stop:s leg2_to_stop:s leg2_from_seq:l leg2_to_seq:l leg2_dep_s:l leg2_arr_s:l transfer_m:d egress_m:d"
+
+
+def _search(x: Tables) -> tuple:
+    return x.ends, x.windows, x.t["trips"], x.t["stop_times"]
+
+
+q("direct_trip_join", f"{LEG1} egress_m:d", lambda x: planner.direct_trip_join(*_search(x), CFG), "select * from direct")
+q("direct_itineraries", f"{LEG1} egress_m:d", lambda x: planner.direct_itineraries(*_search(x), CFG), "select * from direct30")
+q("one_transfer_join", LEG2, lambda x: planner.one_transfer_join(*_search(x), x.t["stops"], CFG), "select * from transfer")
+q("one_transfer_itineraries", LEG2, lambda x: planner.one_transfer_itineraries(*_search(x), x.t["stops"], CFG), "select * from transfer30")
+q("planner_candidate_topk", LEG1, lambda x: planner.top_per_request(planner.first_rides(*_search(x), CFG), CFG.first_legs, "leg1_arr_s"), "select * from first_legs")
 
 
 def _found(x: Tables) -> DataFrame:
-    t = x.t
-    return planner.union_service_windows(planner.direct_itineraries(x.ends, x.windows, t["trips"], t["stop_times"], CFG), planner.one_transfer_itineraries(x.ends, x.windows, t["trips"], t["stop_times"], t["stops"], CFG))
+    rides = stored(planner.first_rides(*_search(x), CFG), "rides")
+    return stored(planner.union_service_windows(planner.direct_itineraries(*_search(x), CFG, rides), planner.one_transfer_itineraries(*_search(x), x.t["stops"], CFG, rides)), "found")
 
 
-q("union_service_windows", f"kind:s {LEG1}", _found, f"select 'direct' as kind, request_id, service_date, leg1_trip_id, leg1_from_stop, leg1_to_stop, leg1_dep_s, leg1_arr_s from ({DIRECT}) union all select 'one_transfer', request_id, service_date, leg1_trip_id, leg1_from_stop, leg1_to_stop, leg1_dep_s, leg1_arr_s from ({TRANSFER})")
-ASSEMBLED = f"""
-select request_id, kind, epoch(service_date) + leg1_dep_s as dep, epoch(service_date) + arr_s as arr, greatest(0, ceil((epoch(service_date) + arr_s - requested) / 60)) as total_minutes,
-  greatest(0, ceil((epoch(service_date) + leg1_dep_s - requested) / 60)) as waiting_minutes, transfers, legs, sig
-from (
-  select request_id, service_date, 'direct' as kind, leg1_dep_s, leg1_arr_s as arr_s, 0 as transfers, 1 as legs, leg1_trip_id || '/' || leg1_from_stop || '/' || leg1_to_stop as sig from ({DIRECT})
-  union all select request_id, service_date, 'one_transfer', leg1_dep_s, leg2_arr_s, 1, 3, leg1_trip_id || '/' || leg1_from_stop || '/' || leg1_to_stop || '/' || leg2_trip_id || '/' || leg2_from_stop || '/' || leg2_to_stop from ({TRANSFER})
-) join (select request_id, epoch(service_date) + departure_s as requested from od_requests) using (request_id)
-where epoch(service_date) + leg1_dep_s >= requested"""
-ITIN = "request_id:l kind:s dep:l arr:l total_minutes:l waiting_minutes:l transfers:l legs:l"
+q("union_service_windows", f"kind:s {LEG1}", _found, "select * from found")
+ITIN = "request_id:l kind:s dep:l arr:l total_minutes:l waiting_minutes:l transfers:l legs:l itinerary_id:s"
+EXPECTED = f"{ITIN} expected_arr:l expected_minutes:l expected_delay_minutes:l"
 
 
 def _rides(x: Tables) -> DataFrame:
@@ -461,73 +521,121 @@ def _rides(x: Tables) -> DataFrame:
 
 
 def _delayed(x: Tables) -> DataFrame:
-    return planner.apply_expected_delays(_rides(x), lambda legs: planner.leg_delay_estimate(legs, x.predictions, x.features, x.events, x.as_of, "UTC"))
+    rides = planner.apply_expected_delays(_rides(x), lambda legs: planner.leg_delay_estimate(legs, x.predictions_once, x.features_once, x.events_once, x.as_of, "UTC"))
+    return stored(rides, "delayed")
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return df.withColumn("legs", F.size("legs"))
 
 
 def _legs(x: Tables) -> DataFrame:
     """Rides as legs to estimate: the first legs of all candidates."""
-    return _found(x).select(F.concat_ws("/", "leg1_trip_id", "leg1_from_stop", "leg1_to_stop", "service_date").alias("leg_id"), F.col("leg1_route_id").alias("route_id"), F.col("leg1_direction_id").alias("direction_id"), (X.epoch(F.col("service_date").cast("timestamp")) + F.col("leg1_dep_s")).alias("dep")).distinct()
+    name = F.concat_ws("/", "leg1_trip_id", "leg1_from_seq", "leg1_to_seq", "service_date").alias("leg_id")
+    dep = (X.epoch(F.col("service_date").cast("timestamp")) + F.col("leg1_dep_s")).alias("dep")
+    return _found(x).select(name, F.col("leg1_route_id").alias("route_id"), F.col("leg1_direction_id").alias("direction_id"), dep).distinct()
 
 
-LEGS = f"(select distinct f.leg1_trip_id || '/' || leg1_from_stop || '/' || leg1_to_stop || '/' || cast(service_date as varchar) as leg_id, t.route_id, t.direction_id, epoch(service_date) + leg1_dep_s as dep from (select leg1_trip_id, leg1_from_stop, leg1_to_stop, service_date, leg1_dep_s from ({DIRECT}) union all select leg1_trip_id, leg1_from_stop, leg1_to_stop, service_date, leg1_dep_s from ({TRANSFER})) f join trips t on t.trip_id = f.leg1_trip_id)"
-CLAMP = "cast(round_even(greatest(-120e0, least(1800e0, {0})), 0) as bigint)"
-ASOF = f"select leg_id, {CLAMP.format('predicted_delay_sec')} as seconds, confidence from (select *, row_number() over (partition by leg_id order by abs(epoch(target_time) - dep), prediction_time desc, target_time desc, coalesce(p.direction_id, -1)) as n from {LEGS} l join predictions p on p.route_id = l.route_id and (l.direction_id is null or p.direction_id is null or p.direction_id = l.direction_id) and abs(epoch(target_time) - dep) <= 5400) where n = 1"
-HOUR = "hour(make_timestamp(cast(dep as bigint) * 1000000))"
-DOW = "isodow(make_timestamp(cast(dep as bigint) * 1000000))"
-FPROF = f"select route_id, direction_id, hour_of_day, day_of_week, avg(avg_delay_sec) as delay_sec, sum(observation_count) as observations, least(0.85e0, 0.35e0 + sum(observation_count) / 200e0) as confidence from features where avg_delay_sec is not null and {recent('feature_time', 60 * 86400)} group by all"
-EPROF = f"select route_id, direction_id, hour(scheduled_time) as hour_of_day, isodow(scheduled_time) as day_of_week, avg(delay_sec) as delay_sec, count(*) as observations, least(0.7e0, 0.25e0 + count(*) / 300e0) as confidence from events_matched where {recent('observed_time', 60 * 86400)} group by all"
+LEGS = """
+(select distinct leg1_trip_id || '/' || leg1_from_seq || '/' || leg1_to_seq || '/' || cast(service_date as varchar) as leg_id, leg1_route_id as route_id, leg1_direction_id as direction_id,
+   epoch(service_date) + leg1_dep_s as dep from found)"""
+PROFILE = f"{RD} hour_of_day:l day_of_week:l delay_sec:d observations:l confidence:d"
+q("history_feature_profile", PROFILE, lambda x: planner.history_feature_profile(x.features, x.as_of), oracle.FPROF)
+q("history_event_profile", PROFILE, lambda x: planner.history_event_profile(x.events, x.as_of, "UTC"), oracle.EPROF)
+q("prediction_asof_join", "leg_id:s seconds:l confidence:d", lambda x: planner.prediction_asof_join(_legs(x), x.predictions_once), oracle.asof(LEGS))
+q(
+    "history_profile_join", "leg_id:s seconds:l confidence:d",
+    lambda x: planner.history_profile_join(_legs(x), planner.history_feature_profile(x.features_once, x.as_of), "UTC", 0.35, 0.85, 200.0),
+    oracle.feature_history(LEGS),
+)
+q(
+    "leg_delay_estimate", "leg_id:s seconds:l source:s confidence:d",
+    lambda x: planner.leg_delay_estimate(stored(_legs(x), "legs"), x.predictions_once, x.features_once, x.events_once, x.as_of, "UTC"),
+    oracle.estimates(LEGS),
+)
+q("assemble_itineraries", ITIN, lambda x: _sized(_rides(x)), "select * from itins")
+q("apply_expected_delays", EXPECTED, lambda x: _sized(_delayed(x)), "select * from delayed")
+q("soft_filter_itineraries", EXPECTED, lambda x: _sized(planner.soft_filter_itineraries(_delayed(x), CFG)), "select * from soft")
+q(
+    "walking_itineraries", "request_id:l arr:l total_minutes:l", lambda x: planner.walking_itineraries(x.requests, x.ends, planner.soft_filter_itineraries(_delayed(x), CFG), CFG),
+    "select *, expected_minutes as total_minutes from walks",
+)
+q(
+    "itinerary_dedupe_topk", f"{ITIN} rank:l", lambda x: _sized(planner.itinerary_dedupe_topk(_rides(x).withColumn("expected_arr", F.col("arr")))),
+    """select * from (select *, row_number() over (partition by request_id order by arr, transfers, dep, itinerary_id) as rank
+       from (select *, row_number() over (partition by request_id, sig order by arr, transfers, dep, itinerary_id) as same from itins) x where same = 1) y where rank <= 5""",
+)
 
 
-def _hist(profile: str, base: str, top: str, per: str) -> str:
-    return f"select leg_id, {CLAMP.format('sum(delay_sec * observations) / sum(observations)')} as seconds, least({top}, {base} + sum(observations) / {per}) as confidence from {LEGS} l join ({profile}) p on p.route_id = l.route_id and p.hour_of_day = {HOUR} and p.day_of_week = {DOW} and (l.direction_id is null or p.direction_id is null or p.direction_id = l.direction_id) group by leg_id"
+def _planned(x: Tables) -> DataFrame:
+    out = planner.plan_trips(x.requests, x.timetable, x.predictions_once, x.features_once, x.events_once, x.as_of, CFG)
+    return _sized(out.withColumn("points", F.aggregate("geometries", F.lit(0), lambda n, g: n + F.size(g))))
 
 
-HIST_F, HIST_E = _hist(FPROF, "0.35e0", "0.85e0", "200e0"), _hist(EPROF, "0.25e0", "0.7e0", "300e0")
-PROFILE = f"{RD} hour_of_day:l day_of_week:l delay_sec:d observations:l confidence:d"
-q("history_feature_profile", PROFILE, lambda x: planner.history_feature_profile(x.features, x.as_of), FPROF)
-q("history_event_profile", PROFILE, lambda x: planner.history_event_profile(x.events, x.as_of, "UTC"), EPROF)
-q("prediction_asof_join", "leg_id:s seconds:l confidence:d", lambda x: planner.prediction_asof_join(_legs(x), x.predictions), ASOF)
-q("history_profile_join", "leg_id:s seconds:l confidence:d", lambda x: planner.history_profile_join(_legs(x), planner.history_feature_profile(x.features, x.as_of), "UTC", 0.35, 0.85, 200.0), HIST_F)
 q(
-    "leg_delay_estimate", "leg_id:s seconds:l source:s confidence:d", lambda x: planner.leg_delay_estimate(_legs(x), x.predictions, x.features, x.events, x.as_of, "UTC"),
-    f"select l.leg_id, coalesce(a.seconds, f.seconds, e.seconds, 0) as seconds, case when a.leg_id is not null then 'model_prediction' when f.leg_id is not null then 'historical_feature_windows' when e.leg_id is not null then 'historical_stop_events' else 'static_schedule' end as source, coalesce(a.confidence, f.confidence, e.confidence) as confidence from {LEGS} l left join ({ASOF}) a using (leg_id) left join ({HIST_F}) f using (leg_id) left join ({HIST_E}) e using (leg_id)",
+    "plan_trips", f"{ITIN} expected_arr:l expected_minutes:l rank:l points:l", _planned,
+    """select * from planned join (select request_id, itinerary_id, count(*) as points from plan_points join plan_lines using (leg_id) group by request_id, itinerary_id) g
+       using (request_id, itinerary_id)""",
 )
-q("assemble_itineraries", ITIN, lambda x: _rides(x).withColumn("legs", F.size("legs")), ASSEMBLED)
-q("apply_expected_delays", f"{ITIN} expected_arr:l expected_minutes:l expected_delay_minutes:l", lambda x: _delayed(x).withColumn("legs", F.size("legs")), None)
-q("soft_filter_itineraries", f"{ITIN} expected_arr:l", lambda x: planner.soft_filter_itineraries(_delayed(x), CFG).withColumn("legs", F.size("legs")), None)
-q("walking_itineraries", "request_id:l arr:l total_minutes:l", lambda x: planner.walking_itineraries(x.requests, x.ends, _rides(x).limit(0).withColumn("expected_minutes", F.col("total_minutes")), CFG),
-  f"select request_id, requested + s as arr, ceil(s / 60) as total_minutes from (select request_id, epoch(service_date) + departure_s as requested, ceil({meters('a.lat', 'b.lat', 'a.lon', 'b.lon')} / 1.25e0) as s from od_requests join (select distinct request_id, lat, lon from ends where side = 'origin') a using (request_id) join (select distinct request_id, lat, lon from ends where side = 'destination') b using (request_id)) where ceil(s / 60) <= 45")
-q("itinerary_dedupe_topk", f"{ITIN} rank:l", lambda x: planner.itinerary_dedupe_topk(_rides(x).withColumn("expected_arr", F.col("arr"))).withColumn("legs", F.size("legs")), None)
-q("plan_trips", f"{ITIN} expected_arr:l expected_minutes:l rank:l", lambda x: planner.plan_trips(x.requests, x.timetable, x.predictions, x.features, x.events, x.as_of, CFG).withColumn("legs", F.size("legs")), None)
 
 
 def _points(x: Tables) -> DataFrame:
-    return x.t["stops"].select(F.col("stop_id").alias("point_id"), (F.col("stop_id").cast("int") % 12).cast("string").alias("shape_id"), F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    number = F.col("stop_id").cast("int")
+    shape = (F.floor(number / 100) * 4 + number % 4).cast("string").alias("shape_id")
+    return x.t["stops"].select(F.col("stop_id").alias("point_id"), shape, F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
 
 
-q("nearest_shape_index", "point_id:s shape_id:s shape_pt_sequence:l", lambda x: planner.nearest_shape_index(_points(x), x.t["shapes"]), f"select point_id, shape_id, shape_pt_sequence from (select *, row_number() over (partition by point_id order by {meters('lat', 'shape_pt_lat', 'lon', 'shape_pt_lon')}, shape_pt_sequence) as n from (select stop_id as point_id, cast(cast(stop_id as int) % 12 as varchar) as shape_id, stop_lat as lat, stop_lon as lon from stops) join shapes using (shape_id)) where n = 1")
+q(
+    "nearest_shape_index", "point_id:s shape_id:s shape_pt_sequence:l", lambda x: planner.nearest_shape_index(_points(x), x.t["shapes"]),
+    f"""select point_id, shape_id, shape_pt_sequence from (
+          select *, row_number() over (partition by point_id order by {meters('lat', 'shape_pt_lat', 'lon', 'shape_pt_lon')}, shape_pt_sequence) as n
+          from (select leg_id as point_id, shape_id, from_lat as lat, from_lon as lon from town_lines) p join shapes using (shape_id)) x where n = 1""",
+)
 
 
 def _geometry(x: Tables) -> DataFrame:
-    s = x.t["stops"]
-    legs = s.alias("a").join(s.alias("b"), F.expr("cast(a.stop_id as int) = 99 - cast(b.stop_id as int)")).select(F.col("a.stop_id").alias("leg_id"), F.expr("cast(cast(a.stop_id as int) % 12 as string)").alias("shape_id"), F.col("a.stop_lat").alias("from_lat"), F.col("a.stop_lon").alias("from_lon"), F.col("b.stop_lat").alias("to_lat"), F.col("b.stop_lon").alias("to_lon"))
+    a = _points(x)
+    number = F.col("point_id").cast("int")
+    b = a.select((F.floor(number / 100) * 100 + 99 - number % 100).cast("string").alias("point_id"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    legs = a.join(b, "point_id").select(F.col("point_id").alias("leg_id"), "shape_id", F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), "to_lat", "to_lon")
     g = planner.leg_geometry(legs, x.t["shapes"])
     return g.select("leg_id", F.size("geometry").alias("points"), F.posexplode("geometry").alias("pos", "p")).select("leg_id", "points", "pos", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon"))
 
 
-q("leg_geometry", "leg_id:s points:l pos:l lat:d lon:d", _geometry, None)
-q("map_stop_clusters", "type:s id:s lat:d lon:d count:l place_count:l", lambda x: planner.map_stop_clusters(x.places, 12, 20), "select case when place_count = 1 then 'stop' else 'cluster' end as type, case when place_count = 1 then p else 'cluster:12:' || gx || ':' || gy end as id, lat, lon, count, place_count from (select gx, gy, avg(lat) as lat, avg(lon) as lon, sum(stop_count) as count, count(*) as place_count, min(place_id) as p from (select *, cast(floor((lon + 180) / 360 * 256 * pow(2, 12) / 78) as bigint) as gx, cast(floor((0.5e0 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * pow(2, 12) / 78) as bigint) as gy from places) group by gx, gy)")
+q(
+    "leg_geometry", "leg_id:s points:l pos:l lat:d lon:d", _geometry,
+    f"select leg_id, count(*) over (partition by leg_id) as points, row_number() over (partition by leg_id order by o) - 1 as pos, lat, lon from ({oracle.paths('town_lines')}) g",
+)
+q(
+    "map_stop_clusters", "type:s id:s lat:c lon:c count:l place_count:l name:s ids:s", lambda x: planner.map_stop_clusters(x.places, 12, 20).withColumn("ids", F.array_join("stop_ids", ",")),
+    """select case when place_count = 1 then 'stop' else 'cluster' end as type, case when place_count = 1 then p else 'cluster:12:' || gx || ':' || gy end as id, lat, lon, count, place_count,
+         case when place_count = 1 then one end as name, case when place_count = 1 then own end as ids
+       from (select gx, gy, avg(lat) as lat, avg(lon) as lon, sum(stop_count) as count, count(*) as place_count, min(place_id) as p, min(name) as one, min(array_to_string(stop_ids, ',')) as own
+             from (select *, cast(floor((lon + 180) / 360 * 256 * pow(2, 12) / 78) as bigint) as gx,
+                     cast(floor((0.5e0 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * pow(2, 12) / 78) as bigint) as gy from places) c
+             group by gx, gy) d""",
+)
 
 # --- streaming -----------------------------------------------------------------------------------------------------------
 CLOSED = "(select max(epoch_s) - 15 from telemetry)"
 
 
-def _stream(x: Tables, name: str = "telemetry") -> tuple[DataFrame, str]:
-    """A fixture table as a stream of files, and a scratch folder for its query."""
-    root = _scratch(x.spark)
-    cols = [c for c in x.t[name].columns if c not in ("trip_start_time", "license_plate", "agency_id")]
-    x.t[name].select(cols).repartition(4).write.parquet(f"{root}/in")
-    return x.spark.readStream.schema(x.t[name].select(cols).schema).parquet(f"{root}/in"), root
+SLICES = 3
+LATE = "epoch_s < (select min(epoch_s) + 600 from telemetry)"
+
+
+def _stream(x: Tables, name: str = "telemetry", whole: bool = False) -> tuple[DataFrame, str]:
+    """A fixture table as a stream, one file to a micro-batch, in order of time; and a scratch folder for its query.
+
+    The last file repeats the rows of the first ten minutes: hours behind the watermark, so that whatever keeps state must leave them out.
+    """
+    root = shared_folder(x.spark, "stream")
+    df = x.t[name] if whole else x.t[name].drop("trip_start_time", "license_plate", "agency_id")
+    lo, hi = df.agg(F.min("epoch_s"), F.max("epoch_s")).first()
+    cuts = [lo + (hi + 1 - lo) * k // SLICES for k in range(SLICES + 1)]
+    for a, b in [*zip(cuts, cuts[1:], strict=False), (lo, lo + 600)]:
+        df.filter((F.col("epoch_s") >= a) & (F.col("epoch_s") < b)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return x.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root
 
 
 def _streamed(make: Callable[[DataFrame], DataFrame], name: str = "telemetry") -> Callable[[Tables], DataFrame]:
@@ -551,9 +659,11 @@ def _streams() -> None:
     )
     q("stream_segment_speed", f"vehicle_id:s {RD} event_time:t speed_kmh:d", _streamed(lambda s: S.segments(s, CFG)), "select * from segments")
     q("stream_dedup", "vehicle_id:s epoch_s:l", _streamed(lambda s: S.dedup(s, CFG)), "select distinct vehicle_id, epoch_s from telemetry")
-    q("stream_watermark", f"event_id:l event_time:t {RD}", _streamed(lambda s: S.watermarked(s, CFG)), "select * from telemetry")
-    q("stream_session_presence", f"session_start:t session_end:t {RD} reports:l", _streamed(lambda s: S.session_presence(s, 300, CFG), "telemetry_sparse"),
-      f"select * from (select min(event_time) as session_start, max(event_time) + interval 300 second as session_end, route_id, direction_id, count(*) as reports from (select *, sum(n) over (partition by route_id order by epoch_s, event_id) as s from (select *, case when epoch_s - lag(epoch_s) over (partition by route_id order by epoch_s, event_id) < 300 then 0 else 1 end as n from telemetry_sparse)) group by route_id, direction_id, s) where epoch(session_end) <= {CLOSED}")
+    twice = f"(select * from telemetry union all select * from telemetry where {LATE})"
+    q("stream_watermark", f"event_id:l event_time:t {RD}", _streamed(lambda s: S.watermarked(s, CFG)), f"select * from {twice} x")
+    q("stream_gap_between_events", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", _streamed(lambda s: S.gap_between_events(s, CFG)), "select * from gaps")
+    q("stream_session_presence", f"session_start:t session_end:t {RD} reports:l", _streamed(lambda s: S.session_presence(s, 300, CFG), "telemetry_sparse"), f"select * from ({SESSIONS}) z where epoch(session_end) <= {CLOSED}")
+
 
     def multi(x: Tables) -> DataFrame:
         source, root = _stream(x)
@@ -562,23 +672,21 @@ def _streams() -> None:
             r.awaitTermination()
         return sinks.table_row_counts({k: x.spark.read.parquet(f"{root}/{k}") for k in runs})
 
-    q("stream_multi_sink", "table_name:s row_count:l", multi, f"select 'fresh' as table_name, count(*) as row_count from fresh where epoch(window_start) + 60 <= {CLOSED} union all select 'raw', count(*) from telemetry")
+    q("stream_multi_sink", "table_name:s row_count:l", multi, f"select 'fresh' as table_name, count(*) as row_count from fresh where epoch(window_start) + 60 <= {CLOSED} union all select 'raw', count(*) from {twice} x")
 
     def batches(x: Tables) -> DataFrame:
         source, root = _stream(x)
         S.foreach_batch(source, sinks.parquet_sink(f"{root}/out", "event_time"), f"{root}/checkpoint").awaitTermination()
         return x.spark.read.parquet(f"{root}/out")
 
-    q("sink_foreach_batch", f"event_id:l event_time:t event_date:D {RD}", batches, "select *, cast(event_time as date) as event_date from telemetry")
+    q("sink_foreach_batch", f"event_id:l event_time:t event_date:D {RD}", batches, f"select *, cast(event_time as date) as event_date from {twice} x")
 
     def matched(x: Tables) -> DataFrame:
-        root = _scratch(x.spark)
-        x.t["telemetry"].write.parquet(f"{root}/in")
-        source = x.spark.readStream.schema(x.t["telemetry"].schema).parquet(f"{root}/in")
+        source, root = _stream(x, whole=True)
         S.match_stops(source, x.timetable, f"{root}/out", f"{root}/checkpoint", CFG).awaitTermination()
         return x.spark.read.parquet(f"{root}/out")
 
-    q("stream_match_stops", EVENT, matched, "select * from events_matched")
+    q("stream_match_stops", EVENT, matched, f"select * from events_matched union all select * from events_matched where epoch(observed_time) < (select min(epoch_s) + 600 from telemetry)")
 
 
 _streams()

@@ -35,17 +35,34 @@ def read_between(df: DataFrame, ts: str, start: Column, end: Column, part: str =
     return df.filter(F.col(part).between(F.to_date(start), F.to_date(end)) & (F.col(ts) >= start) & (F.col(ts) < end))
 
 
+def read_since(df: DataFrame, ts: str, edge: Column, part: str = "event_date") -> DataFrame:
+    """Rows from ``edge`` on; where the table has the partition column, older folders are not opened."""
+    fresh = df.filter(F.col(ts) >= edge)
+    return fresh.filter(F.col(part) >= F.to_date(edge)) if part in df.columns else fresh
+
+
 def insert_unique(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = STOP_DELAY_KEY) -> DataFrame:
-    """Rows of ``new`` whose key, nulls being equal, isn't there yet; one per key."""
+    """Rows of ``new`` whose key, nulls being equal, isn't there yet; of several with one key, the smallest in column order."""
     old = existing.select(*[F.col(k).alias(f"_o_{k}") for k in keys]).distinct()
     same = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
-    return new.dropDuplicates(list(keys)).join(old, same, "left_anti")
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*").select(new.columns) if rest else new.distinct()
+    return one.join(old, same, "left_anti")
+
+
+def since(as_of: Column, lookback_s: int, bucket_s: int) -> Column:
+    """The start of the bucket that the look-back reaches into."""
+    return X.bucket(as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lookback_s)), bucket_s)
+
+
+def refresh_from(existing: DataFrame, recomputed: DataFrame, ts: str, edge: Column) -> DataFrame:
+    """The table with everything from ``edge`` on replaced."""
+    return existing.filter(F.col(ts) < edge).unionByName(recomputed.filter(F.col(ts) >= edge))
 
 
 def refresh_window_range(existing: DataFrame, recomputed: DataFrame, ts: str, as_of: Column, lookback_s: int, bucket_s: int) -> DataFrame:
     """The table with everything from the bucket of ``as_of - lookback`` on replaced; both sides use the aligned bound."""
-    lo = X.bucket(as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lookback_s)), bucket_s)
-    return existing.filter(F.col(ts) < lo).unionByName(recomputed.filter(F.col(ts) >= lo))
+    return refresh_from(existing, recomputed, ts, since(as_of, lookback_s, bucket_s))
 
 
 def rollup_refresh_window(fact: DataFrame, ts: str, as_of: Column, start_offset_s: int, end_offset_s: int, bucket_s: int) -> DataFrame:
