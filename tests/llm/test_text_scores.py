@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tramline.llm import chat, language_id, quality_gam, secrets, toxicity
@@ -101,6 +103,68 @@ def test_word_scores_match_steps():
         assert np.allclose(m.words([word, "ca"])[0], want, atol=1e-3)
 
 
+def plain_kneser_ney(counts, size, order=4, discount=0.75):
+    """P(character | up to ``order - 1`` before it) by the textbook recursion over dictionaries; contexts do not leave the word."""
+    occurrences, lefts = {}, {}
+    for word, times in counts.items():
+        marked = "\x02" + word + "\x03"
+        for at in range(1, len(marked)):
+            for n in range(1, order + 1):
+                if at - n + 1 < 0:
+                    continue
+                gram = marked[at - n + 1 : at + 1]
+                occurrences[gram] = occurrences.get(gram, 0) + times
+                if at - n >= 0:
+                    lefts.setdefault(gram, set()).add(marked[at - n])
+                else:
+                    lefts.setdefault(gram, [0])[0] += times  # at the start of a word nothing stands to the left
+    count = lambda g: occurrences[g] if len(g) == order else lefts[g][0] if isinstance(lefts[g], list) else len(lefts[g])
+
+    def p(history, ch):
+        own = {g: count(g) for g in occurrences if len(g) == len(history) + 1 and g[:-1] == history}
+        lower = p(history[1:], ch) if history else 1 / size
+        if not own:
+            return lower
+        n = own.get(history + ch, 0)
+        return (n - min(n, discount) + sum(min(x, discount) for x in own.values()) * lower) / sum(own.values())
+
+    return p
+
+
+def test_kneser_ney_against_the_textbook():
+    counts = {"x": {"abab": 3, "abc": 1, "ca": 2, "a": 4}, "y": {"bbb": 1, "cab": 2}}
+    m = language_id.Model(counts)
+    size = len({c for ws in counts.values() for w in ws for c in w}) + 2
+    plain = [plain_kneser_ney(counts[lang], size) for lang in m.langs]
+    for word in ("ab", "abc", "zab", "c", "bbbbabca", "a"):
+        marked = "\x02" + word + "\x03"
+        want = [sum(np.log(p(marked[max(0, at - 3) : at], marked[at])) for at in range(1, len(marked))) for p in plain]
+        assert np.allclose(m.words([word])[0], want, atol=1e-3), word
+
+
+def test_unseen_language_is_rejected(spark):
+    rng = random.Random(17)
+    parts = {"aa": ["ba", "lo", "ti", "mu"], "bb": ["sch", "ein", "ung", "ver"], "cc": ["xyq", "jzw", "qqk"]}
+    rows = [(k, made_up(rng, parts[lang], rng.randint(20, 60)), lang, "s", 0.0) for k, lang in enumerate(["aa", "bb"] * 260)]
+    strange = [(k + 1000, made_up(rng, parts["cc"], 40), None, "s", 0.0) for k in range(50)]
+    docs = frame(spark, rows + strange)
+    model = language_id.train(docs)
+    assert set(model.lowest) == {"aa", "bb"}
+    got = {r["doc_id"]: r["rejected"] for r in language_id.identify(docs, model, F.lit(False)).collect()}
+    assert all(got[k] for k, *_ in strange) and sum(got[k] for k, *_ in rows) <= 5
+
+
+def test_a_language_column_of_many_values_and_repeats(spark, tongues):
+    many = tongues.withColumn("lang", F.when(F.col("doc_id") < 60, F.concat(F.lit("l"), F.col("doc_id"))).otherwise(F.col("lang")))
+    model = language_id.train(many.union(many).withColumn("rejected", F.lit(1)).withColumn("_part", F.lit(2)).withColumn("share", F.lit(3)))
+    assert len(model.model.langs) > 30
+    got = language_id.identify(many.union(many), model, F.lit(False)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add((r["lang_pred"], r["score"]))
+    assert len(got) == 240 and all(len(v) == 1 for v in by.values())
+
+
 # --- quality -------------------------------------------------------------------------------------------------------------
 
 
@@ -112,6 +176,25 @@ def test_gam_learns_an_interaction():
     assert ((p > 0.5) == (y[2000:] > 0)).mean() > 0.85
 
 
+def test_gam_scores_against_plain_lookup(spark):
+    """Scores are sums of table entries: found here one feature at a time by bisection."""
+    from bisect import bisect_right
+
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["Word", "a", "b,", "#$", "| |", "1 2", "end.\n"]) for _ in range(rng.randint(1, 80))), "en", "s", 0.0) for k in range(300)]
+    docs = frame(spark, rows).withColumn("predicted", F.lit("clash")).withColumn("y", F.lit("clash"))
+    labels = spark.createDataFrame([(k, int("#" in t)) for k, t, *_ in rows] + [(1, 0)] * 500, "doc_id long, quality int")
+    model = quality_gam.train(docs.union(docs), labels)
+    got = quality_gam.score(docs, model, F.lit(False)).collect()
+    assert model.pairs
+    for r in got:
+        x = quality_gam.features(rows[r["doc_id"]][1])
+        f = model.base + sum(float(t[bisect_right(e.tolist(), v)]) for t, e, v in zip(model.tables, model.edges, x, strict=True))
+        low = [bisect_right(e.tolist(), v) for e, v in zip(model.coarse, x, strict=True)]
+        f += sum(float(t[low[i], low[j]]) for i, j, t in model.pairs)
+        assert abs(r["score"] - 1 / (1 + math.exp(-f))) < 1e-9
+
+
 def test_gam_edges(spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (9, None)], "doc_id long, quality int")
     model = quality_gam.train(frame(spark, EDGE), labels)
@@ -155,6 +238,55 @@ def test_network_gradients():
     assert abs((up - down) / 2e-5 - dx[2, 1, 3]) < 1e-3
 
 
+def plain_top(net, ws):
+    """The highest window logit, one number at a time."""
+    H, p = toxicity.HIDDEN, {k: v.astype(np.float64).tolist() for k, v in net.p.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    cut = lambda m, a, b: [row[a:b] for row in m]
+    times = lambda v, m: [sum(x * row[j] for x, row in zip(v, m, strict=True)) for j in range(len(m[0]))]
+
+    def embed(w):
+        flat, _ = toxicity.grams([w])
+        own = p["word"][xxhash.xxh32_intdigest(w.encode()) % toxicity.WORD_BUCKETS]
+        return [x + sum(p["gram"][g][j] for g in flat) / len(flat) for j, x in enumerate(own)]
+
+    def states(es, d):
+        h, out = [0.0] * H, []
+        for e in es:
+            x = [a + b for a, b in zip(times(e, p[f"W{d}"]), p[f"c{d}"], strict=True)]
+            U = p[f"U{d}"]
+            gates = times(h, cut(U, 0, 2 * H))
+            z, r = [sigmoid(x[j] + gates[j]) for j in range(H)], [sigmoid(x[H + j] + gates[H + j]) for j in range(H)]
+            inner = times([a * b for a, b in zip(r, h, strict=True)], cut(U, 2 * H, 3 * H))
+            h = [a + b * (math.tanh(x[2 * H + j] + inner[j]) - a) for j, (a, b) in enumerate(zip(h, z, strict=True))]
+            out.append(h)
+        return out
+
+    best = -math.inf
+    for s in sorted({*range(0, max(1, len(ws) - 32), 16), max(0, len(ws) - 32)}):
+        es = [embed(w) for w in ws[s : s + 32]]
+        both = [a + b for a, b in zip(states(es, "f"), states(es[::-1], "b")[::-1], strict=True)]
+        att = [math.exp(sum(x * y for x, y in zip(h, p["a"], strict=True))) for h in both]
+        pooled = [sum(w * h[j] for w, h in zip(att, both, strict=True)) / sum(att) for j in range(2 * H)]
+        best = max(best, sum(x * y for x, y in zip(pooled, p["o"], strict=True)) + p["z"][0])
+    return best
+
+
+def test_toxicity_scores_against_a_plain_pass(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["alpha", "bét", "g", "delta7", "bad"]) for _ in range(rng.choice([1, 5, 31, 32, 33, 49, 80]))), "en", "s", 0.0) for k in range(25)]
+    docs = frame(spark, rows + rows).withColumn("predicted", F.lit("clash"))
+    net = toxicity.Network(7)
+    net.calibration = (-0.3, 1.7, 0.4)
+    got = toxicity.score(docs, net, F.lit(False)).collect()
+    assert len(got) == 50
+    for r in got:
+        ws = rows[r["doc_id"]][1].lower().split()
+        n = len({*range(0, max(1, len(ws) - 32), 16), max(0, len(ws) - 32)})
+        want = 1 / (1 + math.exp(-(-0.3 + 1.7 * plain_top(net, ws) + 0.4 * math.log1p(n))))
+        assert abs(r["score"] - want) < 1e-5 and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_toxicity_finds_one_bad_window(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("aeioutnrsl") for _ in range(rng.randint(2, 8)))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tramline.sources.scratch import shared_folder, stored
+
+__all__ = ["bounded_sample", "discard", "fold", "in_batches", "labelled_sample", "remainder_is", "shared_folder", "stored", "swept", "table"]
 BATCH_ROWS = 500
 
 
@@ -18,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (tests in local mode) is a temporary one made and remembered in the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tramline.scratch", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-tramline-")
-        spark.conf.set("tramline.scratch", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @contextlib.contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """Inside, a job's shuffle files are removed when it ends, instead of when the driver happens to collect its garbage."""
@@ -42,13 +31,6 @@ def swept(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet on shared storage and read again: cuts the lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Removes a table that ``stored`` wrote and nothing reads any more."""
     spark = df.sparkSession
@@ -75,10 +57,14 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, seed: int) -> DataFra
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int) -> DataFrame:
-    """``text, y`` of about ``bound`` labelled documents.  The sample is taken from the labels, so that only it is broadcast."""
-    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    """``text, y`` of about ``bound`` labelled documents.  The sample is taken from the labels, so that only it is broadcast.
+
+    An id counts once, however often the labels or the documents repeat it: with its highest label and its first text.
+    """
+    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("y"))
     few = bounded_sample(rows, F.col("doc_id").cast("string"), bound, seed)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
 def in_batches(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:

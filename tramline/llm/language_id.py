@@ -7,7 +7,7 @@ language, already interpolated, and beside each context hash its row of back-off
 lowest cross-entropy per character; ``score`` is a softmax over the languages whose sharpness is calibrated on documents
 kept back from the training ones, and ``rejected`` marks texts that the winner explains worse than nearly all of those.
 
-Training takes at most about ``max_docs`` documents per language (a bounded, hashed sample); Spark counts their words, so that
+Training takes at most about ``max_docs`` documents per language (a bounded, hashed sample, repeats left out); Spark counts their words, so that
 what reaches the driver is bounded by the sample.  Scoring is one narrow pass over every text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the first language in
@@ -209,8 +209,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 11) -> Identifi
     sizes = stored(rows.groupBy("lang").count().select("lang", share), "languages")
     if sizes.isEmpty():
         return None
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.join(sizes, "lang").withColumn("_part", u / F.col("share")).filter("_part < 1")
+    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.join(sizes, "lang").withColumn("_part", u / F.col("share")).filter("_part < 1").dropDuplicates(["lang", "text"])
     letters = F.lower("text")
     parts = rows.withColumn("_fit", F.col("_part") < 0.9)
     split = parts.filter("_fit").select("lang", F.explode(F.split(letters, r"[^\p{L}]+")).alias("w")).filter("w <> ''")
