@@ -155,6 +155,165 @@ def test_transfer_pairs_plan(spark, timetable):
     assert "Cartesian" not in plan_of(pairs) and "NestedLoop" not in plan_of(pairs)
 
 
+def test_geofence_wider_than_any_fixed_cell(spark, timetable):
+    # 600 m to the north and 500 m to the east of stop A, with a geofence of a kilometre.
+    at = [(1, "v", "r", 0, 44.4 + 600 / 111320, 26.1, DAY + 28860, "08:00:00"), (2, "v", "r", 0, 44.4, 26.1 + 500 / 75000, DAY + 28860, "08:00:00")]
+    got = match(spark, timetable, at, replace(UTC, geofence_m=1000.0))
+    assert {k: v["stop_id"] for k, v in got.items()} == {1: "B", 2: "A"}
+
+
+def test_matching_over_a_clock_change(spark):
+    # The clocks of the zone go forward on 2024-03-31 at 01:00 UTC: 04:30 is 01:30 UTC, and a fix 5,000 s before it reads 02:06:40.
+    trips = spark.createDataFrame([("n", "r", "s", 0)], "trip_id string, route_id string, service_id string, direction_id int")
+    cal = spark.createDataFrame([("s", *[1] * 7)], "service_id string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int")
+    cal = cal.withColumn("start_date", F.lit("2024-01-01").cast("date")).withColumn("end_date", F.lit("2024-12-31").cast("date"))
+    times = spark.createDataFrame([("n", 2, "A", 16200, 16200)], "trip_id string, stop_sequence int, stop_id string, arrival_s int, departure_s int")
+    table = {"trips": trips, "calendar": cal, "stop_times": times, "stops": spark.createDataFrame([("A", 44.4, 26.1)], "stop_id string, stop_lat double, stop_lon double")}
+    night = 1711843200  # 2024-03-31 00:00 UTC
+    rows = [(1, "v", "r", 0, 44.4, 26.1, night - 1800 + 5400, None), (2, "v", "r", 0, 44.4, 26.1, night + 5400 - 5000, None)]
+    got = match(spark, table, rows, replace(DEFAULT, service_day_lookback=0))
+    assert {k: (v["stop_sequence"], v["delay_sec"]) for k, v in got.items()} == {1: (2, -1800.0), 2: (2, -5000.0)}
+
+
+def test_cycle_reads_the_look_back_only(spark, timetable, tmp_path):
+    day = lambda k: DAY - k * 86400 + 28860
+    p = fixes(spark, [(k, f"v{k}", "r", 0, 44.4, 26.1, day(k)) for k in range(5)]).withColumn("trip_start_time", F.lit("08:00:00"))
+    whole = matching.match_stop_delay(p, timetable["trips"], timetable["calendar"], timetable["stop_times"], timetable["stops"], UTC)
+    sinks.write_partitioned(whole.filter("vehicle_id <> 'v0'"), str(tmp_path / "matched"), "observed_time")
+    matched = spark.read.parquet(str(tmp_path / "matched"))
+    as_of = F.timestamp_seconds(F.lit(day(0) + 60))
+    edge = sinks.since(as_of, UTC.match_lookback_s, UTC.feature_window_s)
+    known = sinks.read_since(matched, "observed_time", edge)
+    assert known.count() == 0 and "PartitionFilters: [isnotnull(event_date" in plan_of(known)
+    from tramline.operators import telemetry as T
+
+    metrics = {"speed": T.segment_speed(p), "bunching": T.bunching_events(p), "gaps": T.service_gap_between_events(p), "freshness": T.telemetry_freshness(p, F.lit(day(0)))}
+    routes = spark.createDataFrame([("r", "R", 3)], "route_id string, route_short_name string, route_type int")
+    old = matching.route_delay(whole).withColumn("avg_delay_sec", F.lit(-1.0))
+    out = matching.matching_cycle(p, matched, timetable | {"routes": routes}, metrics, as_of, UTC, {"route_delay_metrics": old})
+    assert [r["vehicle_id"] for r in out["stop_delay_events"].collect()] == ["v0"]
+    assert sorted(r["avg_delay_sec"] for r in out["route_delay_metrics"].collect()) == [-1.0, -1.0, -1.0, -1.0, 60.0]
+    assert out["realtime_feature_windows"].count() == 1
+
+
+def test_insert_unique_takes_the_same_row_every_time(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), ("a", 3)], "k string, v int")
+    assert sinks.insert_unique(df.limit(0), df.repartition(3), ("k",)).collect() == [("a", 1)]
+
+
+def test_sightings_exactly_the_gap_apart_are_one_session(spark):
+    t = fixes(spark, [(1, "v", "r", 0, 44.4, 26.1, 0), (2, "v", "r", 0, 44.4, 26.1, 300), (3, "v", "r", 0, 44.4, 26.1, 601), (4, "v", "r", 1, 44.4, 26.1, 150)])
+    assert sorted((r["direction_id"], r["reports"]) for r in telemetry.session_presence(t, 300).collect()) == [(0, 1), (0, 2), (1, 1)]
+
+
+def test_a_trip_that_serves_two_stops_twice(spark):
+    stops = spark.createDataFrame([("A", "A", 44.4, 26.1, 0, ""), ("B", "B", 44.42, 26.1, 0, "")], "stop_id string, stop_name string, stop_lat double, stop_lon double, location_type int, parent_station string")
+    trips = spark.createDataFrame([("t", "r", "s", 0, None)], "trip_id string, route_id string, service_id string, direction_id int, shape_id string")
+    cal = spark.createDataFrame([("s", *[1] * 7)], "service_id string, " + ", ".join(f"{d} int" for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")))
+    cal = cal.withColumn("start_date", F.lit("2024-01-01").cast("date")).withColumn("end_date", F.lit("2024-12-31").cast("date"))
+    times = spark.createDataFrame([("t", k, "AB"[k % 2], 28800 + 600 * k, 28800 + 600 * k) for k in range(4)], "trip_id string, stop_sequence int, stop_id string, arrival_s int, departure_s int")
+    routes = spark.createDataFrame([("r", "R", 3)], "route_id string, route_short_name string, route_type int")
+    shapes = spark.createDataFrame([], "shape_id string, shape_pt_lat double, shape_pt_lon double, shape_pt_sequence int")
+    asked = spark.createDataFrame([(1, "A", "B", 28000)], "request_id long, origin_id string, destination_id string, departure_s int").withColumn("service_date", F.lit("2024-06-03").cast("date"))
+    predictions = spark.createDataFrame([], "route_id string, direction_id int, target_time timestamp, prediction_time timestamp, predicted_delay_sec double, confidence double")
+    features = spark.createDataFrame([], "feature_time timestamp, route_id string, direction_id int, hour_of_day int, day_of_week int, avg_delay_sec double, observation_count long")
+    events = spark.createDataFrame([], "observed_time timestamp, scheduled_time timestamp, route_id string, direction_id int, delay_sec double")
+    table = {"trips": trips, "calendar": cal, "stop_times": times, "stops": stops, "routes": routes, "shapes": shapes}
+    got = planner.plan_trips(asked, table, predictions, features, events, F.timestamp_seconds(F.lit(DAY)), UTC).orderBy("rank").collect()
+    assert [(r["kind"], (r["dep"] - 1717372800) // 60, (r["arr"] - 1717372800) // 60) for r in got] == [("walk", 466, 496), ("direct", 480, 490)] or got[0]["kind"] == "direct"
+    rides = [r for r in got if r["kind"] == "direct"]
+    assert len({r["itinerary_id"] for r in got}) == len(got) and rides[0]["geometries"] == [[[44.4, 26.1], [44.42, 26.1]]]
+    found = planner.direct_itineraries(planner.resolve_endpoints(asked, planner.stop_places(stops), UTC), planner.service_windows(asked, cal), trips, times, UTC)
+    assert sorted((r["leg1_from_seq"], r["leg1_to_seq"]) for r in found.collect()) == [(0, 1), (0, 3), (2, 3)]
+
+
+def test_search_plans_have_no_nested_loops(spark, timetable):
+    asked = spark.createDataFrame([(1, "A", "B", 28000)], "request_id long, origin_id string, destination_id string, departure_s int").withColumn("service_date", F.lit("2024-06-01").cast("date"))
+    stops = timetable["stops"].withColumn("stop_name", F.col("stop_id")).withColumn("location_type", F.lit(0)).withColumn("parent_station", F.lit(""))
+    trips = timetable["trips"].withColumn("shape_id", F.lit(None).cast("string"))
+    ends, windows = planner.resolve_endpoints(asked, planner.stop_places(stops), UTC), planner.service_windows(asked, timetable["calendar"])
+    plan = plan_of(planner.one_transfer_join(ends, windows, trips, timetable["stop_times"], stops, UTC))
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_attribution_against_a_plain_version(spark):
+    from tramline.functions import exprs as X
+
+    rows = [(k, f"r{k % 3}", k % 2, float(k * k % 17), float(k % 5)) for k in range(30)]
+    df = spark.createDataFrame(rows, "s long, route_id string, direction_id int, avg_delay_sec double, avg_speed_kmh double").withColumn("feature_time", F.timestamp_seconds("s"))
+    weight = {"avg_delay_sec": 0.7, "avg_speed_kmh": 0.3}
+    mean = lambda i: sum(r[i] for r in rows) / 30
+    spread = lambda i: (sum((r[i] - mean(i)) ** 2 for r in rows) / 30) ** 0.5
+    got = {(r["route_id"], r["direction_id"], r["feature_name"]): r for r in ml.feature_attribution(df, weight, F.timestamp_seconds(F.lit(99)), UTC).collect()}
+    assert len(got) == 6 * len(X.FEATURE_COLUMNS)
+    for route, d in {(r[1], r[2]) for r in rows}:
+        last = max(r for r in rows if (r[1], r[2]) == (route, d))
+        want = sorted((-weight[n] * abs(last[i] - mean(i)) / spread(i), n) for n, i in (("avg_delay_sec", 3), ("avg_speed_kmh", 4)))
+        for rank, (score, name) in enumerate(want, 1):
+            r = got[route, d, name]
+            assert abs(r["contribution_score"] + score) < 1e-9 and (score == 0 or r["feature_rank"] == rank)
+
+
+def test_model_is_saved_reported_and_replaced_by_the_baseline(spark, tmp_path):
+    rows = [(k * 900, f"r{k % 4}", k % 2, float(k % 7), float(60 * (k % 7))) for k in range(80)]
+    df = spark.createDataFrame(rows, "s long, route_id string, direction_id int, avg_delay_sec double, target_delay_sec double").withColumn("feature_time", F.timestamp_seconds("s")).withColumn("zone_id", F.lit("network"))
+    path, as_of = str(tmp_path / "m"), F.timestamp_seconds(F.lit(79 * 900 + 60))
+    plain = ml.score_saved(df, as_of, path, UTC).collect()
+    assert {r["model_version"] for r in plain} == {UTC.warm_start_version} and len(plain) == 4
+    model, report = ml.train_delay_model(ml.build_training_dataset(df), max_iter=5)
+    ml.save_model(model, report, path)
+    ml.save_model(model, report, path)  # replaces
+    assert {r["metric"]: r["value"] for r in ml.read_report(spark, path).collect()} == {k: float(v) for k, v in report.items()} and report["train_rows"] == 64
+    got = {(r["route_id"], r["direction_id"]): r for r in ml.score_saved(df, as_of, path, UTC).collect()}
+    assert {r["model_version"] for r in got.values()} == {UTC.model_version} and all(r["confidence"] is None for r in got.values())
+    want = {(r["route_id"], r["direction_id"]): r["prediction"] for r in model.transform(ml.build_training_dataset(df.filter(F.col("s") >= 76 * 900))).collect()}
+    assert {k: r["predicted_delay_sec"] for k, r in got.items()} == want
+
+
+def test_late_fixes_neither_link_nor_move_the_state():
+    import pandas as pd
+
+    from tramline.streaming import stream
+
+    class State:
+        exists, get = False, None
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+        def setTimeoutTimestamp(self, ms):
+            pass
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    frame = lambda *ts: pd.DataFrame({"vehicle_id": "v", "route_id": "r", "direction_id": 0, "latitude": [44.4 + t / 1e5 for t in ts], "longitude": 26.1, "epoch_s": ts, "event_id": range(len(ts)), "event_time": ts})
+    state, run = State(), lambda f, s: [x for out in stream._segments(("v",), iter([f]), s) for x in out["event_time"]]
+    assert run(frame(200, 100), state) == [200] and state.get[2] == 200
+    assert run(frame(150), state) == [] and state.get[2] == 200
+    assert run(frame(160, 260, 320), state) == [260, 320] and state.get[2] == 320
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tramline.sources import scratch
+
+    conf = lambda **kw: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: kw.get(k.replace(".", "_"), d)), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch.shared_folder(conf(), "x")
+    assert scratch.shared_folder(conf(spark_checkpoint_dir="hdfs://a/b/"), "x").startswith("hdfs://a/b/x-")
+
+
+def test_jdbc_sink(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    write = sinks.jdbc_sink(url, "facts", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    for k in range(2):
+        write(spark.range(k * 10, k * 10 + 10), k)
+    back = spark.read.format("jdbc").options(url=url, dbtable="facts", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").load()
+    assert sorted(r[0] for r in back.collect()) == list(range(20))
+
+
 def test_payload_sanitising(spark):
     raw = ['{"id":"1","vehicle":{"trip":{"routeId":"5"},"vehicle":{"id":"v"},"position":{"latitude":44.4,"longitude":"26.1"},"timestamp":7}}', '{"vehicle":{"trip":{"routeId":""},"position":{"latitude":1,"longitude":1}}}', "{oops", '{"vehicle":{"trip":{"routeId":"5"},"position":{"latitude":"x","longitude":1}}}']
     got = feeds.sanitize_vehicle_payload(spark.createDataFrame([(r,) for r in raw], "value string"), F.lit("now")).collect()
