@@ -501,6 +501,25 @@ def test_wide_ids_are_read_at_their_own_stride(spark, tmp_path):
     assert len(got) == len(back) and {r["sha256"] for r in got} == {hashlib.sha256(x.tobytes()).hexdigest() for x in back.values()}
 
 
+def test_order_does_not_depend_on_how_tasks_split_files(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 400))) for _ in range(300)]
+    for k in range(3):
+        frame(spark, texts[k * 100 : k * 100 + 100], k * 100).coalesce(1).write.option("parquet.block.size", 2048).mode("append").parquet(str(tmp_path / "docs"))
+    size, found = "spark.sql.files.maxPartitionBytes", []
+    was = spark.conf.get(size)
+    try:
+        for limit in ("128m", "3k", "9k"):
+            spark.conf.set(size, limit)
+            docs = spark.read.parquet(str(tmp_path / "docs"))
+            _, index = shards.materialise(docs, length=16, shard_records=64)
+            found.append(sorted((r["slot"], r["doc_id"], r["seq_no"]) for r in index.collect()))
+            found[-1].append(docs.rdd.getNumPartitions())
+    finally:
+        spark.conf.set(size, was)
+    assert len({f.pop() for f in found}) > 1 and found[0] == found[1] == found[2]
+
+
 def test_rows_without_or_with_repeated_ids_keep_their_sequences(spark):
     df = spark.createDataFrame([(None, "alpha beta"), (None, "gamma"), (4, "delta"), (4, "delta"), (4, None)], "doc_id long, text string").withColumn("slot", F.lit("mine"))
     got = shards.training_order(df, length=4, shard_records=2).collect()

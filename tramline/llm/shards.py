@@ -1,7 +1,8 @@
 """Token-id shards in training order.
 
 Documents become byte-level BPE ids and are cut into sequences of ``length`` ids that never cross documents.  The N sequences
-are numbered in corpus order; a keyed Feistel network over the next power of two, walked until it lands below N, permutes the
+are numbered in corpus order, which for a table of files is that of file paths and rows in them, however tasks split the files (a
+table that isn't read from files is numbered in the order of its tasks); a keyed Feistel network over the next power of two, walked until it lands below N, permutes the
 numbers, so that every sequence owns one slot of the training order and the order is a function of (N, key).  Range
 partitions of the slots write the shards: files of fixed-stride records, so that record ``i`` of a shard starts at byte
 ``i * stride`` and a reader can resume at any slot by arithmetic.
@@ -24,6 +25,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of that vocabulary
 LENGTH, SHARD_RECORDS, ROUNDS, WAVES = 512, 4096, 6, 3
 LAYOUT = "length int, width int, shard_records int, pad int, sequences long"
+RUN_BITS = 20  # runs of one task: the stretches of files that it reads
 ROWS_OUT = 512  # sequences in one Arrow batch
 _ENCODERS: dict[str, object] = {}  # one per Python worker
 
@@ -76,8 +79,18 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
     return x.astype(np.int64)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, _file, _start``: the file and the start of the stretch of it that a task reads, or nulls without files."""
+    at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")
+    try:
+        return docs.select("doc_id", "text", *at)
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.lit(None).cast("string").alias("_file"), F.lit(None).cast("long").alias("_start"))
+
+
 def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) -> tuple[DataFrame, int, np.dtype]:
-    """The stored table of sequences: task, position in the task, document, number, ids; also the pad id and id type."""
+    """The stored table of sequences: run of rows (its file and where it starts there), position in the run, document, number, ids;
+    also the pad id and id type.  A run is a stretch of a file that one task reads; its rows come in their order."""
     raw = Path(vocabulary).read_bytes()
     if len(raw) > 64 << 20:
         raise ValueError("a vocabulary of over 64 MB isn't broadcast")
@@ -85,44 +98,49 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     kind = np.dtype("<u2" if pad < 1 << 16 else "<u4")
     held = docs.sparkSession.sparkContext.broadcast(raw)
     id_type = docs.schema["doc_id"].dataType
-    schema = T.StructType.fromDDL("task int, at long, doc_id long, seq_no long, n_ids int, ids binary")
+    schema = T.StructType.fromDDL("run long, file string, first long, at long, doc_id long, seq_no long, n_ids int, ids binary")
     schema["doc_id"].dataType = id_type
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(held.value).encode_ordinary
-        task, at = TaskContext.get().partitionId(), itertools.count()
+        run = (TaskContext.get().partitionId() << RUN_BITS) - 1
+        file = first = at = None
 
         def cut(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            nonlocal run, file, first, at
+            for doc_id, text, own, start in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if at is None or (own, start) != (file, first):
+                    run, file, first, at = run + 1, own, start, itertools.count()
                 text = text.as_py()
                 if text:
                     ids = np.array([*encode(text), pad], kind)
-                    for seq, start in enumerate(range(0, len(ids), length)):
-                        part = ids[start : start + length]
-                        yield task, next(at), doc_id.as_py(), seq, len(part), part.tobytes()
+                    for seq, cut_at in enumerate(range(0, len(ids), length)):
+                        part = ids[cut_at : cut_at + length]
+                        yield run, file, first, next(at), doc_id.as_py(), seq, len(part), part.tobytes()
 
         for batch in batches:
             rows = cut(batch)
             while some := list(itertools.islice(rows, ROWS_OUT)):
-                kinds = [pa.int32(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary()]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=schema.names)
 
-    return stored(in_batches(docs.select("doc_id", "text"), run, schema), "sequences"), pad, kind
+    return stored(in_batches(_placed(docs), tokenise, schema), "sequences"), pad, kind
 
 
 def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_records: int = SHARD_RECORDS, path: str | None = None, waves: int = WAVES) -> tuple[str, DataFrame]:
     """Write the shards of ``docs``; returns their folder and the index: which sequence has which slot, shard and offset.
 
-    The sequence numbers follow the tasks of the one tokenising pass, in order; per task only a count reaches the driver.
+    The sequence numbers follow the files and rows of the table; per run (as many as input splits) of the one tokenising pass only a count reaches the driver.
     The shuffle to the ranges runs in ``waves`` of consecutive shards, each of which frees its shuffle files before the next
     begins, so that scratch space holds a part of the ids at a time beside the stored sequences and the shards.
     """
     spark = docs.sparkSession
     path = path or shared_folder(spark, "shards")
     seqs, pad, kind = sequences(docs, vocabulary, length)
-    counts = sorted((r["task"], r["count"]) for r in seqs.groupBy("task").count().collect())
-    offsets = dict(zip([t for t, _ in counts], itertools.accumulate([0, *[n for _, n in counts]]), strict=False))
-    n = sum(c for _, c in counts)
+    counts = seqs.groupBy("run").agg(F.min("file").alias("file"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    counts = sorted((r["file"] or "", r["first"] or 0, r["run"], r["n"]) for r in counts)
+    offsets = dict(zip([c[2] for c in counts], itertools.accumulate([0, *[c[3] for c in counts]]), strict=False))
+    n = sum(c[3] for c in counts)
     stride = length * kind.itemsize + 1
     own = spark.range(1).select(*[F.lit(v).alias(k) for k, v in (("length", length), ("width", kind.itemsize), ("shard_records", shard_records), ("pad", pad), ("sequences", n))])
     own.coalesce(1).write.json(f"{path}/_layout")
@@ -131,12 +149,12 @@ def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, len
         return path, empty
 
     @F.pandas_udf("long")
-    def slot(task, at):
+    def slot(run, at):
         import pandas as pd
 
-        return pd.Series(permute(task.map(offsets).to_numpy() + at.to_numpy(), n, key))
+        return pd.Series(permute(run.map(offsets).to_numpy() + at.to_numpy(), n, key))
 
-    placed = seqs.withColumn("slot", slot("task", "at")).withColumn("shard", F.expr(f"slot div {shard_records}"))
+    placed = seqs.withColumn("slot", slot("run", "at")).withColumn("shard", F.expr(f"slot div {shard_records}"))
     filler = np.full(length, pad, kind).tobytes()
     record = F.concat("ids", F.substring(F.lit(filler), 1, F.lit(length * kind.itemsize) - F.length("ids")))
     shards = -(-n // shard_records)
