@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tramline.config import DEFAULT, TransitConfig
 from tramline.functions import exprs as X
 from tramline.operators.views import newest_per
+from tramline.sources.scratch import shared_folder
 
 RD = ("route_id", "direction_id")
 MIN_ROWS = 20
@@ -30,8 +31,7 @@ def label_future_window(features: DataFrame, cfg: TransitConfig = DEFAULT) -> Da
 
 def training_rows(features: DataFrame, start: Column, end: Column, cfg: TransitConfig = DEFAULT) -> DataFrame:
     rows = label_future_window(features, cfg)
-    rows = rows.filter((F.col("feature_time") >= start) & (F.col("feature_time") < end) & F.col("target_delay_sec").isNotNull())
-    return rows.orderBy("feature_time", *RD)
+    return rows.filter((F.col("feature_time") >= start) & (F.col("feature_time") < end) & F.col("target_delay_sec").isNotNull())
 
 
 def build_training_dataset(rows: DataFrame) -> DataFrame:
@@ -66,6 +66,9 @@ def train_delay_model(dataset: DataFrame, test_fraction: float = 0.2, max_iter:
     """Gradient-boosted trees on a temporal split, with MAE and RMSE on the later part."""
     if dataset.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} labelled rows are needed")
+    spark = dataset.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:  # the trees cut their lineage every few rounds if they can
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     train, test = temporal_split(dataset, test_fraction)
     trees = GBTRegressor(featuresCol="features", labelCol="target", maxIter=max_iter, stepSize=step, seed=seed)
     model = Pipeline(stages=[VectorAssembler(inputCols=list(X.FEATURE_COLUMNS), outputCol="features"), trees]).fit(train)

@@ -63,7 +63,7 @@ def root_cause_hourly(delay: DataFrame, speed: DataFrame, bunching: DataFrame, g
         "bucket", *RD, "route_short_name", "route_type", X.display_round("avg_delay_sec", 1).alias("avg_delay_sec"), X.display_round("max_delay_sec", 1).alias("max_delay_sec"),
         X.display_round("avg_speed_kmh", 1).alias("avg_speed_kmh"), F.coalesce("bunching_count", F.lit(0)).alias("bunching_count"), F.coalesce("gap_count", F.lit(0)).alias("service_gap_count"),
         X.display_round("total_gap_sec", 1).alias("total_gap_sec"), X.associated_factor("avg_delay_sec", "avg_speed_kmh", "bunching_count", "gap_count").alias("associated_factor"),
-    ).orderBy(F.col("bucket").desc(), F.col("avg_delay_sec").desc_nulls_last())
+    )
 
 
 def fleet_kpis(positions: DataFrame, delay: DataFrame, speed: DataFrame, bunching: DataFrame, gaps: DataFrame, as_of: Column) -> DataFrame:

@@ -1,6 +1,7 @@
 """Status views and dashboard reports: filters, label joins, bands and top-k over the metric tables.
 
-Dimension tables are joined plainly: Spark broadcasts them below its size threshold and shuffles them above it.
+Dimension tables are joined plainly: Spark broadcasts them below its size threshold and shuffles them above it.  Views and series are
+tables, whose order is the reader's to ask for; only top-k reports, of a fixed size, are sorted.
 """
 
 from __future__ import annotations
@@ -55,13 +56,11 @@ def latest_bunching_predictions(pred: DataFrame, routes: DataFrame, as_of: Colum
 
 
 def attribution_top5(attr: DataFrame, as_of: Column) -> DataFrame:
-    top = X.recent_filter(attr, "attribution_time", as_of, 86400).filter("feature_rank <= 5")
-    return top.orderBy(F.col("attribution_time").desc(), *RD, "feature_rank")
+    return X.recent_filter(attr, "attribution_time", as_of, 86400).filter("feature_rank <= 5")
 
 
 def hotspots_recent(hot: DataFrame, routes: DataFrame, as_of: Column) -> DataFrame:
-    near = join_route_dim(X.recent_filter(hot, "window_start", as_of, 7200), routes)
-    return near.orderBy(F.col("hotspot_score").desc_nulls_last(), F.col("window_start").desc())
+    return join_route_dim(X.recent_filter(hot, "window_start", as_of, 7200), routes)
 
 
 def recent_stop_delay(events: DataFrame, routes: DataFrame, stops: DataFrame, as_of: Column) -> DataFrame:
@@ -70,7 +69,7 @@ def recent_stop_delay(events: DataFrame, routes: DataFrame, stops: DataFrame, as
         "observed_time", "scheduled_time", "vehicle_id", *RD, "route_short_name", "trip_id", "stop_id", "stop_name", "stop_sequence",
         X.display_round("delay_sec", 1).alias("delay_sec"), X.display_round("distance_to_stop_m", 1).alias("distance_to_stop_m"),
         X.display_round("match_confidence", 2).alias("match_confidence"), "match_method",
-    ).orderBy(F.col("observed_time").desc())
+    )
 
 
 def route_status(delay: DataFrame, routes: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def active_bunching(bunching: DataFrame, routes: DataFrame, as_of: Column) -> Da
 
 def active_service_gaps(gaps: DataFrame, routes: DataFrame, as_of: Column) -> DataFrame:
     j = join_route_dim(X.recent_filter(gaps, "gap_start", as_of, 3600), routes)
-    return j.withColumn("gap_duration_min", X.display_round(F.col("gap_duration_sec") / 60.0, 1)).orderBy(F.col("gap_duration_sec").desc())
+    return j.withColumn("gap_duration_min", X.display_round(F.col("gap_duration_sec") / 60.0, 1))
 
 
 # --- dashboard reports ---------------------------------------------------------------------------------------------------
@@ -128,7 +127,7 @@ SERIES = {
 }
 #: panel -> (table, time column)
 COUNTS = {"matches": ("stop_delay_events", "observed_time"), "features": ("features", "feature_time"), "predictions": ("predictions", "prediction_time")}
-#: panel -> (table, time column, value, aggregate, digits, descending, limit)
+#: panel -> (table, time column, value, aggregate, digits, descending, limit); digits and limits are fixed values, here and below
 TOPS = {
     "slowest_routes": ("hourly_speed", "bucket", "avg_speed_kmh", "avg", 1, False, 15),
     "worst_delay_routes": ("daily_delay", "bucket", "avg_delay_sec", "avg", 1, True, 20),
@@ -143,7 +142,7 @@ def report(name: str, tables: dict[str, DataFrame], start: Column | None = None,
         table, ts, value = SERIES[name]
         rows = _label(_in_range(tables[table], ts, start, end, routes_csv), routes)
         v = X.display_round(F.col(value) / 60.0, 1) if name == "gap_duration" else F.col(value).cast("double")
-        return rows.select(F.col(ts).alias("time"), F.col("route").alias("metric"), "direction_id", v.alias("value")).orderBy("time", "metric")
+        return rows.select(F.col(ts).alias("time"), F.col("route").alias("metric"), "direction_id", v.alias("value"))
     if name in COUNTS:
         table, ts = COUNTS[name]
         return _in_range(tables[table], ts, start, end, routes_csv).agg(F.count(F.lit(1)).alias("value"))
@@ -177,7 +176,7 @@ def report(name: str, tables: dict[str, DataFrame], start: Column | None = None,
         out = rows.select("window_start", "zone_id", "route", "direction_id", "observation_count", *cols, F.col("hotspot_score").alias("_s"))
         return out.orderBy(F.col("_s").desc(), "window_start", "zone_id", "route", "direction_id").limit(300 if name == "hotspot_map" else 75).drop("_s")
     if name == "fleet_activity":
-        return _in_range(tables["daily_fleet"], "bucket", start, end, routes_csv).orderBy("bucket")
+        return _in_range(tables["daily_fleet"], "bucket", start, end, routes_csv)
     if name in ("bunching_table", "bunching_map"):
         rows = tables["active_bunching"].filter(X.route_list_filter(routes_csv))
         if name == "bunching_map":

@@ -156,7 +156,9 @@ q("telemetry_freshness_1m", f"{WIN} vehicle_count:l avg_freshness_sec:d max_fres
 q("bunching_events", f"event_time:t {RD} vehicle_a_id:s vehicle_b_id:s gap_seconds:d lat_a:d lon_a:d lat_b:d lon_b:d", lambda x: x.bunch, "select * from bunch")
 q(
     "service_gap_window", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", lambda x: telemetry.service_gap_window(x.t["telemetry_sparse"], 300),
-    f"select min(event_time) as gap_start, max(event_time) as gap_end, route_id, direction_id, max(epoch_s) - min(epoch_s) as gap_duration_sec from telemetry_sparse group by {bucket('event_time', 600)}, route_id, direction_id having count(distinct vehicle_id) <= 1 and max(epoch_s) - min(epoch_s) > 300",
+    f"""
+    select min(event_time) as gap_start, max(event_time) as gap_end, route_id, direction_id, max(epoch_s) - min(epoch_s) as gap_duration_sec
+      from telemetry_sparse group by {bucket('event_time', 600)}, route_id, direction_id having count(distinct vehicle_id) <= 1 and max(epoch_s) - min(epoch_s) > 300""",
 )
 q("service_gap_between_events", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", lambda x: x.gaps, "select * from gaps")
 q("consecutive_fix_lag", f"event_id:l vehicle_id:s {RD} dt:l speed_kmh:d", lambda x: telemetry.consecutive_fix_lag(x.t["telemetry"]), "select * from segments")
@@ -181,7 +183,15 @@ def _messages(x: Tables, broken: bool = True) -> DataFrame:
     return x.t["telemetry"].select(F.when(F.col("event_id") % 29 == 0, F.lit("{broken")).otherwise(m).alias("value"))
 
 
-q("telemetry_source", f"vehicle_id:s {RD} latitude:d longitude:d event_time:t", lambda x: feeds.parse_messages(_messages(x)), "select * from telemetry where event_id % 29 <> 0")
+
+def _from_files(x: Tables) -> DataFrame:
+    """Messages as a producer leaves them, lines of JSON in text files, read through the source."""
+    root = shared_folder(x.spark, "messages")
+    _messages(x).write.text(root)
+    return feeds.telemetry_source(x.spark, root, stream=False)
+
+
+q("telemetry_source", f"vehicle_id:s {RD} latitude:d longitude:d event_time:t", _from_files, "select * from telemetry where event_id % 29 <> 0")
 
 
 def _payloads(x: Tables) -> DataFrame:
@@ -201,11 +211,24 @@ q("positions_passthrough", f"event_time:t vehicle_id:s {RD} agency_id:s latitude
 # --- timetable -----------------------------------------------------------------------------------------------------------
 
 
-def _raw_stops(x: Tables) -> DataFrame:
-    return x.t["stops"].select("stop_id", "stop_name", F.col("stop_lat").cast("string"), F.col("stop_lon").cast("string"), F.col("location_type").cast("string"), "parent_station", F.lit("x").alias("unknown"))
+def _feed(x: Tables) -> dict[str, DataFrame]:
+    """The timetable as an unpacked feed of CSV files, loaded again; the times in it are wall-clock text."""
+    root = shared_folder(x.spark, "feed")
+    raw = x.t["stops"].select("stop_id", "stop_name", "stop_lat", "stop_lon", "location_type", "parent_station", F.lit("x").alias("unknown"))
+    raw.write.option("header", True).csv(f"{root}/stops.txt")
+    clock = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(F.col(c) / 3600), F.floor(F.col(c) % 3600 / 60), F.col(c) % 60)).alias(c.replace("_s", "_time"))
+    x.t["stop_times"].select("trip_id", clock("arrival_s"), clock("departure_s"), "stop_id", "stop_sequence").write.option("header", True).csv(f"{root}/stop_times.txt")
+    return gtfs.gtfs_load(x.spark, root)
 
 
-q("gtfs_load", "stop_id:s stop_name:s stop_desc:s stop_lat:d stop_lon:d location_type:l parent_station:s level_id:s", lambda x: gtfs.gtfs_columns(_raw_stops(x), "stops"), "select stop_id, stop_name, null as stop_desc, stop_lat, stop_lon, location_type, nullif(parent_station, '') as parent_station, null as level_id from stops")
+q(
+    "gtfs_load", "stop_id:s stop_name:s stop_desc:s stop_lat:d stop_lon:d location_type:l parent_station:s level_id:s", lambda x: _feed(x)["stops"],
+    "select stop_id, stop_name, null as stop_desc, stop_lat, stop_lon, location_type, nullif(parent_station, '') as parent_station, null as level_id from stops",
+)
+q(
+    "gtfs_load_stop_times", "trip_id:s stop_sequence:l stop_id:s arrival_time:l departure_time:l", lambda x: _feed(x)["stop_times"],
+    "select *, arrival_s as arrival_time, departure_s as departure_time from stop_times",
+)
 q(
     "gtfs_insert_idempotent", "trip_id:s stop_sequence:l stop_id:s", lambda x: gtfs.gtfs_insert_idempotent(x.t["stop_times"].filter("stop_sequence <= 2"), x.t["stop_times"].union(x.t["stop_times"]), ["trip_id", "stop_sequence"]),
     "select * from stop_times where stop_sequence > 2",
@@ -213,7 +236,11 @@ q(
 q(
     "gtfs_integrity_report", "table_name:s rule:s violations:l",
     lambda x: gtfs.gtfs_integrity_report({**{k: x.t[k] for k in ("agency", "routes", "calendar", "trips", "stops")}, "stop_times": x.t["stop_times"].withColumn("stop_id", F.expr("cast(stop_id + 7 as int)").cast("string")), "shapes": x.t["shapes"].union(x.t["shapes"].limit(0)).withColumn("shape_id", F.lit("0"))}),
-    "select 'shapes' as table_name, 'primary_key' as rule, count(*) as violations from (select shape_pt_sequence from shapes group by 1 having count(*) > 1) having count(*) > 0 union all select 'stop_times', 'stop_id->stops', count(distinct s) from (select cast(cast(stop_id as int) + 7 as varchar) as s from stop_times) where s not in (select stop_id from stops) having count(distinct s) > 0",
+    """
+    select 'shapes' as table_name, 'primary_key' as rule, count(*) as violations from (select shape_pt_sequence
+      from shapes group by 1 having count(*) > 1) having count(*) > 0 union all select 'stop_times', 'stop_id->stops', count(distinct s)
+      from (select cast(cast(stop_id as int) + 7 as varchar) as s from stop_times) where s not in (select stop_id
+      from stops) having count(distinct s) > 0""",
 )
 q("first_stop_per_trip", "trip_id:s first_s:l", lambda x: matching.first_stop_per_trip(x.t["stop_times"]), "select * from first_stop")
 CAND = f"event_id:l {RD} trip_id:s stop_id:s stop_sequence:l scheduled_time:t delay_sec:d distance_to_stop_m:d"
@@ -221,12 +248,18 @@ q("match_candidates", CAND, lambda x: x.candidates, "select * from candidates")
 q("best_match_per_position", CAND, lambda x: matching.best_match_per_position(x.candidates), "select * from (select *, row_number() over (partition by event_id order by distance_to_stop_m, abs(delay_sec), trip_id, stop_sequence) as n from candidates) where n = 1")
 EVENT = f"observed_time:t scheduled_time:t service_date:D vehicle_id:s {RD} trip_id:s stop_id:s stop_sequence:l delay_sec:d distance_to_stop_m:d match_confidence:d match_method:s"
 q("match_stop_delay", EVENT, lambda x: x.events, "select * from events_matched")
-UNMATCHED = f"select * from telemetry t where trip_start_time is not null and {recent('event_time', 7200)} and not exists (select 1 from events_matched e where e.observed_time = t.event_time and e.vehicle_id = t.vehicle_id and e.route_id = t.route_id)"
+UNMATCHED = f"""
+    select * from telemetry t where trip_start_time is not null and {recent('event_time', 7200)}
+      and not exists (select 1 from events_matched e where e.observed_time = t.event_time and e.vehicle_id = t.vehicle_id and e.route_id = t.route_id)"""
 q("unmatched_positions", f"event_id:l event_time:t vehicle_id:s {RD}", lambda x: matching.unmatched_positions(x.t["telemetry"], x.events, x.as_of, CFG), UNMATCHED)
 q("newest_unmatched_limit", f"event_id:l event_time:t vehicle_id:s {RD}", lambda x: matching.unmatched_positions(x.t["telemetry"], x.events, x.as_of, CFG, CFG.match_batch), UNMATCHED + " order by event_time desc, event_id desc limit 20")
 q(
     "stop_delay_insert_unique", EVENT, lambda x: sinks.insert_unique(x.events.filter("stop_sequence <= 3"), x.events.union(x.events)),
-    "select * from (select *, row_number() over (partition by observed_time, vehicle_id, route_id, direction_id, trip_id, stop_id order by scheduled_time, service_date, stop_sequence, delay_sec, distance_to_stop_m) as n from events_matched) e where n = 1 and not exists (select 1 from events_matched o where o.stop_sequence <= 3 and o.observed_time = e.observed_time and o.vehicle_id = e.vehicle_id and o.route_id = e.route_id and o.direction_id is not distinct from e.direction_id and o.trip_id = e.trip_id and o.stop_id = e.stop_id)",
+    """
+    select * from (select *, row_number() over (partition by observed_time, vehicle_id, route_id, direction_id, trip_id, stop_id
+      order by scheduled_time, service_date, stop_sequence, delay_sec, distance_to_stop_m) as n from events_matched) e
+      where n = 1 and not exists (select 1 from events_matched o where o.stop_sequence <= 3 and o.observed_time = e.observed_time and o.vehicle_id = e.vehicle_id and o.route_id = e.route_id and o.direction_id is not distinct
+      from e.direction_id and o.trip_id = e.trip_id and o.stop_id = e.stop_id)""",
 )
 q(
     "dedupe_stop_delay", f"vehicle_id:s {RD} created:l", lambda x: matching.dedupe_stop_delay(x.t["telemetry"].select("vehicle_id", "route_id", "direction_id", F.col("event_id").alias("created")), ("vehicle_id", "route_id", "direction_id"), "created"),
@@ -234,7 +267,10 @@ q(
 )
 q(
     "stratified_stop_sample", f"{RD} hour:l trip_id:s stop_id:s stop_sequence:l", lambda x: matching.stratified_stop_sample(matching.stop_visits(x.t["trips"], x.t["calendar"], x.t["stop_times"], x.t["stops"])),
-    "select trip_route as route_id, trip_direction as direction_id, scheduled_s // 3600 as hour, trip_id, stop_id, stop_sequence from (select *, row_number() over (partition by trip_route, trip_direction, scheduled_s // 3600 order by md5(trip_id || ':' || stop_id || ':' || stop_sequence)) as n from visits) where n = 1",
+    """
+    select trip_route as route_id, trip_direction as direction_id, scheduled_s // 3600 as hour, trip_id, stop_id, stop_sequence
+      from (select *, row_number() over (partition by trip_route, trip_direction, scheduled_s // 3600
+      order by md5(trip_id || ':' || stop_id || ':' || stop_sequence)) as n from visits) where n = 1""",
 )
 q("route_delay_1m", f"{WIN} vehicle_count:l avg_delay_sec:d max_delay_sec:d min_delay_sec:d p95_delay_sec:d", lambda x: x.delay, "select * from delay")
 q("stop_dwell_windows", f"{WIN} stop_id:s vehicle_id:s observation_count:l avg_dwell_sec:d", lambda x: x.dwell, "select * from dwell")
@@ -294,8 +330,12 @@ q("daily_delay", HD.replace("max_delay", "peak_delay"), lambda x: x.reports["dai
 q("hourly_bunching", f"{B} bunching_count:l avg_gap_seconds:d min_gap_seconds:d", lambda x: x.reports["hourly_bunching"], "select * from h_bunch")
 q("hourly_speed", f"{B} total_observations:l avg_speed_kmh:d min_speed_kmh:d max_speed_kmh:d", lambda x: x.reports["hourly_speed"], "select * from h_speed")
 q("hourly_reliability", f"{B} gap_count:l total_gap_sec:d avg_gap_sec:d max_gap_sec:d", lambda x: x.reports["hourly_reliability"], "select * from h_gap")
-q("delay_by_hour_of_day", f"hour_of_day:l {RD} avg_delay_sec:d max_delay_sec:d total_observations:l", lambda x: rollups.delay_by_hour_of_day(x.reports["hourly_delay"]), "select hour(bucket) as hour_of_day, route_id, direction_id, avg(avg_delay_sec) as avg_delay_sec, max(max_delay_sec) as max_delay_sec, sum(total_observations) as total_observations from h_delay group by all")
-q("delay_by_route_type", "route_type:l route_type_label:s avg_delay_sec:d max_delay_sec:d total_observations:l", lambda x: rollups.delay_by_route_type(x.reports["hourly_delay"], x.t["routes"]), f"select route_type, {ROUTE_LABEL} as route_type_label, avg(avg_delay_sec) as avg_delay_sec, max(max_delay_sec) as max_delay_sec, sum(total_observations) as total_observations from h_delay join routes using (route_id) group by all")
+q("delay_by_hour_of_day", f"hour_of_day:l {RD} avg_delay_sec:d max_delay_sec:d total_observations:l", lambda x: rollups.delay_by_hour_of_day(x.reports["hourly_delay"]), """
+    select hour(bucket) as hour_of_day, route_id, direction_id, avg(avg_delay_sec) as avg_delay_sec, max(max_delay_sec) as max_delay_sec, sum(total_observations) as total_observations
+      from h_delay group by all""")
+q("delay_by_route_type", "route_type:l route_type_label:s avg_delay_sec:d max_delay_sec:d total_observations:l", lambda x: rollups.delay_by_route_type(x.reports["hourly_delay"], x.t["routes"]), f"""
+    select route_type, {ROUTE_LABEL} as route_type_label, avg(avg_delay_sec) as avg_delay_sec, max(max_delay_sec) as max_delay_sec, sum(total_observations) as total_observations
+      from h_delay join routes using (route_id) group by all""")
 q("rollup_refresh_window", f"{B} total_observations:l", lambda x: rollups.hourly_delay(sinks.rollup_refresh_window(x.delay, "window_start", x.as_of, 7200, 600, 3600)), f"select * from h_delay where bucket >= {NOW} - interval 7200 second and bucket < {NOW} - interval 3600 second")
 q(
     "refresh_window_range", f"{WIN} avg_delay_sec:d", lambda x: sinks.refresh_window_range(x.delay.withColumn("avg_delay_sec", F.lit(0.0)), x.delay, "window_start", x.as_of, 5400, 900),
@@ -306,7 +346,13 @@ q("time_partitioning", f"event_hour:s {RD} n:l", lambda x: sinks.time_partitione
 KPI = "active_vehicles:l active_routes:l avg_network_delay_sec:d avg_network_speed_kmh:d bunching_events_30m:l service_gaps_60m:l"
 q(
     "fleet_kpis", KPI, lambda x: rollups.fleet_kpis(x.t["telemetry"], x.delay, x.speed, x.bunch, x.gaps, x.as_of),
-    f"select (select count(distinct vehicle_id) from telemetry where {recent('event_time', 300)}) as active_vehicles, (select count(distinct route_id) from telemetry where {recent('event_time', 300)}) as active_routes, (select {rnd('avg(avg_delay_sec)', 1)} from delay where {recent('window_start', 900)}) as avg_network_delay_sec, (select {rnd('avg(avg_speed_kmh)', 1)} from speed where {recent('window_start', 1800)}) as avg_network_speed_kmh, (select count(*) from bunch where {recent('event_time', 1800)}) as bunching_events_30m, (select count(*) from gaps where {recent('gap_start', 3600)}) as service_gaps_60m",
+    f"""
+    select (select count(distinct vehicle_id) from telemetry where {recent('event_time', 300)}) as active_vehicles, (select count(distinct route_id)
+      from telemetry where {recent('event_time', 300)}) as active_routes, (select {rnd('avg(avg_delay_sec)', 1)}
+      from delay where {recent('window_start', 900)}) as avg_network_delay_sec, (select {rnd('avg(avg_speed_kmh)', 1)}
+      from speed where {recent('window_start', 1800)}) as avg_network_speed_kmh, (select count(*)
+      from bunch where {recent('event_time', 1800)}) as bunching_events_30m, (select count(*) from gaps
+      where {recent('gap_start', 3600)}) as service_gaps_60m""",
 )
 q("distinct_route_types", "route_type:l route_type_label:s route_id:s route_short_name:s", lambda x: rollups.distinct_route_types(x.t["routes"]), f"select distinct route_type, {ROUTE_LABEL} as route_type_label, route_id, route_short_name from routes")
 TABLES = ("trips", "stop_times", "stops", "routes", "telemetry")
@@ -316,7 +362,9 @@ q("join_stop_dim", "observed_time:t vehicle_id:s stop_id:s stop_name:s stop_lat:
 q("scalar_subquery_latest", f"{WIN} avg_speed_kmh:d", lambda x: views.latest_rows(x.speed), "select * from speed where window_start = (select max(window_start) from speed)")
 q("correlated_label_lookup", f"{B} metric:s avg_delay_sec:d", lambda x: views.correlated_label(x.reports["hourly_delay"], x.t["routes"]), label_join("select * from h_delay", "x.*, x.route_id || coalesce(' — ' || r.route_short_name, '') as metric"))
 BAND = "case when avg_delay_sec > 300 then 'critical' when avg_delay_sec > 120 then 'warning' else 'normal' end"
-ROOT = "d.bucket, d.route_id, d.direction_id, r.route_short_name, r.route_type, d.avg_delay_sec, d.max_delay_sec, s.avg_speed_kmh, b.bunching_count, g.gap_count, g.total_gap_sec from h_delay d left join routes r on r.route_id = d.route_id " + " ".join(f"left join {t} {a} on {a}.bucket = d.bucket and {a}.route_id = d.route_id and {a}.direction_id = d.direction_id" for t, a in (("h_speed", "s"), ("h_bunch", "b"), ("h_gap", "g")))
+ROOT = """
+    d.bucket, d.route_id, d.direction_id, r.route_short_name, r.route_type, d.avg_delay_sec, d.max_delay_sec, s.avg_speed_kmh, b.bunching_count, g.gap_count,
+      g.total_gap_sec from h_delay d left join routes r on r.route_id = d.route_id """ + " ".join(f"left join {t} {a} on {a}.bucket = d.bucket and {a}.route_id = d.route_id and {a}.direction_id = d.direction_id" for t, a in (("h_speed", "s"), ("h_bunch", "b"), ("h_gap", "g")))
 
 
 def _hourly(x: Tables) -> tuple[DataFrame, ...]:
@@ -328,12 +376,29 @@ q("root_cause_join", f"{B} route_short_name:s route_type:l avg_delay_sec:d avg_s
 FACTOR = "case when avg_delay_sec > 300 and avg_speed_kmh < 8 then 'low_speed_associated' when avg_delay_sec > 300 and coalesce(bunching_count, 0) > 0 then 'bunching_associated' when avg_delay_sec > 300 and coalesce(gap_count, 0) > 0 then 'service_gap_associated' when avg_delay_sec > 300 then 'unexplained_high_delay' else 'normal' end"
 q(
     "root_cause_hourly", f"{B} avg_delay_sec:d max_delay_sec:d avg_speed_kmh:d bunching_count:l service_gap_count:l total_gap_sec:d associated_factor:s", lambda x: rollups.root_cause_hourly(*_hourly(x), x.as_of),
-    f"select bucket, route_id, direction_id, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('max_delay_sec', 1)} as max_delay_sec, {rnd('avg_speed_kmh', 1)} as avg_speed_kmh, coalesce(bunching_count, 0) as bunching_count, coalesce(gap_count, 0) as service_gap_count, {rnd('total_gap_sec', 1)} as total_gap_sec, {FACTOR} as associated_factor from (select {ROOT}) where {recent('bucket', 30 * 86400)}",
+    f"""
+    select bucket, route_id, direction_id, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('max_delay_sec', 1)} as max_delay_sec, {rnd('avg_speed_kmh', 1)} as avg_speed_kmh,
+      coalesce(bunching_count, 0) as bunching_count, coalesce(gap_count, 0) as service_gap_count, {rnd('total_gap_sec', 1)} as total_gap_sec, {FACTOR} as associated_factor
+      from (select {ROOT}) where {recent('bucket', 30 * 86400)}""",
 )
-q("recent_stop_delay", f"observed_time:t vehicle_id:s {RD} route_short_name:s stop_name:s delay_sec:d distance_to_stop_m:d match_confidence:d", lambda x: views.recent_stop_delay(x.events, x.t["routes"], x.t["stops"], x.as_of), f"select e.observed_time, e.vehicle_id, e.route_id, e.direction_id, r.route_short_name, s.stop_name, {rnd('delay_sec', 1)} as delay_sec, {rnd('distance_to_stop_m', 1)} as distance_to_stop_m, {rnd('match_confidence', 2)} as match_confidence from events_matched e left join routes r using (route_id) left join stops s using (stop_id) where {recent('observed_time', 7200)}")
-q("route_status", f"{WIN} route_short_name:s vehicle_count:l avg_delay_sec:d max_delay_sec:d status:s", lambda x: views.route_status(x.delay, x.t["routes"]), f"select window_start, x.route_id, direction_id, route_short_name, vehicle_count, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('max_delay_sec', 1)} as max_delay_sec, status from (select *, {BAND} as status from delay where window_start = (select max(window_start) from delay)) x left join routes r using (route_id)")
-q("freshness_status", f"{WIN} route_short_name:s avg_freshness_sec:d p95_freshness_sec:d status:s", lambda x: views.freshness_status(x.fresh, x.t["routes"]), f"select window_start, x.route_id, direction_id, route_short_name, {rnd('avg_freshness_sec', 1)} as avg_freshness_sec, {rnd('p95_freshness_sec', 1)} as p95_freshness_sec, case when p95_freshness_sec > 120 then 'stale' when p95_freshness_sec > 45 then 'degraded' else 'healthy' end as status from (select * from fresh where window_start = (select max(window_start) from fresh)) x left join routes r using (route_id)")
-q("route_speed_summary", f"{WIN} route_short_name:s avg_speed_kmh:d min_speed_kmh:d max_speed_kmh:d traffic_status:s", lambda x: views.route_speed_summary(x.speed, x.t["routes"]), f"select window_start, x.route_id, direction_id, route_short_name, {rnd('avg_speed_kmh', 1)} as avg_speed_kmh, {rnd('min_speed_kmh', 1)} as min_speed_kmh, {rnd('max_speed_kmh', 1)} as max_speed_kmh, case when avg_speed_kmh < 8 then 'congested' when avg_speed_kmh < 15 then 'slow' else 'normal' end as traffic_status from (select * from speed where window_start = (select max(window_start) from speed)) x left join routes r using (route_id)")
+q("recent_stop_delay", f"observed_time:t vehicle_id:s {RD} route_short_name:s stop_name:s delay_sec:d distance_to_stop_m:d match_confidence:d", lambda x: views.recent_stop_delay(x.events, x.t["routes"], x.t["stops"], x.as_of), f"""
+    select e.observed_time, e.vehicle_id, e.route_id, e.direction_id, r.route_short_name, s.stop_name, {rnd('delay_sec', 1)} as delay_sec, {rnd('distance_to_stop_m', 1)} as distance_to_stop_m,
+      {rnd('match_confidence', 2)} as match_confidence from events_matched e left join routes r using (route_id)
+      left join stops s using (stop_id) where {recent('observed_time', 7200)}""")
+q("route_status", f"{WIN} route_short_name:s vehicle_count:l avg_delay_sec:d max_delay_sec:d status:s", lambda x: views.route_status(x.delay, x.t["routes"]), f"""
+    select window_start, x.route_id, direction_id, route_short_name, vehicle_count, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('max_delay_sec', 1)} as max_delay_sec,
+      status from (select *, {BAND} as status from delay where window_start = (select max(window_start)
+      from delay)) x left join routes r using (route_id)""")
+q("freshness_status", f"{WIN} route_short_name:s avg_freshness_sec:d p95_freshness_sec:d status:s", lambda x: views.freshness_status(x.fresh, x.t["routes"]), f"""
+    select window_start, x.route_id, direction_id, route_short_name, {rnd('avg_freshness_sec', 1)} as avg_freshness_sec, {rnd('p95_freshness_sec', 1)} as p95_freshness_sec,
+      case when p95_freshness_sec > 120 then 'stale' when p95_freshness_sec > 45 then 'degraded' else 'healthy' end as status
+      from (select * from fresh where window_start = (select max(window_start) from fresh)) x left
+      join routes r using (route_id)""")
+q("route_speed_summary", f"{WIN} route_short_name:s avg_speed_kmh:d min_speed_kmh:d max_speed_kmh:d traffic_status:s", lambda x: views.route_speed_summary(x.speed, x.t["routes"]), f"""
+    select window_start, x.route_id, direction_id, route_short_name, {rnd('avg_speed_kmh', 1)} as avg_speed_kmh, {rnd('min_speed_kmh', 1)} as min_speed_kmh,
+      {rnd('max_speed_kmh', 1)} as max_speed_kmh, case when avg_speed_kmh < 8 then 'congested' when avg_speed_kmh < 15 then 'slow' else 'normal' end as traffic_status
+      from (select * from speed where window_start = (select max(window_start) from speed)) x left
+      join routes r using (route_id)""")
 AB = label_join(f"select * from bunch where {recent('event_time', 1800)}")
 AG = label_join(f"select *, {rnd('gap_duration_sec / 60.0', 1)} as gap_duration_min from gaps where {recent('gap_start', 3600)}")
 q("active_bunching", f"event_time:t {RD} route_short_name:s vehicle_a_id:s vehicle_b_id:s gap_seconds:d", lambda x: x.reports["active_bunching"], AB)
@@ -376,18 +441,30 @@ for _name, (_table, _ts) in views.COUNTS.items():
     _report(_name, "value:l", f"select count(*) as value from {SOURCE[_table]}")
 for _name, (_table, _ts, _value, _how, _digits, _down, _limit) in views.TOPS.items():
     _peak = f", {rnd('max(peak_delay_sec)', 1)} as peak" if _name == "worst_delay_routes" else ""
-    _report(_name, "route:s value:d" + (" peak:d" if _peak else ""), f"select {NAMED} as route, {rnd(f'{_how}({_value})', _digits)} as value{_peak} from (select * from {SOURCE[_table]}) x left join routes r using (route_id) group by 1 order by value {'desc' if _down else 'asc'}, route limit {_limit}")
+    _report(_name, "route:s value:d" + (" peak:d" if _peak else ""), f"""
+    select {NAMED} as route, {rnd(f'{_how}({_value})', _digits)} as value{_peak} from (select *
+      from {SOURCE[_table]}) x left join routes r using (route_id) group by 1 order by value {'desc' if _down else 'asc'}, route limit {_limit}""")
     QUERIES[_name], ORACLES[_name] = QUERIES[f"report_{_name}"], ORACLES[f"report_{_name}"]
 _report("average_true_delay", "value:d", f"select {rnd('avg(delay_sec)', 1)} as value from events_matched")
 _report("average_predicted_delay", "value:d", f"select {rnd('avg(predicted_delay_sec)', 1)} as value from predictions")
 _report("critical_routes", "value:l", "select count(distinct route_id) as value from predictions where risk_level = 'critical'")
-_report("latest_features", "feature_time:t route:s direction_id:l avg_delay_sec:d hotspot_score:d", f"select * from (select feature_time, {NAMED} as route, direction_id, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('hotspot_score', 2)} as hotspot_score from (select * from features) x left join routes r using (route_id)) order by feature_time desc, avg_delay_sec desc nulls last, route, direction_id nulls first limit 75")
-_report("latest_predictions", "prediction_time:t route:s direction_id:l predicted_delay_sec:d risk_level:s", f"select * from (select prediction_time, {NAMED} as route, direction_id, {rnd('predicted_delay_sec', 1)} as predicted_delay_sec, risk_level from (select * from predictions) x left join routes r using (route_id)) order by predicted_delay_sec desc, route, direction_id nulls first limit 75")
+_report("latest_features", "feature_time:t route:s direction_id:l avg_delay_sec:d hotspot_score:d", f"""
+    select * from (select feature_time, {NAMED} as route, direction_id, {rnd('avg_delay_sec', 1)} as avg_delay_sec, {rnd('hotspot_score', 2)} as hotspot_score
+      from (select * from features) x left join routes r using (route_id)) order by feature_time desc, avg_delay_sec desc nulls last, route, direction_id nulls first limit 75""")
+_report("latest_predictions", "prediction_time:t route:s direction_id:l predicted_delay_sec:d risk_level:s", f"""
+    select * from (select prediction_time, {NAMED} as route, direction_id, {rnd('predicted_delay_sec', 1)} as predicted_delay_sec, risk_level
+      from (select * from predictions) x left join routes r using (route_id)) order by predicted_delay_sec desc, route, direction_id nulls first limit 75""")
 for _name, _d, _k in (("hotspot_map", 8, 300), ("top_hotspots", 5, 75)):
-    _report(_name, "window_start:t zone_id:s route:s direction_id:l centroid_lat:d hotspot_score:d", f"select window_start, zone_id, {NAMED} as route, direction_id, {rnd('centroid_lat', _d)} as centroid_lat, {rnd('x.hotspot_score', 2)} as hotspot_score from (select * from hot) x left join routes r using (route_id) order by x.hotspot_score desc, window_start, zone_id, {NAMED}, direction_id nulls first limit {_k}")
+    _report(_name, "window_start:t zone_id:s route:s direction_id:l centroid_lat:d hotspot_score:d", f"""
+    select window_start, zone_id, {NAMED} as route, direction_id, {rnd('centroid_lat', _d)} as centroid_lat, {rnd('x.hotspot_score', 2)} as hotspot_score
+      from (select * from hot) x left join routes r using (route_id) order by x.hotspot_score desc, window_start, zone_id, {NAMED}, direction_id nulls first limit {_k}""")
 _report("fleet_activity", "bucket:t unique_vehicles:l unique_routes:l total_position_reports:l", "select * from d_fleet")
-_report("bunching_table", "event_time:t route_short_name:s vehicle_a_id:s vehicle_b_id:s gap_seconds:d location_a:s", f"select *, printf('%.5f', {rnd('lat_a', 5)}) || ', ' || printf('%.5f', {rnd('lon_a', 5)}) as location_a, printf('%.5f', {rnd('lat_b', 5)}) || ', ' || printf('%.5f', {rnd('lon_b', 5)}) as location_b from ({AB}) order by event_time desc, vehicle_a_id, vehicle_b_id, gap_seconds, location_a, location_b limit 100")
-_report("bunching_map", "latitude:d longitude:d route_short_name:s gap_seconds:d vehicles:s", f"select lat_a as latitude, lon_a as longitude, route_short_name, gap_seconds, vehicle_a_id || ' ↔ ' || vehicle_b_id as vehicles from ({AB}) order by vehicles, gap_seconds, latitude, longitude limit 200")
+_report("bunching_table", "event_time:t route_short_name:s vehicle_a_id:s vehicle_b_id:s gap_seconds:d location_a:s", f"""
+    select *, printf('%.5f', {rnd('lat_a', 5)}) || ', ' || printf('%.5f', {rnd('lon_a', 5)}) as location_a, printf('%.5f', {rnd('lat_b', 5)}) || ', ' || printf('%.5f',
+      {rnd('lon_b', 5)}) as location_b from ({AB}) order by event_time desc, vehicle_a_id, vehicle_b_id, gap_seconds, location_a, location_b limit 100""")
+_report("bunching_map", "latitude:d longitude:d route_short_name:s gap_seconds:d vehicles:s", f"""
+    select lat_a as latitude, lon_a as longitude, route_short_name, gap_seconds, vehicle_a_id || ' ↔ ' || vehicle_b_id as vehicles
+      from ({AB}) order by vehicles, gap_seconds, latitude, longitude limit 200""")
 _report("gap_table", f"gap_start:t {RD} gap_duration_sec:d", f"select * from ({AG}) order by gap_duration_sec desc, gap_start, route_id, direction_id nulls first limit 50")
 q("route_list_filter", HD, lambda x: x.reports["hourly_delay"].filter(X.route_list_filter("1,3,11")), "select * from h_delay where route_id in ('1', '3', '11')")
 
@@ -395,15 +472,27 @@ q("route_list_filter", HD, lambda x: x.reports["hourly_delay"].filter(X.route_li
 LAB = f"{FT} avg_delay_sec:d target_delay_sec:d"
 q("label_future_window", LAB, lambda x: ml.label_future_window(x.features, CFG), "select * from labelled")
 q("training_rows", LAB, lambda x: ml.training_rows(x.features, F.timestamp_seconds(F.lit(AS_OF - 7200)), x.as_of, CFG), f"select * from labelled where feature_time >= {NOW} - interval 2 hour and feature_time < {NOW} and target_delay_sec is not null")
-q("build_training_dataset", f"{FT} target:d vehicle_count:d avg_speed_kmh:d is_am_peak:d hour_of_day:d", lambda x: ml.build_training_dataset(ml.label_future_window(x.features, CFG)), "select feature_time, route_id, direction_id, target_delay_sec as target, vehicle_count, coalesce(avg_speed_kmh, 0) as avg_speed_kmh, cast(is_am_peak as int) as is_am_peak, hour_of_day from labelled where target_delay_sec is not null")
+q("build_training_dataset", f"{FT} target:d vehicle_count:d avg_speed_kmh:d is_am_peak:d hour_of_day:d", lambda x: ml.build_training_dataset(ml.label_future_window(x.features, CFG)), """
+    select feature_time, route_id, direction_id, target_delay_sec as target, vehicle_count, coalesce(avg_speed_kmh, 0) as avg_speed_kmh, cast(is_am_peak as int) as is_am_peak,
+      hour_of_day from labelled where target_delay_sec is not null""")
 q("normalize_features", f"{FT} " + " ".join(f"{c}:d" for c in X.FEATURE_COLUMNS), lambda x: X.normalize_features(x.features, ("feature_time", "route_id", "direction_id")), "select feature_time, route_id, direction_id, " + ", ".join(f"coalesce(cast({'cast(' + c + ' as int)' if c.startswith('is_') else c} as double), 0) as {c}" for c in X.FEATURE_COLUMNS) + " from features")
-q("temporal_split", f"{FT} part:s", lambda x: (lambda s: s[0].withColumn("part", F.lit("train")).union(s[1].withColumn("part", F.lit("test"))))(ml.temporal_split(x.features.select("feature_time", "route_id", "direction_id", "zone_id"))), "select *, case when row_number() over (order by feature_time, route_id, direction_id nulls first) <= greatest(1, floor((select count(*) from features) * 0.8)) then 'train' else 'test' end as part from features")
-q("warm_start_score", f"{FT} value:d", lambda x: X.normalize_features(x.features, ("feature_time", "route_id", "direction_id")).withColumn("value", X.warm_start_score()), f"select feature_time, route_id, direction_id, {WARM} as value from (select feature_time, route_id, direction_id, coalesce(avg_delay_sec, 0) as a, coalesce(p95_delay_sec, 0) as p, coalesce(max_delay_sec, 0) as m, speed_drop_kmh as d, bunching_count as b, service_gap_count as g, hotspot_score as h, coalesce(avg_freshness_sec, 0) as f from features)")
+q("temporal_split", f"{FT} part:s", lambda x: (lambda s: s[0].withColumn("part", F.lit("train")).union(s[1].withColumn("part", F.lit("test"))))(ml.temporal_split(x.features.select("feature_time", "route_id", "direction_id", "zone_id"))), """
+    select *, case when row_number() over (order by feature_time, route_id, direction_id nulls first) <= greatest(1, floor((select count(*)
+      from features) * 0.8)) then 'train' else 'test' end as part from features""")
+q("warm_start_score", f"{FT} value:d", lambda x: X.normalize_features(x.features, ("feature_time", "route_id", "direction_id")).withColumn("value", X.warm_start_score()), f"""
+    select feature_time, route_id, direction_id, {WARM} as value from (select feature_time, route_id, direction_id, coalesce(avg_delay_sec, 0) as a, coalesce(p95_delay_sec,
+      0) as p, coalesce(max_delay_sec, 0) as m, speed_drop_kmh as d, bunching_count as b, service_gap_count as g, hotspot_score as h, coalesce(avg_freshness_sec,
+      0) as f from features)""")
 q(
     "prediction_targets", f"{FT} target_delay_sec:d high_delay:l bunching_ahead:l", lambda x: ml.prediction_targets(x.features, x.bunch, CFG),
-    "select l.feature_time, l.route_id, l.direction_id, target_delay_sec, cast(target_delay_sec >= 300 as int) as high_delay, case when exists (select 1 from bunch b where b.route_id = l.route_id and b.direction_id = l.direction_id and b.event_time > l.feature_time and b.event_time <= l.feature_time + interval 1800 second) then 1 else 0 end as bunching_ahead from labelled l",
+    """
+    select l.feature_time, l.route_id, l.direction_id, target_delay_sec, cast(target_delay_sec >= 300 as int) as high_delay,
+      case when exists (select 1 from bunch b where b.route_id = l.route_id and b.direction_id = l.direction_id and b.event_time > l.feature_time and b.event_time <= l.feature_time + interval 1800 second) then 1 else 0 end as bunching_ahead
+      from labelled l""",
 )
-q("baseline_predictions", f"{FT} target_delay_sec:d persistence_delay:d hour_of_day_delay:d", lambda x: ml.baseline_predictions(x.features, CFG), "select *, avg_delay_sec as persistence_delay, avg(target_delay_sec) over (partition by route_id, direction_id, hour_of_day) as hour_of_day_delay from labelled where target_delay_sec is not null")
+q("baseline_predictions", f"{FT} target_delay_sec:d persistence_delay:d hour_of_day_delay:d", lambda x: ml.baseline_predictions(x.features, CFG), """
+    select *, avg_delay_sec as persistence_delay, avg(target_delay_sec) over (partition by route_id, direction_id, hour_of_day) as hour_of_day_delay
+      from labelled where target_delay_sec is not null""")
 q("bunching_prediction", f"{FT} bunching_probability:d", lambda x: ml.bunching_prediction(x.features_once, x.bunch, x.as_of, CFG), None)
 MODELS: dict[tuple[str, str], str] = {}  # by application and tables: the folder of the model trained on them
 
@@ -453,10 +542,15 @@ scalar("segment_speed_kmh", "telemetry", "event_id:l", lambda: X.segment_speed_k
 scalar("telemetry_age", "telemetry", "event_id:l", lambda: X.telemetry_age(AS_OF, "epoch_s"), "d", f"{AS_OF} - epoch_s")
 scalar("service_local_date", "telemetry", "event_id:l", lambda: X.service_local_date(F.timestamp_seconds(F.col("epoch_s") + 50000), "Europe/Bucharest"), "D", "cast(make_timestamp((epoch_s + 57200) * 1000000) as date)")
 scalar("scheduled_instant", "stop_times", "trip_id:s stop_sequence:l", lambda: X.scheduled_instant(F.lit("2024-01-01").cast("date"), F.coalesce("arrival_s", F.lit(0)), "Europe/Bucharest"), "t", "make_timestamp((1704067200 - 7200 + coalesce(arrival_s, 0)) * 1000000)")
-q("service_active_on", "service_id:s day:D active:b", lambda x: x.t["orders"].select(F.expr("date_add(date '2023-11-25', cast(o_orderkey % 120 as int))").alias("day")).distinct().join(x.t["calendar"]).withColumn("active", X.service_active_on("day")), f"select service_id, d as day, {oracle.ACTIVE} as active from (select distinct cast(date '2023-11-25' + cast(o_orderkey % 120 as int) as date) as d from orders) x, calendar")
+q("service_active_on", "service_id:s day:D active:b", lambda x: x.t["orders"].select(F.expr("date_add(date '2023-11-25', cast(o_orderkey % 120 as int))").alias("day")).distinct().join(x.t["calendar"]).withColumn("active", X.service_active_on("day")), f"""
+    select service_id, d as day, {oracle.ACTIVE} as active from (select distinct cast(date '2023-11-25' + cast(o_orderkey % 120 as int) as date) as d
+      from orders) x, calendar""")
 scalar("match_confidence", "telemetry", "event_id:l", lambda: X.match_confidence(F.col("event_id") % 90), "d", "greatest(0.05e0, least(1e0, 1 - (event_id % 90) / 75e0))")
 scalar("match_method", "telemetry", "event_id:l", lambda: X.match_method("trip_start_time"), "s", "case when trip_start_time is null then 'route_direction_geofence' else 'trip_start_geofence' end")
-q("calendar_features", "event_id:l hour_of_day:l day_of_week:l is_weekend:b is_am_peak:b is_pm_peak:b", lambda x: x.t["telemetry"].select("event_id", *[v.alias(k) for k, v in X.calendar_features(F.timestamp_seconds(F.col("epoch_s") + (F.col("event_id") % 9) * 86400), "Europe/Bucharest").items()]), "select event_id, hour(t) as hour_of_day, isodow(t) as day_of_week, isodow(t) >= 6 as is_weekend, hour(t) between 7 and 9 as is_am_peak, hour(t) between 16 and 19 as is_pm_peak from (select event_id, make_timestamp((epoch_s + 7200 + (event_id % 9) * 86400) * 1000000) as t from telemetry) x")
+q("calendar_features", "event_id:l hour_of_day:l day_of_week:l is_weekend:b is_am_peak:b is_pm_peak:b", lambda x: x.t["telemetry"].select("event_id", *[v.alias(k) for k, v in X.calendar_features(F.timestamp_seconds(F.col("epoch_s") + (F.col("event_id") % 9) * 86400), "Europe/Bucharest").items()]), """
+    select event_id, hour(t) as hour_of_day, isodow(t) as day_of_week, isodow(t) >= 6 as is_weekend, hour(t) between 7 and 9 as is_am_peak, hour(t) between 16 and 19 as is_pm_peak
+      from (select event_id, make_timestamp((epoch_s + 7200 + (event_id % 9) * 86400) * 1000000) as t
+      from telemetry) x""")
 scalar("speed_drop", "telemetry", "event_id:l", lambda: X.speed_drop(F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 40)), "d", "greatest(0e0, 15 - coalesce(case when event_id % 5 > 0 then event_id % 40 end, 15))")
 scalar("hotspot_score", "telemetry", "event_id:l", lambda: X.hotspot_score(F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 2000 - 500), F.col("event_id") % 3000 - 700), "d", "greatest(0e0, coalesce(case when event_id % 5 > 0 then event_id % 2000 - 500 end, 0) / 600e0) + greatest(0e0, (event_id % 3000 - 700) / 900e0)")
 scalar("zone_id_3dp", "stops", "stop_id:s", lambda: X.zone_id_3dp("stop_lat", "stop_lon"), "s", f"printf('%.3f', {rnd('stop_lat', 3)}) || ':' || printf('%.3f', {rnd('stop_lon', 3)})")
@@ -474,10 +568,16 @@ scalar("stop_place_id", "stops", "stop_id:s", lambda: X.stop_place_id("parent_st
 scalar("clamp_delay", "telemetry", "event_id:l", lambda: X.clamp_delay(F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 2500 - 200)), "l", "case when event_id % 7 > 0 then greatest(-120, least(1800, event_id % 2500 - 200)) else 0 end")
 scalar("walk_seconds", "telemetry", "event_id:l", lambda: X.walk_seconds(F.col("event_id") % 1000), "l", "ceil((event_id % 1000) / 1.25e0)")
 scalar("minutes_between", "telemetry", "event_id:l", lambda: X.minutes_between(F.lit(1704092400), "epoch_s"), "l", "greatest(0, ceil((epoch_s - 1704092400) / 60e0))")
-q("web_mercator_xy", "stop_id:s x:d y:d", lambda x: x.t["stops"].select("stop_id", X.web_mercator_xy("stop_lat", "stop_lon", F.lit(14)).alias("p")).select("stop_id", "p.*"), "select stop_id, (stop_lon + 180) / 360 * 256 * pow(2, 14) as x, (0.5e0 - ln((1 + sin(radians(stop_lat))) / (1 - sin(radians(stop_lat)))) / (4 * pi())) * 256 * pow(2, 14) as y from stops")
+q("web_mercator_xy", "stop_id:s x:d y:d", lambda x: x.t["stops"].select("stop_id", X.web_mercator_xy("stop_lat", "stop_lon", F.lit(14)).alias("p")).select("stop_id", "p.*"), """
+    select stop_id, (stop_lon + 180) / 360 * 256 * pow(2, 14) as x, (0.5e0 - ln((1 + sin(radians(stop_lat))) / (1 - sin(radians(stop_lat)))) / (4 * pi())) * 256 * pow(2,
+      14) as y from stops""")
 q("bbox_filter", "stop_id:s", lambda x: X.bbox_filter(x.t["stops"], 44.05, 25.53, 44.03, 25.55, "stop_lat", "stop_lon"), "select stop_id from stops where stop_lat between 44.03e0 and 44.05e0 and stop_lon between 25.53e0 and 25.55e0")
-q("stop_search", "place_id:s name:s", lambda x: X.stop_search(x.places, "Anvil", 20), "select place_id, name from places where contains(lower(name), 'anvil') or len(list_filter(stop_ids, lambda s: contains(lower(s), 'anvil'))) > 0 or len(list_filter(names, lambda s: contains(lower(s), 'anvil'))) > 0 order by name, place_id limit 20")
-q("parse_location_id", "event_id:l lat:d lon:d", lambda x: x.t["telemetry"].select("event_id", X.parse_location_id(F.concat(F.when(F.col("event_id") % 11 == 0, "at:").otherwise("loc:"), (F.col("latitude") + F.col("event_id") % 2).cast("string"), F.lit(","), F.col("longitude").cast("string"))).alias("p")).select("event_id", "p.*"), "select event_id, case when ok then latitude end as lat, case when ok then longitude end as lon from (select *, event_id % 11 <> 0 and event_id % 2 = 0 as ok from telemetry)")
+q("stop_search", "place_id:s name:s", lambda x: X.stop_search(x.places, "Anvil", 20), """
+    select place_id, name from places where contains(lower(name), 'anvil') or len(list_filter(stop_ids, lambda s: contains(lower(s), 'anvil'))) > 0 or len(list_filter(names,
+      lambda s: contains(lower(s), 'anvil'))) > 0 order by name, place_id limit 20""")
+q("parse_location_id", "event_id:l lat:d lon:d", lambda x: x.t["telemetry"].select("event_id", X.parse_location_id(F.concat(F.when(F.col("event_id") % 11 == 0, "at:").otherwise("loc:"), (F.col("latitude") + F.col("event_id") % 2).cast("string"), F.lit(","), F.col("longitude").cast("string"))).alias("p")).select("event_id", "p.*"), """
+    select event_id, case when ok then latitude end as lat, case when ok then longitude end as lon
+      from (select *, event_id % 11 <> 0 and event_id % 2 = 0 as ok from telemetry)""")
 q("recent_filter", f"event_id:l event_time:t {RD}", lambda x: X.recent_filter(x.t["telemetry"], "event_time", x.as_of, 1800), f"select * from telemetry where {recent('event_time', 1800)}")
 scalar("display_round", "telemetry", "event_id:l", lambda: X.display_round(F.col("latitude") * 10, 1), "d", rnd("latitude * 10", 1))
 
@@ -487,7 +587,10 @@ q("transfer_stop_pairs", "from_stop_id:s to_stop_id:s meters:d", lambda x: plann
 LOCS = "select cast(c_custkey as varchar) as location_id, 44.02e0 + (c_custkey % 97) * 0.009e0 as loc_lat, 25.52e0 + (c_custkey % 31) * 0.003e0 as loc_lon from customer"
 q(
     "access_stop_join", "location_id:s place_id:s meters:d rank:l", lambda x: planner.access_stop_join(x.spark.sql(LOCS.replace("varchar", "string")), x.places, CFG),
-    f"select * from (select *, row_number() over (partition by location_id order by meters, place_id) as rank from (select location_id, place_id, {meters('loc_lat', 'lat', 'loc_lon', 'lon')} as meters from ({LOCS}) l, places p) where meters <= 900) where rank <= 10",
+    f"""
+    select * from (select *, row_number() over (partition by location_id order by meters, place_id) as rank
+      from (select location_id, place_id, {meters('loc_lat', 'lat', 'loc_lon', 'lon')} as meters from ({LOCS}) l, places p)
+      where meters <= 900) where rank <= 10""",
 )
 q("resolve_endpoints", "request_id:l side:s stop_id:s walk_m:d", lambda x: x.ends, "select * from ends")
 q("service_windows", "request_id:l service_date:D earliest_s:l service_id:s", lambda x: x.windows, "select * from windows")
@@ -655,7 +758,9 @@ def _streams() -> None:
     q("stream_bunching", f"event_time:t {RD} vehicle_a_id:s vehicle_b_id:s gap_seconds:d", _streamed(lambda s: S.bunching(s, CFG)), "select * from bunch")
     q(
         "stream_service_gap", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", _streamed(lambda s: S.service_gap(s, 300, CFG), "telemetry_sparse"),
-        f"select min(event_time) as gap_start, max(event_time) as gap_end, route_id, direction_id, max(epoch_s) - min(epoch_s) as gap_duration_sec from telemetry_sparse group by {bucket('event_time', 600)}, route_id, direction_id having count(distinct vehicle_id) <= 1 and max(epoch_s) - min(epoch_s) > 300 and floor(max(epoch_s) / 600) * 600 + 600 <= {CLOSED}",
+        f"""
+    select min(event_time) as gap_start, max(event_time) as gap_end, route_id, direction_id, max(epoch_s) - min(epoch_s) as gap_duration_sec
+      from telemetry_sparse group by {bucket('event_time', 600)}, route_id, direction_id having count(distinct vehicle_id) <= 1 and max(epoch_s) - min(epoch_s) > 300 and floor(max(epoch_s) / 600) * 600 + 600 <= {CLOSED}""",
     )
     q("stream_segment_speed", f"vehicle_id:s {RD} event_time:t speed_kmh:d", _streamed(lambda s: S.segments(s, CFG)), "select * from segments")
     q("stream_dedup", "vehicle_id:s epoch_s:l", _streamed(lambda s: S.dedup(s, CFG)), "select distinct vehicle_id, epoch_s from telemetry")
