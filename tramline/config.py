@@ -36,6 +36,8 @@ class TransitConfig:
     itineraries: int = 5
     walk_slack_min: int = 4
     time_gain_min: int = 3
+    trees: int = 200
+    tree_step: float = 0.06
     model_version: str = "delay-gbt-v1"
     warm_start_version: str = "warm-start-v1"
     warm_start_confidence: float = 0.35

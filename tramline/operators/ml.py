@@ -62,7 +62,7 @@ def temporal_split(rows: DataFrame, test_fraction: float = 0.2) -> tuple[DataFra
     return train, test
 
 
-def train_delay_model(dataset: DataFrame, test_fraction: float = 0.2, max_iter: int = 200, step: float = 0.06, seed: int = 42) -> tuple[PipelineModel, dict[str, float]]:
+def train_delay_model(dataset: DataFrame, test_fraction: float = 0.2, max_iter: int = DEFAULT.trees, step: float = DEFAULT.tree_step, seed: int = 42) -> tuple[PipelineModel, dict[str, float]]:
     """Gradient-boosted trees on a temporal split, with MAE and RMSE on the later part."""
     if dataset.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} labelled rows are needed")

@@ -503,7 +503,7 @@ def _model(x: Tables) -> str:
     if key not in MODELS:
         rows = stored(ml.build_training_dataset(ml.label_future_window(x.features_once, CFG)), "training")
         path = shared_folder(x.spark, "model")
-        ml.save_model(*ml.train_delay_model(rows), path)
+        ml.save_model(*ml.train_delay_model(rows, max_iter=CFG.trees, step=CFG.tree_step), path)
         MODELS[key] = path
     return MODELS[key]
 
