@@ -120,15 +120,17 @@ def boardings(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times:
     return _within(o, departures_on(windows, trips, stop_times), F.col("earliest_s"), cfg.search_window_s).drop("earliest_s")
 
 
+LEG_NAMES = {
+    "trip_id": "trip_id", "route_id": "route_id", "direction_id": "direction_id", "shape_id": "shape_id", "stop_id": "from_stop", "to_stop": "to_stop",
+    "stop_sequence": "from_seq", "to_seq": "to_seq", "t": "dep_s", "to_t": "arr_s",
+}
+
+
 def _ride(b: DataFrame, stop_times: DataFrame, leg: str) -> DataFrame:
     """Boardings with every later stop of the same trip."""
     later = _timed(stop_times, False).select("trip_id", F.col("stop_id").alias("to_stop"), F.col("stop_sequence").alias("to_seq"), F.col("t").alias("to_t"))
     r = b.join(later, "trip_id").filter("to_seq > stop_sequence")
-    names = {
-        "trip_id": "trip_id", "route_id": "route_id", "direction_id": "direction_id", "shape_id": "shape_id", "stop_id": "from_stop", "to_stop": "to_stop",
-        "stop_sequence": "from_seq", "to_seq": "to_seq", "t": "dep_s", "to_t": "arr_s",
-    }
-    return r.select(*[c for c in r.columns if c not in names], *[F.col(k).alias(f"{leg}_{v}") for k, v in names.items()])
+    return r.select(*[c for c in r.columns if c not in LEG_NAMES], *[F.col(k).alias(f"{leg}_{v}") for k, v in LEG_NAMES.items()])
 
 
 def first_rides(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
@@ -154,15 +156,32 @@ def direct_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFrame, st
     return top_per_request(direct_trip_join(ends, windows, trips, stop_times, cfg, rides), cfg.candidates, "leg1_arr_s", "leg1_dep_s")
 
 
+def last_rides(ends: DataFrame, bounds: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """Every ride that ends at the destination of a request and departs within its bounds (``request_id, service_date, lo, hi``)."""
+    d = ends.filter("side = 'destination'").select("request_id", F.col("stop_id").alias("to_stop"), F.col("walk_m").alias("egress_m")).join(bounds, "request_id")
+    days = windows.select("service_date", "service_id").distinct()
+    runs = trips.select("trip_id", "route_id", "direction_id", "service_id", "shape_id").join(days, "service_id").drop("service_id")
+    arrivals = _timed(stop_times, False).select("trip_id", F.col("stop_id").alias("to_stop"), F.col("stop_sequence").alias("to_seq"), F.col("t").alias("to_t"))
+    rides = d.join(arrivals.join(runs, "trip_id"), ["service_date", "to_stop"]).join(_timed(stop_times, True), "trip_id")
+    return rides.filter((F.col("stop_sequence") < F.col("to_seq")) & F.col("t").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+
+
 def one_transfer_join(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
-    """First legs (the earliest arrivals of each request), a walk between stops, and a second ride to the destination."""
+    """First legs (the earliest arrivals of each request), a walk between stops, and a second ride to the destination.
+
+    The search meets in the middle: first legs from the origin and last rides into the destination, departing no later than the
+    first legs allow, are joined by request, date and transfer stop, so that no boarding that misses the destination is ever made.
+    """
     rides = first_rides(ends, windows, trips, stop_times, cfg) if rides is None else rides
-    first = top_per_request(rides, cfg.first_legs, "leg1_arr_s")
+    first = stored(top_per_request(rides, cfg.first_legs, "leg1_arr_s"), "first")
+    soonest, latest = cfg.min_transfer_s, cfg.min_transfer_s + cfg.transfer_wait_s
+    bounds = first.groupBy(*KEY).agg((F.min("leg1_arr_s") + soonest).alias("lo"), (F.max("leg1_arr_s") + latest).alias("hi"))
+    last = last_rides(ends, bounds, windows, trips, stop_times)
     pairs = transfer_stop_pairs(stops, cfg.transfer_walk_m).select(F.col("from_stop_id").alias("leg1_to_stop"), F.col("to_stop_id").alias("stop_id"), F.col("meters").alias("transfer_m"))
-    onward = _within(first.join(pairs, "leg1_to_stop"), departures_on(windows, trips, stop_times), F.col("leg1_arr_s") + cfg.min_transfer_s, cfg.transfer_wait_s)
-    onward = onward.filter(F.col("trip_id") != F.col("leg1_trip_id"))
-    d = ends.filter("side = 'destination'").select("request_id", F.col("stop_id").alias("leg2_to_stop"), F.col("walk_m").alias("egress_m"))
-    return _ride(onward, stop_times, "leg2").join(d, ["request_id", "leg2_to_stop"])
+    j = first.join(pairs, "leg1_to_stop").join(last, [*KEY, "stop_id"])
+    wait = F.col("t") - F.col("leg1_arr_s")
+    j = j.filter((F.col("trip_id") != F.col("leg1_trip_id")) & wait.between(soonest, latest))
+    return j.select(*[c for c in j.columns if c not in LEG_NAMES], *[F.col(k).alias(f"leg2_{v}") for k, v in LEG_NAMES.items()])
 
 
 def one_transfer_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
