@@ -103,7 +103,8 @@ def _segments(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
     ok = (dt > 5) & (dt < 300) & (speed > 0) & (speed < 120)
     out = rows.loc[:, ["vehicle_id", "route_id", "direction_id", "event_time"]].copy()
     out["speed_kmh"] = speed
-    yield out[ok]
+    if ok.any():
+        yield out[ok]
 
 
 GAP = "gap_start timestamp, gap_end timestamp, route_id string, direction_id int, gap_duration_sec double"
@@ -121,7 +122,8 @@ def _gaps(threshold_s: int):
         state.update((int(t[-1]),))
         at = np.nonzero(np.diff(t) > threshold_s)[0]
         when = lambda x: pd.to_datetime(x, unit="s")
-        yield pd.DataFrame({"gap_start": when(t[at]), "gap_end": when(t[at + 1]), "route_id": key[0], "direction_id": pd.array([key[1]] * len(at), "Int32"), "gap_duration_sec": np.diff(t)[at].astype(float)})
+        if len(at):
+            yield pd.DataFrame({"gap_start": when(t[at]), "gap_end": when(t[at + 1]), "route_id": key[0], "direction_id": pd.array([key[1]] * len(at), "Int32"), "gap_duration_sec": np.diff(t)[at].astype(float)})
 
     return run
 
