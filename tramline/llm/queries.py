@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import chat, decontaminate, language_id, mixing, near_dup, oracles, quality_gam, quality_rules, secrets, shards, toxicity
+from tramline.llm import chat, decontaminate, divergence, language_id, mixing, near_dup, oracles, quality_gam, quality_rules, secrets, shards, spelling, token_counts, toxicity
 from tramline.llm.common import remainder_is, table
 
 
@@ -58,9 +58,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_rotation": oracles.CHAT, "op4_minhash_near_dedup": oracles.NEAR_DUP, "op7_benchmark_decontamination": oracles.LEAKS}
+    return {"op3_chat_rotation": oracles.CHAT, "op4_minhash_near_dedup": oracles.NEAR_DUP, "op7_benchmark_decontamination": oracles.LEAKS, "op12_source_divergence": oracles.DIVERGENCE, "op13_spelling_variants": oracles.SPELLING}
