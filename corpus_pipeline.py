@@ -24,11 +24,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id are one document.  Wordless rows are alike only if they repeat an id or, without one, the text.
     """
     kept = stored(near_dup.survivors(docs, words=5, percent=80), "kept")
-    own, key = F.col("doc_id").eqNullSafe(F.col("_id")), near_dup.text_key()
-    rows = docs.withColumn("_key", key).join(kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_k")), own & (F.col("_key") == F.col("_k")), "left_semi")
+    # The row travels whole in a column of its own, so that no name in it can clash with the keys.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), near_dup.text_key().alias("_key"))
+    ids = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+    rows = rows.join(ids, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
     if not kept.filter("copies > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_key"])
-    return rows.select(docs.columns)
+        rows = rows.dropDuplicates(["_id", "_key"])
+    return rows.select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
