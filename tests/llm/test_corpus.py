@@ -580,3 +580,25 @@ def test_sha_of_records(spark):
     ids = [*shards.encoder(open(shards.VOCABULARY, "rb").read()).encode_ordinary("hello"), 50256]
     raw = np.array(ids + [50256] * (8 - len(ids)), "<u2").tobytes()
     assert got["sha256"] == hashlib.sha256(raw).hexdigest()
+
+
+# --- clashing names ------------------------------------------------------------------------------------------------------
+
+
+def test_dedup_stage_keeps_columns_of_any_name(spark):
+    names = ("_key", "_id", "_k", "_row", "_kept_id", "_kept_key")
+    rows = [(k, "one two three four five six", *(f"{n}{k}" for n in names)) for k in (3, 1, 1)] + [(4, "other words stand here as well", *names), (None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, {rows[1], rows[3], rows[4]}))
+
+
+def test_sequences_know_their_files_beside_a_column_of_that_name(spark, tmp_path):
+    own = spark.createDataFrame([(k, f"text {k}", "mine") for k in range(4)], "doc_id long, text string, _metadata string")
+    own.write.parquet(str(tmp_path / "docs"))
+    placed = shards._placed(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert len(placed) == 4 and all(r["_file"].endswith(".parquet") and r["_start"] is not None for r in placed)
+    assert {(r["_file"], r["_start"]) for r in shards._placed(own).collect()} == {(None, None)}
+    with pytest.raises(Exception, match="text"):
+        shards._placed(own.drop("text"))

@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -380,6 +381,28 @@ def test_keys_in_lines_and_escapes():
     assert found(f"x {ssh} y") == [("key", ssh)] and found(f"x\n{cut}\ny") == [("key", cut)] and found(ssh[:-8]) == []
 
 
+@pytest.mark.parametrize("piece", ["/MIMPQUFB", "/" + base64.b64encode(b"\x30\x82\x0f\x00\x02\x01\x00" * 3).decode(), "/b3BlbnNzaC1rZXktdjE" + "AAAAAA" * 3, "-----BEGIN PRIVATE KEY-----\n", "token    ", "eyJh."])
+def test_crafted_starts_take_linear_time(piece):
+    """Many starts that state long lengths; ten times the text takes some ten times as long."""
+    took = []
+    for n in (100_000, 1_000_000):
+        text = piece * (n // len(piece))
+        began = time.process_time()
+        spans = secrets.confirmed_spans(text) + secrets.base_spans(text)
+        took.append(time.process_time() - began)
+        assert not [s for s in spans if s[0] != "assign"]
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_a_long_run_holds_its_keys():
+    """Keys one below the other in one run of base64 lines, behind starts that are none."""
+    b64 = base64.b64encode(KEY).decode()
+    block = "\n".join(b64[k : k + 64] for k in range(0, len(b64), 64))
+    text = "/MIMPQUFB" * 2000 + "/" + b64 + " " + "\n \n".join([block] * 50)
+    found = [text[a:b] for _, a, b in secrets.confirmed_spans(text)]
+    assert found == [b64, *[block] * 50]
+
+
 def plain_base(text):
     out = []
     pattern = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ SSH_MAGIC = b"openssh-key-v1\0"
 CIPHER_BLOCKS = {"AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16, "DES-EDE3-CBC": 8, "DES-CBC": 8}
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-DEPTH = 8
+DEPTH, VALUES = 8, 1000  # a structure that is nested deeper or has more values is no key
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -66,56 +67,64 @@ def decode(run: str) -> bytes | None:
         return None
 
 
-def parse_der(data: bytes, depth: int = 0) -> list[tuple[int, bytes, list | None]] | None:
-    """The values in ``data`` as (tag, content, children), or None unless every length is exact."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data) or depth > DEPTH:
+def parse_der(get: Callable[[int, int], bytes], at: int, end: int, left: list[int], depth: int = 0) -> list[tuple[int, int, int, list | None]] | None:
+    """The values from ``at`` to ``end`` as (tag, start, end, children), or None unless every length is exact.
+
+    ``get(a, b)`` gives bytes; only heads are read.  ``left`` holds how many values may still come: no key has ``VALUES`` of them.
+    """
+    out = []
+    while at < end:
+        left[0] -= 1
+        head = get(at, min(at + 6, end))
+        if len(head) < 2 or depth > DEPTH or left[0] < 0:
             return None
-        tag, size = data[at], data[at + 1]
-        at += 2
+        tag, size, at = head[0], head[1], at + 2
         if size & 0x80:
             more = size & 0x7F
-            if not 1 <= more <= 4 or at + more > len(data):
+            if not 1 <= more <= 4 or len(head) < 2 + more:
                 return None
-            size, at = int.from_bytes(data[at : at + more], "big"), at + more
+            size, at = int.from_bytes(head[2 : 2 + more], "big"), at + more
             if size < 0x80:
                 return None  # not the shortest form
-        if at + size > len(data):
+        if at + size > end:
             return None
-        content = data[at : at + size]
-        inner = parse_der(content, depth + 1) if tag & 0x20 else None
+        inner = parse_der(get, at, at + size, left, depth + 1) if tag & 0x20 else None
         if tag & 0x20 and inner is None:
             return None
-        out.append((tag, content, inner))
+        out.append((tag, at, at + size, inner))
         at += size
     return out
 
 
-def private_key(data: bytes) -> bool:
-    """PKCS#1, SEC1, DSA or PKCS#8 private keys, encrypted PKCS#8, or the OpenSSH container."""
-    if data.startswith(SSH_MAGIC):
-        at = 15
+def private_key(get: Callable[[int, int], bytes], size: int) -> bool:
+    """PKCS#1, SEC1, DSA or PKCS#8 private keys, encrypted PKCS#8, or the OpenSSH container, in ``size`` bytes read by ``get``."""
+    if get(0, min(size, len(SSH_MAGIC))) == SSH_MAGIC:
+        at = len(SSH_MAGIC)
         for _ in range(3):  # cipher, key derivation and its options
-            if at + 4 > len(data):
+            if at + 4 > size:
                 return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
-    if data[:1] != b"\x30" or (top := parse_der(data)) is None or len(top) != 1 or not top[0][2]:
+            at += 4 + int.from_bytes(get(at, at + 4), "big")
+        return at + 4 <= size and 1 <= int.from_bytes(get(at, at + 4), "big") <= 16
+    if get(0, min(size, 1)) != b"\x30" or (top := parse_der(get, 0, size, [VALUES])) is None or len(top) != 1 or not top[0][3]:
         return False
-    fields = top[0][2]
-    tags = [t for t, _, _ in fields]
-    if tags[0] == 0x02 and len(fields[0][1]) == 1 and fields[0][1][0] <= 1:
+    fields = top[0][3]
+    tags = [f[0] for f in fields]
+    _, a, b, _ = fields[0]
+    if tags[0] == 0x02 and b - a == 1 and get(a, b)[0] <= 1:
         if len(tags) >= 6 and set(tags[:6]) == {0x02}:
             return True
-        if tags[1:2] == [0x04] and len(fields[1][1]) >= 16:
+        if tags[1:2] == [0x04] and fields[1][2] - fields[1][1] >= 16:
             return True
-        return tags[1:3] == [0x30, 0x04] and _algorithm(fields[1][2])
-    return tags == [0x30, 0x04] and _algorithm(fields[0][2])
+        return tags[1:3] == [0x30, 0x04] and _algorithm(fields[1][3])
+    return tags == [0x30, 0x04] and _algorithm(fields[0][3])
+
+
+def _whole(data: bytes) -> bool:
+    return private_key(lambda a, b: data[a:b], len(data))
 
 
 def _algorithm(fields: list | None) -> bool:
-    return bool(fields) and fields[0][0] == 0x06 and len(fields[0][1]) >= 3
+    return bool(fields) and fields[0][0] == 0x06 and fields[0][2] - fields[0][1] >= 3
 
 
 def signed_token(header: str, payload: str, signature: str) -> bool:
@@ -137,68 +146,89 @@ def armoured_key(body: str) -> bool:
     if raw is None or not raw:
         return False
     if "DEK-Info" not in named:
-        return private_key(raw)
+        return _whole(raw)
     cipher, _, vector = named["DEK-Info"].partition(",")
     block = CIPHER_BLOCKS.get(cipher)
     whole = block and len(vector) == 2 * block and not set(vector.upper()) - set("0123456789ABCDEF")
     return bool(whole) and named.get("Proc-Type", "").endswith("ENCRYPTED") and len(raw) % block == 0
 
 
-def _take(text: str, at: int, n: int) -> tuple[str, int] | None:
-    """``n`` base64 characters from ``at`` on, over line breaks, and where they end; None if there are fewer."""
-    got, size = [], 0
-    while m := LINE.match(text, at, at + n - size):
-        got.append(m[0])
-        size, at = size + len(m[0]), m.end()
-        if size == n:
-            return "".join(got), at
-        gap = LINE_BREAK.match(text, at)
-        if gap is None:
-            return None
-        at = gap.end()
-    return None
+class Run:
+    """Base64 characters in a row, line breaks left out, from ``at`` to the first character that is neither.
+
+    A text is walked once: starts inside a run share it.  Bytes are decoded where they are asked for, so what a start costs does not depend on the
+    length that it states.
+    """
 
+    def __init__(self, text: str, at: int):
+        self.text, self.lines, self.places, parts, n = text, [], [], [], 0
+        while m := LINE.match(text, at):
+            self.lines.append(at)
+            self.places.append(n)
+            parts.append(m[0])
+            n, at = n + len(m[0]), m.end()
+            gap = LINE_BREAK.match(text, at)
+            if gap is None:
+                break
+            at = gap.end()
+        self.chars, self.end = "".join(parts).replace("-", "+").replace("_", "/"), at
 
-def _bytes(text: str, at: int, n: int) -> tuple[bytes, int] | None:
-    """The first ``n`` bytes of the base64 at ``at``, and where its characters end."""
-    got = _take(text, at, -(-n * 8 // 6))
-    raw = decode(got[0]) if got else None
-    return None if raw is None else (raw[:n], got[1])
+    def place(self, at: int) -> int:
+        """The number of the character that stands at ``at`` in the text."""
+        k = bisect.bisect_right(self.lines, at) - 1
+        return self.places[k] + at - self.lines[k]
 
+    def after(self, place: int) -> int:
+        """Where in the text the characters before ``place`` end."""
+        k = bisect.bisect_left(self.places, place) - 1
+        return self.lines[k] + place - self.places[k]
 
-def _key_size(text: str, at: int) -> int | None:
-    """The length in bytes that a key states at its start, if its first fields are those of a private key."""
-    if text.startswith("b3", at):
+    def reader(self, place: int) -> Callable[[int, int], bytes]:
+        """Bytes a to b of what is encoded from ``place`` on."""
+
+        def get(a: int, b: int) -> bytes:
+            low = a // 3
+            some = self.chars[place + 4 * low : place + -(-b * 8 // 6)]
+            return base64.b64decode(some[: len(some) - (len(some) % 4 == 1)] + "=" * (-len(some) % 4 % 3))[a - 3 * low : b - 3 * low]
+
+        return get
+
+
+def _key_size(get: Callable[[int, int], bytes], ssh: bool, most: int) -> int | None:
+    """The length in bytes that a key states at its start, if its first fields are those of a private key and ``most`` bytes hold it."""
+    if ssh:
         size = len(SSH_MAGIC)
+        if get(0, min(size, most)) != SSH_MAGIC:
+            return None
         for k in range(6):  # cipher, key derivation, its options, the number of keys, public and private part
-            head = _bytes(text, at, size + 4)
-            if head is None or not head[0].startswith(SSH_MAGIC):
+            if size + 4 > most:
                 return None
-            n = int.from_bytes(head[0][size:], "big")
+            n = int.from_bytes(get(size, size + 4), "big")
             if k == 3 and n != 1:
                 return None
             size += 4 if k == 3 else 4 + n
-        return size
-    head = _bytes(text, at, 6)
-    if head is None or head[0][0] != 0x30:
+        return size if size <= most else None
+    raw = get(0, min(6, most))
+    if len(raw) < 6 or raw[0] != 0x30:
         return None
-    raw = head[0]
     more = raw[1] & 0x7F if raw[1] & 0x80 else 0
     if more > 3:
         return None
-    size = int.from_bytes(raw[2 : 2 + more], "big") if more else raw[1]
-    return 2 + more + size if raw[2 + more] in (0x02, 0x30) else None
+    size = 2 + more + (int.from_bytes(raw[2 : 2 + more], "big") if more else raw[1])
+    return size if size <= most and raw[2 + more] in (0x02, 0x30) else None
 
 
-def bare_key(text: str, at: int) -> int | None:
+def bare_key(run: Run, at: int) -> int | None:
     """Where the key that starts at ``at`` ends, padding included, if one does."""
-    size = _key_size(text, at)
-    got = _bytes(text, at, size) if size else None
-    if got is None or not private_key(got[0]):
+    place = run.place(at)
+    get = run.reader(place)
+    size = _key_size(get, run.text.startswith("b3", at), (len(run.chars) - place) * 6 // 8)
+    if size is None or not private_key(get, size):
         return None
-    pad = PAD.match(text, got[1]) if size % 3 else None
-    end = pad.end() if pad else got[1]
-    return None if LINE.match(text, end) else end
+    end = run.after(place + -(-size * 8 // 6))
+    pad = PAD.match(run.text, end) if size % 3 else None
+    end = pad.end() if pad else end
+    return None if LINE.match(run.text, end) else end
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
@@ -214,15 +244,20 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     # Starts come in order, so one pass over the spans found so far tells which of them lie inside one.
     known = sorted((a, b) for _, a, b in out)
     k = last = 0
+    run = None
     for m in KEY_START.finditer(text):
         while k < len(known) and known[k][0] <= m.start():
             last = max(last, known[k][1])
             k += 1
-        if m.start() >= last and (end := bare_key(text, m.start())) is not None:
+        if m.start() < last:
+            continue
+        if run is None or m.start() >= run.end:
+            run = Run(text, m.start())
+        if (end := bare_key(run, m.start())) is not None:
             out.append(("key", m.start(), end))
             last = end
     for m in ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and private_key(bytes.fromhex(m[0])):
+        if len(m[0]) % 2 == 0 and _whole(bytes.fromhex(m[0])):
             out.append(("key", m.start(), m.end()))
     return out
 

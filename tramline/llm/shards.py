@@ -81,11 +81,15 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
 
 def _placed(docs: DataFrame) -> DataFrame:
     """``doc_id, text, _file, _start``: the file and the start of the stretch of it that a task reads, or nulls without files."""
-    at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")
+    plain = docs.select("doc_id", "text", F.lit(None).cast("string").alias("_file"), F.lit(None).cast("long").alias("_start"))
+    # The hidden column is asked for as such, since the table may have one of that name; a table without files has none.
     try:
-        return docs.select("doc_id", "text", *at)
-    except AnalysisException:
-        return docs.select("doc_id", "text", F.lit(None).cast("string").alias("_file"), F.lit(None).cast("long").alias("_start"))
+        hidden = docs.metadataColumn("_metadata")
+        return docs.select("doc_id", "text", hidden["file_path"].alias("_file"), hidden["file_block_start"].alias("_start"))
+    except AnalysisException as e:
+        if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            raise
+        return plain
 
 
 def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) -> tuple[DataFrame, int, np.dtype]:
