@@ -270,30 +270,6 @@ def test_model_is_saved_reported_and_replaced_by_the_baseline(spark, tmp_path):
     assert {k: r["predicted_delay_sec"] for k, r in got.items()} == want
 
 
-def test_late_fixes_neither_link_nor_move_the_state():
-    import pandas as pd
-
-    from tramline.streaming import stream
-
-    class State:
-        exists, get = False, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
-        def setTimeoutTimestamp(self, ms):
-            pass
-
-        def getCurrentWatermarkMs(self):
-            return 0
-
-    frame = lambda *ts: pd.DataFrame({"vehicle_id": "v", "route_id": "r", "direction_id": 0, "latitude": [44.4 + t / 1e5 for t in ts], "longitude": 26.1, "epoch_s": ts, "event_id": range(len(ts)), "event_time": ts})
-    state, run = State(), lambda f, s: [x for out in stream._segments(("v",), iter([f]), s) for x in out["event_time"]]
-    assert run(frame(200, 100), state) == [200] and state.get[2] == 200
-    assert run(frame(150), state) == [] and state.get[2] == 200
-    assert run(frame(160, 260, 320), state) == [260, 320] and state.get[2] == 320
-
-
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 

@@ -6,7 +6,7 @@ Results are cast by one specification on both sides: timestamps as epoch seconds
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import replace
 from functools import cached_property
 
@@ -116,14 +116,34 @@ class Tables:
         return planner.service_windows(self.requests, self.t["calendar"])
 
     @cached_property
-    def reports(self) -> dict[str, DataFrame]:
-        r = self.t["routes"]
-        return {
-            "hourly_bunching": rollups.hourly_bunching(self.bunch), "hourly_reliability": rollups.hourly_reliability(self.gaps), "hourly_delay": rollups.hourly_delay(self.delay),
-            "daily_delay": rollups.daily_delay(self.delay), "hourly_speed": rollups.hourly_speed(self.speed), "route_delay": self.delay, "predictions": self.predictions,
-            "stop_delay_events": self.events, "features": self.features, "hotspots": self.hot, "daily_fleet": telemetry.daily_fleet(self.t["telemetry"]), "routes": r,
-            "active_bunching": views.active_bunching(self.bunch, r, self.as_of), "active_gaps": views.active_service_gaps(self.gaps, r, self.as_of),
-        }
+    def reports(self) -> OnDemand:
+        x, r = self, self.t["routes"]
+        return OnDemand({
+            "hourly_bunching": lambda: rollups.hourly_bunching(x.bunch), "hourly_reliability": lambda: rollups.hourly_reliability(x.gaps),
+            "hourly_delay": lambda: rollups.hourly_delay(x.delay), "daily_delay": lambda: rollups.daily_delay(x.delay),
+            "hourly_speed": lambda: rollups.hourly_speed(x.speed), "route_delay": lambda: x.delay, "predictions": lambda: x.predictions,
+            "stop_delay_events": lambda: x.events, "features": lambda: x.features, "hotspots": lambda: x.hot,
+            "daily_fleet": lambda: telemetry.daily_fleet(x.t["telemetry"]), "routes": lambda: r,
+            "active_bunching": lambda: views.active_bunching(x.bunch, r, x.as_of), "active_gaps": lambda: views.active_service_gaps(x.gaps, r, x.as_of),
+        })
+
+
+class OnDemand(Mapping):
+    """Tables by name, each made when it is first asked for, so that a query pays for none but its own."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
 
 
 def _cast(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
@@ -727,31 +747,33 @@ SLICES = 3
 LATE = "epoch_s < (select min(epoch_s) + 600 from telemetry)"
 
 
-def _stream(x: Tables, name: str = "telemetry", whole: bool = False) -> tuple[DataFrame, str]:
-    """A fixture table as a stream, one file to a micro-batch, in order of time; and a scratch folder for its query.
+def _stream(x: Tables, name: str = "telemetry", whole: bool = False, jitter: str = "0") -> tuple[DataFrame, str]:
+    """A fixture table as a stream, one file to a micro-batch, in order of arrival; and a scratch folder for its query.
 
-    The last file repeats the rows of the first ten minutes: hours behind the watermark, so that whatever keeps state must leave them out.
+    A row arrives ``jitter`` seconds after its time.  The last file repeats the rows of the first ten minutes: hours behind the watermark, so that whatever keeps state must leave them out.
     """
     root = shared_folder(x.spark, "stream")
     df = x.t[name] if whole else x.t[name].drop("trip_start_time", "license_plate", "agency_id")
     lo, hi = df.agg(F.min("epoch_s"), F.max("epoch_s")).first()
     cuts = [lo + (hi + 1 - lo) * k // SLICES for k in range(SLICES + 1)]
     for a, b in [*zip(cuts, cuts[1:], strict=False), (lo, lo + 600)]:
-        df.filter((F.col("epoch_s") >= a) & (F.col("epoch_s") < b)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        arrival = F.col("epoch_s") + (F.expr(jitter) if b > lo + 600 else 0)
+        df.filter(((arrival >= a) | (F.lit(a == lo))) & (arrival < b if b <= hi else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{root}/in")
     return x.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root
 
 
-def _streamed(make: Callable[[DataFrame], DataFrame], name: str = "telemetry") -> Callable[[Tables], DataFrame]:
+def _streamed(make: Callable[[DataFrame], DataFrame], name: str = "telemetry", jitter: str = "0") -> Callable[[Tables], DataFrame]:
     from tramline.streaming import stream
 
     def run(x: Tables) -> DataFrame:
-        source, root = _stream(x, name)
+        source, root = _stream(x, name, jitter=jitter)
         return stream.run_to_table(make(source), root, x.spark)
 
     return run
 
 
 def _streams() -> None:
+    from tramline.streaming import ordered
     from tramline.streaming import stream as S
 
     q("stream_freshness_1m", f"{WIN} vehicle_count:l avg_freshness_sec:d p95_freshness_sec:d", _streamed(lambda s: S.freshness(s, F.lit(AS_OF), CFG)), f"select * from fresh where epoch(window_start) + 60 <= {CLOSED}")
@@ -762,11 +784,24 @@ def _streams() -> None:
     select min(event_time) as gap_start, max(event_time) as gap_end, route_id, direction_id, max(epoch_s) - min(epoch_s) as gap_duration_sec
       from telemetry_sparse group by {bucket('event_time', 600)}, route_id, direction_id having count(distinct vehicle_id) <= 1 and max(epoch_s) - min(epoch_s) > 300 and floor(max(epoch_s) / 600) * 600 + 600 <= {CLOSED}""",
     )
-    q("stream_segment_speed", f"vehicle_id:s {RD} event_time:t speed_kmh:d", _streamed(lambda s: S.segments(s, CFG)), "select * from segments")
+    # Rows arrive up to ten seconds late, so every cut between files has rows that are out of order.
+    shuffled = "event_id % 11"
+    q("stream_segment_speed", f"vehicle_id:s {RD} event_time:t speed_kmh:d", _streamed(lambda s: ordered.segments(s, CFG), jitter=shuffled), f"select * from segments where epoch_s <= {CLOSED}")
     q("stream_dedup", "vehicle_id:s epoch_s:l", _streamed(lambda s: S.dedup(s, CFG)), "select distinct vehicle_id, epoch_s from telemetry")
     twice = f"(select * from telemetry union all select * from telemetry where {LATE})"
     q("stream_watermark", f"event_id:l event_time:t {RD}", _streamed(lambda s: S.watermarked(s, CFG)), f"select * from {twice} x")
-    q("stream_gap_between_events", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", _streamed(lambda s: S.gap_between_events(s, CFG)), "select * from gaps")
+    closed = _streamed(lambda s: ordered.gap_alarms(s, CFG).filter("status = 'closed'"), jitter=shuffled)
+    q("stream_gap_between_events", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", closed, f"select * from gaps where epoch(gap_end) <= {CLOSED}")
+    # A file's watermark is known when the next one is read: silent by then are those whose last sighting lies a threshold before it.
+    q(
+        "stream_gap_alarms", f"gap_start:t {RD}", _streamed(lambda s: ordered.gap_alarms(s, CFG).filter("status = 'open'"), jitter=shuffled),
+        f"""
+    with ends as (select min(epoch_s) as lo, max(epoch_s) as hi from telemetry), cuts as (select k, lo + (hi + 1 - lo) * k // {SLICES} as cut from ends, (values (1), (2), ({SLICES})) as t(k)),
+    arrived as (select k, route_id, direction_id, epoch_s from telemetry, cuts where epoch_s + {shuffled} < cut or k = {SLICES}),
+    marks as (select k, max(epoch_s) - {CFG.watermark_s} as mark from arrived group by k)
+    select distinct to_timestamp(last) as gap_start, route_id, direction_id
+    from (select k, route_id, direction_id, max(epoch_s) as last from arrived group by all) x join marks using (k) where last + {CFG.service_gap_s} <= mark""",
+    )
     q("stream_session_presence", f"session_start:t session_end:t {RD} reports:l", _streamed(lambda s: S.session_presence(s, 300, CFG), "telemetry_sparse"), f"select * from ({SESSIONS}) z where epoch(session_end) <= {CLOSED}")
 
 

@@ -1,16 +1,15 @@
-"""Structured Streaming forms of the telemetry metrics.
+"""Structured Streaming forms of the telemetry metrics; those with timers and ordered state are in ``ordered``.
 
 Streams carry ``vehicle_id, route_id, direction_id, latitude, longitude, epoch_s, event_time`` (and ``event_id`` if there is one).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tramline.config import DEFAULT, TransitConfig
 from tramline.operators import matching
@@ -71,75 +70,6 @@ def session_presence(df: DataFrame, gap_s: int = 600, cfg: TransitConfig = DEFAU
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *RD, "reports")
 
 
-SEGMENT = "vehicle_id string, route_id string, direction_id int, event_time timestamp, speed_kmh double"
-
-
-def _segments(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-    """Speeds between a vehicle's consecutive fixes; the state is its last fix.
-
-    Fixes that are older than the stored one come too late for a link, as its own has been reported; they are left out, and
-    the stored fix stays.
-    """
-    import numpy as np
-    import pandas as pd
-
-    df = pd.concat(list(frames))
-    last = state.get if state.exists else None
-    if last is not None:
-        df = df[(df["epoch_s"] > last[2]) | ((df["epoch_s"] == last[2]) & (df["event_id"] > last[3]))]
-    if not len(df):
-        return
-    df = df.sort_values(["epoch_s", "event_id"])
-    lat, lon, t = df["latitude"].to_numpy(), df["longitude"].to_numpy(), df["epoch_s"].to_numpy()
-    rows = df.iloc[1:]
-    if last is not None:
-        lat, lon, t, rows = np.r_[last[0], lat], np.r_[last[1], lon], np.r_[last[2], t], df
-    state.update((float(lat[-1]), float(lon[-1]), int(t[-1]), int(df["event_id"].iloc[-1])))
-    state.setTimeoutTimestamp(max(int(t[-1]) * 1000 + 600_000, state.getCurrentWatermarkMs() + 1))
-    dt = np.diff(t)
-    dy, dx = np.diff(lat) * 111.32, np.diff(lon) * 111.32 * np.cos(np.radians(lat[:-1]))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        speed = np.sqrt(dx * dx + dy * dy) / (dt / 3600.0)
-    ok = (dt > 5) & (dt < 300) & (speed > 0) & (speed < 120)
-    out = rows.loc[:, ["vehicle_id", "route_id", "direction_id", "event_time"]].copy()
-    out["speed_kmh"] = speed
-    if ok.any():
-        yield out[ok]
-
-
-GAP = "gap_start timestamp, gap_end timestamp, route_id string, direction_id int, gap_duration_sec double"
-
-
-def _gaps(threshold_s: int):
-    def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        """Sightings of a route direction further apart than the threshold; the state is the last one."""
-        import numpy as np
-        import pandas as pd
-
-        t = np.unique(np.concatenate([f["epoch_s"].to_numpy() for f in frames]))
-        if state.exists:
-            t = np.r_[state.get[0], t[t > state.get[0]]]
-        state.update((int(t[-1]),))
-        at = np.nonzero(np.diff(t) > threshold_s)[0]
-        when = lambda x: pd.to_datetime(x, unit="s")
-        if len(at):
-            yield pd.DataFrame({"gap_start": when(t[at]), "gap_end": when(t[at + 1]), "route_id": key[0], "direction_id": pd.array([key[1]] * len(at), "Int32"), "gap_duration_sec": np.diff(t)[at].astype(float)})
-
-    return run
-
-
-def gap_between_events(df: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
-    """The gap between consecutive sightings of a route direction, reported by the sighting that ends it; one number of state per key."""
-    return watermarked(df, cfg).groupBy(*RD).applyInPandasWithState(_gaps(cfg.service_gap_s), GAP, "t long", "append", GroupStateTimeout.NoTimeout)
-
-
-def segments(df: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
-    """Valid speed segments of a stream, by a stateful operator keyed by vehicle."""
-    run = lambda key, frames, state: iter(()) if state.hasTimedOut else _segments(key, frames, state)
-    need = df if "event_id" in df.columns else df.withColumn("event_id", F.lit(0).cast("long"))
-    return watermarked(need, cfg).groupBy("vehicle_id").applyInPandasWithState(run, SEGMENT, "lat double, lon double, t long, event_id long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def write_table(df: DataFrame, path: str, checkpoint: str, available_now: bool = True, interval: str = "60 seconds") -> StreamingQuery:
     """One checkpointed query into Parquet."""
     w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
