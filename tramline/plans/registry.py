@@ -12,13 +12,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramline.config import DEFAULT
 from tramline.functions import exprs as X
 from tramline.operators import features, matching, ml, planner, rollups, telemetry, views
 from tramline.plans import fixtures, oracle
 from tramline.plans.oracle import AS_OF, NOW, PLACE, RISK, ROUTE_LABEL, WARM, bucket, label_join, meters, recent, rnd
-from tramline.sources import gtfs, sinks
+from tramline.sources import chunks, gtfs, sinks
 from tramline.sources import telemetry as feeds
 from tramline.sources.scratch import shared_folder, stored
 
@@ -356,13 +357,74 @@ q("delay_by_hour_of_day", f"hour_of_day:l {RD} avg_delay_sec:d max_delay_sec:d t
 q("delay_by_route_type", "route_type:l route_type_label:s avg_delay_sec:d max_delay_sec:d total_observations:l", lambda x: rollups.delay_by_route_type(x.reports["hourly_delay"], x.t["routes"]), f"""
     select route_type, {ROUTE_LABEL} as route_type_label, avg(avg_delay_sec) as avg_delay_sec, max(max_delay_sec) as max_delay_sec, sum(total_observations) as total_observations
       from h_delay join routes using (route_id) group by all""")
-q("rollup_refresh_window", f"{B} total_observations:l", lambda x: rollups.hourly_delay(sinks.rollup_refresh_window(x.delay, "window_start", x.as_of, 7200, 600, 3600)), f"select * from h_delay where bucket >= {NOW} - interval 7200 second and bucket < {NOW} - interval 3600 second")
+HOURLY = "bucket timestamp, route_id string, direction_id int, total_observations long, avg_delay_sec double, max_delay_sec double, min_delay_sec double"
+ODD = "epoch(window_start) // 60 % 3 = 0"  # the minutes whose rows come late
+WINDOW_FROM, WINDOW_TO = AS_OF - 7200, AS_OF - 600
+
+
+def _rollup(x: Tables, start_s: int | None = None, end_s: int | None = None) -> DataFrame:
+    """An hourly rollup of what is there first, then of the rows that come late, in a window or wherever they fall."""
+    facts, root = stored(x.delay, "minutes"), shared_folder(x.spark, "rollup")
+    hourly = chunks.Chunked(f"{root}/hourly", T.StructType.fromDDL(HOURLY), "bucket", 3600)
+    own = chunks.Rollup(chunks.Chunked(f"{root}/facts", facts.schema, "window_start", 3600), hourly, rollups.hourly_delay, f"{root}/log")
+    late = F.pmod(F.floor(X.epoch("window_start") / 60), F.lit(3)) == 0
+    own.append(facts.filter(~late))
+    own.refresh(x.spark)
+    own.append(facts.filter(late))
+    own.refresh(x.spark, start_s, end_s)
+    return hourly.read(x.spark)
+
+
+q("rollup_materialised", HD, _rollup, "select * from h_delay")
 q(
-    "refresh_window_range", f"{WIN} avg_delay_sec:d", lambda x: sinks.refresh_window_range(x.delay.withColumn("avg_delay_sec", F.lit(0.0)), x.delay, "window_start", x.as_of, 5400, 900),
+    "rollup_refresh_window", HD, lambda x: _rollup(x, WINDOW_FROM, WINDOW_TO),
+    f"""
+    with early as ({oracle.rollup("sum(vehicle_count) as total_observations, avg(avg_delay_sec) as avg_delay_sec, max(max_delay_sec) as max_delay_sec, min(min_delay_sec) as min_delay_sec", "window_start", 3600, f"(select * from delay where not {ODD}) x", "bucket")})
+    select * from h_delay where epoch(bucket) >= {WINDOW_FROM} and epoch(bucket) + 3600 <= {WINDOW_TO}
+    union all select * from early where not (epoch(bucket) >= {WINDOW_FROM} and epoch(bucket) + 3600 <= {WINDOW_TO})""",
+)
+
+
+def _chunked(x: Tables, df: DataFrame, ts: str) -> chunks.Chunked:
+    out = chunks.Chunked(shared_folder(x.spark, "table"), df.schema, ts, 3600)
+    out.append(df)
+    return out
+
+
+def _replaced(x: Tables) -> DataFrame:
+    minutes = stored(x.delay, "minutes")
+    table = _chunked(x, minutes.withColumn("avg_delay_sec", F.lit(0.0)), "window_start")
+    table.replace_from(x.spark, minutes, AS_OF - 5400)
+    return table.read(x.spark)
+
+
+q(
+    "refresh_window_range", f"{WIN} avg_delay_sec:d", _replaced,
     f"select window_start, route_id, direction_id, case when window_start >= {NOW} - interval 5400 second then avg_delay_sec else 0 end as avg_delay_sec from delay",
 )
-q("apply_retention", f"event_time:t vehicle_id:s {RD}", lambda x: sinks.apply_retention(x.t["telemetry"], "vehicle_positions", "event_time", F.timestamp_seconds(F.lit(AS_OF + 7 * 86400 - 3600))), f"select * from telemetry where event_time >= {NOW} - interval 3600 second")
-q("time_partitioning", f"event_hour:s {RD} n:l", lambda x: sinks.time_partitioned(x.t["telemetry"], "event_time", "hour").groupBy("event_hour", "route_id", "direction_id").agg(F.count(F.lit(1)).alias("n")), "select strftime(event_time, '%Y-%m-%d-%H') as event_hour, route_id, direction_id, count(*) as n from telemetry group by all")
+
+
+def _retained(x: Tables) -> DataFrame:
+    """The feed seven days later, less an hour: whole hours go as folders, the one that the bound falls into is filtered."""
+    table = _chunked(x, x.t["telemetry"], "event_time")
+    sinks.apply_retention(x.spark, "vehicle_positions", table, AS_OF - 3600 + 7 * 86400)
+    return table.read(x.spark)
+
+
+q("apply_retention", f"event_time:t vehicle_id:s {RD}", _retained, f"select * from telemetry where event_time >= {NOW} - interval 3600 second")
+
+
+def _partitioned(x: Tables) -> DataFrame:
+    path = shared_folder(x.spark, "positions")
+    sinks.write_partitioned(x.t["telemetry"], path, "event_time", "hour")
+    return x.spark.read.parquet(path).groupBy("event_hour", "route_id", "direction_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+q("time_partitioning", f"event_hour:s {RD} n:l", _partitioned, "select strftime(event_time, '%Y-%m-%d-%H') as event_hour, route_id, direction_id, count(*) as n from telemetry group by all")
+q(
+    "partition_range_read", f"event_time:t vehicle_id:s {RD}", lambda x: _chunked(x, x.t["telemetry"], "event_time").between(x.spark, AS_OF - 9000, AS_OF - 1800),
+    f"select * from telemetry where epoch(event_time) >= {AS_OF - 9000} and epoch(event_time) < {AS_OF - 1800}",
+)
 KPI = "active_vehicles:l active_routes:l avg_network_delay_sec:d avg_network_speed_kmh:d bunching_events_30m:l service_gaps_60m:l"
 q(
     "fleet_kpis", KPI, lambda x: rollups.fleet_kpis(x.t["telemetry"], x.delay, x.speed, x.bunch, x.gaps, x.as_of),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions import exprs as X
+from tramline.sources.chunks import Chunked
 
 # Days that each table keeps.
 RETENTION_DAYS = {
@@ -60,19 +61,9 @@ def refresh_from(existing: DataFrame, recomputed: DataFrame, ts: str, edge: Colu
     return existing.filter(F.col(ts) < edge).unionByName(recomputed.filter(F.col(ts) >= edge))
 
 
-def refresh_window_range(existing: DataFrame, recomputed: DataFrame, ts: str, as_of: Column, lookback_s: int, bucket_s: int) -> DataFrame:
-    """The table with everything from the bucket of ``as_of - lookback`` on replaced; both sides use the aligned bound."""
-    return refresh_from(existing, recomputed, ts, since(as_of, lookback_s, bucket_s))
-
-
-def rollup_refresh_window(fact: DataFrame, ts: str, as_of: Column, start_offset_s: int, end_offset_s: int, bucket_s: int) -> DataFrame:
-    """Rows of the whole buckets inside [as_of - start_offset, as_of - end_offset): what an incremental rollup recomputes."""
-    at = lambda s: X.bucket(as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(s)), bucket_s)
-    return fact.filter((F.col(ts) >= at(start_offset_s)) & (F.col(ts) < at(end_offset_s)))
-
-
-def apply_retention(df: DataFrame, table: str, ts: str, as_of: Column) -> DataFrame:
-    return df.filter(F.col(ts) >= as_of - F.make_dt_interval(F.lit(RETENTION_DAYS[table])))
+def apply_retention(spark: SparkSession, name: str, table: Chunked, as_of_s: int) -> int:
+    """Drops what is older than the days that the table of that name keeps; returns the number of chunks that went whole."""
+    return table.drop_before(spark, as_of_s - RETENTION_DAYS[name] * 86400)
 
 
 def predictions_append(df: DataFrame, path: str) -> None:
