@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +236,35 @@ def test_search_plans_have_no_nested_loops(spark, timetable):
     ends, windows = planner.resolve_endpoints(asked, planner.stop_places(stops), UTC), planner.service_windows(asked, timetable["calendar"])
     plan = plan_of(planner.one_transfer_join(ends, windows, trips, timetable["stop_times"], stops, UTC))
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert re.search(r"Join \[service_date#\d+, to_stop#\d+, _b#\d+L?\]", plan), "arrivals are met by stretch of the day"
+
+
+def test_transfer_search_stops_at_the_kth_arrival(spark, monkeypatch):
+    """A line to a hub every ten minutes, and ten lines on from it: same rows as the whole search, from fewer last rides."""
+    trips, times = [], []
+    for k in range(60):
+        trips.append((f"a{k}", "A", 0, "S", None))
+        times += [(f"a{k}", 0, "O", 28800 + k * 300, 28800 + k * 300), (f"a{k}", 1, "H", 29400 + k * 300, 29400 + k * 300)]
+        for line in range(4):
+            trips.append((f"b{k}-{line}", f"B{line}", 0, "S", None))
+            times += [(f"b{k}-{line}", 0, "H", 29600 + k * 300 + line, 29600 + k * 300 + line), (f"b{k}-{line}", 1, "D", 30200 + k * 300 + line * 7, 30200 + k * 300 + line * 7)]
+    trips.append(("lone", "L", 0, "S", None))
+    times += [("lone", 0, "H", 31000, 31000), ("lone", 1, "E", 40000, 40000)]
+    trips = spark.createDataFrame(trips, "trip_id string, route_id string, direction_id int, service_id string, shape_id string")
+    times = spark.createDataFrame(times, "trip_id string, stop_sequence int, stop_id string, arrival_s long, departure_s long")
+    stops = spark.createDataFrame([(s, s, 44.0 + k, 26.0, 0, "") for k, s in enumerate("OHDE")], "stop_id string, stop_name string, stop_lat double, stop_lon double, location_type int, parent_station string")
+    calendar = spark.createDataFrame([("S", *[1] * 7, "2024-01-01", "2024-12-31")], "service_id string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, start_date string, end_date string")
+    asked = spark.createDataFrame([(1, "O", "D", 28000), (2, "O", "E", 28000)], "request_id long, origin_id string, destination_id string, departure_s int").withColumn("service_date", F.lit("2024-06-03").cast("date"))
+    ends, windows = planner.resolve_endpoints(asked, planner.stop_places(stops), UTC), planner.service_windows(asked, calendar)
+    read = []
+    own = planner.last_rides
+    monkeypatch.setattr(planner, "last_rides", lambda *a: read.append(own(*a).count()) or own(*a))
+    whole = planner.top_per_request(planner.one_transfer_join(ends, windows, trips, times, stops, UTC), UTC.candidates, "leg2_arr_s", "leg1_dep_s")
+    pruned = planner.one_transfer_itineraries(ends, windows, trips, times, stops, UTC)
+    cols = sorted(whole.columns)
+    rows = lambda df: sorted(map(str, df.select(cols).collect()))
+    assert rows(pruned) == rows(whole) and {r["request_id"] for r in whole.collect()} == {1, 2}
+    assert sum(read[1:]) < read[0] / 2, read
 
 
 def test_attribution_against_a_plain_version(spark):

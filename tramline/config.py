@@ -32,6 +32,7 @@ class TransitConfig:
     walk_first_max_min: int = 15
     walk_gain_min: int = 8
     first_legs: int = 900
+    probe_s: int = 3600
     candidates: int = 30
     itineraries: int = 5
     walk_slack_min: int = 4

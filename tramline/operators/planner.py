@@ -120,6 +120,7 @@ def boardings(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times:
     return _within(o, departures_on(windows, trips, stop_times), F.col("earliest_s"), cfg.search_window_s).drop("earliest_s")
 
 
+STRETCH_S = 3600  # of the day, by which arrivals are met
 LEG_NAMES = {
     "trip_id": "trip_id", "route_id": "route_id", "direction_id": "direction_id", "shape_id": "shape_id", "stop_id": "from_stop", "to_stop": "to_stop",
     "stop_sequence": "from_seq", "to_seq": "to_seq", "t": "dep_s", "to_t": "arr_s",
@@ -156,36 +157,73 @@ def direct_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFrame, st
     return top_per_request(direct_trip_join(ends, windows, trips, stop_times, cfg, rides), cfg.candidates, "leg1_arr_s", "leg1_dep_s")
 
 
+def longest_ride(stop_times: DataFrame) -> int:
+    """Seconds from the first departure to the last arrival of the longest trip: one number."""
+    own = stop_times.groupBy("trip_id").agg((F.max(F.coalesce("arrival_s", "departure_s")) - F.min(F.coalesce("departure_s", "arrival_s"))).alias("s"))
+    return own.agg(F.max("s")).first()[0] or 0
+
+
 def last_rides(ends: DataFrame, bounds: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Every ride that ends at the destination of a request and departs within its bounds (``request_id, service_date, lo, hi``)."""
+    """Every ride that ends at the destination of a request within its bounds (``request_id, service_date, lo, hi, after, upto``): it departs
+    between ``lo`` and ``hi`` and arrives later than ``after``, by ``upto``.
+
+    Arrivals are met by stop, date and stretch of the day, so that those of other hours never meet a request.
+    """
     d = ends.filter("side = 'destination'").select("request_id", F.col("stop_id").alias("to_stop"), F.col("walk_m").alias("egress_m")).join(bounds, "request_id")
+    stretches = F.explode(F.sequence(F.floor(F.col("after") / STRETCH_S), F.floor(F.col("upto") / STRETCH_S))).alias("_b")
+    d = d.filter("after <= upto").select("*", stretches)
     days = windows.select("service_date", "service_id").distinct()
     runs = trips.select("trip_id", "route_id", "direction_id", "service_id", "shape_id").join(days, "service_id").drop("service_id")
     arrivals = _timed(stop_times, False).select("trip_id", F.col("stop_id").alias("to_stop"), F.col("stop_sequence").alias("to_seq"), F.col("t").alias("to_t"))
-    rides = d.join(arrivals.join(runs, "trip_id"), ["service_date", "to_stop"]).join(_timed(stop_times, True), "trip_id")
+    arrivals = arrivals.join(runs, "trip_id").withColumn("_b", F.floor(F.col("to_t") / STRETCH_S))
+    met = d.join(arrivals, ["service_date", "to_stop", "_b"]).filter("to_t > after and to_t <= upto").drop("_b", "after", "upto")
+    rides = met.join(_timed(stop_times, True), "trip_id")
     return rides.filter((F.col("stop_sequence") < F.col("to_seq")) & F.col("t").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
-def one_transfer_join(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
-    """First legs (the earliest arrivals of each request), a walk between stops, and a second ride to the destination.
-
-    The search meets in the middle: first legs from the origin and last rides into the destination, departing no later than the
-    first legs allow, are joined by request, date and transfer stop, so that no boarding that misses the destination is ever made.
-    """
-    rides = first_rides(ends, windows, trips, stop_times, cfg) if rides is None else rides
+def _first_legs(rides: DataFrame, cfg: TransitConfig) -> tuple[DataFrame, DataFrame]:
+    """The earliest first legs of each request, and when the ride after them departs: ``lo`` to ``hi``."""
     first = stored(top_per_request(rides, cfg.first_legs, "leg1_arr_s"), "first")
     soonest, latest = cfg.min_transfer_s, cfg.min_transfer_s + cfg.transfer_wait_s
     bounds = first.groupBy(*KEY).agg((F.min("leg1_arr_s") + soonest).alias("lo"), (F.max("leg1_arr_s") + latest).alias("hi"))
-    last = last_rides(ends, bounds, windows, trips, stop_times)
+    return first, stored(bounds, "bounds")
+
+
+def _transfers(first: DataFrame, last: DataFrame, stops: DataFrame, cfg: TransitConfig) -> DataFrame:
     pairs = transfer_stop_pairs(stops, cfg.transfer_walk_m).select(F.col("from_stop_id").alias("leg1_to_stop"), F.col("to_stop_id").alias("stop_id"), F.col("meters").alias("transfer_m"))
     j = first.join(pairs, "leg1_to_stop").join(last, [*KEY, "stop_id"])
     wait = F.col("t") - F.col("leg1_arr_s")
-    j = j.filter((F.col("trip_id") != F.col("leg1_trip_id")) & wait.between(soonest, latest))
+    j = j.filter((F.col("trip_id") != F.col("leg1_trip_id")) & wait.between(cfg.min_transfer_s, cfg.min_transfer_s + cfg.transfer_wait_s))
     return j.select(*[c for c in j.columns if c not in LEG_NAMES], *[F.col(k).alias(f"leg2_{v}") for k, v in LEG_NAMES.items()])
 
 
+def one_transfer_join(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
+    """First legs (the earliest arrivals of each request), a walk between stops, and a second ride to the destination.
+
+    The search meets in the middle: first legs from the origin and last rides into the destination, departing no later than the
+    first legs allow, are joined by request, date and transfer stop, so that no boarding that misses the destination is ever made.
+    """
+    rides = first_rides(ends, windows, trips, stop_times, cfg) if rides is None else rides
+    first, bounds = _first_legs(rides, cfg)
+    whole = bounds.withColumn("after", F.col("lo") - 1).withColumn("upto", F.col("hi") + longest_ride(stop_times))
+    return _transfers(first, last_rides(ends, whole, windows, trips, stop_times), stops, cfg)
+
+
 def one_transfer_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, rides: DataFrame | None = None) -> DataFrame:
-    return top_per_request(one_transfer_join(ends, windows, trips, stop_times, stops, cfg, rides), cfg.candidates, "leg2_arr_s", "leg1_dep_s")
+    """The best ``candidates`` of ``one_transfer_join``, found without all the others.
+
+    A first pass takes only last rides that arrive within ``probe_s`` of the earliest possible departure.  A request that has enough of
+    them is done: whatever arrives later is worse than all of those.  Only the others' last rides are searched to the end.
+    """
+    rides = first_rides(ends, windows, trips, stop_times, cfg) if rides is None else rides
+    first, bounds = _first_legs(rides, cfg)
+    soon = bounds.withColumn("after", F.col("lo") - 1).withColumn("upto", F.col("lo") + cfg.probe_s)
+    near = stored(_transfers(first, last_rides(ends, soon, windows, trips, stop_times), stops, cfg), "near")
+    enough = near.groupBy(*KEY).count().filter(F.col("count") >= cfg.candidates).select(*KEY)
+    others = stored(bounds.join(enough, [*KEY], "left_anti"), "others")
+    late = others.withColumn("after", F.col("lo") + cfg.probe_s).withColumn("upto", F.col("hi") + longest_ride(stop_times))
+    far = _transfers(first.join(others.select(*KEY), [*KEY], "left_semi"), last_rides(ends, late, windows, trips, stop_times), stops, cfg)
+    return top_per_request(near.unionByName(far), cfg.candidates, "leg2_arr_s", "leg1_dep_s")
 
 
 def union_service_windows(direct: DataFrame, transfer: DataFrame) -> DataFrame:

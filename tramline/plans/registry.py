@@ -10,16 +10,17 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import replace
 from functools import cached_property
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.config import DEFAULT
 from tramline.functions import exprs as X
-from tramline.operators import features, matching, ml, planner, rollups, telemetry, views
+from tramline.operators import features, matching, ml, planner, rollups, sketches, telemetry, views
 from tramline.plans import fixtures, oracle
 from tramline.plans.oracle import AS_OF, NOW, PLACE, RISK, ROUTE_LABEL, WARM, bucket, label_join, meters, recent, rnd
-from tramline.sources import chunks, gtfs, sinks
+from tramline.sources import chunks, fanout, gtfs, sinks
 from tramline.sources import telemetry as feeds
 from tramline.sources.scratch import shared_folder, stored
 
@@ -294,6 +295,22 @@ q(
       order by md5(trip_id || ':' || stop_id || ':' || stop_sequence)) as n from visits) where n = 1""",
 )
 q("route_delay_1m", f"{WIN} vehicle_count:l avg_delay_sec:d max_delay_sec:d min_delay_sec:d p95_delay_sec:d", lambda x: x.delay, "select * from delay")
+SKETCHED = f"bucket:t {RD} observations:l avg:d max:d min:d quantile_within:b count_within:b"
+
+
+def _sketched(ts: str, value: str, seconds: int, source: str) -> str:
+    """The parts of a sketch that are exact; the others are within their bounds."""
+    return f"""select {bucket(ts, seconds)} as bucket, route_id, direction_id, count(*) as observations, avg({value}) as avg, max({value}) as max, min({value}) as min,
+      true as quantile_within, true as count_within from {source} group by all"""
+
+
+def _hourly_sketch(x: Tables) -> DataFrame:
+    e = x.events_once
+    hours = sketches.merged(stored(sketches.minute_states(e, "observed_time", "delay_sec", "vehicle_id"), "minutes"), 3600)
+    return sketches.checked(sketches.estimates(hours), e, "observed_time", "delay_sec", "vehicle_id", 3600)
+
+
+q("route_delay_hourly_sketch", SKETCHED, _hourly_sketch, _sketched("observed_time", "delay_sec", 3600, "events_matched"))
 q("stop_dwell_windows", f"{WIN} stop_id:s vehicle_id:s observation_count:l avg_dwell_sec:d", lambda x: x.dwell, "select * from dwell")
 q("geo_hotspots", f"{WIN} zone_id:s centroid_lat:d centroid_lon:d observation_count:l active_vehicle_count:l avg_delay_sec:d p95_delay_sec:d hotspot_score:d", lambda x: x.hot, "select * from hot")
 
@@ -840,6 +857,15 @@ def _streams() -> None:
 
     q("stream_freshness_1m", f"{WIN} vehicle_count:l avg_freshness_sec:d p95_freshness_sec:d", _streamed(lambda s: S.freshness(s, F.lit(AS_OF), CFG)), f"select * from fresh where epoch(window_start) + 60 <= {CLOSED}")
     q("stream_bunching", f"event_time:t {RD} vehicle_a_id:s vehicle_b_id:s gap_seconds:d", _streamed(lambda s: S.bunching(s, CFG)), "select * from bunch")
+
+    def sketched(x: Tables) -> DataFrame:
+        source, root = _stream(x)
+        aged = lambda df: df.withColumn("age", X.telemetry_age(F.lit(AS_OF), "epoch_s"))
+        minutes = S.run_to_table(sketches.stream_states(aged(source), "age", "vehicle_id", CFG), root, x.spark)
+        hours = sketches.merged(minutes, 3600)
+        return sketches.checked(sketches.estimates(hours), aged(x.t["telemetry"]).filter("epoch_s < (select floor((max(epoch_s) - 15) / 60) * 60 from telemetry)"), "event_time", "age", "vehicle_id", 3600)
+
+    q("stream_freshness_sketch", SKETCHED, sketched, _sketched("event_time", f"({AS_OF} - epoch_s)", 3600, f"(select * from telemetry where floor(epoch_s / 60) * 60 + 60 <= {CLOSED}) x"))
     q(
         "stream_service_gap", f"gap_start:t gap_end:t {RD} gap_duration_sec:d", _streamed(lambda s: S.service_gap(s, 300, CFG), "telemetry_sparse"),
         f"""
@@ -876,6 +902,34 @@ def _streams() -> None:
 
     q("stream_multi_sink", "table_name:s row_count:l", multi, f"select 'fresh' as table_name, count(*) as row_count from fresh where epoch(window_start) + 60 <= {CLOSED} union all select 'raw', count(*) from {twice} x")
 
+    def fanned(x: Tables) -> DataFrame:
+        """Three sinks from one read of each batch; one of them fails at first and gets the batch again."""
+        source, root = _stream(x)
+        broken = [True]
+
+        def flaky(df: DataFrame, batch_id: int) -> None:
+            fanout.owned_folder(f"{root}/directed")(df, batch_id)
+            if batch_id == 1 and broken[0]:
+                broken[0] = False
+                raise OSError("lost after the write, before the mark")
+
+        makers = {
+            "directed": (lambda b: b.filter("direction_id is not null"), flaky), "positions": (lambda b: b, fanout.owned_folder(f"{root}/positions")),
+            "vehicles": (lambda b: b.select("vehicle_id").distinct(), fanout.owned_folder(f"{root}/vehicles")),
+        }
+        for k in range(2):
+            try:
+                S.foreach_batch(source, fanout.fan_out(makers, f"{root}/ledger"), f"{root}/fan").awaitTermination()
+            except StreamingQueryException:
+                if k:
+                    raise
+        found = {k: x.spark.read.parquet(f"{root}/{k}") for k in makers}
+        return sinks.table_row_counts(found | {"vehicles": found["vehicles"].select("vehicle_id").distinct()})
+
+    q("stream_fan_out", "table_name:s row_count:l", fanned, f"""
+    select 'positions' as table_name, count(*) as row_count from {twice} x union all select 'directed', count(direction_id) from {twice} x
+      union all select 'vehicles', count(distinct vehicle_id) from telemetry""")
+
     def batches(x: Tables) -> DataFrame:
         source, root = _stream(x)
         S.foreach_batch(source, sinks.parquet_sink(f"{root}/out", "event_time"), f"{root}/checkpoint").awaitTermination()
