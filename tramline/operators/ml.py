@@ -62,16 +62,21 @@ def temporal_split(rows: DataFrame, test_fraction: float = 0.2) -> tuple[DataFra
     return train, test
 
 
+def fit_trees(train: DataFrame, max_iter: int = DEFAULT.trees, step: float = DEFAULT.tree_step, seed: int = 42) -> PipelineModel:
+    """Gradient-boosted trees on normalised features and ``target``."""
+    spark = train.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:  # the trees cut their lineage every few rounds if they can
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+    trees = GBTRegressor(featuresCol="features", labelCol="target", maxIter=max_iter, stepSize=step, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(X.FEATURE_COLUMNS), outputCol="features"), trees]).fit(train)
+
+
 def train_delay_model(dataset: DataFrame, test_fraction: float = 0.2, max_iter: int = DEFAULT.trees, step: float = DEFAULT.tree_step, seed: int = 42) -> tuple[PipelineModel, dict[str, float]]:
     """Gradient-boosted trees on a temporal split, with MAE and RMSE on the later part."""
     if dataset.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} labelled rows are needed")
-    spark = dataset.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:  # the trees cut their lineage every few rounds if they can
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     train, test = temporal_split(dataset, test_fraction)
-    trees = GBTRegressor(featuresCol="features", labelCol="target", maxIter=max_iter, stepSize=step, seed=seed)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(X.FEATURE_COLUMNS), outputCol="features"), trees]).fit(train)
+    model = fit_trees(train, max_iter, step, seed)
     scored = model.transform(test)
     metric = lambda m: RegressionEvaluator(labelCol="target", metricName=m).evaluate(scored)
     return model, {"mae": metric("mae"), "rmse": metric("rmse"), "train_rows": train.count(), "test_rows": test.count()}

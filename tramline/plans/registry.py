@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tramline.config import DEFAULT
 from tramline.functions import exprs as X
-from tramline.operators import features, matching, ml, planner, rollups, sketches, telemetry, views
+from tramline.operators import backtest, features, matching, ml, planner, rollups, sketches, telemetry, views
 from tramline.plans import fixtures, oracle
 from tramline.plans.oracle import AS_OF, NOW, PLACE, RISK, ROUTE_LABEL, WARM, bucket, label_join, meters, recent, rnd
 from tramline.sources import chunks, fanout, gtfs, sinks
@@ -592,6 +592,27 @@ q(
 q("baseline_predictions", f"{FT} target_delay_sec:d persistence_delay:d hour_of_day_delay:d", lambda x: ml.baseline_predictions(x.features, CFG), """
     select *, avg_delay_sec as persistence_delay, avg(target_delay_sec) over (partition by route_id, direction_id, hour_of_day) as hour_of_day_delay
       from labelled where target_delay_sec is not null""")
+CUTS = [AS_OF - k * 3600 for k in (3, 2, 1)]
+ERRORS = "cut:l method:s n:l mae:d rmse:d skill:d"
+q(
+    "backtest_baselines", ERRORS, lambda x: backtest.backtest(x.features_once, CUTS, 3600, None, CFG),
+    f"""
+    with rows as (select *, cast(epoch(feature_time) as bigint) as s, coalesce(avg_delay_sec, 0) as persistence from labelled where target_delay_sec is not null),
+    cuts as (select * from (values {', '.join(f'({c})' for c in CUTS)}) as t(cut)),
+    known as (select * from rows, cuts where s + 1800 <= cut),
+    hours as (select cut, route_id, direction_id, hour_of_day, avg(target_delay_sec) as m from known group by all),
+    lines as (select cut, route_id, direction_id, avg(target_delay_sec) as m from known group by all),
+    alls as (select cut, avg(target_delay_sec) as m from known group by all),
+    scored as (
+      select r.*, coalesce(h.m, l.m, a.m) as hourly from (select * from rows, cuts where s >= cut and s < cut + 3600) r
+      left join hours h on h.cut = r.cut and h.route_id = r.route_id and h.direction_id is not distinct from r.direction_id and h.hour_of_day = r.hour_of_day
+      left join lines l on l.cut = r.cut and l.route_id = r.route_id and l.direction_id is not distinct from r.direction_id left join alls a on a.cut = r.cut),
+    found as (select cut, 'persistence' as method, persistence - target_delay_sec as e from scored union all select cut, 'hour_of_day', hourly - target_delay_sec from scored),
+    sums as (select cut, method, count(*) as n, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse from found where e is not null group by all)
+    select s.*, case when b.mae > 0 then 1 - s.mae / b.mae end as skill from sums s left join (select cut, mae from sums where method = 'persistence') b on b.cut = s.cut""",
+)
+q("backtest_delay_model", ERRORS, lambda x: backtest.backtest(x.features_once, CUTS, 3600, backtest.boosted(CFG.trees, CFG.tree_step), CFG), None)
+q("bunching_model_report", "metric:s value:d", lambda x: backtest.evaluate_bunching(x.features_once, x.bunch, 0.2, CFG), None)
 q("bunching_prediction", f"{FT} bunching_probability:d", lambda x: ml.bunching_prediction(x.features_once, x.bunch, x.as_of, CFG), None)
 MODELS: dict[tuple[str, str], str] = {}  # by application and tables: the folder of the model trained on them
 
