@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tramline.config import DEFAULT
 from tramline.functions import exprs as X
 from tramline.operators import backtest, features, matching, ml, planner, rollups, sketches, telemetry, views
-from tramline.plans import fixtures, oracle
+from tramline.plans import fixtures, oracle, surface
 from tramline.plans.oracle import AS_OF, NOW, PLACE, RISK, ROUTE_LABEL, WARM, bucket, label_join, meters, recent, rnd
 from tramline.sources import chunks, fanout, gtfs, sinks
 from tramline.sources import telemetry as feeds
@@ -839,6 +839,44 @@ q(
              group by gx, gy) d""",
 )
 
+# --- SQL surface ---------------------------------------------------------------------------------------------------------
+
+
+def _in_sql(sql: str) -> Callable[[Tables], DataFrame]:
+    """A query in nothing but SQL over the library's functions and views, both named with ``tl_``."""
+
+    def run(x: Tables) -> DataFrame:
+        surface.register_functions(x.spark, "tl_", CFG)
+        surface.register_views(x.t, x.as_of, "tl_", CFG)
+        return x.spark.sql(sql)
+
+    return run
+
+
+q(
+    "sql_functions", f"event_id:l {RD} zone:s slot:t meters:d walk:l status:s",
+    _in_sql("""
+    select event_id, route_id, direction_id, tl_zone_id(latitude, longitude) as zone, tl_time_bucket(event_time, 900) as slot, tl_distance_m(latitude, longitude, 44.4, 26.1) as meters,
+      tl_walk_seconds(tl_distance_m(latitude, longitude, 44.4, 26.1)) as walk, tl_traffic_status(cast(event_id % 23 as double)) as status from telemetry"""),
+    f"""
+    select event_id, route_id, direction_id, printf('%.3f', round(cast(latitude as decimal(38,8)), 3)) || ':' || printf('%.3f', round(cast(longitude as decimal(38,8)), 3)) as zone,
+      {bucket('event_time', 900)} as slot, m as meters, ceil(m / 1.25) as walk, case when event_id % 23 < 8 then 'congested' when event_id % 23 < 15 then 'slow' else 'normal' end as status
+    from (select *, {meters('latitude', '44.4e0', 'longitude', '26.1e0')} as m from telemetry) x""",
+)
+q(
+    "sql_views", "route_id:s short_name:s kind:s hours:l worst:d gaps:l status:s",
+    _in_sql("""
+    with gaps as (select route_id, count(*) as n from tl_service_gap_alerts group by route_id)
+    select h.route_id, first(r.route_short_name) as short_name, first(tl_route_type_label(r.route_type)) as kind, count(*) as hours, max(h.max_delay_sec) as worst,
+      first(coalesce(g.n, 0)) as gaps, tl_route_status(avg(h.avg_delay_sec)) as status
+    from tl_hourly_delay_by_route h join routes r on r.route_id = h.route_id left join gaps g on g.route_id = h.route_id group by h.route_id"""),
+    f"""
+    with counted as (select route_id, count(*) as n from gaps group by route_id)
+    select h.route_id, any_value(route_short_name) as short_name, any_value({ROUTE_LABEL}) as kind, count(*) as hours, max(max_delay_sec) as worst, coalesce(any_value(n), 0) as gaps,
+      {BAND.replace('avg_delay_sec', 'avg(avg_delay_sec)')} as status
+    from h_delay h join routes r using (route_id) left join counted g on g.route_id = h.route_id group by h.route_id""",
+)
+
 # --- streaming -----------------------------------------------------------------------------------------------------------
 CLOSED = "(select max(epoch_s) - 15 from telemetry)"
 
