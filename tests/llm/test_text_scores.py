@@ -166,6 +166,29 @@ def test_a_language_column_of_many_values_and_repeats(spark, tongues):
     assert len(got) == 240 and all(len(v) == 1 for v in by.values())
 
 
+def test_groups_of_languages_score_as_one_model_and_stay_sparse(monkeypatch):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèçñ"
+    counts = {f"l{k:03d}": {"".join(rng.choices(letters[k % 9 : k % 9 + 20], k=rng.randrange(2, 9))): rng.randrange(1, 5) for _ in range(150)} for k in range(20)}
+    asked = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(300)]
+    whole = language_id.Model(counts)
+    monkeypatch.setattr(language_id, "GROUP", 3)
+    grouped = language_id.Models(counts)
+    assert len(grouped.groups) == 7 and grouped.langs == whole.langs
+    assert np.allclose(grouped.words(asked), whole.words(asked), atol=1e-3)
+    monkeypatch.setattr(language_id, "GROUP", 16)
+    many = {f"l{k:03d}": {"".join(rng.choices(letters, k=7)): 1 for _ in range(200)} for k in range(96)}
+    few = language_id.Models({k: many[k] for k in list(many)[:16]})
+    assert language_id.Models(many).nbytes < 8 * few.nbytes, "memory grows with the languages, not with their square"
+
+
+def test_a_model_too_large_to_broadcast_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_BYTES", 1000)
+    docs = spark.createDataFrame([(1, "some words of a text", "en"), (2, "autres mots", "fr")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="broadcast"):
+        language_id.train(docs)
+
+
 # --- quality -------------------------------------------------------------------------------------------------------------
 
 

@@ -2,13 +2,13 @@
 
 Per language, words (runs of letters, lower-cased, with a mark at either end) train a character model of ``ORDER`` characters
 with absolute discounting: the highest order counts occurrences, the lower ones count distinct left contexts.  The models of
-all languages share sorted arrays of n-gram hashes; beside each hash stands one row of log-probabilities, one per
+up to ``GROUP`` languages share sorted arrays of n-gram hashes; beside each hash stands one row of log-probabilities, one per
 language, already interpolated, and beside each context hash its row of back-off weights.  A text goes to the language of the
 lowest cross-entropy per character; ``score`` is a softmax over the languages whose sharpness is calibrated on documents
 kept back from the training ones, and ``rejected`` marks texts that the winner explains worse than nearly all of those.
 
 Training takes at most about ``max_docs`` documents per language (a bounded, hashed sample, repeats left out); Spark counts their words, so that
-what reaches the driver is bounded by the sample.  Scoring is one narrow pass over every text.
+what reaches the driver is bounded by the sample, and a model above ``MOST_BYTES`` is refused before it is sent out.  Scoring is one narrow pass over every text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the first language in
 order; repeated rows are scored alike; rows with a null language or id aren't learned from; with nothing to learn from
@@ -29,7 +29,9 @@ from tramline.llm.common import in_batches, stored
 
 ORDER, DISCOUNT = 4, 0.75
 MAX_DOCS = 1500
-WORDS_CACHED = 300_000
+WORDS_CACHED, ROWS_CACHED = 300_000, 4_800_000  # words, and words times languages
+GROUP = 16
+MOST_BYTES = 1 << 30  # of a model that is broadcast
 LETTERS = re.compile(r"[^\W\d_]+")
 SHARPNESS = (0.5, 1, 2, 4, 8, 16, 32, 64, 128)
 REJECT_AT = 0.001  # share of correctly kept-back documents that may be rejected
@@ -62,13 +64,16 @@ def _hashes(codes: np.ndarray, starts: np.ndarray, order: int) -> list[tuple[np.
 
 
 class Model:
-    """Log-probability rows of n-grams and log back-off rows of contexts, by sorted hash, for all languages at once."""
+    """Log-probability rows of n-grams and log back-off rows of contexts, by sorted hash, for some languages at once.
 
-    def __init__(self, counts: dict[str, dict[str, int]], order: int = ORDER, discount: float = DISCOUNT):
+    ``size`` is the number of different characters that the uniform distribution is over; without it, that of these languages.
+    """
+
+    def __init__(self, counts: dict[str, dict[str, int]], order: int = ORDER, discount: float = DISCOUNT, size: int | None = None):
         self.langs = sorted(counts)
         self.order = order
         per_lang = [self._train(counts[lang], discount) for lang in self.langs]
-        size = len(set().union(*({c for w in counts[lang] for c in w} for lang in self.langs))) + 2
+        size = alphabet(counts) if size is None else size
         self.grams, self.contexts = [], []
         lower = None
         for n in range(order):
@@ -162,14 +167,37 @@ class Model:
         return np.add.reduceat(total, starts[:-1], axis=0)
 
 
+def alphabet(counts: dict[str, dict[str, int]]) -> int:
+    return len(set().union(*({c for w in own for c in w} for own in counts.values()))) + 2
+
+
+class Models:
+    """Models of ``GROUP`` languages each, in the languages' order.
+
+    A row is as wide as its group, so that an n-gram of one language costs nothing in the other groups, and memory grows with the n-grams
+    that there are instead of with their product with the languages.
+    """
+
+    def __init__(self, counts: dict[str, dict[str, int]]):
+        self.langs, size = sorted(counts), alphabet(counts)
+        self.groups = [Model({lang: counts[lang] for lang in self.langs[k : k + GROUP]}, size=size) for k in range(0, len(self.langs), GROUP)]
+
+    def words(self, tokens: list[str]) -> np.ndarray:
+        return np.concatenate([m.words(tokens) for m in self.groups], axis=1)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for m in self.groups for part in (m.grams, m.contexts) for pair in part for a in pair)
+
+
 class Scorer:
     """Mean log-probability per character of whole texts, with a bounded cache of word scores."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Models):
         self.model, self.known, self.rows, self.sizes = model, {}, None, None
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        if self.rows is None or len(self.known) > WORDS_CACHED:
+        if self.rows is None or len(self.known) > min(WORDS_CACHED, ROWS_CACHED // len(self.model.langs)):
             self.known, self.rows, self.sizes = {}, np.zeros((0, len(self.model.langs)), np.float32), np.zeros(0, np.int64)
         each = [words(t) for t in texts]
         fresh = list({w for ws in each for w in ws} - self.known.keys())
@@ -188,7 +216,7 @@ class Scorer:
 class Identifier:
     """A model with its calibration: ``sharpness`` of the softmax and, per language, the lowest accepted log-probability."""
 
-    def __init__(self, model: Model, sharpness: float, lowest: dict[str, float]):
+    def __init__(self, model: Models, sharpness: float, lowest: dict[str, float]):
         self.model, self.sharpness, self.lowest = model, sharpness, lowest
 
     def __call__(self, scorer: Scorer, texts: list[str | None]) -> Iterator[tuple[str, float, bool, float | None]]:
@@ -219,7 +247,9 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 11) -> Identifi
         counts.setdefault(r["lang"], {})[r["w"]] = r["count"]
     if not counts:
         return None
-    model = Model(counts)
+    model = Models(counts)
+    if model.nbytes > MOST_BYTES:
+        raise ValueError(f"a model of {model.nbytes >> 20} MB isn't broadcast; learn from fewer documents per language")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +262,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 11) -> Identifi
     return calibrate(model, [(r["lang"], np.array(r["row"])) for r in back])
 
 
-def calibrate(model: Model, seen: list[tuple[str, np.ndarray]]) -> Identifier:
+def calibrate(model: Models, seen: list[tuple[str, np.ndarray]]) -> Identifier:
     known = [(model.langs.index(lang), row) for lang, row in seen if lang in model.langs]
 
     def loss(s: float) -> float:
