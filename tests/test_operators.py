@@ -301,6 +301,12 @@ def test_model_is_saved_reported_and_replaced_by_the_baseline(spark, tmp_path):
     assert {k: r["predicted_delay_sec"] for k, r in got.items()} == want
 
 
+def test_first_of_equal_keys_is_inserted(spark):
+    new = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("b", 5, None), ("b", 5, "x"), ("c", 1, "known")], "k string, line int, v string").repartition(4)
+    got = gtfs.gtfs_insert_idempotent(spark.createDataFrame([("c", 0, "there")], "k string, line int, v string"), new, ["k"], "line")
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "early"), ("b", 5, None)]
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 

@@ -802,6 +802,42 @@ q(
 )
 
 
+def _drawn(x: Tables) -> DataFrame:
+    """Every point of every leg of the plans."""
+    out = planner.plan_trips(x.requests, x.timetable, x.predictions_once, x.features_once, x.events_once, x.as_of, CFG)
+    legs = out.select("request_id", "itinerary_id", F.posexplode("geometries").alias("leg", "g"))
+    return legs.select("request_id", "itinerary_id", "leg", F.posexplode("g").alias("pos", "p")).select("request_id", "itinerary_id", "leg", "pos", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon"))
+
+
+q(
+    "plan_trip_points", "request_id:l itinerary_id:s leg:l pos:l lat:d lon:d", _drawn,
+    """select request_id, itinerary_id, dense_rank() over (partition by request_id, itinerary_id order by leg_id) - 1 as leg, row_number() over (partition by leg_id order by o) - 1 as pos, lat, lon
+       from plan_points join plan_lines using (leg_id)""",
+)
+
+
+def _expected_legs(x: Tables) -> DataFrame:
+    return _delayed(x).select("request_id", "itinerary_id", F.array_join("sources", ",").alias("sources"), F.inline("expected_legs"))
+
+
+EST_KEY = "{0}_route_id || '|' || coalesce(cast({0}_direction_id as varchar), '-') || '|' || cast(cast({1} as bigint) as varchar)"
+q(
+    "expected_legs", "request_id:l itinerary_id:s pos:l expected_dep:l expected_arr:l sources:s", _expected_legs,
+    f"""
+    with shifted as (
+      select i.*, e1.seconds as d1, coalesce(e2.seconds, 0) as d2,
+        case when e2.source is null or e2.source = e1.source then e1.source else least(e1.source, e2.source) || ',' || greatest(e1.source, e2.source) end as sources
+      from itins i join est e1 on e1.leg_id = {EST_KEY.format('leg1', 'dep1')} left join est e2 on e2.leg_id = {EST_KEY.format('leg2', 'dep2')}),
+    slots as (
+      select request_id, itinerary_id, sources, 0 as slot, requested as expected_dep, requested + access_s as expected_arr from shifted where access_m > 0
+      union all select request_id, itinerary_id, sources, 1, dep1, arr1 + d1 from shifted
+      union all select request_id, itinerary_id, sources, 2, arr1 + d1, arr1 + ceil(transfer_m / 1.25e0) + d1 from shifted where kind = 'one_transfer'
+      union all select request_id, itinerary_id, sources, 3, dep2 + d1, arr2 + d1 + d2 from shifted where kind = 'one_transfer'
+      union all select request_id, itinerary_id, sources, 4, coalesce(arr2, arr1) + d1 + d2, coalesce(arr2, arr1) + egress_s + d1 + d2 from shifted where egress_m > 0)
+    select *, row_number() over (partition by request_id, itinerary_id order by slot) - 1 as pos from slots""",
+)
+
+
 def _points(x: Tables) -> DataFrame:
     number = F.col("stop_id").cast("int")
     shape = (F.floor(number / 100) * 4 + number % 4).cast("string").alias("shape_id")

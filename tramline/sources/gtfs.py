@@ -54,9 +54,12 @@ def gtfs_load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
-def gtfs_insert_idempotent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not there yet, one per key."""
-    return new.dropDuplicates(keys).join(existing.select(keys).distinct(), keys, "left_anti")
+def gtfs_insert_idempotent(existing: DataFrame, new: DataFrame, keys: list[str], first_by: str | None = None) -> DataFrame:
+    """Rows of ``new`` whose key is not there yet, one per key: the first by ``first_by`` (a line number, a load time), then in column
+    order, nulls first."""
+    order = ([first_by] if first_by else []) + [c for c in new.columns if c not in keys and c != first_by]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select(*keys, "_first.*").select(new.columns) if order else new.distinct()
+    return one.join(existing.select(keys).distinct(), keys, "left_anti")
 
 
 def gtfs_integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
