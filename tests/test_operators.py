@@ -301,6 +301,26 @@ def test_model_is_saved_reported_and_replaced_by_the_baseline(spark, tmp_path):
     assert {k: r["predicted_delay_sec"] for k, r in got.items()} == want
 
 
+def test_prepared_timetable_is_read_without_an_exchange(spark, timetable):
+    fixes = spark.range(50).select(
+        F.timestamp_seconds(F.lit(DAY + 8 * 3600) + F.col("id") * 60).alias("event_time"), F.col("id").cast("string").alias("vehicle_id"), F.when(F.col("id") % 7 == 0, "q").otherwise("r").alias("route_id"), F.lit(None).cast("int").alias("direction_id"),
+        F.lit(44.4).alias("latitude"), F.lit(26.1).alias("longitude"), F.lit(None).cast("string").alias("trip_start_time"),
+    )
+    t = [timetable[k] for k in ("trips", "calendar", "stop_times", "stops")]
+    visits = matching.prepare_timetable(*t, UTC)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found, plain = matching.match_candidates(fixes, *t, UTC, visits), matching.match_candidates(fixes, *t, UTC)
+        dealt = lambda df: len(re.findall(r"Exchange hashpartitioning\(route_id#\d+, stop_id#\d+, weekday#\d+, stretch#\d+L?", plan_of(df)))
+        assert (dealt(found), dealt(plain)) == (1, 2), "only the fixes are dealt out"
+        rows = sorted(map(str, found.collect()))
+        assert rows and rows == sorted(map(str, plain.select(found.columns).collect()))
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_first_of_equal_keys_is_inserted(spark):
     new = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("b", 5, None), ("b", 5, "x"), ("c", 1, "known")], "k string, line int, v string").repartition(4)
     got = gtfs.gtfs_insert_idempotent(spark.createDataFrame([("c", 0, "there")], "k string, line int, v string"), new, ["k"], "line")

@@ -8,11 +8,14 @@ All joins are equality joins with residuals; no cartesian product appears.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.config import DEFAULT, TransitConfig
 from tramline.functions import exprs as X
+from tramline.sources.scratch import shared_folder
 
 RD = ("route_id", "direction_id")
 LON_METERS = 75_000.0  # a degree of longitude in the geofence's box: never more than it has at the latitudes served
@@ -53,12 +56,40 @@ def visits_by_weekday(visits: DataFrame) -> DataFrame:
     return visits.withColumn("weekday", F.explode(F.array_compact(days))).drop(*X.DAYS)
 
 
-def match_candidates(positions: DataFrame, trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
-    """All stops a fix may belong to, with distance and delay."""
-    # One hour more than the tolerance: on days on which clocks change, wall-clock seconds and elapsed ones differ by that much.
-    span = cfg.schedule_tolerance_s + 3600
+VISIT_KEY = ("route_id", "stop_id", "weekday", "stretch")
+
+
+def _span(cfg: TransitConfig) -> int:
+    """One hour more than the tolerance: on days on which clocks change, wall-clock seconds and elapsed ones differ by that much."""
+    return cfg.schedule_tolerance_s + 3600
+
+
+def keyed_visits(trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
+    """The timetable as fixes meet it: by route, stop, weekday and stretch of the day."""
     visits = visits_by_weekday(stop_visits(trips, calendar, stop_times, stops))
-    visits = visits.withColumn("route_id", F.col("trip_route")).withColumn("stretch", F.floor(F.col("scheduled_s") / span))
+    visits = visits.withColumn("route_id", F.col("trip_route")).withColumn("stretch", F.floor(F.col("scheduled_s") / _span(cfg)))
+    return visits.select(*VISIT_KEY, "trip_id", "stop_sequence", "scheduled_s", "trip_direction", "first_s", "start_date", "end_date")
+
+
+def prepare_timetable(trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, name: str | None = None, buckets: int | None = None) -> DataFrame:
+    """``keyed_visits`` written once, bucketed and sorted by its key, so that every match reads it as it lies.
+
+    A session needs at least as many buckets as shuffle partitions, the default, for its joins to take the table's partitioning over.
+    """
+    spark = trips.sparkSession
+    name = name or f"timetable_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    visits = keyed_visits(trips, calendar, stop_times, stops, cfg).repartition(n, *VISIT_KEY)  # one file for each bucket
+    visits.write.bucketBy(n, *VISIT_KEY).sortBy(*VISIT_KEY).option("path", shared_folder(spark, "timetable")).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
+def match_candidates(
+    positions: DataFrame, trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, visits: DataFrame | None = None
+) -> DataFrame:
+    """All stops a fix may belong to, with distance and delay.  ``visits`` is a prepared timetable, if there is one."""
+    span = _span(cfg)
+    visits = keyed_visits(trips, calendar, stop_times, stops, cfg) if visits is None else visits
     day = F.explode(F.transform(F.sequence(F.lit(0), F.lit(cfg.service_day_lookback)), lambda k: F.date_sub(X.service_local_date("event_time", cfg.timezone), k)))
     around = F.explode(F.expr("flatten(transform(array(-1,0,1), y -> transform(array(-1,0,1), x -> struct(y, x))))"))
     high, wide = cfg.geofence_m / X.METERS_PER_DEGREE, cfg.geofence_m / LON_METERS
@@ -73,7 +104,7 @@ def match_candidates(positions: DataFrame, trips: DataFrame, calendar: DataFrame
     at = at.withColumn("service_date", day).withColumn("start_s", X.gtfs_time_to_seconds("trip_start_time")).withColumn("weekday", F.weekday("service_date"))
     wall = X.epoch(F.from_utc_timestamp("event_time", cfg.timezone)) - X.epoch(F.col("service_date").cast("timestamp"))
     at = at.withColumn("stretch", F.explode(F.array(*[F.floor(wall / span) + k for k in (-1, 0, 1)])))
-    near = at.join(visits, ["route_id", "stop_id", "weekday", "stretch"])
+    near = at.join(visits, [*VISIT_KEY])
     near = near.filter(start & (F.col("direction_id").isNull() | (F.col("direction_id") == F.col("trip_direction"))) & F.col("service_date").between(F.col("start_date"), F.col("end_date")))
     near = near.withColumn("scheduled_time", X.scheduled_instant("service_date", "scheduled_s", cfg.timezone))
     near = near.withColumn("delay_sec", (X.epoch("event_time") - X.epoch("scheduled_time")).cast("double"))
@@ -92,9 +123,11 @@ def best_match_per_position(candidates: DataFrame, key: tuple[str, ...] = FIX_KE
     return candidates.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("m")).select(*keys, "m.*")
 
 
-def match_stop_delay(positions: DataFrame, trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
-    """One stop-delay event per matched fix."""
-    best = best_match_per_position(match_candidates(positions, trips, calendar, stop_times, stops, cfg))
+def match_stop_delay(
+    positions: DataFrame, trips: DataFrame, calendar: DataFrame, stop_times: DataFrame, stops: DataFrame, cfg: TransitConfig = DEFAULT, visits: DataFrame | None = None
+) -> DataFrame:
+    """One stop-delay event per matched fix; ``visits`` as in ``match_candidates``."""
+    best = best_match_per_position(match_candidates(positions, trips, calendar, stop_times, stops, cfg, visits))
     return best.select(
         F.col("event_time").alias("observed_time"), "scheduled_time", "service_date", "vehicle_id", "route_id",
         F.coalesce("direction_id", "trip_direction").alias("direction_id"), "trip_id", "stop_id", "stop_sequence", "delay_sec", "distance_to_stop_m",

@@ -87,10 +87,15 @@ def foreach_batch(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
 
 
 def match_stops(df: DataFrame, timetable: dict[str, DataFrame], path: str, checkpoint: str, cfg: TransitConfig = DEFAULT, available_now: bool = True) -> StreamingQuery:
-    """Match each micro-batch to the timetable; a micro-batch overwrites its own partition, so retries leave no duplicates."""
+    """Match each micro-batch to the timetable, which is prepared once (or given as ``visits``): no batch shuffles it again.
+
+    A micro-batch overwrites its own partition, so retries leave no duplicates.
+    """
+    t = timetable
+    visits = t["visits"] if "visits" in t else matching.prepare_timetable(t["trips"], t["calendar"], t["stop_times"], t["stops"], cfg)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        m = matching.match_stop_delay(batch, timetable["trips"], timetable["calendar"], timetable["stop_times"], timetable["stops"], cfg)
+        m = matching.match_stop_delay(batch, t["trips"], t["calendar"], t["stop_times"], t["stops"], cfg, visits)
         m.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     return foreach_batch(df, write, checkpoint, available_now)
