@@ -260,11 +260,12 @@ def test_transfer_search_stops_at_the_kth_arrival(spark, monkeypatch):
     own = planner.last_rides
     monkeypatch.setattr(planner, "last_rides", lambda *a: read.append(own(*a).count()) or own(*a))
     whole = planner.top_per_request(planner.one_transfer_join(ends, windows, trips, times, stops, UTC), UTC.candidates, "leg2_arr_s", "leg1_dep_s")
-    pruned = planner.one_transfer_itineraries(ends, windows, trips, times, stops, UTC)
+    pruned = planner.one_transfer_itineraries(ends, windows, trips, times, stops, replace(UTC, probe_sample=1))
+    sparse = planner.one_transfer_itineraries(ends, windows, trips, times, stops, replace(UTC, probe_sample=1, probe_s=60))
     cols = sorted(whole.columns)
     rows = lambda df: sorted(map(str, df.select(cols).collect()))
-    assert rows(pruned) == rows(whole) and {r["request_id"] for r in whole.collect()} == {1, 2}
-    assert sum(read[1:]) < read[0] / 2, read
+    assert rows(pruned) == rows(sparse) == rows(whole) and {r["request_id"] for r in whole.collect()} == {1, 2}
+    assert len(read) == 6 and max(read[1], read[2] + read[3]) < read[0] / 2, read  # the whole; probe, near and far; a probe that says no, and one pass
 
 
 def test_attribution_against_a_plain_version(spark):

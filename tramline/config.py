@@ -33,6 +33,7 @@ class TransitConfig:
     walk_gain_min: int = 8
     first_legs: int = 900
     probe_s: int = 3600
+    probe_sample: int = 64
     candidates: int = 30
     itineraries: int = 5
     walk_slack_min: int = 4

@@ -213,17 +213,23 @@ def one_transfer_itineraries(ends: DataFrame, windows: DataFrame, trips: DataFra
     """The best ``candidates`` of ``one_transfer_join``, found without all the others.
 
     A first pass takes only last rides that arrive within ``probe_s`` of the earliest possible departure.  A request that has enough of
-    them is done: whatever arrives later is worse than all of those.  Only the others' last rides are searched to the end.
+    them is done: whatever arrives later is worse than all of those.  Only the others' last rides are searched to the end.  Where connections are so
+    sparse that few requests would be done, as one request in ``probe_sample`` tells, a single pass is cheaper; the rows are the same.
     """
     rides = first_rides(ends, windows, trips, stop_times, cfg) if rides is None else rides
     first, bounds = _first_legs(rides, cfg)
+    search = lambda some: _transfers(first.join(some.select(*KEY), [*KEY], "left_semi"), last_rides(ends, some, windows, trips, stop_times), stops, cfg)
+    best = lambda found: top_per_request(found, cfg.candidates, "leg2_arr_s", "leg1_dep_s")
+    enough = lambda found: found.groupBy(*KEY).count().filter(F.col("count") >= cfg.candidates).select(*KEY)
     soon = bounds.withColumn("after", F.col("lo") - 1).withColumn("upto", F.col("lo") + cfg.probe_s)
+    end = F.col("hi") + longest_ride(stop_times)
+    asked = soon.filter(F.pmod(F.xxhash64("request_id"), F.lit(cfg.probe_sample)) == 0)
+    if 2 * enough(search(asked)).count() < asked.count():
+        return best(_transfers(first, last_rides(ends, soon.withColumn("upto", end), windows, trips, stop_times), stops, cfg))
     near = stored(_transfers(first, last_rides(ends, soon, windows, trips, stop_times), stops, cfg), "near")
-    enough = near.groupBy(*KEY).count().filter(F.col("count") >= cfg.candidates).select(*KEY)
-    others = stored(bounds.join(enough, [*KEY], "left_anti"), "others")
-    late = others.withColumn("after", F.col("lo") + cfg.probe_s).withColumn("upto", F.col("hi") + longest_ride(stop_times))
-    far = _transfers(first.join(others.select(*KEY), [*KEY], "left_semi"), last_rides(ends, late, windows, trips, stop_times), stops, cfg)
-    return top_per_request(near.unionByName(far), cfg.candidates, "leg2_arr_s", "leg1_dep_s")
+    others = stored(bounds.join(enough(near), [*KEY], "left_anti"), "others")
+    far = search(others.withColumn("after", F.col("lo") + cfg.probe_s).withColumn("upto", end))
+    return best(near.unionByName(far))
 
 
 def union_service_windows(direct: DataFrame, transfer: DataFrame) -> DataFrame:
