@@ -38,6 +38,8 @@ class TransitConfig:
     itineraries: int = 5
     walk_slack_min: int = 4
     time_gain_min: int = 3
+    shape_cell_m: float = 250.0
+    shape_part: int = 64
     trees: int = 200
     tree_step: float = 0.06
     model_version: str = "delay-gbt-v1"

@@ -455,28 +455,102 @@ def plan_trips(requests: DataFrame, timetable: dict[str, DataFrame], predictions
 # --- shapes and map ------------------------------------------------------------------------------------------------------
 
 
-def nearest_shape_index(points: DataFrame, shapes: DataFrame) -> DataFrame:
+SPOT = ["shape_id", "lat", "lon"]
+
+
+def _shape_index(shapes: DataFrame, cell_m: float) -> DataFrame:
+    """The positions of each shape with the first sequence number there, and the cell ``cy, cx`` that each lies in."""
+    step = cell_m / X.METERS_PER_DEGREE
+    some = shapes.filter("shape_pt_lat is not null and shape_pt_lon is not null and shape_pt_sequence is not null")
+    at = some.groupBy("shape_id", "shape_pt_lat", "shape_pt_lon").agg(F.min("shape_pt_sequence").alias("shape_pt_sequence"))
+    return at.withColumn("cy", F.floor(F.col("shape_pt_lat") / step)).withColumn("cx", F.floor(F.col("shape_pt_lon") / step))
+
+
+def _ring(spots: DataFrame, index: DataFrame, cell_m: float) -> DataFrame:
+    """Each spot with the indexed positions of the nine cells around it; a spot with none there keeps its rows."""
+    step = cell_m / X.METERS_PER_DEGREE
+    around = F.expr("flatten(transform(array(-1,0,1), dy -> transform(array(-1,0,1), dx -> struct(dy, dx))))")
+    near = spots.withColumn("o", F.explode(around))
+    near = near.withColumn("cy", F.floor(F.col("lat") / step) + F.col("o.dy")).withColumn("cx", F.floor(F.col("lon") / step) + F.col("o.dx")).drop("o")
+    return near.join(index, ["shape_id", "cy", "cx"], "left")
+
+
+def _reachable(spots: DataFrame, index: DataFrame) -> DataFrame:
+    """Cells that may hold the nearest position of a spot: those whose box is no farther than the farthest corner of the best box.
+
+    ``spots`` may bring ``best``, the distance of some position already met, as a further bound.
+    """
+    edges = [F.min("shape_pt_lat").alias("south"), F.max("shape_pt_lat").alias("north"), F.min("shape_pt_lon").alias("west"), F.max("shape_pt_lon").alias("east")]
+    b = spots.join(index.groupBy("shape_id", "cy", "cx").agg(*edges), "shape_id")
+    near = X.equirect_distance_m("lat", "lon", F.greatest("south", F.least("north", "lat")), F.greatest("west", F.least("east", "lon")))
+    farther = lambda v, lo, hi: F.when(F.abs(F.col(v) - F.col(lo)) > F.abs(F.col(v) - F.col(hi)), F.col(lo)).otherwise(F.col(hi))
+    far = X.equirect_distance_m("lat", "lon", farther("lat", "south", "north"), farther("lon", "west", "east"))
+    b = b.withColumn("near", near).withColumn("bound", F.least(F.min(far).over(Window.partitionBy(*SPOT)), "best"))
+    return b.filter(F.col("near") <= F.col("bound") * X.CELL_SLACK).select(*SPOT, "cy", "cx")
+
+
+def nearest_on_shapes(spots: DataFrame, shapes: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
+    """Per distinct ``shape_id, lat, lon`` the sequence of the nearest shape point, the first among equals.
+
+    A spot meets the positions of the nine cells around its own.  What lies outside them is at least one cell's width away, east
+    and west measured at the spot's latitude; so a position found nearer than that is the nearest of all.  Only the other spots
+    go on: they meet the boxes of their shape's cells, and then the positions of those cells that the bounds leave.
+    A spot or shape point without a position, and a shape without points, give no row.
+    """
+    index = _shape_index(shapes, cfg.shape_cell_m)
+    spots = spots.select(*SPOT).filter("shape_id is not null and lat is not null and lon is not null").distinct()
+    meters = X.equirect_distance_m("lat", "lon", "shape_pt_lat", "shape_pt_lon")
+    first = F.min(F.when(meters.isNotNull(), F.struct(meters.alias("meters"), "shape_pt_sequence"))).alias("first")
+    ringed = stored(_ring(spots, index, cfg.shape_cell_m).groupBy(*SPOT).agg(first), "ringed")
+    proven = F.coalesce(F.col("first.meters") * X.CELL_SLACK < cfg.shape_cell_m * F.cos(F.radians("lat")), F.lit(False))
+    rest = _reachable(ringed.filter(~proven).select(*SPOT, F.col("first.meters").alias("best")), index)
+    rest = rest.join(index, ["shape_id", "cy", "cx"]).groupBy(*SPOT).agg(first)
+    return ringed.filter(proven).unionByName(rest).select(*SPOT, "first.shape_pt_sequence")
+
+
+def nearest_shape_index(points: DataFrame, shapes: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
     """Per point (``point_id, shape_id, lat, lon``) the sequence of the nearest shape point, the first among equals."""
-    j = points.join(shapes, "shape_id")
-    order = F.struct(X.equirect_distance_m("lat", "lon", "shape_pt_lat", "shape_pt_lon").alias("d"), "shape_pt_sequence")
-    return j.groupBy("point_id", "shape_id").agg(F.min_by("shape_pt_sequence", order).alias("shape_pt_sequence"))
+    return points.join(nearest_on_shapes(points, shapes, cfg), SPOT).select("point_id", "shape_id", "shape_pt_sequence")
+
+
+def shape_parts(shapes: DataFrame, size: int = DEFAULT.shape_part) -> DataFrame:
+    """Shapes of two points or more in parts of ``size`` points: ``shape_id, part`` and ``pts``, an array of (n, y, x) in order.
+
+    ``n`` numbers a shape's points from 0 without gaps, whatever its sequence numbers are.
+    """
+    one = Window.partitionBy("shape_id")
+    p = shapes.filter("shape_id is not null and shape_pt_lat is not null and shape_pt_lon is not null and shape_pt_sequence is not null")
+    p = p.withColumn("n", F.row_number().over(one.orderBy("shape_pt_sequence", "shape_pt_lat", "shape_pt_lon")) - 1)
+    p = p.withColumn("of", F.count(F.lit(1)).over(one)).filter("of >= 2")
+    point = F.struct("n", F.col("shape_pt_lat").alias("y"), F.col("shape_pt_lon").alias("x"))
+    return p.groupBy("shape_id", F.floor(F.col("n") / size).alias("part")).agg(F.sort_array(F.collect_list(point)).alias("pts"))
 
 
-def leg_geometry(legs: DataFrame, shapes: DataFrame) -> DataFrame:
+def leg_geometry(legs: DataFrame, shapes: DataFrame, cfg: TransitConfig = DEFAULT) -> DataFrame:
     """``leg_id`` and its path: the shape between the points nearest to both ends (reversed if travelled backwards), with the ends.
 
-    ``legs``: ``leg_id, shape_id, from_lat, from_lon, to_lat, to_lon``.  A shape of fewer than two points gives a straight line.
+    ``legs``: ``leg_id, shape_id, from_lat, from_lon, to_lat, to_lon``, one row a leg.  A shape of fewer than two points gives a
+    straight line, and so does an end without a position.  A leg meets only those parts of its shape that it runs through.
     """
-    ends = legs.select("leg_id", "shape_id", F.explode(F.array(F.struct(F.lit("a").alias("e"), F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon")), F.struct(F.lit("b").alias("e"), F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")))).alias("p"))
-    at = nearest_shape_index(ends.select(F.concat_ws("|", "p.e", "leg_id").alias("point_id"), "shape_id", "p.lat", "p.lon"), shapes)
-    side = lambda e: at.filter(F.col("point_id").startswith(f"{e}|")).select(F.substring("point_id", 3, 1000).alias("leg_id"), F.col("shape_pt_sequence").alias(e))
-    path = shapes.groupBy("shape_id").agg(F.sort_array(F.collect_list(F.struct(F.col("shape_pt_sequence").alias("s"), F.col("shape_pt_lat").alias("y"), F.col("shape_pt_lon").alias("x")))).alias("pts"))
-    l = legs.withColumn("leg_id", F.col("leg_id").cast("string")).join(path, "shape_id", "left").join(side("a"), "leg_id", "left").join(side("b"), "leg_id", "left")  # noqa: E741
-    cut = F.filter("pts", lambda p: p["s"].between(F.least("a", "b"), F.greatest("a", "b")))
-    cut = F.when(F.col("a") <= F.col("b"), cut).otherwise(F.reverse(cut))
-    inner = F.when(F.size("pts") >= 2, F.transform(cut, lambda p: F.array(p["y"], p["x"]))).otherwise(F.array().cast("array<array<double>>"))
-    whole = F.concat(F.array(F.array("from_lat", "from_lon")), inner, F.array(F.array("to_lat", "to_lon")))
-    l = l.withColumn("_g", whole)  # noqa: E741
+    parts = stored(shape_parts(shapes, cfg.shape_part), "shapes")
+    flat = parts.select("shape_id", F.explode("pts").alias("p"))
+    flat = flat.select("shape_id", F.col("p.n").alias("shape_pt_sequence"), F.col("p.y").alias("shape_pt_lat"), F.col("p.x").alias("shape_pt_lon"))
+    side = lambda e: [f"{e}_lat", f"{e}_lon"]
+    spot = lambda e: legs.select("shape_id", *[F.col(c).alias(n) for c, n in zip(side(e), ("lat", "lon"), strict=True)])
+    at = nearest_on_shapes(spot("from").unionByName(spot("to")), flat, cfg)
+    run = legs.withColumn("leg_id", F.col("leg_id").cast("string"))
+    for e in ("from", "to"):
+        names = dict(zip(("lat", "lon", "shape_pt_sequence"), (*side(e), f"{e}_n"), strict=True))
+        run = run.join(at.withColumnsRenamed(names), ["shape_id", *side(e)])
+    lo, hi = F.least("from_n", "to_n"), F.greatest("from_n", "to_n")
+    run = run.select("leg_id", "shape_id", lo.alias("lo"), hi.alias("hi"), (F.col("from_n") > F.col("to_n")).alias("back"))
+    run = run.withColumn("part", F.explode(F.sequence(F.floor(F.col("lo") / cfg.shape_part), F.floor(F.col("hi") / cfg.shape_part))))
+    run = run.join(parts, ["shape_id", "part"]).withColumn("pts", F.filter("pts", lambda p: p["n"].between(F.col("lo"), F.col("hi"))))
+    run = run.groupBy("leg_id", "back").agg(F.flatten(F.sort_array(F.collect_list("pts"))).alias("pts"))
+    inner = F.transform(F.when(F.col("back"), F.reverse("pts")).otherwise(F.col("pts")), lambda p: F.array(p["y"], p["x"]))
+    l = legs.withColumn("leg_id", F.col("leg_id").cast("string")).join(run.select("leg_id", inner.alias("inner")), "leg_id", "left")  # noqa: E741
+    ends = [F.array(F.array(*side(e))) for e in ("from", "to")]
+    l = l.withColumn("_g", F.concat(ends[0], F.coalesce("inner", F.array().cast("array<array<double>>")), ends[1]))  # noqa: E741
     return l.select("leg_id", F.filter("_g", lambda p, i: (i == 0) | (p != F.get("_g", i - 1))).alias("geometry"))
 
 
