@@ -181,6 +181,38 @@ def test_one_block_at_a_time(spark, monkeypatch):
     assert all(sum(b - a for a, b in got[k]["spans"]) == 12 and got[k]["items"] == ["1"] for k in range(12)) and not got[12]["items"]
 
 
+def test_long_items_are_split_without_losing_a_window():
+    rng = random.Random(4)
+    for n in (0, 1, 9, 10, 11, 39, 40, 41, 71, 72, 400):
+        ws = [f"{rng.choice('abc')}" for _ in range(n)]
+        some = [p.split() for p in decontaminate.pieces(", ".join(ws).upper(), 40, 10)]
+        grams = lambda w: {tuple(w[k : k + min(10, n)]) for k in range(len(w) - min(10, n) + 1)}
+        assert set().union(*map(grams, some)) == grams(ws) and all(len(p) <= 40 for p in some)
+        assert n < 10 or all(len(p) >= 10 for p in some)
+
+
+def test_many_blocks_hand_the_documents_on_once(spark, monkeypatch):
+    # Items longer than a block, one text in a third of the rows, clashing names; blocks store nothing but hits.
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))) for k, n in enumerate([900, 700, 30, 12, 3, 10])]
+    texts = [" ".join([*(f"x{k}" for k in range(5)), *items[j][1].split()[i : i + n], "end"]) for j in range(6) for i, n in ((0, 9), (0, 10), (5, 25), (36, 60), (300, 500))]
+    texts += [items[0][1]] * 20 + [None, "", "w1"]
+    docs = frame(spark, texts).withColumn("_hits", F.lit("mine")).withColumn("_key", F.lit(1)).withColumn("a.b", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept, real = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda d, label: (kept.append((label, d.columns)), real(d, label))[1])
+    got = decontaminate.scan(docs, bench, 10, 100)
+    assert got.columns == [*docs.columns, "__hits"] and sum(k == "hits" for k, _ in kept) > 5
+    assert all("text" not in columns for label, columns in kept if label != "benchmark")
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, hit, named = plain_hits(texts[r["doc_id"]], items, 10)
+        assert (r["__hits"]["n_words"], sum(b - a for a, b in r["__hits"]["spans"]), r["__hits"]["items"]) == (n, hit, named)
+        assert (r["_hits"], r["_key"], r["a.b"]) == ("mine", 1, 2)
+    assert decontaminate.remove(docs, bench).columns == docs.columns
+
+
 def test_removal(spark):
     item = "the quick brown fox jumps over the lazy dog today"
     filler = " ".join(f"clean{k}" for k in range(40))

@@ -71,8 +71,12 @@ def in_batches(df: DataFrame, run: Callable, schema: str | T.StructType) -> Data
     """``df.mapInArrow(run, schema)`` in batches of ``BATCH_ROWS`` rows.
 
     Spark's default of 10,000 rows can be hundreds of MB of long texts on either side.  A session that sets its own number
-    keeps it.
+    keeps it.  ``mapInArrow`` takes a dot in a column's name for a field of a struct, so such columns go in under other names.
     """
+    odd = [c for c in df.columns if "." in c or "`" in c]
+    if odd:
+        wide = max(map(len, df.columns)) + 1
+        df = df.toDF(*["_" * wide + str(k) if c in odd else c for k, c in enumerate(df.columns)])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(key, "10000") == "10000":
         df.sparkSession.conf.set(key, str(BATCH_ROWS))

@@ -5,8 +5,10 @@ after each word the state is the longest suffix of the text that occurs in some
 (``window`` words, or the whole of a shorter item), the words of the window are hit and its state names the items.
 
 Items are held in blocks whose total words are bounded by ``BLOCK_WORDS``: one block is one automaton in each task's
-and in the driver's memory, and a larger benchmark means further passes whose results are merged per document, so nothing
-of unproven size is ever collected or broadcast.
+and in the driver's memory.  A larger benchmark means further passes, each of which reads the texts alone and stores only the
+hits, keyed by the text's hash; they are merged and joined to the documents once, so that however many blocks there are the
+documents are handed on once.  There, an item longer than a fraction of a block is split into pieces that overlap by a window
+less one word, which have the same windows; so nothing of unproven size is ever collected or broadcast.
 
 Defined results: null or empty texts have no words and no hits; items that are null, empty or have a null id are ignored
 (a null id is no item that could be named); repeated items count once per id; ties need no rule as every occurring item is
@@ -16,17 +18,19 @@ their names.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import in_batches, stored
+from tramline.llm.common import discard, in_batches, stored
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BLOCK_WORDS = 500_000  # measured: some 0.4 kB a word in each worker, words that occur once included
@@ -178,23 +182,40 @@ def _cover(spans: list[list[int]], start: int, end: int) -> None:
 _BUILT: dict[str, Automaton] = {}  # one per Python worker: the automaton of the block at hand
 
 
-def _automaton(items: list[tuple[str, list[bytes]]], window: int) -> Automaton:
-    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-    if key not in _BUILT:
+def _automaton(block: str, held: Broadcast, window: int) -> Automaton:
+    if block not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Automaton(items, window)
-    return _BUILT[key]
+        _BUILT[block] = Automaton(held.value, window)
+    return _BUILT[block]
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
+def pieces(text: str, size: int, window: int) -> list[str]:
+    """The words of ``text`` in pieces of at most ``size`` words, more than a window, which together have the same windows."""
+    ws = words(text)
+    step = size - window + 1
+    starts = range(0, max(1, len(ws) - window + 1), step)
+    return [b" ".join(ws[k : k + size]).decode("utf-8", "surrogatepass") for k in starts]
+
+
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
     """How many blocks there are, and the items by blocks of about ``block_words`` words each, one collected at a time.
 
-    An item row is never split; the rows of one id are spread over the blocks by their texts.
+    The rows of one id are spread over the blocks by their texts, and so are the pieces of a long item.
     """
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // (block_words * 2)))  # a word and its separator have two characters at least
-    items = stored(items, "benchmark") if parts > 1 else items
+    size = max(4 * window, block_words // 4)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                some = pieces(text.as_py(), size, window)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.string())], names=["item_id", "text"])
+
+    if parts > 1:
+        long = F.length("text") >= 2 * size
+        items = stored(items.filter(~long).unionByName(in_batches(items.filter(long), split, items.schema)).distinct(), "benchmark")
 
     def each() -> Iterator[list[tuple[str, list[bytes]]]]:
         for k in range(parts):
@@ -204,56 +225,78 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[int, I
     return parts, each()
 
 
-def hits_column(docs: DataFrame) -> str:
-    """The column that ``scan`` adds: ``_hits``, with more underscores where the input has that name already."""
-    name = "_hits"
+def _unused(docs: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in docs.columns}:
         name = "_" + name
     return name
 
 
+def hits_column(docs: DataFrame) -> str:
+    """The column that ``scan`` adds: ``_hits``, with more underscores where the input has that name already."""
+    return _unused(docs, "_hits")
+
+
+def _found(docs: DataFrame, key: str, items: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """Stored: ``key, spans, items`` of the distinct texts that a block of items hits; the pass reads no other column."""
+    block, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
+    schema = T.StructType.fromDDL(f"{key} string, spans array<array<int>>, items array<string>")
+    kinds = [pa.string(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(block, held, window)
+        for batch in batches:
+            rows = [(k, *machine.scan(words(text.as_py()))) for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            rows = [(k, spans, sorted(names)) for k, spans, names in rows if spans]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
+
+    texts = docs.filter("text is not null").select(F.sha2("text", 256).alias(key), "text")
+    out = stored(in_batches(texts, run, schema).dropDuplicates([key]), "hits")
+    held.destroy()
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, change: Callable | None = None) -> DataFrame:
     """``docs`` with ``hits_column`` added: ``n_words``, merged word ``spans`` [start, end) that are hit, and sorted ``items``.
 
-    One narrow pass over the texts for each block of items, and no shuffle.  ``change`` may turn the last pass's batches,
-    which end with the hits, into others of the same columns, without a second hand-over of the texts.
+    One narrow pass over the texts, without a shuffle, where the benchmark is one block; otherwise one for each block and a
+    join with what they found.  ``change`` may turn the last pass's batches, which end with the hits, into others of the same
+    columns, without a second hand-over of the texts.
     """
-    hits = T.StructType.fromDDL("n_words long, spans array<array<int>>, items array<string>")
-    schema = T.StructType([*docs.schema.fields, T.StructField(hits_column(docs), hits)])
-    at = docs.columns.index("text")
-    out, first = docs, True
-    many, each = blocks(benchmark, block_words)
-    for k, items in enumerate(each):
-        after = change if k == many - 1 else None
-        held = docs.sparkSession.sparkContext.broadcast(items)
-        del items
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, first=first, after=after) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(held.value, window)
-            for batch in batches:
-                got = []
-                before = [None] * len(batch) if first else batch.column(batch.num_columns - 1)
-                for text, old in zip(batch.column(at), before, strict=True):
-                    ws = words(text.as_py())
-                    spans, names = machine.scan(ws)
-                    if old is not None:
-                        old = old.as_py()
-                        both = []
-                        for a, b in sorted(map(tuple, [*spans, *old["spans"]])):
-                            _cover(both, a, b)
-                        spans, names = both, names | set(old["items"])
-                    got.append({"n_words": len(ws), "spans": spans, "items": sorted(names)})
-                kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
-                columns = batch.columns if first else batch.columns[:-1]
-                out = pa.RecordBatch.from_arrays([*columns, pa.array(got, kind)], names=schema.names)
-                yield after(out) if after else out
-
-        out = in_batches(out, run, schema)
-        first = False
-        if k < many - 1:
-            out = stored(out, "scan")
-            held.destroy()
-    return out
+    hits, key = hits_column(docs), _unused(docs, "_key")
+    schema = T.StructType([*docs.schema.fields, T.StructField(hits, T.StructType.fromDDL("n_words long, spans array<array<int>>, items array<string>"))])
+    at, width = docs.columns.index("text"), len(docs.columns)
+    many, each = blocks(benchmark, block_words, window)
+    if many > 1:
+        found = [_found(docs, key, items, window) for items in each]
+        merged = reduce(DataFrame.unionByName, found).groupBy(key)  # a text has one row from each block at most
+        merged = stored(merged.agg(F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).alias(hits)), "merged")
+        for f in found:
+            discard(f)
+        docs, block, held = docs.withColumn(key, F.sha2("text", 256)).join(merged, key, "left").drop(key), None, None
+    else:
+        block, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(next(each))
+
+    def of(text: str | None, earlier: dict | None, machine: Automaton | None) -> dict:
+        ws = words(text)
+        if machine is not None:
+            spans, names = machine.scan(ws)
+        else:
+            spans, names = [], set(earlier["items"] if earlier else ())
+            for a, b in sorted(map(tuple, earlier["spans"] if earlier else ())):
+                _cover(spans, a, b)
+        return {"n_words": len(ws), "spans": spans, "items": sorted(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(block, held, window) if held is not None else None
+        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
+        for batch in batches:
+            earlier = batch.column(width).to_pylist() if machine is None else [None] * len(batch)
+            got = [of(text.as_py(), e, machine) for text, e in zip(batch.column(at), earlier, strict=True)]
+            out = pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(got, kind)], names=schema.names)
+            yield change(out) if change else out
+
+    return in_batches(docs, run, schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -294,7 +337,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span
             columns[chars] = pa.array(sizes, columns[chars].type)
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return scan(docs, benchmark, window, change=change).select(names)
+    return scan(docs, benchmark, window, change=change).drop(hits_column(docs))
 
 
 def cut(text: str | None, spans: list[list[int]], min_span: int, window: int) -> str | None:
