@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tramline.config import DEFAULT
 from tramline.operators import matching, ml, planner, telemetry, views
+from tramline.plans import fixtures
 from tramline.sources import gtfs, sinks
 from tramline.sources import telemetry as feeds
 
@@ -357,3 +358,14 @@ def test_payload_sanitising(spark):
 def test_latest_rows_and_top(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "s long, k string").select(F.timestamp_seconds("s").alias("window_start"), "k")
     assert sorted(r["k"] for r in views.latest_rows(df).collect()) == ["b", "c"]
+
+
+def test_repeated_sides_are_not_broadcast(spark):
+    """Stops and places are repeated for nine cells, which Spark's estimates don't see; so are the files' sizes no measure of the rows in them."""
+    stops = spark.createDataFrame([("1", 44.02, 25.52)], "stop_id string, stop_lat double, stop_lon double")
+    plan = planner.transfer_stop_pairs(stops)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cy" in plan and "Broadcast" not in plan
+    t = fixtures.load(spark, "/root/testdata/sf0.001")
+    plan = matching.match_candidates(t["telemetry"], t["trips"], t["calendar"], t["stop_times"], t["stops"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cy" in plan and "BroadcastHashJoin [cy" not in plan
+    assert float(spark.conf.get(fixtures.FILE_FACTOR[0])) == float(fixtures.FILE_FACTOR[1])
