@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tramline.config import DEFAULT
 from tramline.operators import matching, ml, planner, telemetry, views
-from tramline.plans import fixtures
+from tramline.plans import fixtures, registry
 from tramline.sources import gtfs, sinks
 from tramline.sources import telemetry as feeds
 
@@ -369,3 +369,11 @@ def test_repeated_sides_are_not_broadcast(spark):
     plan = matching.match_candidates(t["telemetry"], t["trips"], t["calendar"], t["stop_times"], t["stops"])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [cy" in plan and "BroadcastHashJoin [cy" not in plan
     assert float(spark.conf.get(fixtures.FILE_FACTOR[0])) == float(fixtures.FILE_FACTOR[1])
+
+
+def test_locations_of_towns_far_out(spark):
+    """The served area is a setting; the test towns' has no end in the east, where their number grows."""
+    places = planner.stop_places(spark.createDataFrame([("1", "A", 44.4, 30.0, 0, "")], "stop_id string, stop_name string, stop_lat double, stop_lon double, location_type int, parent_station string"))
+    asked = spark.createDataFrame([(1, "loc:44.401,30.001", "loc:46.0,30.0")], "request_id long, origin_id string, destination_id string")
+    assert [(r["side"], r["stop_id"]) for r in planner.resolve_endpoints(asked, places, registry.CFG).collect()] == [("origin", "1")]
+    assert planner.resolve_endpoints(asked, places, UTC).count() == 0
