@@ -377,3 +377,18 @@ def test_locations_of_towns_far_out(spark):
     asked = spark.createDataFrame([(1, "loc:44.401,30.001", "loc:46.0,30.0")], "request_id long, origin_id string, destination_id string")
     assert [(r["side"], r["stop_id"]) for r in planner.resolve_endpoints(asked, places, registry.CFG).collect()] == [("origin", "1")]
     assert planner.resolve_endpoints(asked, places, UTC).count() == 0
+
+
+def test_the_timetable_meets_fixes_on_their_weekdays_only(spark):
+    """Stop times are read once for a match, and visits of weekdays without fixes are not shuffled; first times and rows stay the same."""
+    trips = spark.createDataFrame([("a", "r", 0, "mon"), ("b", "r", 1, "daily")], "trip_id string, route_id string, direction_id int, service_id string")
+    stop_times = spark.createDataFrame([("a", 1, "s", None, 100), ("a", 2, "t", 200, 220), ("b", 3, "s", 300, None), ("b", 4, "t", None, None)], "trip_id string, stop_sequence int, stop_id string, arrival_s int, departure_s int")
+    days = "service_id string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, start_date string, end_date string"
+    calendar = spark.createDataFrame([("mon", 1, 0, 0, 0, 0, 0, 0, "2023-12-01", "2024-03-01"), ("daily", 1, 1, 1, 1, 1, 1, 1, "2023-12-01", "2024-03-01")], days)
+    rows = lambda *weekdays: sorted((r["trip_id"], r["stop_sequence"], r["weekday"], r["scheduled_s"], r["first_s"]) for r in matching.keyed_visits(trips, calendar, stop_times, UTC, *weekdays).collect())
+    monday = [("a", 1, 0, 100, 100), ("a", 2, 0, 200, 100), ("b", 3, 0, 300, 300)]
+    assert rows(spark.createDataFrame([(0,)], "weekday int")) == monday
+    assert rows() == sorted([*monday, *[("b", 3, d, 300, 300) for d in range(1, 7)]])
+    t = fixtures.load(spark, "/root/testdata/sf0.001")
+    plan = matching.match_candidates(t["telemetry"], t["trips"], t["calendar"], t["stop_times"], t["stops"], UTC)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 2, "stop times once, trips once"
