@@ -155,3 +155,26 @@ def test_late_fixes_neither_link_nor_move_the_state():
     drive.batch(clock=400)
     drive.batch()
     assert [int(x.timestamp()) for x in drive.rows()["event_time"]] == [205, 213, 264]
+
+
+def test_a_bucket_holds_many_vehicles_and_routes():
+    """One call and one state serve all that are in a bucket, and each gets the rows that it would have alone."""
+    rng = random.Random(7)
+    times = {k: sorted(rng.sample(range(1000, 6000), 60)) for k in "abc"}
+    want_gaps, want_speeds, bucket, watch = [], [], Driver(ordered.OrderedFixes(), (5,)), Driver(ordered.GapWatch(60), (5,))
+    for k, own in times.items():
+        plain = fixes(own).assign(event_time=lambda d: d["event_time"].astype("datetime64[us]").astype("int64"))
+        want_speeds += [(k, t) for t in ordered.segment_rows(k, None, plain)["event_time"]]
+        want_gaps += [(k, a, b) for a, b in zip(own, own[1:], strict=False) if b - a > 60]
+    for lo in range(1000, 6000, 700):
+        some = [(k, t) for k, own in times.items() for t in own if lo <= t < lo + 700]
+        rng.shuffle(some)
+        who, at = [k for k, _ in some], [t for _, t in some]
+        bucket.batch(fixes(at).assign(vehicle_id=who))
+        watch.batch(seen(at).assign(key=[key(k)[0] for k in who]))
+    for drive in (bucket, watch):
+        for _ in range(3):
+            drive.batch(clock=9000)
+    closed = watch.rows().query("status == 'closed'")
+    assert sorted((r.route_id, int(r.gap_start.timestamp()), int(r.gap_end.timestamp())) for r in closed.itertuples()) == sorted(want_gaps)
+    assert sorted((r.vehicle_id, r.event_time) for r in bucket.rows().itertuples()) == sorted(want_speeds) and len(want_speeds) > 60
