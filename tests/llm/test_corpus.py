@@ -485,6 +485,13 @@ def test_permutation(n):
         assert (got != shards.permute(np.arange(n), n, 6)).any() and (got != np.arange(n)).any()
 
 
+def test_slots_are_evaluated_once(spark, tmp_path):
+    """A filter on slots or shards reads what is computed already."""
+    _, index = shards.materialise(frame(spark, ["a b c " * 40, "d e"]), length=4, shard_records=8, path=str(tmp_path / "s"))
+    plan = index.filter("shard >= 1 and slot > 3")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("waves", [1, 3])
 def test_shards_round_trip(spark, tmp_path, waves):
     rng = random.Random(8)

@@ -158,6 +158,8 @@ def materialise(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, len
 
         return pd.Series(permute(run.map(offsets).to_numpy() + at.to_numpy(), n, key))
 
+    # Called non-deterministic, though it is not, so that a filter on slots or shards doesn't evaluate it, and pass all ids by it, a second time.
+    slot = slot.asNondeterministic()
     placed = seqs.withColumn("slot", slot("run", "at")).withColumn("shard", F.expr(f"slot div {shard_records}"))
     filler = np.full(length, pad, kind).tobytes()
     record = F.concat("ids", F.substring(F.lit(filler), 1, F.lit(length * kind.itemsize) - F.length("ids")))
