@@ -392,3 +392,13 @@ def test_the_timetable_meets_fixes_on_their_weekdays_only(spark):
     t = fixtures.load(spark, "/root/testdata/sf0.001")
     plan = matching.match_candidates(t["telemetry"], t["trips"], t["calendar"], t["stop_times"], t["stops"], UTC)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 2, "stop times once, trips once"
+
+
+def test_locations_are_read_once(spark):
+    """The pattern stands in the explode only, not again in what follows it."""
+    asked = spark.createDataFrame([(1, "loc:44.1,26.0", "2"), (2, "1", "loc:44.1,26.0"), (3, "loc:44.1", "loc:50,26"), (4, None, "loc:44.1")], "request_id int, origin_id string, destination_id string")
+    stops = spark.createDataFrame([("1", "A", 44.1, 26.0, 0, ""), ("2", "B", 44.2, 26.2, 0, "")], "stop_id string, stop_name string, stop_lat double, stop_lon double, location_type int, parent_station string")
+    ends = planner.resolve_endpoints(asked.repartition(2), planner.stop_places(stops), UTC)
+    plan = ends._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert {line.strip(" :+-|").split()[0] for line in plan if "regexp_extract" in line} == {"Generate"}
+    assert sorted((r["request_id"], r["side"], r["stop_id"]) for r in ends.collect()) == [(1, "destination", "2"), (1, "origin", "1"), (2, "destination", "1"), (2, "origin", "1")]
