@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.sources.scratch import shared_folder, stored
+from tramline.sources.scratch import shared_folder, stored, swept
 
 __all__ = ["bounded_sample", "discard", "fold", "in_batches", "labelled_sample", "remainder_is", "shared_folder", "stored", "swept", "table"]
 BATCH_ROWS = 500
@@ -19,18 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextlib.contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Inside, a job's shuffle files are removed when it ends, instead of when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def discard(df: DataFrame) -> None:
     """Removes a table that ``stored`` wrote and nothing reads any more."""
     spark = df.sparkSession
