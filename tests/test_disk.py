@@ -89,3 +89,38 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
     kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "kept")
     assert not shuffle_files(spark) - before
     assert sorted(r["count"] for r in kept.collect()) == [142, 143, 143, 143, 143, 143, 143]
+
+
+def itineraries(spark):
+    leg = "struct<mode:string,trip_id:string,route_id:string,direction_id:int,route_short_name:string,from_id:string,to_id:string,dep:bigint,arr:bigint,minutes:bigint,meters:double>"
+    walk = lambda a, b: ("walk", None, None, None, None, "x", "y", a, b, 1, 10.0)
+    ride = lambda route, way, a, b: ("transit", f"t{a}", route, way, route, "x", "y", a, b, 1, None)
+    rows = [
+        (1, "i1", 0, 1900, [walk(0, 100), ride("A", 0, 100, 700), walk(700, 760), ride("B", None, 900, 1800), walk(1800, 1900)]),
+        (1, "i2", 0, 700, [ride("A", 0, 100, 700)]),
+        (2, "i2", 50, 1800, [ride("B", None, 900, 1800)]),
+        (2, "i3", 50, 400, [ride("C", 1, 100, 400)]),
+        (3, "i4", 50, 90, [walk(50, 90)]),
+    ]
+    return spark.createDataFrame(rows, f"request_id long, itinerary_id string, requested long, arr long, legs array<{leg}>")
+
+
+def test_delays_add_up_along_an_itinerary_and_shuffle_it_once(spark, monkeypatch):
+    given = spark.createDataFrame([("A|0|100", 120, "model"), ("B|-|900", -60, "history")], "leg_id string, seconds int, source string")
+    asked = []
+    estimate = lambda legs: asked.append(sorted(r["leg_id"] for r in legs.collect())) or given
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        late = planner.apply_expected_delays(itineraries(spark), estimate)
+        got = {(r["request_id"], r["itinerary_id"]): r for r in late.collect()}
+        plan = planner.soft_filter_itineraries(late, UTC)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert asked == [["A|0|100", "B|-|900", "C|1|100"]] and len(got) == 5
+    own = got[1, "i1"]
+    assert [tuple(x) for x in own["expected_legs"]] == [(0, 0, 100), (1, 100, 820), (2, 820, 880), (3, 1020, 1860), (4, 1860, 1960)]
+    assert (own["expected_arr"], own["sources"], own["expected_minutes"], own["expected_delay_minutes"]) == (1960, ["history", "model"], 33, 1)
+    assert [tuple(x) for x in got[2, "i2"]["expected_legs"]] == [(0, 900, 1740)] and got[2, "i2"]["sources"] == ["history"]
+    assert (got[2, "i3"]["expected_arr"], got[2, "i3"]["sources"]) == (400, []) and (got[3, "i4"]["expected_arr"], got[3, "i4"]["sources"]) == (90, [])
+    assert "_sig" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "_sig" in x], plan
